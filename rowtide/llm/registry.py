@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import packing, secrets, simhash
+from rowtide.llm import fingerprints, packing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": packing.op1_pack, "op2_secrets": secrets.op2_secrets, "op3_simhash": simhash.op3_simhash}
+    return {"op1_pack": packing.op1_pack, "op2_secrets": secrets.op2_secrets, "op3_simhash": simhash.op3_simhash, "op8_fingerprint": fingerprints.op8_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
