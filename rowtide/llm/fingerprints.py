@@ -4,7 +4,7 @@ Every paragraph (line) has a wide vector; a text's fingerprint is the sum of its
 modulo a power of two. Order doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 The vector has two parts. 16 lanes modulo 2^32 are expanded from the paragraph's SHA-512: two texts have them equal only
-if they have the same paragraphs. 65 lanes modulo 2^16 describe its content: how many pieces of five words it has, and
+if they have the same paragraphs. 65 lanes modulo 2^24 describe its content: how many pieces of five words it has, and
 in how many of these pieces each bit of a 64-bit hash is set. These lanes are sums as well, and the squared difference
 of two such sums estimates how many pieces two texts don't share, so they give a likeness from 0 to 1.
 
@@ -21,7 +21,7 @@ from rowtide.llm import common
 
 #: Words of a piece, hashes of a digest (two lanes each), bits of a piece's hash.
 WORDS, HASHES, BITS = 5, 8, 64
-STRONG, WEAK = 1 << 32, 1 << 16
+STRONG, WEAK = 1 << 32, 1 << 24
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def combine(a: str | Column, b: str | Column, sign: int = 1) -> Column:
 
 
 def to_hex(fingerprint: str) -> Column:
-    return F.lower(F.array_join(F.transform(fingerprint, lambda x, i: F.lpad(F.hex(x), F.when(i < 2 * HASHES, 8).otherwise(4), F.lit("0"))), ""))
+    return F.lower(F.array_join(F.transform(fingerprint, lambda x, i: F.lpad(F.hex(x), F.when(i < 2 * HASHES, 8).otherwise(6), F.lit("0"))), ""))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -64,13 +64,14 @@ def likeness(a: str, b: str) -> Column:
     def signed(x: Column) -> Column:
         return F.when(x >= WEAK // 2, x - WEAK).otherwise(x)
 
-    def norm(lanes: Column) -> Column:  # of 2 x (bits set) - pieces, the sum of a random sign for each piece
-        of = F.slice(lanes, 2, BITS)
-        n = signed(F.element_at(lanes, 1))
-        return F.aggregate(of, F.lit(0.0), lambda s, x: s + F.pow(F.lit(2) * x - n, F.lit(2)))
+    def norm(lanes: Column) -> Column:  # the sum over bits of (2 x (pieces with the bit) - pieces) squared
+        of, n = F.slice(lanes, 2, BITS), F.element_at(lanes, 1)
+        squares = F.aggregate(of, F.lit(0.0), lambda s, x: s + x * x)
+        plain = F.aggregate(of, F.lit(0.0), lambda s, x: s + x)
+        return F.lit(4.0) * squares - F.lit(4.0) * n * plain + F.lit(float(BITS)) * n * n
 
-    left, right = (F.slice(x, 2 * HASHES + 1, BITS + 1) for x in (a, b))
-    apart = F.zip_with(left, right, lambda x, y: signed(F.pmod(x - y, F.lit(WEAK))))
+    left, right = (F.transform(F.slice(x, 2 * HASHES + 1, BITS + 1), lambda x: x.cast("double")) for x in (a, b))
+    apart = F.zip_with(F.slice(a, 2 * HASHES + 1, BITS + 1), F.slice(b, 2 * HASHES + 1, BITS + 1), lambda x, y: signed(F.pmod(x - y, F.lit(WEAK))).cast("double"))
     whole = norm(left) + norm(right)
     found = F.when(whole > 0, F.lit(1.0) - norm(apart) / whole).otherwise(F.lit(0.0))
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(F.least(F.greatest(found, F.lit(0.0)), F.lit(1.0)))
