@@ -95,3 +95,43 @@ def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, t
 
 def id_salt(*columns: str) -> Column:
     return F.xxhash64(*columns)
+
+
+_RANDOM = np.random.default_rng(0x5EED)
+_BYTE = _RANDOM.integers(1, 1 << 64, 256, np.uint64, endpoint=False)
+_BASE, _STEP = 0x9E3779B97F4A7C15, 1 << 12
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n - 1) modulo 2^64."""
+    low = np.full(_STEP, base, np.uint64)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    high = np.full(n // _STEP + 1, pow(base, _STEP, 1 << 64), np.uint64)
+    high[0] = 1
+    return (np.multiply.accumulate(high)[:, None] * low).reshape(-1)[:n]
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers whose high bits depend on all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, the same in every process."""
+    n = len(data) + 1
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [_powers(_BASE, n + n // 4), _powers(pow(_BASE, -1, 1 << 64), n + n // 4)]
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(_BYTE[data] * _POWERS[0][: n - 1], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether crc32 of the id as text leaves 2 when divided by 4; a null id counts as an empty text."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 4 == 2

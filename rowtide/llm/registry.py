@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import fingerprints, packing, secrets, simhash
+from rowtide.llm import fingerprints, languages, packing, quality, secrets, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": packing.op1_pack, "op2_secrets": secrets.op2_secrets, "op3_simhash": simhash.op3_simhash, "op8_fingerprint": fingerprints.op8_fingerprint}
+    found = [packing.op1_pack, secrets.op2_secrets, simhash.op3_simhash, quality.op4_quality, urls.op5_urls, languages.op6_language, sharding.op7_sharding, fingerprints.op8_fingerprint]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
