@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import fingerprints, languages, packing, quality, secrets, sharding, simhash, urls
+from rowtide.llm import decontamination, fingerprints, languages, packing, quality, repeats, secrets, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [packing.op1_pack, secrets.op2_secrets, simhash.op3_simhash, quality.op4_quality, urls.op5_urls, languages.op6_language, sharding.op7_sharding, fingerprints.op8_fingerprint]
+    found = [packing.op1_pack, secrets.op2_secrets, simhash.op3_simhash, quality.op4_quality, urls.op5_urls, languages.op6_language, sharding.op7_sharding, fingerprints.op8_fingerprint, decontamination.op9_decontamination, repeats.op10_repeats]
     return {f.__name__: f for f in found}
 
 
