@@ -215,3 +215,12 @@ def near_duplicates(docs: DataFrame, most: int = MOST, width: int = SHINGLE, gro
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, most: int = MOST, width: int = SHINGLE) -> DataFrame:
+    """The rows and columns of ``docs`` without documents that have a smaller doc_id in their group.
+
+    Rows with equal doc_id are one document; rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, most, width)
+    return docs.join(found.filter("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
