@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rowtide.llm import common
 
-WINDOW, ROUNDS, SHARD_BYTES, BATCH = 13, 2, 16 << 20, 8 << 20
+WINDOW, ROUNDS, SHARD_BYTES, BATCH = 13, 2, 16 << 20, 2 << 20
 _NO_ID = (1 << 63) - 1
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
