@@ -86,7 +86,7 @@ def mysql_gtid(data: str = "body") -> Column:
     h = F.lower(F.hex(F.substring(F.col(data), 2, 16)))
     uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     number = le(data, 18, 8)
-    return F.when((F.length(data) >= 25) & (number >= 1) & (number < F.lit(2**63).cast("decimal(20,0)")), F.concat(uuid, F.lit(":"), number.cast("string")))
+    return F.when((F.length(data) >= 25) & (number >= 1) & (number < F.lit(str(1 << 63)).cast("decimal(20,0)")), F.concat(uuid, F.lit(":"), number.cast("string")))
 
 
 def mariadb_gtid(data: str = "body", server: str = "server_id") -> Column:

@@ -1,19 +1,477 @@
-"""The change-log queries that the driver runs, with their SQL twins."""
+"""The change-log queries that the driver runs, with their SQL twins.
+
+Every query writes a log from a plain table, reads it back through the operators, and returns flat columns; its SQL
+states the same result on the plain table.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import struct
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rowtide.functions import bytes as B
+from rowtide.functions import codec as C
+from rowtide.functions import gtid as G
+from rowtide.functions import statements as S
+from rowtide.operators import apply as A
+from rowtide.operators import decode as D
+from rowtide.operators import filters, transactions
+from rowtide.plans import changelog as L
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _id(image: str = "after"):
+    return D.column(image, 0, "bigint")
+
+
+_EVENT = {"event_id": "bigint", "ts": "string", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+#: The history of changelog.event_changes in SQL.
+_CHANGES = """
+WITH e AS (SELECT *, lag(event_id) OVER w AS b_id, lag(event_type) OVER w AS b_type, lag(value) OVER w AS b_value, lag(props) OVER w AS b_props, lag(ts) OVER w AS b_ts
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT *, CASE WHEN b_id IS NOT NULL AND b_type <> 'error' THEN (CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'UPDATE' END)
+                     WHEN event_type = 'error' THEN 'NOOP' ELSE 'INSERT' END AS op,
+        'db' || (user_id % 3) AS "database", CASE user_id % 2 WHEN 0 THEN 'sessions' ELSE 'items' END AS "table",
+        'binlog.' || lpad(CAST(1 + event_id // 2500 AS VARCHAR), 6, '0') AS file, 100 + user_id % 6 AS table_id,
+        4 + (event_id % 2500 + 1) * 1000 AS next_pos, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM e),
+h AS (SELECT * FROM c WHERE op <> 'NOOP')
+"""
+
+
+# Round trips and types.
+
+_ORDERS = [("o_orderkey", C.LONGLONG, 0), ("o_custkey", C.LONGLONG, 0), ("o_orderstatus", C.VARCHAR, 16), ("o_totalprice", C.DOUBLE, 8), ("o_orderdate", C.DATETIME2, 0)]
+
+
+def _orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz"))
+    return L.table_log(orders, "shop", "orders", _ORDERS)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_status_counts(spark, sf_dir)
+
+
+@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY o_orderstatus")
+def order_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.typed(D.changes(_orders_log(spark, sf_dir)), {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string"})
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT 'INSERT' AS op, o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders")
+def insert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "string"}
+    return D.typed(D.changes(_orders_log(spark, sf_dir)), columns, "after", "op")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_orderkey % 256 - 128 AS tiny, l_orderkey % 256 AS utiny, l_orderkey % 65536 - 32768 AS small, l_orderkey % 65536 AS usmall,
+l_orderkey * 7 % 16777216 - 8388608 AS medium, l_orderkey * 7 % 16777216 AS umedium, -l_orderkey AS whole, 4294967295 - l_orderkey AS uwhole, -l_orderkey * 1000003 AS big,
+CAST(18446744073709551615 - CAST(l_orderkey AS HUGEINT) AS DECIMAL(20,0)) AS ubig, 1900 + l_orderkey % 200 + 1 AS year FROM lineitem""")
+def types_int_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_orderkey").cast("long")
+    values = {
+        "l_orderkey": (k, C.LONGLONG, False, "bigint"),
+        "l_linenumber": (F.col("l_linenumber"), C.LONG, False, "int"),
+        "tiny": (k % 256 - 128, C.TINY, False, "bigint"),
+        "utiny": (k % 256, C.TINY, True, "bigint"),
+        "small": (k % 65536 - 32768, C.SHORT, False, "bigint"),
+        "usmall": (k % 65536, C.SHORT, True, "bigint"),
+        "medium": (k * 7 % 16777216 - 8388608, C.INT24, False, "bigint"),
+        "umedium": (k * 7 % 16777216, C.INT24, True, "bigint"),
+        "whole": (-k, C.LONG, False, "bigint"),
+        "uwhole": (F.lit(4294967295) - k, C.LONG, True, "bigint"),
+        "big": (-k * 1000003, C.LONGLONG, False, "bigint"),
+        "ubig": (-k - 1, C.LONGLONG, True, "decimal(20,0)"),
+        "year": (1900 + k % 200 + 1, C.YEAR, False, "bigint"),
+    }
+    made = _table(spark, sf_dir, "lineitem").select(*[v[0].alias(n) for n, v in values.items()])
+    log = L.table_log(made, "shop", "numbers", [(n, v[1], 0) for n, v in values.items()], [v[2] for v in values.values()])
+    return D.typed(D.changes(log), {n: v[3] for n, v in values.items()}).withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
+
+
+_SQL["types_int_matrix"] = _SQL["types_int_matrix"].replace("l_orderkey, l_linenumber,", "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,")
+
+
+@query("SELECT c_custkey, CAST(c_acctbal AS DECIMAL(10,2)) AS c_acctbal, CAST(CAST(-c_acctbal AS DECIMAL(10,2)) AS VARCHAR) AS negated FROM customer")
+def types_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("c_acctbal").cast("decimal(10,2)")
+    made = _table(spark, sf_dir, "customer").select("c_custkey", d.cast("string").alias("c_acctbal"), F.negative(d).cast("string").alias("negated"))
+    log = L.table_log(made, "shop", "customer", [("c_custkey", C.LONGLONG, 0), ("c_acctbal", C.NEWDECIMAL, 10 << 8 | 2), ("negated", C.NEWDECIMAL, 10 << 8 | 2)])
+    return D.typed(D.changes(log), {"c_custkey": "bigint", "c_acctbal": "decimal(10,2)", "negated": "string"})
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '000' AS moment,
+CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS stamp,
+CASE WHEN o_orderkey % 300000 < 150000 THEN '-' ELSE '' END || lpad(CAST(abs(o_orderkey % 300000 - 150000) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(o_orderkey % 300000 - 150000) // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(o_orderkey % 300000 - 150000) % 60 AS VARCHAR), 2, '0') AS clock FROM orders""")
+def types_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, t = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    whole = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    moment = (t + F.make_dt_interval(secs=(k % 1000 / 1000).cast("decimal(18,6)"))).alias("moment")
+    made = _table(spark, sf_dir, "orders").select(k, t.cast("date").alias("day"), moment, (whole + k % 1000000).alias("stamp"), ((k % 300000 - 150000) * 1000000).alias("clock"))
+    log = L.table_log(made, "shop", "times", [("o_orderkey", C.LONGLONG, 0), ("day", C.DATE, 0), ("moment", C.DATETIME2, 3), ("stamp", C.TIMESTAMP2, 6), ("clock", C.TIME2, 0)])
+    return D.typed(D.changes(log), {"o_orderkey": "bigint", "day": "date", "moment": "string", "stamp": "string", "clock": "string"})
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last FROM embeddings")
+def types_bytes_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([struct.pack(f"<{len(v)}f", *v) for v in b.column("embedding").to_pylist()], pa.binary())], ["vec_id", "v"])
+
+    def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = [struct.unpack(f"<{len(v) // 4}f", v) for v in b.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([len(v) for v in read], pa.int64()), pa.array([v[0] for v in read], pa.float64()), pa.array([v[-1] for v in read], pa.float64())], ["vec_id", "dim", "first", "last"])
+
+    made = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(packed, "vec_id long, v binary")
+    log = L.table_log(made, "shop", "vectors", [("vec_id", C.LONGLONG, 0), ("v", C.VECTOR, 4)])
+    return D.typed(D.changes(log), {"vec_id": "bigint", "v": "binary"}).mapInArrow(floats, "vec_id long, dim long, first double, last double")
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS status, o_orderkey % 1024 AS flags, o_orderkey % 4096 AS switches FROM orders")
+def types_enum_set_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    made = _table(spark, sf_dir, "orders").select(k, F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3).alias("status"), (k % 1024).alias("flags"), (k % 4096).alias("switches"))
+    log = L.table_log(made, "shop", "choices", [("o_orderkey", C.LONGLONG, 0), ("status", C.STRING, C.ENUM << 8 | 1), ("flags", C.STRING, C.SET << 8 | 2), ("switches", C.BIT, 1 << 8 | 4)])
+    return D.typed(D.changes(log), {"o_orderkey": "bigint", "status": "int", "flags": "bigint", "switches": "bigint"})
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, md5(text) AS digest, source FROM documents")
+def maria_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    log = L.table_log(made, "shop", "documents", [("doc_id", C.LONGLONG, 0), ("text", C.BLOB_COMPRESSED, 4), ("source", C.VARCHAR_COMPRESSED, 100)], per_event=10)
+    rows = D.typed(D.changes(log), {"doc_id": "bigint", "text": "text", "source": "string"})
+    return rows.select("doc_id", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "source")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS custkey, CASE WHEN o_orderkey % 3 > 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END END AS status, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS price FROM orders")
+def null_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    made = _table(spark, sf_dir, "orders").select(k, F.when(k % 2 == 0, F.col("o_custkey")).alias("custkey"), F.when(k % 3 > 0, F.when(k % 5 == 0, "").otherwise(F.col("o_orderstatus"))).alias("status"), F.when(k % 7 > 0, F.col("o_totalprice")).alias("price"))
+    log = L.table_log(made, "shop", "gaps", [("o_orderkey", C.LONGLONG, 0), ("custkey", C.LONGLONG, 0), ("status", C.VARCHAR, 16), ("price", C.DOUBLE, 8)])
+    return D.typed(D.changes(log), {"o_orderkey": "bigint", "custkey": "bigint", "status": "string", "price": "double"})
+
+
+# Images and envelopes.
+
+
+@query(_CHANGES + "SELECT b_id, b_type, event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type, value, props, \"database\", \"table\", next_pos AS \"offset\", seconds FROM h WHERE op = 'UPDATE'")
+def update_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.changes(L.event_log(spark, sf_dir)).filter("op = 'UPDATE'")
+    found = found.withColumns({"b_id": _id("before"), "b_type": D.column("before", 3), "seconds": F.col("ts")})
+    return D.typed(found, _EVENT, "after", "b_id", "b_type", "database", "table", "offset", "seconds")
+
+
+@query(_CHANGES + "SELECT b_id AS event_id, user_id, b_type AS event_type, b_value AS value, b_props AS props, strftime(b_ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM h WHERE op = 'DELETE'")
+def delete_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.typed(D.changes(L.event_log(spark, sf_dir)).filter("op = 'DELETE'"), _EVENT, "before")
+
+
+@query(_CHANGES + "SELECT \"database\", \"table\", op, count(*) AS n FROM h GROUP BY ALL")
+def op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.counts(D.changes(L.event_log(spark, sf_dir)), "database", "table")
+
+
+# Filters.
+
+
+def _filtered(spark: SparkSession, sf_dir: str, **lists: list[str]) -> DataFrame:
+    found = D.changes(L.event_log(spark, sf_dir), filters.allowed(**lists))
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "database", "table", "op")
+
+
+_FILTERED = _CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, \"database\", \"table\", op FROM h WHERE "
+
+
+@query(_FILTERED + "\"database\" IN ('db1', 'db2')")
+def filter_include_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, include_databases=["db1", "db2"])
+
+
+@query(_FILTERED + "(\"database\" = 'db0' AND \"table\" = 'items') OR \"table\" = 'sessions'")
+def filter_include_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, include_tables=["db0.items", "sessions"])
+
+
+@query(_FILTERED + "NOT (\"database\" = 'db1' AND \"table\" = 'items')")
+def filter_exclude_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, exclude_tables=["db1.items"])
+
+
+@query(_FILTERED + "\"database\" IN ('db0', 'db1') AND \"table\" = 'items' AND \"database\" <> 'db1'")
+def filter_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, include_databases=["db0", "db1"], include_tables=["items"], exclude_tables=["db1.items"])
+
+
+@query(_FILTERED + "\"database\" = 'db2' AND \"table\" = 'items'")
+def filter_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([("db2", "items")], "database string, `table` string")
+    found = filters.matching(D.changes(L.event_log(spark, sf_dir)), wanted)
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "database", "table", "op")
+
+
+# Schemas along the log.
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_columns, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS added FROM orders")
+def schema_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table number is declared again before every row, with one column more for every third key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        file, seq = f"part.{TaskContext.get().partitionId():06d}", 0
+        for b in batches:
+            out = []
+            for k, c, s in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                columns = [("k", C.LONGLONG, 0), ("c", C.LONGLONG, 0), ("s", C.VARCHAR, 16)][: 3 if k % 3 == 0 else 2]
+                out.append(("log", file, seq, C.event(19, C.table_map(9, "shop", "evolving", columns))))
+                out.append(("log", file, seq + 1, C.event(30, C.rows_body(9, len(columns), [C.image(columns, [k, c, s][: len(columns)])]))))
+                seq += 2
+            yield L.raw_batch(out)
+
+    found = D.changes(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").mapInArrow(run, L.RAW))
+    return found.select(_id().alias("o_orderkey"), F.size("after").alias("n_columns"), D.column("after", 2).alias("added"))
+
+
+@query(_CHANGES + """SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op,
+CASE WHEN first_value(event_id % 2) OVER (PARTITION BY file, table_id ORDER BY event_id) = 0 THEN 'event_id' ELSE '0' END AS name FROM h""")
+def names_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.changes(L.event_log(spark, sf_dir))
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", F.get(A.current(), F.lit(0))["name"].alias("name"))
+
+
+@query(_CHANGES + """SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, "table" = 'items' AS names_resolved,
+CASE WHEN "table" = 'items' THEN 'id' WHEN first_value(event_id % 2) OVER (PARTITION BY file, table_id ORDER BY event_id) = 0 THEN 'event_id' ELSE '0' END AS name FROM h""")
+def names_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["id", "ts", "user_id", "event_type", "value", "props"]
+    known = [(f"db{k}", "items", columns) for k in range(3)] + [(f"db{k}", "sessions", columns[:4]) for k in range(3)]
+    found = D.with_names(D.changes(L.event_log(spark, sf_dir)), spark.createDataFrame(known, "database string, `table` string, names array<string>"))
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "names_resolved", F.get(A.current(), F.lit(0))["name"].alias("name"))
+
+
+# Headers, checksums, positions, errors.
+
+
+@query(_CHANGES + """SELECT file, kind AS event, count(*) AS n, CAST(sum(ts) AS BIGINT) AS seconds, CAST(sum(pos) AS BIGINT) AS positions FROM (
+SELECT file, seconds AS ts, next_pos AS pos, unnest(['GTID_LOG_EVENT', 'UNKNOWN', CASE op WHEN 'INSERT' THEN 'WRITE_ROWS_EVENT' WHEN 'UPDATE' THEN 'UPDATE_ROWS_EVENT' ELSE 'DELETE_ROWS_EVENT' END, CASE WHEN event_id % 3 > 0 THEN 'XID_EVENT' ELSE 'UNKNOWN' END]) AS kind FROM h
+UNION ALL SELECT file, first(seconds ORDER BY event_id), first(next_pos ORDER BY event_id), 'TABLE_MAP_EVENT' FROM h GROUP BY file, table_id
+UNION ALL SELECT DISTINCT file, 0, 0, unnest(['FORMAT_DESCRIPTION_EVENT', 'ROTATE_EVENT']) FROM h) GROUP BY file, kind""")
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = D.with_header(L.event_log(spark, sf_dir))
+    return events.groupBy("file", B.kind_name().alias("event")).agg(F.count("*").alias("n"), F.sum("ts").alias("seconds"), F.sum("next_pos").alias("positions"))
+
+
+@query(_CHANGES + "SELECT event_id % 7 > 0 AS crc_ok, op, count(*) AS n FROM h GROUP BY ALL")
+def crc_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = D.with_header(L.event_log(spark, sf_dir, damage=7)).filter(B.is_rows())
+    op = F.when(F.col("type_code") == 30, "INSERT").when(F.col("type_code") == 31, "UPDATE").otherwise("DELETE")
+    return events.groupBy("crc_ok", op.alias("op")).agg(F.count("*").alias("n"))
+
+
+@query(_CHANGES + "SELECT op, CASE WHEN event_id % 7 = 0 THEN 101 ELSE 0 END AS error_code, count(*) AS n FROM h GROUP BY ALL")
+def permissive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.changes(L.event_log(spark, sf_dir, damage=7)).groupBy("op", "error_code").agg(F.count("*").alias("n"))
+
+
+@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op FROM h WHERE event_id > 0 AND event_id < coalesce((SELECT min(event_id) FROM h WHERE event_id > 0 AND event_id % 1777 = 0), 9223372036854775807)")
+def failfast_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source a file would restart the numbers, so files are lined up first: the prefix ends at the first bad event of all."""
+    found = D.changes(L.event_log(spark, sf_dir, damage=1777)).filter("offset > 1004 or file > 'binlog.000001'")
+    line = found.withColumn("seq", F.substring("file", 8, 6).cast("long") * 1_000_000_000 + F.col("seq"))
+    kept = D.failfast_prefix(line).filter("error_code = 0")
+    return kept.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op")
+
+
+@query(_CHANGES + "SELECT event_id, CASE WHEN file = (SELECT min(file) FROM h) THEN '' ELSE file END AS log_file, next_pos AS \"offset\" FROM h WHERE op <> 'DELETE'")
+def rotate_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = D.with_position(D.with_header(L.event_log(spark, sf_dir)))
+    found = D.decode_rows(D.attach(events).withColumn("file", F.col("log_file")))
+    return found.filter("op <> 'DELETE'").select(_id().alias("event_id"), F.col("file").alias("log_file"), "offset")
+
+
+@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, \"table\" FROM h")
+def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as files and read back by the format ``rowlog``."""
+    from rowtide.sources.framing import RowLogSource
+
+    spark.dataSource.register(RowLogSource)
+    found = D.changes(spark.read.format("rowlog").load(written_files(spark, sf_dir)).drop("error_code"))
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "table")
+
+
+@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, \"database\" FROM h")
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files through Spark's binary file scan, which also reads remote stores."""
+    from rowtide.sources.framing import read_files
+
+    found = D.changes(read_files(spark, written_files(spark, sf_dir)).drop("error_code"))
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "database")
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of log files, with magic bytes, for the queries about files; for the small tables of tests and checks."""
+    folder = tempfile.mkdtemp(prefix="rowlog-")
+    for row in L.event_log(spark, sf_dir).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "raw"))).alias("events")).toLocalIterator():
+        with open(os.path.join(folder, row["file"]), "wb") as f:
+            f.write(b"\xfebin" + b"".join(bytes(x["raw"]) for x in row["events"]))
+    return folder
+
+
+@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, \"table\" FROM h WHERE \"database\" <> 'db0'")
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files as a stream in small triggers, decoded with state and written once."""
+    from rowtide.streaming import changes as stream
+
+    raw = stream.read(spark, written_files(spark, sf_dir), maxEventsPerTrigger="20000")
+    out, marks = tempfile.mkdtemp(prefix="rowlog-out-"), tempfile.mkdtemp(prefix="rowlog-marks-")
+    found = stream.changes(raw, F.col("database") != "db0")
+    stream.run_to_end(found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "table"), out, marks)
+    return spark.read.parquet(out)
+
+
+# Statements and servers.
+
+# Statements and whether they change a schema.
+STATEMENTS = [("ALTER TABLE users ADD COLUMN x INT", True), ("RENAME TABLE a TO b", True), ("  create table t (id int)", True), ("DROP TABLE t", True), ("/* audit */ ALTER TABLE t ADD c INT", True), ("/* first */ /* second */ RENAME TABLE a TO b", True), ("-- audit\nDROP TABLE t", True), ("# audit\nCREATE TABLE t (a INT)", True), ("/*+ optimizer hint */ TRUNCATE TABLE t", True), ("/*!50100 ALTER TABLE t ENGINE=x */", True), ("/*! ALTER TABLE t ENGINE=x */", True), ("/*M!100100 RENAME TABLE a TO b */", True), ("BEGIN", False), ("COMMIT", False), ("INSERT INTO t VALUES (1)", False), ("/* unterminated", False), ("/* comment only */", False), ("-- comment only", False), ("# comment only", False), ("ALTERED TABLE t", False), ("CREATE2 TABLE t", False), ("-- ALTER TABLE t", False)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('" + s.replace("'", "''") + f"', {str(d).lower()})" for s, d in STATEMENTS) + ") t(statement, ddl)")
+def ddl_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s,) for s, _ in STATEMENTS], "statement string").withColumn("ddl", S.is_ddl("statement"))
+
+
+@query("SELECT * FROM (VALUES (1, 'binlog_format', 'ROW', 'STATEMENT'), (2, 'gtid_mode', 'ON', NULL), (3, 'log_bin_compress', 'OFF', 'ON')) t(server, variable, wanted, found)")
+def validate_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = {"log_bin": "ON", "gtid_mode": "ON", "binlog_format": "ROW", "binlog_row_image": "FULL"}
+    servers = [(0, "8.4.0", good), (1, "9.1.0", good | {"binlog_format": "STATEMENT"}), (2, "8.4.0", {k: v for k, v in good.items() if k != "gtid_mode"}), (3, "11.4-MariaDB", {k: v for k, v in good.items() if k != "gtid_mode"} | {"log_bin_compress": "ON"})]
+    rows = [(s, v, k, x) for s, v, of in servers for k, x in of.items()]
+    return A.validate_server(spark.createDataFrame(rows, "server int, version string, name string, value string"))
+
+
+# Transaction ids.
+
+_S1, _S2 = "00000000-0000-0000-0000-000000000001", "00000000-0000-0000-0000-000000000002"
+
+
+@query(_CHANGES + f"""SELECT CASE WHEN event_id % 2 = 0 THEN '{_S1}' ELSE '{_S2}' END || ':' || (event_id // 2 + 1) AS gtid, CASE WHEN event_id % 3 > 0 THEN 'XID_EVENT' ELSE 'UNKNOWN' END AS at FROM h""")
+def txn_commit_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = transactions.with_gtid(D.with_header(L.event_log(spark, sf_dir)))
+    return marked.filter("committed is not null").select(F.col("committed").alias("gtid"), B.kind_name().alias("at"))
+
+
+@query(_CHANGES + f""", g AS (SELECT CASE WHEN event_id % 2 = 0 THEN '{_S1}' ELSE '{_S2}' END AS sid, event_id // 2 + 1 AS n FROM h),
+i AS (SELECT sid, n, n - row_number() OVER (PARTITION BY sid ORDER BY n) AS k FROM g)
+SELECT sid, min(n) AS "start", max(n) + 1 AS "end" FROM i GROUP BY sid, k""")
+def gtid_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = transactions.commits(transactions.with_gtid(D.with_header(L.event_log(spark, sf_dir))))
+    part = done.select(F.split("gtid", ":").alias("p")).select(F.col("p")[0].alias("sid"), F.col("p")[1].cast("long").alias("start"))
+    return G.merged(part.withColumn("end", F.col("start") + 1), "sid")
+
+
+@query(_CHANGES + f""", g AS (SELECT CASE WHEN event_id % 2 = 0 THEN '{_S1}' ELSE '{_S2}' END AS sid, event_id // 2 + 1 AS n FROM h UNION SELECT '{_S2}', unnest([900001, 900002, 900005])),
+i AS (SELECT sid, n, n - row_number() OVER (PARTITION BY sid ORDER BY n) AS k FROM g),
+r AS (SELECT sid, min(n) AS a, max(n) AS b FROM i GROUP BY sid, k),
+t AS (SELECT sid, sid || ':' || string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ':' ORDER BY a) AS x FROM r GROUP BY sid)
+SELECT 'events' AS source_id, string_agg(x, ',' ORDER BY x) AS gtid_set FROM t""")
+def gtid_committed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = transactions.commits(transactions.with_gtid(D.with_header(L.event_log(spark, sf_dir))))
+    return transactions.committed_set(done, spark.createDataFrame([("events", f"{_S2}:900001-900002:900005")], "source_id string, gtid_set string"))
+
+
+@query(f"SELECT * FROM (VALUES ('{_S1}:100,{_S2}:200', '{_S1}:1-100,{_S2}:1-200', false), ('{_S1}:0', '', false), ('{_S1}:1-5:7', '{_S1}:1-5:7', false), ('0-1-100', '0-1-100', false), ('{_S1}:tag:5', '{_S1}:tag:5', true)) t(gtid, normalized, tagged)")
+def gtid_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = [f"{_S1}:100,{_S2}:200", f"{_S1}:0", f"{_S1}:1-5:7", "0-1-100", f"{_S1}:tag:5"]
+    return spark.createDataFrame([(x,) for x in given], "gtid string").select("gtid", G.normalized("gtid").alias("normalized"), G.is_tagged("gtid").alias("tagged"))
+
+
+@query()
+def gtid_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = [(1, f"{_S1}:1-3"), (2, f"{_S1}:1-5:3-8"), (3, f"{_S1}:1-3, {_S1}:5-7"), (4, f"{_S1}:1-3:4-6,{_S2}:9")]
+    found = G.ranges(spark.createDataFrame(given, "id int, gtid string"), "gtid", "id")
+    return G.encoded(G.merged(found, "id", "sid"), "id")
+
+
+def _encoded(*sids: tuple[str, list[tuple[int, int]]]) -> str:
+    le8 = lambda n: n.to_bytes(8, "little").hex()
+    return le8(len(sids)) + "".join(s.replace("-", "") + le8(len(r)) + "".join(le8(a) + le8(b) for a, b in r) for s, r in sids)
+
+
+_SQL["gtid_encode"] = "SELECT CAST(id AS INTEGER) AS id, encoded FROM (VALUES " + ", ".join(f"({k}, '{_encoded(*x)}')" for k, x in enumerate([[(_S1, [(1, 4)])], [(_S1, [(1, 9)])], [(_S1, [(1, 4), (5, 8)])], [(_S1, [(1, 7)]), (_S2, [(9, 10)])]], 1)) + ") t(id, encoded)"
+
+
+@query(_CHANGES + "SELECT user_id % 4 AS domain, CAST(1 AS BIGINT) AS server, max(event_id + 1) AS seq FROM h GROUP BY 1")
+def mariadb_highwater(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = transactions.commits(transactions.with_gtid(D.with_header(L.event_log(spark, sf_dir, maria=True))))
+    return G.high_water(G.mariadb_parts(done, "gtid")).withColumn("seq", F.col("seq").cast("long"))
+
+
+# Consumers.
+
+
+@query(_CHANGES + "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM h) WHERE k = 1 AND op <> 'DELETE'")
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.changes(L.event_log(spark, sf_dir)).withColumns({"user_id": F.coalesce(D.column("after", 2, "bigint"), D.column("before", 2, "bigint")), "event_id": _id(), "event_type": D.column("after", 3), "value": D.column("after", 4, "double")})
+    return A.latest_state(found.select("user_id", "op", "file", "seq", "event_id", "event_type", "value"), ["user_id"], ["file", "seq"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query(_CHANGES + "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM h) WHERE k = 1 AND op <> 'DELETE' AND event_type <> 'view'")
+def latest_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows count as active unless their last event is a view."""
+    found = D.changes(L.event_log(spark, sf_dir)).select(F.coalesce(D.column("after", 2, "bigint"), D.column("before", 2, "bigint")).alias("user_id"), "op", "file", "seq", _id().alias("event_id"), D.column("after", 3).alias("event_type"))
+    return A.latest_state(found, ["user_id"], ["file", "seq"], F.col("event_type") != "view").select("user_id", "event_id")
+
+
+@query(_CHANGES + """SELECT event_id, concat_ws(',', CASE WHEN event_id IS DISTINCT FROM b_id THEN 'x0' END, CASE WHEN ts IS DISTINCT FROM b_ts THEN 'x1' END, CASE WHEN event_type IS DISTINCT FROM b_type THEN 'x3' END,
+CASE WHEN value IS DISTINCT FROM b_value THEN 'x4' END, CASE WHEN props IS DISTINCT FROM b_props THEN 'x5' END) AS changed FROM h WHERE op = 'UPDATE'""")
+def column_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rename = lambda c: F.transform(c, lambda v: v.withField("name", F.concat(F.lit("x"), v["ordinal"].cast("string"))))
+    found = D.changes(L.event_log(spark, sf_dir)).filter("op = 'UPDATE'").withColumns({"before": rename("before"), "after": rename("after")})
+    return found.select(_id().alias("event_id"), F.array_join(A.changed_columns(), ",").alias("changed"))
+
+
+@query(_CHANGES + "SELECT CASE op WHEN 'INSERT' THEN 'set' WHEN 'UPDATE' THEN 'invalidate' ELSE 'evict' END AS action, CASE \"table\" WHEN 'sessions' THEN 'session:' || user_id ELSE 'user:' || user_id || ':settings' END AS cache_key, count(*) AS n FROM h GROUP BY ALL")
+def cache_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.get(A.current(), F.lit(2))["i"]
+    found = A.cache_actions(D.changes(L.event_log(spark, sf_dir)), {"sessions": "session:%d", "items": "user:%d:settings"}, key)
+    return found.groupBy("action", "cache_key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT '+ shop.orders k=' || o_orderkey || ', status=\"' || o_orderstatus || '\", note=' || CASE WHEN o_orderkey % 2 = 0 THEN 'NULL' ELSE '6F72646572206E6F...' END AS line FROM orders")
+def format_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    made = _table(spark, sf_dir, "orders").select(k, "o_orderstatus", F.when(k % 2 != 0, F.lit("order note").cast("binary")).alias("note"))
+    log = L.table_log(made, "shop", "orders", [("k", C.LONGLONG, 0), ("status", C.VARCHAR, 16), ("note", C.BLOB, 2)])
+    return D.changes(log).select(A.format_event().alias("line"))
