@@ -6,10 +6,7 @@ states the same result on the plain table.
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,6 +21,7 @@ from rowtide.operators import apply as A
 from rowtide.operators import decode as D
 from rowtide.operators import filters, transactions
 from rowtide.plans import changelog as L
+from rowtide.sources import folders
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -342,11 +340,11 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of log files, with magic bytes, for the queries about files; for the small tables of tests and checks."""
-    folder = tempfile.mkdtemp(prefix="rowlog-")
-    for row in L.event_log(spark, sf_dir).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "raw"))).alias("events")).toLocalIterator():
-        with open(os.path.join(folder, row["file"]), "wb") as f:
-            f.write(b"\xfebin" + b"".join(bytes(x["raw"]) for x in row["events"]))
+    """The log of the events as files in the shared folder."""
+    from rowtide.sources.framing import write_files
+
+    folder = folders.new_folder(spark, "rowlog")
+    write_files(L.event_log(spark, sf_dir), folder)
     return folder
 
 
@@ -356,7 +354,7 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rowtide.streaming import changes as stream
 
     raw = stream.read(spark, written_files(spark, sf_dir), maxEventsPerTrigger="20000")
-    out, marks = tempfile.mkdtemp(prefix="rowlog-out-"), tempfile.mkdtemp(prefix="rowlog-marks-")
+    out, marks = folders.new_folder(spark, "rows"), folders.new_folder(spark, "marks")
     found = stream.changes(raw, F.col("database") != "db0")
     stream.run_to_end(found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "table"), out, marks)
     return spark.read.parquet(out)

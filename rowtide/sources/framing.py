@@ -9,12 +9,13 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from rowtide.functions.errors import ParseError
 
@@ -105,7 +106,10 @@ def _read(part: FilePart, source_id: str, limit: int) -> Iterator[tuple]:
 
 
 class RowLogSource(DataSource):
-    """``spark.read.format("rowlog")``; options: path, sourceId, maxEventSize, maxEventsPerTrigger, maxBytesPerTrigger."""
+    """``format("rowlog")``; options: path, sourceId, maxEventSize, maxEventsPerTrigger, maxBytesPerTrigger.
+
+    The path must be mounted on all machines; ``read_files`` reads any store that Spark reads.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -120,10 +124,13 @@ class RowLogSource(DataSource):
     def streamReader(self, schema):
         return RowLogStream(self.options)
 
+    def writer(self, schema, overwrite):
+        return RowLogWriter(self.options)
+
 
 class _Options:
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file:")
+        self.path = options["path"].removeprefix("file://").replace("file:", "")
         self.source_id = options.get("sourceId", "log")
         self.limit = size_limit(int(options.get("maxEventSize", DEFAULT_EVENT)))
         self.most_events = int(options.get("maxEventsPerTrigger", 10_000))
@@ -191,3 +198,52 @@ class RowLogStream(DataSourceStreamReader):
 
     def commit(self, end):
         self.at = self.at or end
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class RowLogWriter(DataSourceWriter):
+    """Rows (source_id, file, seq, raw) as log files with magic bytes; use ``write_files``, which orders the rows.
+
+    Tasks write under names of their own; the files get theirs when all tasks are done.
+    """
+
+    def __init__(self, options):
+        self.path = options["path"].removeprefix("file://").replace("file:", "")
+
+    def write(self, iterator):
+        os.makedirs(self.path, exist_ok=True)
+        files, name, out = [], None, None
+        for row in iterator:
+            if row.file != name:
+                if out:
+                    out.close()
+                name = row.file
+                files.append((f"{self.path}/.{name}.{uuid.uuid4().hex}", f"{self.path}/{name}"))
+                out = open(files[-1][0], "wb")  # noqa: SIM115
+                out.write(MAGIC)
+            out.write(bytes(row.raw))
+        if out:
+            out.close()
+        return Written(files)
+
+    def commit(self, messages):
+        for m in messages:
+            for held, name in m.files if m else []:
+                os.replace(held, name)
+
+    def abort(self, messages):
+        for m in messages:
+            for held, _ in m.files if m else []:
+                if os.path.exists(held):
+                    os.remove(held)
+
+
+def write_files(raw: DataFrame, path: str) -> None:
+    """Each file of ``raw`` as a log file under ``path``, written by the task that has its rows."""
+    raw.sparkSession.dataSource.register(RowLogSource)
+    rows = raw.select("source_id", "file", "seq", "raw").repartition("file").sortWithinPartitions("file", "seq")
+    rows.write.format("rowlog").mode("append").save(path)
