@@ -91,18 +91,33 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class FilePart(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """Bytes of a file from ``start`` (an event's first) to ``end``; ``seq`` numbers the first event."""
+
+    def __init__(self, path: str, seq: int = 0, start: int = 0, end: int | None = None):
+        self.path, self.seq, self.start, self.end = path, seq, start, end
 
 
 def _read(part: FilePart, source_id: str, limit: int) -> Iterator[tuple]:
     with open(part.path, "rb") as f:
-        data = f.read()
-    for seq, (raw, code) in enumerate(events_of(data, limit)):
-        if seq >= part.end:
-            break
-        if seq >= part.start:
-            yield source_id, os.path.basename(part.path), seq, raw, code
+        f.seek(part.start)
+        data = f.read(-1 if part.end is None else part.end - part.start)
+    for k, (raw, code) in enumerate(events_of(data, limit)):
+        yield source_id, os.path.basename(part.path), part.seq + k, raw, code
+
+
+def _lengths(path: str, at: int, limit: int) -> Iterator[int]:
+    """Where each complete event ends, from byte ``at`` on; only headers are read. A bad length ends the file's events."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        if at == 0 and f.read(4) == MAGIC:
+            at = 4
+        while at + 19 <= size:
+            f.seek(at + 9)
+            n = int.from_bytes(f.read(4), "little")
+            if at + n > size and 19 <= n <= limit:
+                return
+            at = size if not 19 <= n <= limit else at + n
+            yield at
 
 
 class RowLogSource(DataSource):
@@ -145,16 +160,17 @@ class RowLogReader(DataSourceReader):
         self.of = _Options(options)
 
     def partitions(self):
-        return [FilePart(p, 0, 1 << 62) for p in self.of.files()]
+        return [FilePart(p) for p in self.of.files()]
 
     def read(self, partition):
         yield from _read(partition, self.of.source_id, self.of.limit)
 
 
 class RowLogStream(DataSourceStreamReader):
-    """Offsets are a file's place in the sorted folder and a number of events in it; a trigger takes a bounded number.
+    """Offsets are a file's name, and how many events and bytes of it are read; files follow each other by name.
 
-    A single event larger than the byte limit still goes through, alone.
+    Spark doesn't tell a reader where its checkpoint stands, so the first trigger after a start takes all that is there;
+    later ones take a bounded number of events and bytes. A single event beyond the bound still goes through, alone.
     """
 
     def __init__(self, options):
@@ -162,26 +178,25 @@ class RowLogStream(DataSourceStreamReader):
         self.at: dict | None = None
 
     def initialOffset(self):
-        return {"file": "", "event": 0}
+        return {"file": "", "event": 0, "byte": 0}
 
     def latestOffset(self):
+        bounded = self.at is not None
         at = dict(self.at or self.initialOffset())
         events = size = 0
         for path in self.of.files():
             name = os.path.basename(path)
             if name < at["file"]:
                 continue
-            done = at["event"] if name == at["file"] else 0
-            with open(path, "rb") as f:
-                data = f.read()
-            for seq, (raw, _) in enumerate(events_of(data, self.of.limit)):
-                if seq < done:
-                    continue
-                if events and (events >= self.of.most_events or size + len(raw) > self.of.most_bytes):
+            if name > at["file"]:
+                at = {"file": name, "event": 0, "byte": 0}
+            for to in _lengths(path, at["byte"], self.of.limit):
+                n = to - at["byte"]
+                if bounded and events and (events >= self.of.most_events or size + n > self.of.most_bytes):
                     self.at = at
                     return at
-                events, size = events + 1, size + len(raw)
-                at = {"file": name, "event": seq + 1}
+                events, size = events + 1, size + n
+                at = {"file": name, "event": at["event"] + 1, "byte": to}
         self.at = at
         return at
 
@@ -190,14 +205,17 @@ class RowLogStream(DataSourceStreamReader):
         for path in self.of.files():
             name = os.path.basename(path)
             if start["file"] <= name <= end["file"]:
-                parts.append(FilePart(path, start["event"] if name == start["file"] else 0, end["event"] if name == end["file"] else 1 << 62))
+                first = start if name == start["file"] else {"event": 0, "byte": 0}
+                to = end["byte"] if name == end["file"] else os.path.getsize(path)
+                if to > first["byte"]:
+                    parts.append(FilePart(path, first["event"], first["byte"], to))
         return parts
 
     def read(self, partition):
         yield from _read(partition, self.of.source_id, self.of.limit)
 
     def commit(self, end):
-        self.at = self.at or end
+        pass
 
 
 class Written(WriterCommitMessage):
