@@ -38,7 +38,9 @@ KNOWN = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
     r"|(?:sha(?:1|256|384|512)-)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
     r"|sha(?:256|384|512)-[A-Za-z0-9+/]{43,86}={0,2}"
-    r"|(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8})(?:[/_=+-]*(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[vV]?[0-9]{1,8}))*[/_=+-]*"  # words and numbers
+)
+NAME = re.compile(
+    r"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8})(?:[/_=+-]*(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[vV]?[0-9]{1,8}))*[/_=+-]*"  # words and numbers
 )
 WORDS = re.compile(r"[A-Za-z]{3,}")
 
@@ -54,8 +56,8 @@ class Scanner:
         self.ratio = ratio
 
     def known(self, run: str) -> bool:
-        """A digest or an identifier; of words and numbers, only where the letters of words make up most of it."""
-        return bool(KNOWN.fullmatch(run)) and (not re.search("[a-z]", run) or not re.search("[A-Z]", run) or 2 * sum(map(len, WORDS.findall(run))) >= len(run))
+        """A digest, or a name of words and numbers in which the letters of words make up the half at least."""
+        return bool(KNOWN.fullmatch(run)) or bool(NAME.fullmatch(run)) and 2 * sum(map(len, WORDS.findall(run))) >= len(run)
 
     def random(self, run: str) -> bool:
         if not (re.search("[a-z]", run) and re.search("[A-Z]", run) and re.search("[0-9]", run)) or self.known(run):
