@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rowtide.llm import common
 
-SHARDS, ROUNDS, LARGE = 8, 6, 64
+SHARDS, ROUNDS, LARGE, FULL = 8, 8, 64, 0.97
 GROUP = ["g1", "g2"]
 
 
@@ -41,7 +41,7 @@ def propagate(state: DataFrame, room: np.ndarray, rounds: int = ROUNDS) -> DataF
         load = np.zeros(k)
         for shard, n in state.groupBy("shard").agg(F.sum("n")).collect():
             load[shard] = n
-        full = [int(s) for s in np.flatnonzero(load >= 0.995 * room)]
+        full = [int(s) for s in np.flatnonzero(load >= FULL * room)]
         open_ = ~F.col("shard").isin(full) if full else F.lit(True)
         group = Window.partitionBy(*GROUP).orderBy(F.desc(F.when(open_, F.col("n")).otherwise(0)), F.xxhash64(*GROUP, "shard"))
         asked = state.withColumn("to", F.first("shard").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
