@@ -237,7 +237,8 @@ def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_bytes))
+    enough = min(common.parts(spark), -(-int(total) // (shard_bytes // 16 or 1)))  # small tables still use all tasks
+    shards = max(1, enough, -(-int(total) // shard_bytes))
     name = f"repeats_{uuid.uuid4().hex}"
     shard = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("int").alias("shard")
     writer = docs.withColumn("shard", shard).repartition(shards, "shard").write.format("parquet").option("compression", "zstd")
