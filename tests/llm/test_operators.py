@@ -1,0 +1,367 @@
+"""Each operator against a plain version on a small messy table, and on an empty one."""
+
+import collections
+import hashlib
+import re
+import sys
+import zlib
+from array import array
+from pathlib import Path
+
+import numpy as np
+import pytest
+import xxhash
+
+sys.path.insert(0, str(Path(__file__).parent))
+import fixtures
+
+from rowtide.llm import decontamination, fingerprints, languages, packing, quality, registry, repeats, secrets, sharding, simhash, urls
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+BENCHMARK = [(1, "unused words of an item that nobody has"), (2, None), (3, ""), (None, "The OF and to"), (10, "changed"), (11, "changed")]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return fixtures.documents()
+
+
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    passage = next(t for _, t, *_ in rows[2:3]).split("\n")[1]
+    bench = [*BENCHMARK, (12, passage.upper()), (12, passage.upper()), (13, "x " + passage)]
+    labels = [(k * 3, k % 2, 0) for k in range(60)] + [(None, 1, 0), (3, None, 0)]
+    pages = [(0, None, None), (1, "", None), (2, "no scheme", None), (3, "HTTP://WWW.Example.COM/en/7x?q=/de/", "x"), (4, "https://a.example.net/de/8/", None), (5, "ftp://x.org/es/#f", None), (6, "http://com/en/", None), (7, "http://notcom/en/", None), (8, "http://cheap-pills.example.com/fr/1", None), (8, "http://cheap-pills.example.com/fr/1", None), (9, "http://host?x=/en/", None), (10, "http://telecom/en/1", None)]
+    return fixtures.save(spark, rows, tmp_path_factory.mktemp("docs"), benchmark=(bench, "item_id long, text string"), labels=(labels, "doc_id long, quality int, toxic int"), pages=(pages, "page_id long, url string, html string"))
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    return fixtures.save(spark, [], tmp_path_factory.mktemp("none"), benchmark=([], "item_id long, text string"), labels=([], "doc_id long, quality int, toxic int"), pages=([], "page_id long, url string, html string"))
+
+
+def multiset(rows):
+    return collections.Counter(tuple(r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_empty_tables(spark, empty, name):
+    assert registry.queries()[name](spark, empty).collect() == []
+
+
+def packed_length(rows):
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for some in sequences.values():
+        at = 0
+        for offset, length in sorted(some):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    return len(sequences)
+
+
+def test_op1(spark, rows, folder):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    got = packing.op1_pack(spark, folder).collect()
+    want = []
+    for doc_id, text, *_ in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want.append((doc_id, k, at, len(part), zlib.crc32(array("I", part).tobytes())))
+    assert multiset((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == multiset(want)
+    assert packed_length(got) >= -(-sum(r.length for r in got) // 2048)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bin_completion_is_no_worse_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(101, np.int64)
+    lengths = rng.integers(20 if seed % 2 else 1, 101, 300)
+    np.add.at(counts, lengths, 1)
+    found = packing.complete(counts, 100)
+    used = np.zeros(101, np.int64)
+    for kind, times in found:
+        assert sum(kind) <= 100
+        np.add.at(used, list(kind), times)
+    assert (used == counts).all()
+    n = sum(t for _, t in found)
+    assert packing.least(counts, 100) <= n <= sum(t for _, t in packing.best_fit(counts, 100))
+
+
+def test_bin_completion_beats_best_fit_where_it_can():
+    counts = np.zeros(11, np.int64)
+    for x in (6, 5, 5, 4, 4, 3, 3):  # 6+4, 5+5, 4+3+3
+        counts[x] += 1
+    assert sum(t for _, t in packing.complete(counts, 10)) == 3
+
+
+def plain_secrets(text):
+    keys = ["password", "passwd", "secret", "token", "api_?key"]
+    either = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in keys)
+    assign = re.compile(rf"""({either})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def test_op2(spark, rows, folder):
+    want = []
+    for doc_id, text, *_ in rows:
+        found = plain_secrets(text or "")
+        line = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in found)
+        want.append((doc_id, *[sum(k == x for _, k, _ in found) for x in range(3)], hashlib.sha256(line.encode()).hexdigest()))
+    got = secrets.op2_secrets(spark, folder).collect()
+    assert multiset((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == multiset(want)
+
+
+def test_random_strings_and_known_ones():
+    scanner = secrets.Scanner(secrets.vocabulary_path(), secrets.RATIO)
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in scanner.spans(t)]
+    assert kinds("key xK9vQ2mZr7LpW4nTb8YsJ3dF6hGc1aUe here") == ["random"]
+    assert kinds("see someVeryLongIdentifierName2WithWords and another_long_snake_case_name_v2") == []
+    assert kinds("id 123E4567-e89b-12d3-A456-426614174000 and 2024-03-15_release_Notes") == []
+    assert kinds("sha256-" + "47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=") == []
+    assert kinds("\u017fecret=abcdefghijklmnop to\u212aen=abcdefghijklmnop") == []  # letters that only look like s and k
+    assert kinds("password:token:abcdefghijklmno") == []  # the first match takes both words, and is too short
+
+
+def test_redact(spark, rows):
+    df = fixtures.frame(spark, rows)
+    out = secrets.redact(df, secrets.vocabulary_path())
+    assert out.schema == df.schema
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    assert len(got) == len({r[:2] for r in rows})
+    assert all(not plain_secrets(t or "") for _, t in got) and (9, None) in got
+
+
+def plain_fingerprint(text, width=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    shingles = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(prints, most):
+    ids = sorted(prints)
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= most and top(a) != top(b):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {i: top(i) for i in ids}
+
+
+def test_op3(spark, rows, folder):
+    prints = {doc_id: plain_fingerprint(text) for doc_id, text, *_ in rows}
+    of = plain_components(prints, 4)
+    want = multiset((d, f"{prints[d]:016x}", of[d]) for d, *_ in rows)
+    assert multiset(simhash.op3_simhash(spark, folder).collect()) == want
+
+
+@pytest.mark.parametrize(("groups", "block"), [(6, 4096), (7, 8), (8, 3)])
+def test_links_of_large_cells(spark, groups, block):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, 8, np.uint64)
+    prints = {0: 0, 1: (1 << 64) - 1}
+    for k in range(400):
+        x = int(centres[k % 8])
+        for b in rng.choice(64, rng.integers(0, 8), replace=False):
+            x ^= 1 << int(b)
+        if x not in prints.values():
+            prints[k + 2] = x
+    points = spark.createDataFrame([(k, simhash._signed(x)) for k, x in prints.items()], "node long, fp long")
+    got = {r.node: r.component for r in simhash.components(simhash.links(points, 4, groups, block)).collect()}
+    want = plain_components(prints, 4)
+    assert {k: got.get(k, k) for k in prints} == want
+
+
+def test_components_of_long_paths(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in simhash.components(edges).collect()}
+    assert got == {k: 0 for k in range(201)} | {500: 500, 501: 500}
+
+
+def test_op4_shape(spark, rows, folder):
+    got = quality.op4_quality(spark, folder).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_features_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    texts = [r[1] for r in fixtures.documents()]
+    whole = quality.features(pa.array(texts))
+    assert np.allclose(whole, np.concatenate([quality.features(pa.array([t])) for t in texts[:20]] + [quality.features(pa.array(texts[20:]))]))
+    assert np.allclose(languages.features(pa.array(texts)), np.concatenate([languages.features(pa.array([t], pa.string())) for t in texts]))
+
+
+def test_op5(spark, folder):
+    got = {r.page_id: r for r in urls.op5_urls(spark, folder).collect()}
+    assert (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("www.example.com", "/en/7x", "example.com/en/7", "allow")
+    assert (got[4].rule, got[4].verdict) == ("example.net/de/8", "block")
+    assert (got[5].rule, got[5].path, got[5].verdict) == ("org/es/", "/es/", "block")
+    assert got[6].rule == "com/en/" and got[7].rule is None and got[10].rule is None
+    assert [(got[k].host, got[k].path, got[k].verdict) for k in (0, 1, 2)] == [("", "", "allow")] * 3
+    assert (got[9].host, got[9].path) == ("host", "") and got[8].verdict == "block"
+    assert urls.op5_urls(spark, folder).filter("page_id = 8").count() == 2
+
+
+def test_op6(spark, rows, folder):
+    got = languages.op6_language(spark, folder).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        if any(map(str.isalpha, texts[r.doc_id] or "")):
+            assert r.lang_pred in ("en", "fr") and 0 <= r.score <= 1
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def check_shards(spark, rows, got, most_split):
+    assert multiset((r.doc_id, r.size, r.text_crc32) for r in got) == multiset((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    counts = [len(slots[s]) for s in range(8)]
+    assert max(counts) - min(counts) <= 1
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    texts = {r[0]: r[1] or "" for r in rows}
+    where = collections.defaultdict(set)
+    for r in got:
+        where[texts[r.doc_id]].add(r.shard)
+    assert max(map(len, where.values())) <= most_split
+
+
+def test_op7(spark, rows, folder):
+    check_shards(spark, rows, sharding.op7_sharding(spark, folder).collect(), 3)
+
+
+def test_op7_with_a_group_larger_than_a_shard(spark):
+    rows = [(k, "same" if k % 3 == 0 else f"text {k // 4}" if k % 2 else f"own {k}") for k in range(900)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(spark, rows, got, 5)
+
+
+def test_op8(spark, rows, folder):
+    got = fingerprints.op8_fingerprint(spark, folder).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    order = sorted({r[0]: r[1] or "" for r in rows}.items(), reverse=True)
+    repeated = {d for d, n in collections.Counter(r[0] for r in rows).items() if n > 1}
+    for (d, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        if d not in repeated:
+            k = len(text) // 3
+            edited = text[: len(text) - k] + following[:k]
+            assert (by[d].n_chars, by[d].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+    of = {}
+    for d, text in order:
+        assert of.setdefault(by[d].fingerprint, sorted(text.split("\n"))) == sorted(text.split("\n"))
+    assert len(of) == len({tuple(sorted(t.split("\n"))) for _, t in order})
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_fingerprints_add_up(spark):
+    df = spark.createDataFrame([("a b c\nd e\nf", "f\na b c\nd e", "a b c\nf", "d e")], "x string, y string, p string, q string")
+    for c in "xypq":
+        df = fingerprints.with_fingerprint(df, c, f"f{c}")
+    df = df.withColumn("sum", fingerprints.combine("fp", "fq")).withColumn("left", fingerprints.combine("fx", "fq", -1))
+    r = df.first()
+    assert r.fx == r.fy == r.sum and r.left == r.fp and r.fx != r.fp
+
+
+def plain_hits(text, windows):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    hit, items = set(), set()
+    for window, of in windows.items():
+        for i in range(len(w) - len(window) + 1):
+            if tuple(w[i : i + len(window)]) == window:
+                hit |= set(range(i, i + len(window)))
+                items |= of
+    return w, hit, items
+
+
+def plain_windows(bench):
+    windows = collections.defaultdict(set)
+    for item, text in bench:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        for i in range(max(1, len(w) - 9)):
+            if w:
+                windows[tuple(w[i : i + 10])] |= set() if item is None else {str(item)}
+    return windows
+
+
+def test_op9(spark, rows, folder):
+    bench = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    windows = plain_windows(bench)
+    want = []
+    for d, text, *_ in rows:
+        w, hit, items = plain_hits(text, windows)
+        want.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+    assert sum(x[-1] for x in want) > 5
+    assert multiset(decontamination.op9_decontamination(spark, folder).collect()) == multiset(want)
+    docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    in_blocks = decontamination.find(docs, items, block_bytes=100).select("doc_id", "n_words", "n_hit").collect()
+    assert multiset(in_blocks) == multiset(x[:3] for x in want)
+    left = decontamination.decontaminate(docs, items)
+    assert left.schema == docs.schema
+    texts, touched = {d: t for d, t, *_ in rows}, {d for d, _, n, *_ in want if n}
+    left = left.collect()
+    assert collections.Counter(r.doc_id for r in left) == collections.Counter(r[0] for r in rows)
+    assert all((r.text != texts[r.doc_id]) == (r.doc_id in touched) for r in left)
+    assert all(r.n_chars == len(r.text) for r in left if r.doc_id in touched and r.n_chars is not None)
+
+
+def plain_repeats(rows, width=13):
+    first = {}
+    for d, text, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        for i in range(len(w) - width + 1):
+            k = tuple(w[i : i + width])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, text, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        gone = {j for i in range(len(w) - width + 1) if first[tuple(w[i : i + width])] < d for j in range(i, i + width)}
+        out.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return multiset(out)
+
+
+def test_op10(spark, rows, folder):
+    assert multiset(repeats.op10_repeats(spark, folder).collect()) == plain_repeats(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_over_many_shards(spark, seed):
+    import random
+
+    rng = random.Random(seed)  # few words, so runs, shared pieces and repeats of all lengths
+    texts = [" ".join(rng.choice("abc" if seed else "ab") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    rows = [(k, t if rng.random() < 0.5 else t + " " + texts[rng.randrange(40)] + " q" * rng.randrange(30)) for k, t in enumerate(texts)]
+    from pyspark.sql import functions as F
+
+    found = repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=300)
+    assert multiset(found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()) == plain_repeats(rows)
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "some text here"), (None, None), (1, "some text here")], "doc_id long, text string")
+    assert simhash.one_of_each(df).count() == 3
+    assert repeats.dedup(df).count() == 3 and packing.pack(df, packing.tokenizer_path()).count() == 3
+    assert sharding.shard(df).count() == 3 and decontamination.find(df, df.withColumnRenamed("doc_id", "item_id")).filter("n_hit > 0").count() == 2
