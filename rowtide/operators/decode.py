@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowtide.functions import bytes as B
 from rowtide.functions import codec
-from rowtide.functions.errors import ChecksumError, DecodeError, LogError, ParseError
+from rowtide.functions.errors import ChecksumError, DecodeError, LogError
 
 VALUE = "struct<ordinal int, name string, kind string, i bigint, d double, s string, b binary>"
 ENVELOPE = f"source_id string, seq long, row_in_event int, op string, database string, `table` string, before array<{VALUE}>, after array<{VALUE}>, ts long, file string, offset long, error_code int"
@@ -90,21 +90,61 @@ def attach(events: DataFrame, allowed: Column | None = None) -> DataFrame:
     return out if allowed is None else out.filter(F.col("database").isNull() | allowed)
 
 
-def _value(value: codec.Value, ordinal: int, name: str) -> dict:
-    kind, x = value
-    out = {"ordinal": ordinal, "name": name or str(ordinal), "kind": kind, "i": None, "d": None, "s": None, "b": None}
-    if kind == "INT":
-        out["i"] = x
-    elif kind == "DOUBLE":
-        out["d"] = x
-    elif kind == "STRING":
-        try:
-            out["s"] = x.decode()
-        except UnicodeDecodeError:
-            out["b"] = x
-    elif kind == "BYTES":
-        out["b"] = x
-    return out
+class Images:
+    """A column of row images, gathered field by field."""
+
+    def __init__(self):
+        self.sizes: list[int | None] = []
+        self.ordinal: list[int] = []
+        self.name: list[str] = []
+        self.kind: list[str] = []
+        self.value: list = []
+
+    def add(self, image: list[codec.Value] | None, names: list[str]) -> None:
+        if image is None:
+            self.sizes.append(None)
+            return
+        self.sizes.append(len(image))
+        self.ordinal += range(len(image))
+        self.name += names
+        kinds, values = zip(*image, strict=True)
+        self.kind += kinds
+        self.value += values
+
+    def cut(self, rows: int) -> None:
+        """Take back all rows but the first so many."""
+        n = sum(x for x in self.sizes[:rows] if x)
+        del self.sizes[rows:], self.ordinal[n:], self.name[n:], self.kind[n:], self.value[n:]
+
+    def arrow(self) -> pa.Array:
+        pairs = list(zip(self.kind, self.value, strict=True))
+        text, data = [], []
+        for kind, x in pairs:
+            s = b = None
+            if kind == "STRING":
+                try:
+                    s = x.decode()
+                except UnicodeDecodeError:
+                    b = x
+            elif kind == "BYTES":
+                b = x
+            text.append(s)
+            data.append(b)
+        fields = [
+            pa.array(self.ordinal, pa.int32()),
+            pa.array(self.name, pa.string()),
+            pa.array(self.kind, pa.string()),
+            pa.array([x if k == "INT" else None for k, x in pairs], pa.int64()),
+            pa.array([x if k == "DOUBLE" else None for k, x in pairs], pa.float64()),
+            pa.array(text, pa.string()),
+            pa.array(data, pa.binary()),
+        ]
+        offsets, at = [], 0
+        for n in self.sizes:
+            offsets.append(None if n is None else at)
+            at += n or 0
+        values = pa.StructArray.from_arrays(fields, fields=list(_VALUE_ARROW.value_type))
+        return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), values, type=_VALUE_ARROW)
 
 
 _VALUE_ARROW = pa.list_(pa.struct([("ordinal", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("i", pa.int64()), ("d", pa.float64()), ("s", pa.string()), ("b", pa.binary())]))
@@ -112,37 +152,46 @@ _ARROW = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.stri
 _NAMES = ["source_id", "seq", "row_in_event", "op", "database", "table", "before", "after", "ts", "file", "offset", "error_code"]
 
 
+def _envelope(made: list[tuple], before: Images, after: Images) -> pa.RecordBatch:
+    plain = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), _ARROW[:6] + _ARROW[8:], strict=True)]
+    return pa.RecordBatch.from_arrays([*plain[:6], before.arrow(), after.arrow(), *plain[6:]], _NAMES)
+
+
 def decode_rows(attached: DataFrame) -> DataFrame:
     """The change rows of attached row events: one for each row, or one with an error code for an event that fails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[bytes, codec.TableMap] = {}
         for batch in batches:
-            made = []
-            for x in batch.to_pylist():
-                head = (x["source_id"], x["seq"])
-                tail = (x["ts"], x["file"], x["offset"])
-                op = codec.OPS[x["type_code"]]
+            made, before, after = [], Images(), Images()
+            for source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                op, start = codec.OPS[kind], len(made)
                 try:
-                    if not x["crc_ok"]:
+                    if not crc_ok:
                         raise ChecksumError("checksum differs")
-                    if x["map_body"] is None:
+                    if declared is None:
                         raise DecodeError("row event without a table map")
-                    table = maps.get(x["map_body"])
+                    table = maps.get(declared)
                     if table is None:
                         if len(maps) > 4096:
                             maps.clear()
-                        table = maps[x["map_body"]] = codec.TableMap(x["map_body"])
-                    names = table.names
-                    for k, images in enumerate(codec.rows(x["type_code"], x["body"], table)):
-                        both = [None if im is None else [_value(v, i, names[i]) for i, v in enumerate(im)] for im in images]
-                        made.append((*head, k, op, table.database, table.table, *both, *tail, 0))
-                except LogError as e:
-                    while made and made[-1][:2] == head:  # all rows of an event, or none
-                        made.pop()
-                    made.append((*head, 0, op, x["database"], x["table"], None, None, *tail, e.code))
+                        table = maps[declared] = codec.TableMap(declared)
+                        table.shown = [n or str(i) for i, n in enumerate(table.names)]
+                    for k, (old, new) in enumerate(codec.rows(kind, body, table)):
+                        made.append((source, seq, k, op, table.database, table.table, ts, file, offset, 0))
+                        before.add(old, table.shown)
+                        after.add(new, table.shown)
+                except LogError as e:  # all rows of an event, or none
+                    del made[start:]
+                    for images in (before, after):
+                        images.cut(start)
+                        images.add(None, [])
+                    made.append((source, seq, 0, op, database, name, ts, file, offset, e.code))
+                if len(made) >= 20_000:
+                    yield _envelope(made, before, after)
+                    made, before, after = [], Images(), Images()
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), _ARROW, strict=True)], _NAMES)
+                yield _envelope(made, before, after)
 
     if "offset" not in attached.columns:
         attached = attached.withColumn("offset", F.col("next_pos"))
