@@ -80,7 +80,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return s, e, np.searchsorted(s, offsets)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``max_bytes`` of text (a single larger row is a batch of its own)."""
     for batch in batches:
         if not batch.num_rows:
@@ -99,7 +99,7 @@ def id_salt(*columns: str) -> Column:
 
 _RANDOM = np.random.default_rng(0x5EED)
 _BYTE = _RANDOM.integers(1, 1 << 64, 256, np.uint64, endpoint=False)
-_BASE, _STEP = 0x9E3779B97F4A7C15, 1 << 12
+_BASE, _STEP, _KEPT = 0x9E3779B97F4A7C15, 1 << 12, 9 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -125,11 +125,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, the same in every process."""
     n = len(data) + 1
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [_powers(_BASE, n + n // 4), _powers(pow(_BASE, -1, 1 << 64), n + n // 4)]
+    if n <= _KEPT:  # a worker keeps these between its tasks
+        if not _POWERS:
+            _POWERS[:] = [_powers(base, _KEPT) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+        up, down = _POWERS
+    else:
+        up, down = (_powers(base, n) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
     sums = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[data] * _POWERS[0][: n - 1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_BYTE[data] * up[: n - 1], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
