@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": decontamination.OP9_SQL, "op10_repeats": repeats.OP10_SQL}

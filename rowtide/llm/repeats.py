@@ -332,3 +332,15 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, shard_byte
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The query in DuckDB's SQL: the smallest doc_id of each window, then a sliding maximum over the words.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+x AS (SELECT doc_id, i, w[i : i + 12] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT x, min(doc_id) AS first FROM x GROUP BY x),
+bad AS (SELECT doc_id, i FROM x JOIN f USING (x) WHERE first < doc_id),
+g AS (SELECT p.doc_id, p.i, word, max(CASE WHEN bad.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN bad ON p.doc_id = bad.doc_id AND p.i = bad.i),
+r AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
