@@ -56,12 +56,13 @@ def main() -> None:
         "log_schema_asof": D.with_map_seq(D.with_header(raw)),
         "log_decode": D.changes(raw),
         "log_typed_view": D.typed(D.changes(raw), TYPED),
+        "log_typed_columns": D.decode_columns(D.attach(D.with_header(raw)), {n: (k, t) for k, (n, t) in enumerate(TYPED.items())}),
     }
     seconds = {name: timed(df) for name, df in steps.items()}
     every = catalog.queries()
     seconds |= {name: timed(every[name](spark, SF_DIR)) for name in NAMES}
     seconds = {k: round(v, 3) for k, v in seconds.items()}
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "rows": n, "rows_per_sec_decoded": round(n / seconds["log_typed_view"]), "cpus": int(CPUS), "spark": spark.version}))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "rows": n, "rows_per_sec_decoded": round(n / seconds["log_typed_columns"]), "cpus": int(CPUS), "spark": spark.version}))
     spark.stop()
 
 

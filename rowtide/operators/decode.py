@@ -199,6 +199,66 @@ def decode_rows(attached: DataFrame) -> DataFrame:
     return attached.select(*wanted).mapInArrow(run, ENVELOPE)
 
 
+_STORED = {"i": (pa.int64(), "long"), "d": (pa.float64(), "double"), "s": (pa.string(), "string"), "b": (pa.binary(), "binary")}
+
+
+def _stored(kind: str) -> str:
+    return "b" if kind == "text" else "s" if kind == "decimal(20,0)" else _FIELD.get(kind, "s")
+
+
+def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], image: str = "after") -> DataFrame:
+    """Some columns of one image of attached row events, without the envelope: for views of a known table.
+
+    ``columns`` maps names to (ordinal, Spark type). Only these leave Python; the others are read over. Rows come with
+    source_id, file, seq, row_in_event, op and error_code, which is set, with null columns, for an event that fails.
+    """
+    names, side = list(columns), ("before", "after").index(image)
+    wanted = [(k, _stored(kind)) for k, kind in columns.values()]
+    head = ["source_id", "file", "seq", "row_in_event", "op", "error_code"]
+    head_types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
+
+    def content(pair: codec.Value, stored: str):
+        kind, x = pair
+        if stored == "s":
+            return x.decode("utf-8", "replace") if kind in ("STRING", "BYTES") else None if x is None else str(x)
+        if stored == "b":
+            return x if kind in ("STRING", "BYTES") else None
+        return x if kind == ("INT" if stored == "i" else "DOUBLE") else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[bytes, codec.TableMap] = {}
+        for batch in batches:
+            made, lists = [], [[] for _ in wanted]
+            for source, file, seq, kind, crc_ok, body, declared in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                try:
+                    if not crc_ok:
+                        raise ChecksumError("checksum differs")
+                    if declared is None:
+                        raise DecodeError("row event without a table map")
+                    if declared not in maps:
+                        if len(maps) > 4096:
+                            maps.clear()
+                        maps[declared] = codec.TableMap(declared)
+                    images = [x[side] for x in codec.rows(kind, body, maps[declared])]
+                except LogError as e:
+                    made.append((source, file, seq, 0, codec.OPS[kind], e.code))
+                    for out in lists:
+                        out.append(None)
+                    continue
+                made += [(source, file, seq, k, codec.OPS[kind], 0) for k in range(len(images))]
+                for out, (ordinal, stored) in zip(lists, wanted, strict=True):
+                    out += [None if x is None or ordinal >= len(x) else content(x[ordinal], stored) for x in images]
+            if made:
+                plain = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), head_types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*plain, *[pa.array(x, _STORED[w][0]) for x, (_, w) in zip(lists, wanted, strict=True)]], head + names)
+
+    fields = "source_id string, file string, seq long, row_in_event int, op string, error_code int"
+    fields += "".join(f", `{n}` {_STORED[w][1]}" for n, (_, w) in zip(names, wanted, strict=True))
+    found = attached.select("source_id", "file", "seq", "type_code", "crc_ok", "body", "map_body").mapInArrow(run, fields)
+    cast = lambda n, kind: F.decode(n, "utf-8") if kind == "text" else F.col(n).try_cast(kind) if _stored(kind) == "s" and kind != "string" else F.col(n).cast(kind)
+    return found.select(*head, *[cast(n, kind).alias(n) for n, (_, kind) in columns.items()])
+
+
 def changes(raw: DataFrame, allowed: Column | None = None, checksum: str = "auto") -> DataFrame:
     """Raw events to change rows. The offset is the event header's next position."""
     return decode_rows(attach(with_header(raw, checksum), allowed))
@@ -219,6 +279,22 @@ def with_names(found: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumns({"before": named("before"), "after": named("after")}).select(*found.columns, "names_resolved")
 
 
+def with_names_asof(found: DataFrame, registry: DataFrame) -> DataFrame:
+    """As ``with_names``, from a registry with versions (database, table, file, seq, names): the last one at each row's place.
+
+    The versions of a table, one for each change of its schema, travel as one array, so hot tables are no hot keys.
+    """
+    version = F.struct("file", "seq", "names")
+    all_ = registry.groupBy("database", "table").agg(F.array_sort(F.collect_list(version)).alias("__all"))
+    here = F.struct("file", "seq")
+    past = F.filter("__all", lambda v: F.struct(v["file"], v["seq"]) <= here)
+    rows = found.join(all_, ["database", "table"], "left").withColumn("__names", F.element_at(F.transform(past, lambda v: v["names"]), -1))
+    size = F.coalesce(F.size("after"), F.size("before"))
+    rows = rows.withColumn("names_resolved", F.coalesce(F.size("__names") == size, F.lit(False)))
+    named = lambda c: F.when(F.col("names_resolved"), F.transform(c, lambda v: v.withField("name", F.get("__names", v["ordinal"])))).otherwise(F.col(c))
+    return rows.withColumns({"before": named("before"), "after": named("after")}).select(*found.columns, "names_resolved")
+
+
 _FIELD = {"bigint": "i", "int": "i", "smallint": "i", "tinyint": "i", "boolean": "i", "double": "d", "float": "d", "binary": "b"}
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +44,77 @@ def committed_set(done: DataFrame, baseline: DataFrame | None = None) -> DataFra
     if baseline is not None:
         part = part.union(G.ranges(baseline, "gtid_set", "source_id"))
     return G.set_text(G.merged(part, "source_id", "sid"), "source_id")
+
+
+def _previous(body: bytes) -> list[tuple[str, int, int]]:
+    """The ranges of a PREVIOUS_GTIDS body, all or none."""
+    try:
+        (n,), at, out = struct.unpack_from("<Q", body), 8, []
+        for _ in range(n):
+            sid, k = str(uuid.UUID(bytes=body[at : at + 16])), struct.unpack_from("<Q", body, at + 16)[0]
+            at += 24
+            for _ in range(k):
+                start, end = struct.unpack_from("<QQ", body, at)
+                if not 1 <= start < end < G.LIMIT:
+                    return []
+                out.append((sid, start, end))
+                at += 16
+        return out if at == len(body) else []
+    except (struct.error, ValueError):
+        return []
+
+
+def _listed(body: bytes) -> list[tuple[str, int, int]]:
+    """(domain, server, sequence) of a GTID_LIST body, all or none; the count is in the low 28 bits."""
+    if len(body) < 4:
+        return []
+    n = int.from_bytes(body[:4], "little") & (1 << 28) - 1
+    if n > 1_000_000 or len(body) < 4 + 16 * n:
+        return []
+    return [(str(d), s, q) for d, s, q in (struct.unpack_from("<IIQ", body, 4 + 16 * k) for k in range(n)) if q < 1 << 63]
+
+
+def baselines(events: DataFrame) -> DataFrame:
+    """(source_id, file, seq, kind, sid, a, b) of the sets that logs begin with.
+
+    kind mysql: a range of ``sid`` from a up to b. kind mariadb: of domain ``sid``, server a and sequence b.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for source, file, seq, code, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                kind, found = ("mysql", _previous(body)) if code == 35 else ("mariadb", _listed(body))
+                rows += [(source, file, seq, kind, *x) for x in found]
+            if rows:
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["source_id", "file", "seq", "kind", "sid", "a", "b"])
+
+    some = events.filter(F.col("type_code").isin(35, 163)).select("source_id", "file", "seq", "type_code", "body")
+    return some.mapInArrow(run, "source_id string, file string, seq long, kind string, sid string, a long, b long")
+
+
+def checkpoint(marked: DataFrame) -> DataFrame:
+    """(source_id, gtid_set): what a log's own baselines and its committed transactions come to, MySQL form."""
+    start = baselines(marked).filter("kind = 'mysql'").select("source_id", "sid", F.col("a").alias("start"), F.col("b").alias("end"))
+    own = commits(marked).select("source_id", F.split("gtid", ":").alias("p"))
+    own = own.select("source_id", F.col("p")[0].alias("sid"), F.col("p")[1].cast("long").alias("start")).withColumn("end", F.col("start") + 1)
+    return G.set_text(G.merged(start.union(own), "source_id", "sid"), "source_id")
+
+
+def mariadb_checkpoint(marked: DataFrame) -> DataFrame:
+    """(source_id, domain, server, seq): as ``checkpoint`` in MariaDB form, the highest sequence of each domain."""
+    start = baselines(marked).filter("kind = 'mariadb'").select("source_id", F.col("sid").cast("long").alias("domain"), F.col("a").alias("server"), F.col("b").cast("decimal(20,0)").alias("seq"))
+    return G.high_water(start.union(G.mariadb_parts(commits(marked), "gtid", "source_id")), "source_id")
+
+
+def resume_after(marked: DataFrame, done: DataFrame) -> DataFrame:
+    """The events of transactions that aren't in a set (source_id, gtid_set), and those outside of any transaction.
+
+    Ranges of the set are merged first, so a transaction meets at most one of them.
+    """
+    held = G.merged(G.ranges(done, "gtid_set", "source_id"), "source_id", "sid").select(F.col("source_id").alias("__s"), F.col("sid").alias("__sid"), "start", "end")
+    own = F.split("gtid", ":")
+    rows = marked.withColumns({"__own": F.get(own, F.lit(0)), "__n": F.get(own, F.lit(1)).try_cast("long")})
+    same = [F.col("source_id") == F.col("__s"), F.col("__own") == F.col("__sid"), F.col("__n") >= F.col("start"), F.col("__n") < F.col("end")]
+    return rows.join(held, same, "left_anti").select(*marked.columns)

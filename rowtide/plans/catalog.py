@@ -436,6 +436,55 @@ def mariadb_highwater(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.high_water(G.mariadb_parts(done, "gtid")).withColumn("seq", F.col("seq").cast("long"))
 
 
+def _with_baseline(spark: SparkSession, raw: DataFrame, kind: int, body: bytes) -> DataFrame:
+    """The log with an event before all others that states what was committed earlier."""
+    first = spark.createDataFrame([("events", "binlog.000000", 0, bytearray(C.event(kind, body)))], L.RAW)
+    return raw.union(first)
+
+
+@query(_CHANGES + f""", g AS (SELECT CASE WHEN event_id % 2 = 0 THEN '{_S1}' ELSE '{_S2}' END AS sid, event_id // 2 + 1 AS n FROM h UNION SELECT '{_S1}', unnest(range(700001, 700011))),
+i AS (SELECT sid, n, n - row_number() OVER (PARTITION BY sid ORDER BY n) AS k FROM g),
+r AS (SELECT sid, min(n) AS a, max(n) AS b FROM i GROUP BY sid, k),
+t AS (SELECT sid, sid || ':' || string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ':' ORDER BY a) AS x FROM r GROUP BY sid)
+SELECT 'events' AS source_id, string_agg(x, ',' ORDER BY x) AS gtid_set FROM t""")
+def gtid_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = bytes.fromhex(_encoded((_S1, [(700001, 700006), (700006, 700011)])))
+    return transactions.checkpoint(transactions.with_gtid(D.with_header(_with_baseline(spark, L.event_log(spark, sf_dir), 35, body))))
+
+
+@query(_CHANGES + "SELECT 'events' AS source_id, domain, server, seq FROM (SELECT user_id % 4 AS domain, CAST(1 AS BIGINT) AS server, max(event_id + 1) AS seq FROM h GROUP BY 1 UNION ALL SELECT 9, 2, 77)")
+def mariadb_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = struct.pack("<I", 2) + struct.pack("<IIQ", 9, 2, 77) + struct.pack("<IIQ", 0, 5, 1)
+    log = _with_baseline(spark, L.event_log(spark, sf_dir, maria=True), 163, body)
+    found = transactions.mariadb_checkpoint(transactions.with_gtid(D.with_header(log)))
+    return found.withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op FROM h WHERE NOT (event_id % 2 = 0 AND event_id // 2 + 1 < 300) AND NOT (event_id % 2 = 1 AND event_id // 2 + 1 BETWEEN 100 AND 200)")
+def resume_from_gtid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = transactions.with_gtid(D.with_header(L.event_log(spark, sf_dir)))
+    attached = D.attach(marked)  # table maps of transactions that are done still count
+    rest = transactions.resume_after(attached, spark.createDataFrame([("events", f"{_S1}:1-299,{_S2}:100-150:151-200")], "source_id string, gtid_set string"))
+    return D.decode_rows(rest).select(F.coalesce(_id(), _id("before")).alias("event_id"), "op")
+
+
+@query(_CHANGES + """SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, "table" = 'items' AS names_resolved,
+CASE WHEN "table" = 'items' THEN CASE WHEN file > 'binlog.000001' THEN 'new' ELSE 'old' END WHEN first_value(event_id % 2) OVER (PARTITION BY file, table_id ORDER BY event_id) = 0 THEN 'event_id' ELSE '0' END AS name FROM h""")
+def names_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = ["ts", "user_id", "event_type", "value", "props"]
+    known = [(f"db{k}", "items", file, 0, [name, *rest]) for k in range(3) for file, name in (("", "old"), ("binlog.000002", "new"))]
+    found = D.with_names_asof(D.changes(L.event_log(spark, sf_dir)), spark.createDataFrame(known, "database string, `table` string, file string, seq long, names array<string>"))
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "names_resolved", F.get(A.current(), F.lit(0))["name"].alias("name"))
+
+
+@query("SELECT 'INSERT' AS op, o_orderkey, o_orderdate, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view of four columns that never builds the envelope."""
+    wanted = {"o_orderkey": (0, "bigint"), "o_orderstatus": (2, "string"), "o_totalprice": (3, "double"), "o_orderdate": (4, "timestamp_ntz")}
+    found = D.decode_columns(D.attach(D.with_header(_orders_log(spark, sf_dir))), wanted)
+    return found.filter("o_orderstatus = 'F'").select("op", "o_orderkey", "o_orderdate", "o_totalprice")
+
+
 # Consumers.
 
 

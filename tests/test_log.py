@@ -156,3 +156,28 @@ def test_upsert_batches(spark, tmp_path):
 
 def test_queries_have_sql():
     assert set(catalog.oracle_sql()) == set(catalog.queries())
+
+
+def test_baselines_are_all_or_nothing(spark):
+    good = G.encoded(G.merged(G.ranges(spark.createDataFrame([(1, "00000000-0000-0000-0000-000000000001:1-3:7")], "id int, g string"), "g", "id"), "id", "sid"), "id").first().encoded
+    log = [C.event(35, bytes.fromhex(good)), C.event(35, bytes.fromhex(good)[:-1]), C.event(163, struct.pack("<IIIQ", 1, 3, 1, 9)), C.event(163, struct.pack("<I", 1))]
+    found = transactions.baselines(D.with_header(raw(spark, log))).orderBy("seq", "a").collect()
+    assert [(r.seq, r.kind, r.a, r.b) for r in found] == [(0, "mysql", 1, 4), (0, "mysql", 7, 8), (2, "mariadb", 1, 9)]
+
+
+def test_columns_without_the_envelope(spark):
+    columns = [("id", C.LONG, 0), ("v", C.VARCHAR, 9), ("d", C.NEWDECIMAL, 5 << 8 | 2), ("t", C.BLOB, 2)]
+    event = lambda kind, *images: C.event(kind, C.rows_body(9, 4, list(images), kind == 31))
+    a, b = C.image(columns, [1, "x", "1.50", "text"]), C.image(columns, [2, None, "-2.25", None])
+    broken = C.event(30, C.rows_body(9, 4, [a[:-1]]))
+    log = raw(spark, [C.event(19, C.table_map(9, "d", "t", columns)), event(30, a, b), event(31, a + b), event(32, a), broken])
+    wanted = {"t": (3, "text"), "d": (2, "decimal(5,2)"), "v": (1, "string")}
+    found = D.decode_columns(D.attach(D.with_header(log)), wanted).orderBy("seq", "row_in_event").collect()
+    assert [(r.op, r.error_code, r.t, r.d and str(r.d), r.v) for r in found] == [("INSERT", 0, "text", "1.50", "x"), ("INSERT", 0, None, "-2.25", None), ("UPDATE", 0, None, "-2.25", None), ("DELETE", 0, None, None, None), ("INSERT", 202, None, None, None)]
+    assert D.decode_columns(D.attach(D.with_header(log)), {"id": (0, "int")}, "before").filter("id = 1").count() == 2
+
+
+def test_no_events(spark):
+    none = raw(spark, [MAP]).limit(0)
+    marked = transactions.with_gtid(D.with_position(D.with_header(none)))
+    assert D.changes(none).count() == transactions.commits(marked).count() == transactions.checkpoint(marked).count() == 0
