@@ -39,6 +39,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def columns(words: int) -> list[str]:
+    return ["fp", *[f"fp{k + 1}" for k in range(1, words)]]
+
+
 def fingerprint(shingles: np.ndarray) -> int:
     """The majority of each bit; a tie is 0."""
     if not len(shingles):
@@ -47,8 +51,12 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(shingles), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint (a signed long of the same bits) of each document (doc_id, text)."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id and the fingerprint (signed longs of the same bits) of each document (doc_id, text).
+
+    Words after the first take their bits from a one-to-one mix of the shingles' hashes.
+    """
+    salts = np.random.default_rng(SEED).integers(1, 1 << 63, words, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
@@ -63,16 +71,19 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             flat = np.full(int((lengths + 1).sum()), 0x20, np.uint8)
             flat[np.repeat(at - starts, lengths) + np.flatnonzero(keep)] = data[keep]
             raw, to = flat.tobytes(), at + lengths
-            made = np.zeros(batch.num_rows, np.uint64)
+            made = np.zeros((words, batch.num_rows), np.uint64)
             for i in range(batch.num_rows):
                 a, b = first[i], first[i + 1]
                 if a < b:
                     n = max(1, b - a - width + 1)
                     pairs = zip(at[a : a + n].tolist(), to[min(a + width, b) - 1 : b].tolist(), strict=True)
-                    made[i] = fingerprint(np.array([h(raw[s:e], SEED) for s, e in pairs], np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+                    shingles = np.array([h(raw[s:e], SEED) for s, e in pairs], np.uint64)
+                    made[0, i] = fingerprint(shingles)
+                    for k in range(1, words):
+                        made[k, i] = fingerprint(common.mixed(shingles ^ salts[k]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x.view(np.int64)) for x in made]], ["doc_id", *columns(words)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in columns(words)))
 
 
 def enough_groups(points: int, most: int = MOST, per_cell: int = 1000) -> int:
@@ -83,36 +94,42 @@ def enough_groups(points: int, most: int = MOST, per_cell: int = 1000) -> int:
     return groups
 
 
-def cells(points: DataFrame, most: int, groups: int) -> DataFrame:
-    """(node, fp, cell) for each choice of groups - most groups of the embedding's coordinates."""
+def cells(points: DataFrame, most: int, groups: int, words: int = 1) -> DataFrame:
+    """(node, fp..., cell): for each word, the choices of groups - most groups of its embedding's coordinates."""
+    names = columns(words)
     each = [range(g, 32, groups) for g in range(groups)]  # coordinates of a group
-    count = [sum((F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(3 << 2 * c)))).cast("long") * 3**k for k, c in enumerate(each[g])), F.lit(0).cast("long")) for g in range(groups)]
-    points = points.select("node", "fp", *[x.alias(f"g{k}") for k, x in enumerate(count)])
+    count = {f"{w}_{g}": sum((F.bit_count(F.col(w).bitwiseAND(F.lit(_signed(3 << 2 * c)))).cast("long") * 3**k for k, c in enumerate(each[g])), F.lit(0).cast("long")) for w in names for g in range(groups)}
+    points = points.select("node", *names, *[x.alias(n) for n, x in count.items()])
     keys, choices = [], list(combinations(range(groups), groups - most))
-    for n, chosen in enumerate(choices):
-        key, scale = F.lit(n).cast("long"), len(choices)
+    for at, (w, chosen) in enumerate((w, chosen) for w in names for chosen in choices):
+        key, scale = F.lit(at).cast("long"), len(choices) * words
         for g in chosen:
-            key, scale = key + F.col(f"g{g}") * scale, scale * 3 ** len(each[g])
+            key, scale = key + F.col(f"{w}_{g}") * scale, scale * 3 ** len(each[g])
         keys.append(key)
-    return points.select("node", "fp", F.explode(F.array(*keys)).alias("cell"))
+    return points.select("node", *names, F.explode(F.array(*keys)).alias("cell"))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def spanning(fp: np.ndarray, left: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+def apart(fps: list[np.ndarray], i, j) -> np.ndarray:
+    """Bits that differ between the rows i and j of the words' columns."""
+    return sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in fps)
+
+
+def spanning(fps: list[np.ndarray], left: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
     """A forest over the links of a cell: from each point reached, the points not reached before within the distance.
 
     ``left``: the side of each point, where only pairs of different sides are asked for; else all the same.
     """
     sides = len(left) and left.min() != left.max()
-    rest = np.arange(len(fp))
+    rest = np.arange(len(left))
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             i = queue.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[i]) <= most
+            near = apart(fps, rest, i) <= most
             if sides:
                 near &= left[rest] != left[i]
             if near.any():
@@ -122,64 +139,65 @@ def spanning(fp: np.ndarray, left: np.ndarray, most: int) -> Iterator[tuple[int,
                 rest = rest[~near]
 
 
-def links(points: DataFrame, most: int = MOST, groups: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between nodes of different fingerprints (node, fp) that give the same components as all links."""
-    dealt = cells(points, most, groups or enough_groups(points.count(), most))
+def links(points: DataFrame, most: int = MOST, groups: int | None = None, block: int = BLOCK, words: int = 1, cut: int | None = None) -> DataFrame:
+    """(a, b): links between nodes of different fingerprints (node, fp...) that give the same components as all links.
+
+    Fingerprints that meet in a cell link at ``cut`` or fewer differing bits of all words (``most``, if not given). The
+    grid brings together every pair with at most ``most`` differing bits in some word, and most pairs with a few more.
+    """
+    names, cut = columns(words), most if cut is None else cut
+    dealt = cells(points, most, groups or enough_groups(points.count(), most), words)
     spark = points.sparkSession
     large = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     large = common.staged(large)
     if large.isEmpty():
-        rows = dealt.select("node", "fp", "cell", F.lit(0).alias("part"), F.lit(0).alias("side"))
+        rows = dealt.select("node", *names, "cell", F.lit(0).alias("part"), F.lit(0).alias("side"))
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
         both = dealt.join(large, "cell", "left").withColumn("own", F.coalesce(own, F.lit(0)))
         other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("other")
-        both = both.select("node", "fp", "cell", "own", F.coalesce("blocks", F.lit(1)).alias("blocks"), other)
+        both = both.select("node", *names, "cell", "own", F.coalesce("blocks", F.lit(1)).alias("blocks"), other)
         # a pair of blocks is one part; a block's own pairs are the part of it with itself
         part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-        rows = both.select("node", "fp", "cell", part.cast("int").alias("part"), "own").withColumnRenamed("own", "side")
+        rows = both.select("node", *names, "cell", part.cast("int").alias("part"), "own").withColumnRenamed("own", "side")
+
+    def found(cell, part, node, side, *fps):
+        new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])]))
+        ends = np.append(new[1:], len(node))
+        a, b = [], []
+        small = np.repeat(ends, ends - new)  # where each row's run ends
+        size = ends - new
+        tiny = size <= 64
+        for d in range(1, int(size[tiny].max(initial=1))):  # all runs that are short, pairs at each distance at once
+            i = np.flatnonzero(np.repeat(tiny & (size > d), size) & (np.arange(len(node)) + d < small))
+            i = i[apart(fps, i, i + d) <= cut]
+            a.append(node[i])
+            b.append(node[i + d])
+        for s, e in zip(new[~tiny].tolist(), ends[~tiny].tolist(), strict=True):
+            for i, hit in spanning([x[s:e] for x in fps], side[s:e], cut):
+                a.append(np.full(len(hit), node[s + i]))
+                b.append(node[s + hit])
+        a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def found(cell, part, node, fp, side):
-            if not len(node):
-                return None
-            new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])]))
-            ends = np.append(new[1:], len(node))
-            a, b = [], []
-            small = np.repeat(ends, ends - new)  # where each row's run ends
-            size = ends - new
-            tiny = size <= 64
-            for d in range(1, int(size[tiny].max(initial=1))):  # all runs that are short, pairs at each distance at once
-                i = np.flatnonzero(np.repeat(tiny & (size > d), size) & (np.arange(len(node)) + d < small))
-                i = i[(np.bitwise_count(fp[i] ^ fp[i + d]) <= most)]
-                a.append(node[i])
-                b.append(node[i + d])
-            for s, e in zip(new[~tiny].tolist(), ends[~tiny].tolist(), strict=True):
-                for i, hit in spanning(fp[s:e], side[s:e], most):
-                    a.append(np.full(len(hit), node[s + i]))
-                    b.append(node[s + hit])
-            a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
         for batch in batches:
-            got = [batch.column(n).to_numpy() for n in ("cell", "part", "node", "fp", "side")]
-            got[3] = got[3].view(np.uint64)
+            got = [batch.column(n).to_numpy() for n in ("cell", "part", "node", "side")] + [batch.column(n).to_numpy().view(np.uint64) for n in names]
             held = [np.concatenate(x) for x in zip(held, got, strict=True)] if held else got
             cell, part = held[0], held[1]
             if not len(cell):
                 continue
             last = np.flatnonzero((cell != cell[-1]) | (part != part[-1]))  # the last run may go on in the next batch
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut and (made := found(*[x[:cut] for x in held])):
-                yield made
-            held = [x[cut:] for x in held]
-        if held and (made := found(*held)):
-            yield made
+            to = int(last[-1]) + 1 if len(last) else 0
+            if to:
+                yield found(*[x[:to] for x in held])
+            held = [x[to:] for x in held]
+        if held and len(held[0]):
+            yield found(*held)
 
     rows = rows.repartition(common.parts(spark), "cell", "part").sortWithinPartitions("cell", "part")
-    return rows.select("cell", "part", "node", "fp", "side").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("cell", "part", "node", "side", *names).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,13 +221,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST, width: int = SHINGLE, groups: int | None = None) -> DataFrame:
-    """doc_id, fp, component_id for each row of documents (doc_id, text)."""
-    marked = common.staged(fingerprints(docs, width))
-    points = common.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    joined = components(links(points.filter("node is not null"), most, groups))
-    named = points.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, most: int = MOST, width: int = SHINGLE, groups: int | None = None, words: int = 1, cut: int | None = None) -> DataFrame:
+    """doc_id, fp..., component_id for each row of documents (doc_id, text)."""
+    names = columns(words)
+    marked = common.staged(fingerprints(docs, width, words))
+    points = common.staged(marked.groupBy(*names).agg(F.min("doc_id").alias("node")))
+    joined = components(links(points.filter("node is not null"), most, groups, words=words, cut=cut))
+    named = points.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return marked.join(named, names).select("doc_id", *names, "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,10 +236,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, most: int = MOST, width: int = SHINGLE) -> DataFrame:
+def one_of_each(docs: DataFrame, most: int = MOST, width: int = SHINGLE, words: int = 1, cut: int | None = None) -> DataFrame:
     """The rows and columns of ``docs`` without documents that have a smaller doc_id in their group.
 
     Rows with equal doc_id are one document; rows without a doc_id stay.
     """
-    found = near_duplicates(docs, most, width)
+    found = near_duplicates(docs, most, width, None, words, cut)
     return docs.join(found.filter("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
