@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from rowtide.llm import common
 
 MOST, SHINGLE, SEED = 4, 4, 42
-#: Fingerprints of a cell that one task compares with each other.
-BLOCK = 4096
+#: Fingerprints of a cell that one task compares with each other, and the words of a fingerprint that have a grid.
+BLOCK, GRIDS = 4096, 2
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -95,14 +95,14 @@ def enough_groups(points: int, most: int = MOST, per_cell: int = 1000) -> int:
 
 
 def cells(points: DataFrame, most: int, groups: int, words: int = 1) -> DataFrame:
-    """(node, fp..., cell): for each word, the choices of groups - most groups of its embedding's coordinates."""
-    names = columns(words)
+    """(node, fp..., cell): for each of the first ``GRIDS`` words, the choices of groups - most groups of its embedding."""
+    names, grids = columns(words), columns(min(words, GRIDS))
     each = [range(g, 32, groups) for g in range(groups)]  # coordinates of a group
-    count = {f"{w}_{g}": sum((F.bit_count(F.col(w).bitwiseAND(F.lit(_signed(3 << 2 * c)))).cast("long") * 3**k for k, c in enumerate(each[g])), F.lit(0).cast("long")) for w in names for g in range(groups)}
+    count = {f"{w}_{g}": sum((F.bit_count(F.col(w).bitwiseAND(F.lit(_signed(3 << 2 * c)))).cast("long") * 3**k for k, c in enumerate(each[g])), F.lit(0).cast("long")) for w in grids for g in range(groups)}
     points = points.select("node", *names, *[x.alias(n) for n, x in count.items()])
     keys, choices = [], list(combinations(range(groups), groups - most))
-    for at, (w, chosen) in enumerate((w, chosen) for w in names for chosen in choices):
-        key, scale = F.lit(at).cast("long"), len(choices) * words
+    for at, (w, chosen) in enumerate((w, chosen) for w in grids for chosen in choices):
+        key, scale = F.lit(at).cast("long"), len(choices) * len(grids)
         for g in chosen:
             key, scale = key + F.col(f"{w}_{g}") * scale, scale * 3 ** len(each[g])
         keys.append(key)
@@ -118,8 +118,17 @@ def apart(fps: list[np.ndarray], i, j) -> np.ndarray:
     return sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in fps)
 
 
-def spanning(fps: list[np.ndarray], left: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """A forest over the links of a cell: from each point reached, the points not reached before within the distance.
+def linked(fps: list[np.ndarray], i, j, most: int, first: int) -> np.ndarray:
+    """Whether the rows i and j differ by at most ``most`` bits, of the first word by at most ``first``."""
+    near = np.bitwise_count(fps[0][i] ^ fps[0][j]) <= first
+    if len(fps) > 1 and near.any():
+        at = np.flatnonzero(near)
+        near[at] = apart(fps, i[at], j if np.ndim(j) == 0 else j[at]) <= most
+    return near
+
+
+def spanning(fps: list[np.ndarray], left: np.ndarray, most: int, first: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """A forest over the links of a cell: from each point reached, the points not reached before that link to it.
 
     ``left``: the side of each point, where only pairs of different sides are asked for; else all the same.
     """
@@ -129,7 +138,7 @@ def spanning(fps: list[np.ndarray], left: np.ndarray, most: int) -> Iterator[tup
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             i = queue.pop()
-            near = apart(fps, rest, i) <= most
+            near = linked(fps, rest, i, most, min(first, most))
             if sides:
                 near &= left[rest] != left[i]
             if near.any():
@@ -139,11 +148,12 @@ def spanning(fps: list[np.ndarray], left: np.ndarray, most: int) -> Iterator[tup
                 rest = rest[~near]
 
 
-def links(points: DataFrame, most: int = MOST, groups: int | None = None, block: int = BLOCK, words: int = 1, cut: int | None = None) -> DataFrame:
+def links(points: DataFrame, most: int = MOST, groups: int | None = None, block: int = BLOCK, words: int = 1, cut: int | None = None, first: int = 64) -> DataFrame:
     """(a, b): links between nodes of different fingerprints (node, fp...) that give the same components as all links.
 
-    Fingerprints that meet in a cell link at ``cut`` or fewer differing bits of all words (``most``, if not given). The
-    grid brings together every pair with at most ``most`` differing bits in some word, and most pairs with a few more.
+    Fingerprints that meet in a cell link at ``cut`` or fewer differing bits of all words (``most``, if not given), if the
+    first word differs by at most ``first`` bits, which spares most pairs the comparison of the others. The
+    grid brings together every pair with at most ``most`` differing bits in a word with a grid, and most with a few more.
     """
     names, cut = columns(words), most if cut is None else cut
     dealt = cells(points, most, groups or enough_groups(points.count(), most), words)
@@ -170,11 +180,11 @@ def links(points: DataFrame, most: int = MOST, groups: int | None = None, block:
         tiny = size <= 64
         for d in range(1, int(size[tiny].max(initial=1))):  # all runs that are short, pairs at each distance at once
             i = np.flatnonzero(np.repeat(tiny & (size > d), size) & (np.arange(len(node)) + d < small))
-            i = i[apart(fps, i, i + d) <= cut]
+            i = i[linked(fps, i, i + d, cut, min(first, cut))]
             a.append(node[i])
             b.append(node[i + d])
         for s, e in zip(new[~tiny].tolist(), ends[~tiny].tolist(), strict=True):
-            for i, hit in spanning([x[s:e] for x in fps], side[s:e], cut):
+            for i, hit in spanning([x[s:e] for x in fps], side[s:e], cut, first):
                 a.append(np.full(len(hit), node[s + i]))
                 b.append(node[s + hit])
         a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
@@ -221,12 +231,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST, width: int = SHINGLE, groups: int | None = None, words: int = 1, cut: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = MOST, width: int = SHINGLE, groups: int | None = None, words: int = 1, cut: int | None = None, first: int = 64) -> DataFrame:
     """doc_id, fp..., component_id for each row of documents (doc_id, text)."""
     names = columns(words)
     marked = common.staged(fingerprints(docs, width, words))
     points = common.staged(marked.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    joined = components(links(points.filter("node is not null"), most, groups, words=words, cut=cut))
+    joined = components(links(points.filter("node is not null"), most, groups, words=words, cut=cut, first=first))
     named = points.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, names).select("doc_id", *names, "component_id")
 
@@ -236,10 +246,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, most: int = MOST, width: int = SHINGLE, words: int = 1, cut: int | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, most: int = MOST, width: int = SHINGLE, words: int = 1, cut: int | None = None, first: int = 64) -> DataFrame:
     """The rows and columns of ``docs`` without documents that have a smaller doc_id in their group.
 
     Rows with equal doc_id are one document; rows without a doc_id stay.
     """
-    found = near_duplicates(docs, most, width, None, words, cut)
+    found = near_duplicates(docs, most, width, None, words, cut, first)
     return docs.join(found.filter("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline
-from test_operators import packed_length, plain_components, plain_fingerprint, plain_hits, plain_secrets, plain_windows
+from test_operators import packed_length, plain_hits, plain_secrets, plain_windows, plain_words
 
 from rowtide.llm import languages, quality, urls
 
@@ -44,8 +44,15 @@ def test_pipeline_stages(spark, tmp_path):
     good, single, clean, safe, packed = kept
     bad = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").filter("quality = 0").collect()}
     assert sum(r.doc_id in bad for r in good) <= 0.05 * len(bad)
-    of = plain_components({r.doc_id: plain_fingerprint(r.text, corpus_pipeline.SHINGLE) for r in good}, corpus_pipeline.BITS)
-    assert {r.doc_id for r in single} == set(of.values())
+    prints = {r.doc_id: plain_words(r.text, corpus_pipeline.SHINGLE, corpus_pipeline.WORDS) for r in good}
+    stays = {r.doc_id for r in single}
+    bits = lambda a, b: [(x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)]
+    for a in sorted(prints):  # what the grid must find, and no document goes without a smaller one that links to it
+        near = [b for b in prints if b < a and sum(d := bits(a, b)) <= corpus_pipeline.CUT and d[0] <= corpus_pipeline.FIRST]
+        if any(min(bits(a, b)[:2]) <= corpus_pipeline.BITS for b in near):
+            assert a not in stays
+        if a not in stays:
+            assert near or any(b > a and sum(d := bits(a, b)) <= corpus_pipeline.CUT and d[0] <= corpus_pipeline.FIRST for b in prints)
     bench = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     windows = plain_windows(bench)
     before = {r.doc_id: r.text for r in single}

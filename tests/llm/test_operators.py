@@ -15,7 +15,7 @@ import xxhash
 sys.path.insert(0, str(Path(__file__).parent))
 import fixtures
 
-from rowtide.llm import decontamination, fingerprints, languages, packing, quality, registry, repeats, secrets, sharding, simhash, urls
+from rowtide.llm import common, decontamination, fingerprints, languages, packing, quality, registry, repeats, secrets, sharding, simhash, urls
 
 
 def lower(text):
@@ -143,11 +143,20 @@ def test_redact(spark, rows):
     assert all(not plain_secrets(t or "") for _, t in got) and (9, None) in got
 
 
-def plain_fingerprint(text, width=4):
+def plain_words(text, width, words):
+    """The words of a wide fingerprint; those after the first from mixed hashes."""
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     shingles = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    out = []
+    for k, salt in enumerate(np.random.default_rng(42).integers(1, 1 << 63, words, np.uint64)):
+        x = common.mixed(np.array(h, np.uint64) ^ salt).tolist() if k else h
+        out.append(sum(1 << b for b in range(64) if 2 * sum(y >> b & 1 for y in x) > len(x)))
+    return out
+
+
+def plain_fingerprint(text, width=4):
+    return plain_words(text, width, 1)[0]
 
 
 def plain_components(prints, most):
