@@ -181,14 +181,25 @@ def links(points: DataFrame, most: int = MOST, groups: int | None = None, block:
         for d in range(1, int(size[tiny].max(initial=1))):  # all runs that are short, pairs at each distance at once
             i = np.flatnonzero(np.repeat(tiny & (size > d), size) & (np.arange(len(node)) + d < small))
             i = i[linked(fps, i, i + d, cut, min(first, cut))]
-            a.append(node[i])
-            b.append(node[i + d])
+            a.append(i)
+            b.append(i + d)
         for s, e in zip(new[~tiny].tolist(), ends[~tiny].tolist(), strict=True):
             for i, hit in spanning([x[s:e] for x in fps], side[s:e], cut, first):
-                a.append(np.full(len(hit), node[s + i]))
-                b.append(node[s + hit])
+                a.append(np.full(len(hit), s + i))
+                b.append(s + hit)
         a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        # each row that is linked goes to the smallest node it reaches within the cell: rows are in order of nodes, and
+        # so all cells that hold a group give the same links
+        least = np.arange(len(node))
+        while len(a):
+            low = np.minimum(least[a], least[b])
+            if (low == least[a]).all() and (low == least[b]).all():
+                break
+            np.minimum.at(least, a, low)
+            np.minimum.at(least, b, low)
+            least = least[least]
+        far = np.flatnonzero(least != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[least[far]]), pa.array(node[far])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -206,7 +217,7 @@ def links(points: DataFrame, most: int = MOST, groups: int | None = None, block:
         if held and len(held[0]):
             yield found(*held)
 
-    rows = rows.repartition(common.parts(spark), "cell", "part").sortWithinPartitions("cell", "part")
+    rows = rows.repartition(common.parts(spark), "cell", "part").sortWithinPartitions("cell", "part", "node")
     return rows.select("cell", "part", "node", "side", *names).mapInArrow(run, "a long, b long").distinct()
 
 
