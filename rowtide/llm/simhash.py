@@ -9,6 +9,11 @@ and never the links. Within a cell the distance itself is checked. A cell gives
 forest that spans its links, never all of its pairs; cells with many fingerprints are dealt into blocks, and each pair
 of blocks is a task's work of its own.
 
+With ``bands`` (the pipeline's wide fingerprints, whose links span far more bits than a grid can be complete for) the
+cells come from the shingles instead: in each band, texts meet that agree in ``ROWS`` minimum hashes of their multisets
+of shingles. Two texts that share a part s of their shingles miss each other with the chance (1 - s^ROWS)^bands, however
+many texts there are.
+
 Equal fingerprints count once, so exact copies cost nothing. Connected components come from Spark rounds over the
 forest's links, with a written table between rounds.
 
@@ -30,8 +35,8 @@ from pyspark.sql import functions as F
 from rowtide.llm import common
 
 MOST, SHINGLE, SEED = 4, 4, 42
-#: Fingerprints of a cell that one task compares with each other, and the words of a fingerprint that have a grid.
-BLOCK, GRIDS = 4096, 2
+#: Fingerprints of a cell that one task compares with each other, and the minimum hashes of a band.
+BLOCK, ROWS = 4096, 4
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -51,12 +56,29 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(shingles), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataFrame:
-    """doc_id and the fingerprint (signed longs of the same bits) of each document (doc_id, text).
+def sketch(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key for each band: the minimum hashes, one a factor, of the shingles and how often each came before."""
+    shingles = np.sort(shingles)
+    new = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+    before = np.arange(len(shingles)) - np.repeat(new, np.diff(np.append(new, len(shingles))))
+    x = common.mixed(shingles + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    low = np.full(len(factors), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(x), 4096):
+        low = np.minimum(low, (x[at : at + 4096, None] * factors).min(0))
+    low = low.reshape(-1, ROWS)
+    keys = np.arange(len(low), dtype=np.uint64)
+    for k in range(ROWS):
+        keys = common.mixed(keys + low[:, k])
+    return keys
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1, bands: int = 0) -> DataFrame:
+    """doc_id and the fingerprint (signed longs of the same bits) of each document (doc_id, text); with ``bands`` their keys.
 
     Words after the first take their bits from a one-to-one mix of the shingles' hashes.
     """
     salts = np.random.default_rng(SEED).integers(1, 1 << 63, words, np.uint64)
+    factors = np.random.default_rng(SEED + 1).integers(1, 1 << 63, bands * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
@@ -71,7 +93,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataF
             flat = np.full(int((lengths + 1).sum()), 0x20, np.uint8)
             flat[np.repeat(at - starts, lengths) + np.flatnonzero(keep)] = data[keep]
             raw, to = flat.tobytes(), at + lengths
-            made = np.zeros((words, batch.num_rows), np.uint64)
+            made, keys = np.zeros((words, batch.num_rows), np.uint64), np.zeros((batch.num_rows, bands), np.uint64)
             for i in range(batch.num_rows):
                 a, b = first[i], first[i + 1]
                 if a < b:
@@ -81,9 +103,15 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataF
                     made[0, i] = fingerprint(shingles)
                     for k in range(1, words):
                         made[k, i] = fingerprint(common.mixed(shingles ^ salts[k]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x.view(np.int64)) for x in made]], ["doc_id", *columns(words)])
+                    if bands:
+                        keys[i] = sketch(shingles, factors)
+            out, names = [batch.column("doc_id"), *[pa.array(x.view(np.int64)) for x in made]], ["doc_id", *columns(words)]
+            if bands:
+                every = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
+                out, names = [*out, every], [*names, "bands"]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in columns(words)))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in columns(words)) + ", bands array<long>" * (bands > 0))
 
 
 def enough_groups(points: int, most: int = MOST, per_cell: int = 1000) -> int:
@@ -94,19 +122,24 @@ def enough_groups(points: int, most: int = MOST, per_cell: int = 1000) -> int:
     return groups
 
 
-def cells(points: DataFrame, most: int, groups: int, words: int = 1) -> DataFrame:
-    """(node, fp..., cell): for each of the first ``GRIDS`` words, the choices of groups - most groups of its embedding."""
-    names, grids = columns(words), columns(min(words, GRIDS))
+def cells(points: DataFrame, most: int, groups: int) -> DataFrame:
+    """(node, fp, salt, cell): for each fingerprint the choices of groups - most groups of its embedding."""
     each = [range(g, 32, groups) for g in range(groups)]  # coordinates of a group
-    count = {f"{w}_{g}": sum((F.bit_count(F.col(w).bitwiseAND(F.lit(_signed(3 << 2 * c)))).cast("long") * 3**k for k, c in enumerate(each[g])), F.lit(0).cast("long")) for w in grids for g in range(groups)}
-    points = points.select("node", *names, *[x.alias(n) for n, x in count.items()])
+    count = [sum((F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(3 << 2 * c)))).cast("long") * 3**k for k, c in enumerate(each[g])), F.lit(0).cast("long")) for g in range(groups)]
+    points = points.select("node", "fp", F.xxhash64("fp").alias("salt"), *[x.alias(f"g{g}") for g, x in enumerate(count)])
     keys, choices = [], list(combinations(range(groups), groups - most))
-    for at, (w, chosen) in enumerate((w, chosen) for w in grids for chosen in choices):
-        key, scale = F.lit(at).cast("long"), len(choices) * len(grids)
+    for at, chosen in enumerate(choices):
+        key, scale = F.lit(at).cast("long"), len(choices)
         for g in chosen:
-            key, scale = key + F.col(f"{w}_{g}") * scale, scale * 3 ** len(each[g])
+            key, scale = key + F.col(f"g{g}") * scale, scale * 3 ** len(each[g])
         keys.append(key)
-    return points.select("node", *names, F.explode(F.array(*keys)).alias("cell"))
+    return points.select("node", "fp", "salt", F.explode(F.array(*keys)).alias("cell"))
+
+
+def band_cells(marked: DataFrame, points: DataFrame, names: list[str]) -> DataFrame:
+    """(node, fp..., salt, cell): for each fingerprint the bands of all texts that have it."""
+    some = marked.select(*names, "bands").distinct().join(points, names)
+    return some.select("node", *names, F.xxhash64(*names, "bands").alias("salt"), F.explode("bands").alias("cell"))
 
 
 def _signed(x: int) -> int:
@@ -148,22 +181,24 @@ def spanning(fps: list[np.ndarray], left: np.ndarray, most: int, first: int = 64
                 rest = rest[~near]
 
 
-def links(points: DataFrame, most: int = MOST, groups: int | None = None, block: int = BLOCK, words: int = 1, cut: int | None = None, first: int = 64) -> DataFrame:
-    """(a, b): links between nodes of different fingerprints (node, fp...) that give the same components as all links.
+def links(points: DataFrame, most: int = MOST, groups: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between nodes of different fingerprints (node, fp) that give the same components as all links."""
+    return links_within(cells(points, most, groups or enough_groups(points.count(), most)), ["fp"], most, block)
+
+
+def links_within(dealt: DataFrame, names: list[str], cut: int, block: int = BLOCK, first: int = 64) -> DataFrame:
+    """(a, b): links that give the same components as all links within the cells (node, fp..., salt, cell).
 
-    Fingerprints that meet in a cell link at ``cut`` or fewer differing bits of all words (``most``, if not given), if the
-    first word differs by at most ``first`` bits, which spares most pairs the comparison of the others. The
-    grid brings together every pair with at most ``most`` differing bits in a word with a grid, and most with a few more.
+    Fingerprints link at ``cut`` or fewer differing bits of all words, if the first word differs by at most ``first``
+    bits, which spares most pairs the comparison of the others.
     """
-    names, cut = columns(words), most if cut is None else cut
-    dealt = cells(points, most, groups or enough_groups(points.count(), most), words)
-    spark = points.sparkSession
+    spark = dealt.sparkSession
     large = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     large = common.staged(large)
     if large.isEmpty():
         rows = dealt.select("node", *names, "cell", F.lit(0).alias("part"), F.lit(0).alias("side"))
     else:
-        own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
+        own = F.pmod("salt", F.col("blocks")).cast("int")
         both = dealt.join(large, "cell", "left").withColumn("own", F.coalesce(own, F.lit(0)))
         other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("other")
         both = both.select("node", *names, "cell", "own", F.coalesce("blocks", F.lit(1)).alias("blocks"), other)
@@ -242,14 +277,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST, width: int = SHINGLE, groups: int | None = None, words: int = 1, cut: int | None = None, first: int = 64) -> DataFrame:
-    """doc_id, fp..., component_id for each row of documents (doc_id, text)."""
+def near_duplicates(docs: DataFrame, most: int = MOST, width: int = SHINGLE, groups: int | None = None, words: int = 1, first: int = 64, bands: int = 0) -> DataFrame:
+    """doc_id, fp..., component_id for each row of documents (doc_id, text); several words need ``bands``."""
     names = columns(words)
-    marked = common.staged(fingerprints(docs, width, words))
+    marked = common.staged(fingerprints(docs, width, words, bands))
     points = common.staged(marked.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    joined = components(links(points.filter("node is not null"), most, groups, words=words, cut=cut, first=first))
+    known = points.filter("node is not null")
+    joined = components(links_within(band_cells(marked, known, names), names, most, first=first) if bands else links(known, most, groups))
     named = points.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, names).select("doc_id", *names, "component_id")
+    return marked.drop("bands").join(named, names).select("doc_id", *names, "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,10 +293,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, most: int = MOST, width: int = SHINGLE, words: int = 1, cut: int | None = None, first: int = 64) -> DataFrame:
+def one_of_each(docs: DataFrame, most: int = MOST, width: int = SHINGLE, words: int = 1, first: int = 64, bands: int = 0) -> DataFrame:
     """The rows and columns of ``docs`` without documents that have a smaller doc_id in their group.
 
     Rows with equal doc_id are one document; rows without a doc_id stay.
     """
-    found = near_duplicates(docs, most, width, None, words, cut, first)
+    found = near_duplicates(docs, most, width, None, words, first, bands)
     return docs.join(found.filter("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -206,6 +206,36 @@ def test_components_of_long_paths(spark):
     assert got == {k: 0 for k in range(201)} | {500: 500, 501: 500}
 
 
+def test_pipeline_links_all_near_copies_that_meet_the_cut(spark):
+    import random
+
+    import corpus_pipeline as c
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        other = list(words)
+        other[60:94] = [f"v{rng.randrange(10**6)}" for _ in range(34)]  # 358 shingles of 434 shared: 0.82
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), c.CUT, c.SHINGLE, None, c.WORDS, c.FIRST, c.BANDS)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    prints = {d: plain_words(t, c.SHINGLE, c.WORDS) for d, t in rows}
+    near = 0
+    for d in range(0, 300, 2):
+        apart = [(x ^ y).bit_count() for x, y in zip(prints[d], prints[d + 1], strict=True)]
+        linked = sum(apart) <= c.CUT and apart[0] <= c.FIRST
+        near += linked
+        assert got[d] == d and got[d + 1] == (d if linked else d + 1)
+    assert near > 50
+
+
+def test_texts_of_one_fingerprint_share_its_bands(spark):
+    rows = [(0, "same text"), (1, "same text"), (2, None), (3, ""), (None, "same text"), (None, "other")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 63, 5, None, 6, 22, 32)
+    assert multiset(found.select("doc_id", "component_id").collect()) == multiset([(0, 0), (1, 0), (2, 2), (3, 2), (None, 0), (None, None)])
+
+
 def test_op4_shape(spark, rows, folder):
     got = quality.op4_quality(spark, folder).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
