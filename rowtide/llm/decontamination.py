@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowtide.llm import common
 
@@ -238,36 +239,59 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The same rows and columns without the removal spans; ``n_chars`` counts what is left. A null text stays null."""
-    names = docs.columns
-    for block in blocks(benchmark, width, block_bytes):
+    """The same rows and columns without the removal spans; ``n_chars`` counts what is left. A null text stays null.
+
+    Every pass searches the whole text: all but the last only add their spans, and the last cuts those of all passes.
+    """
+    names, schema = docs.columns, docs.schema
+    spans = "__spans"
+    while spans in names:
+        spans += "_"
+    every = list(blocks(benchmark, width, block_bytes))
+    out = docs
+    for k, block in enumerate(every):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, later=k > 0, more=k + 1 < len(every)) -> Iterator[pa.RecordBatch]:
             for batch in common.small_batches(batches):
                 at = names.index("text")
                 texts = batch.column(at)
                 data, offsets = common.text_buffer(texts)
                 starts, ends, first, hit, _ = matches(held.value, data, offsets)
+                before = batch.column(len(names)).to_pylist() if later else [[]] * batch.num_rows
+                if later:
+                    batch = batch.select(names)
                 total = np.concatenate([[0], np.cumsum(hit)])
-                touched = np.flatnonzero(total[first[1:]] > total[first[:-1]])
+                touched = np.flatnonzero((total[first[1:]] > total[first[:-1]]) | np.array([bool(x) for x in before], bool))
+                merged: list = [[]] * batch.num_rows
+                for i in touched:
+                    a, b = first[i], first[i + 1]
+                    s, e, h = starts[a:b] - offsets[i], ends[a:b] - offsets[i], hit[a:b].copy()
+                    for x, y in zip(before[i][::2], before[i][1::2], strict=True):
+                        h[np.searchsorted(s, x) : np.searchsorted(e, y, "right")] = True
+                    merged[i] = _spans(s, e, h)
+                if more:
+                    flat = pa.array([[x for pair in some for x in pair] for some in merged], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*names, spans])
+                    continue
                 if len(touched):
                     left = texts.to_pylist()
                     for i in touched:
-                        a, b, own, to, out = first[i], first[i + 1], left[i].encode(), 0, []
-                        for s, e in _spans(starts[a:b] - offsets[i], ends[a:b] - offsets[i], hit[a:b]):
-                            out.append(own[to:s])
+                        own, to, kept = left[i].encode(), 0, []
+                        for s, e in merged[i]:
+                            kept.append(own[to:s])
                             to = e
-                        left[i] = (b"".join(out) + own[to:]).decode()
+                        left[i] = (b"".join(kept) + own[to:]).decode()
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(left, batch.schema.field(at).type))
                     if "n_chars" in names:
-                        k = names.index("n_chars")
-                        counted = pa.array([x if left[i] is None else len(left[i]) for i, x in enumerate(batch.column(k).to_pylist())], batch.schema.field(k).type)
-                        batch = batch.set_column(k, batch.schema.field(k), counted)
+                        n = names.index("n_chars")
+                        counted = pa.array([x if left[i] is None else len(left[i]) for i, x in enumerate(batch.column(n).to_pylist())], batch.schema.field(n).type)
+                        batch = batch.set_column(n, batch.schema.field(n), counted)
                 yield batch
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        made = T.StructType([*schema.fields, T.StructField(spans, T.ArrayType(T.LongType()))]) if k + 1 < len(every) else schema
+        out = (common.staged(out) if k else out).mapInArrow(run, made)
+    return out
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

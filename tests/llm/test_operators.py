@@ -367,6 +367,19 @@ def test_op9(spark, rows, folder):
     assert all(r.n_chars == len(r.text) for r in left if r.doc_id in touched and r.n_chars is not None)
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(1)
+    text = [f"w{x}" for x in rng.permutation(120)]
+    # items overlap in the text; one joins what stands on both sides of a passage
+    items = [" ".join(text[a : a + 14]) for a in range(0, 60, 7)] + [" ".join(text[80:92]), " ".join(text[75:80] + text[92:97])]
+    docs = spark.createDataFrame([(1, " ".join(text), 5), (2, None, None), (3, "clean words", 11)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = decontamination.decontaminate(docs, bench).collect()
+    assert [r.text for r in whole if r.doc_id == 1][0].split() == text[70:80] + text[92:]
+    in_blocks = decontamination.decontaminate(docs, bench, block_bytes=100)
+    assert in_blocks.schema == docs.schema and multiset(in_blocks.collect()) == multiset(whole)
+
+
 def plain_repeats(rows, width=13):
     first = {}
     for d, text, *_ in rows:
