@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and strings that a token vocabulary spells out almost letter by letter.
 
 Ordinary words and identifiers take few tokens for their length under a byte-pair vocabulary; random strings take one
-for every one or two characters. A run of 20 or more key characters that mixes lower case, upper case and digits and has
-under ``RATIO`` characters per token is a ``random`` span, unless it is a known digest or identifier (UUID, hexadecimal
-digest of a usual length, dated or versioned name, path or word list joined by separators) or lies in a pattern's span.
-The spans of the patterns always stay.
+for every one or two characters. Every run of 20 or more key characters is tokenized, without what the patterns' spans
+and known digests (UUID, hexadecimal digest of a usual length) cover of it. What is left is judged as a whole and in
+every window of 20 characters: under ``RATIO`` characters per token it is a ``random`` span, up to the next separators on
+both sides, unless it is an identifier (words that the vocabulary knows and numbers, joined by separators). The spans of
+the patterns always stay.
 
 A null text has no spans. Each row is judged by itself, so repeated rows, ties and other columns don't matter; very long
 runs are tokenized in blocks of ``BLOCK`` characters, which bounds the time for each.
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rowtide.llm import common
 
-RATIO, BLOCK = 2.0, 256
+RATIO, BLOCK, LEAST = 2.0, 256, 20
 #: The order of kinds where spans start together.
 KINDS = ["assign", "access", "hex", "random"]
 #: Patterns, the group that is the secret's value (0: the match), and its least length.
@@ -35,14 +38,15 @@ PATTERNS = {
 SIGNS = {"assign": re.compile("[:=]"), "access": re.compile("AKIA"), "hex": re.compile("[0-9a-f]{16}")}
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:"
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
-    r"|(?:sha(?:1|256|384|512)-)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
+    r"|(?:sha(?:1|256|384|512)-)?(?:[0-9a-fA-F]{128}|[0-9a-fA-F]{96}|[0-9a-fA-F]{64}|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})"
     r"|sha(?:256|384|512)-[A-Za-z0-9+/]{43,86}={0,2}"
+    r")(?![A-Za-z0-9])"
 )
-NAME = re.compile(
-    r"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8})(?:[/_=+-]*(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[vV]?[0-9]{1,8}))*[/_=+-]*"  # words and numbers
-)
-WORDS = re.compile(r"[A-Za-z]{3,}")
+#: What names are made of; each character belongs to one part.
+PART = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
+PIECE = re.compile("[A-Za-z0-9]+")
 
 
 class Scanner:
@@ -53,17 +57,50 @@ class Scanner:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.ratio = ratio
 
-    def known(self, run: str) -> bool:
-        """A digest, or a name of words and numbers in which the letters of words make up the half at least."""
-        return bool(KNOWN.fullmatch(run)) or bool(NAME.fullmatch(run)) and 2 * sum(map(len, WORDS.findall(run))) >= len(run)
+    def sizes(self, run: str) -> list[int]:
+        """Characters of each token."""
+        size = self.size
+        return [size[t] for at in range(0, len(run), BLOCK) for t in self.encode(run[at : at + BLOCK])]
 
-    def random(self, run: str) -> bool:
-        if not (re.search("[a-z]", run) and re.search("[A-Z]", run) and re.search("[0-9]", run)) or self.known(run):
+    def identifier(self, run: str) -> bool:
+        """Words and numbers; with letters, those of words that have ``ratio`` characters a token make up the half at least."""
+        parts = PART.findall(run)
+        if any(len(x) > 8 for x in parts if x[0].isdigit()):
             return False
-        tokens = sum(len(self.encode(run[at : at + BLOCK])) for at in range(0, len(run), BLOCK))
-        return len(run) < self.ratio * tokens
+        words = [x for x in parts if x[0].isalpha()]
+        if not words:
+            return True
+        letters = sum(len(x) for x in words if len(x) > 2 and len(x) >= self.ratio * len(self.sizes(x)))
+        single = sum(len(x) == 1 and x not in "vV" for x in words)
+        return not single and 2 * letters >= len(run)
+
+    def random(self, run: str) -> list[tuple[int, int]]:
+        """The parts of a run that are random, in order."""
+        sizes = self.sizes(run)
+        ends = list(accumulate(sizes))
+        found: list[tuple[int, int]] = []
+        if len(run) < self.ratio * len(sizes):
+            found.append((0, len(run)))
+        else:
+            j, at, borders = 0, 0, None
+            for i, size in enumerate(sizes):  # the shortest window from each token
+                while j < len(sizes) and ends[j] - at < LEAST:
+                    j += 1
+                if j == len(sizes):
+                    break
+                if ends[j] - at < self.ratio * (j + 1 - i):
+                    if borders is None:
+                        borders = [0, *(x for m in PIECE.finditer(run) for x in m.span()), len(run)]
+                    s, e = borders[bisect_right(borders, at) - 1], borders[bisect_left(borders, ends[j])]
+                    if found and s <= found[-1][1]:
+                        found[-1] = (found[-1][0], max(e, found[-1][1]))
+                    else:
+                        found.append((s, e))
+                at += size
+        return [(s, e) for s, e in found if not self.identifier(run[s:e])]
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, kind's place, end) of all spans, in order."""
@@ -74,8 +111,13 @@ class Scanner:
                 found += [(m.start(), k, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
         base = sorted(found)
         for m in RUN.finditer(text):
-            if self.random(m.group()) and not any(s < m.end() and m.start() < e for s, _, e in base):
-                found.append((m.start(), 3, m.end()))
+            at, last = m.span()
+            taken = [(s, e) for s, _, e in base if s < last and at < e]
+            taken += [(at + x.start(), at + x.end()) for x in KNOWN.finditer(m.group())]
+            for s, e in [*sorted(taken), (last, last)]:
+                if s - at >= LEAST:
+                    found += [(at + x, 3, at + y) for x, y in self.random(text[at:s])]
+                at = max(at, e)
         return sorted(found)
 
 
