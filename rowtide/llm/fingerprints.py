@@ -4,8 +4,8 @@ Every paragraph (line) has a wide vector; a text's fingerprint is the sum of its
 modulo a power of two. Order doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 The vector has two parts. 16 lanes modulo 2^32 are expanded from the paragraph's SHA-512: two texts have them equal only
-if they have the same paragraphs. 65 lanes modulo 2^24 describe its content: how many pieces of five words it has, and
-in how many of these pieces each bit of a 64-bit hash is set. These lanes are sums as well, and the squared difference
+if they have the same paragraphs. 65 lanes modulo 2^24 describe its content: how many pieces it has (each five words in
+a row of a paragraph, from every word on; a shorter paragraph is one), and in how many of these pieces each bit of a 64-bit hash is set. These lanes are sums as well, and the squared difference
 of two such sums estimates how many pieces two texts don't share, so they give a likeness from 0 to 1.
 
 A null text is an empty one. An empty text has one empty paragraph. Rows with equal doc_id count as neighbours in an
@@ -21,6 +21,8 @@ from rowtide.llm import common
 
 #: Words of a piece, hashes of a digest (two lanes each), bits of a piece's hash.
 WORDS, HASHES, BITS = 5, 8, 64
+#: Pieces that are counted in signed bytes.
+RUN = 127
 STRONG, WEAK = 1 << 32, 1 << 24
 
 
@@ -28,8 +30,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add the array ``name``: 16 strong lanes, the number of pieces, then 64 bit counts."""
     df = df.withColumn("__paragraphs", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
     digests = F.transform("__paragraphs", lambda p: F.sha2(p.cast("binary"), 512))
-    words = F.transform("__paragraphs", lambda p: F.split(p, " ", -1))
-    pieces = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / WORDS).cast("int")), lambda i: F.xxhash64(F.array_join(F.slice(w, i * WORDS + 1, WORDS), " ")))))
+    words = F.transform("__paragraphs", lambda p: F.transform(F.split(p, " ", -1), lambda w: F.xxhash64(w)))
+    # get() gives null behind the last word, which the hash passes over
+    pieces = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - WORDS, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))))
     df = df.withColumns({"__digests": digests, "__pieces": pieces}).drop("__paragraphs")
 
     def total(array: str, term) -> Column:
@@ -40,8 +43,15 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     lanes = []
     for k in range(HASHES):
         lanes += [total("__digests", lambda x, k=k: F.xxhash64(x, F.lit(k)).bitwiseAND(low)), total("__digests", lambda x, k=k: F.shiftrightunsigned(F.xxhash64(x, F.lit(k)), 32))]
-    twice = [total("__pieces", lambda x, k=k: F.shiftrightunsigned(x, k).bitwiseAND(F.lit(1 << 32 | 1))) for k in range(BITS // 2)]
-    df = df.withColumn("__sums", F.array(*lanes, *twice)).withColumn("__n", F.size("__pieces").cast("long")).drop("__digests", "__pieces")
+    # eight bits of a hash are counted at once in the bytes of a number, for RUN pieces; then the runs' bytes are added up
+    df = df.withColumn("__runs", F.transform(F.sequence(F.lit(0), F.floor((F.size("__pieces") - 1) / RUN).cast("int")), lambda i: F.slice("__pieces", i * RUN + 1, RUN)))
+
+    def in_bytes(k: int) -> Column:
+        return F.transform("__runs", lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(0x0101010101010101))))
+
+    df = df.withColumns({f"__bits{k}": in_bytes(k) for k in range(8)})
+    twice = [total(f"__bits{k % 8}", lambda x, k=k: F.shiftrightunsigned(x, k - k % 8).bitwiseAND(F.lit(0xFF << 32 | 0xFF))) for k in range(BITS // 2)]
+    df = df.withColumn("__sums", F.array(*lanes, *twice)).withColumn("__n", F.size("__pieces").cast("long")).drop("__digests", "__pieces", "__runs", *[f"__bits{k}" for k in range(8)])
     strong = F.transform(F.slice("__sums", 1, 2 * HASHES), lambda x: x.bitwiseAND(F.lit(STRONG - 1)))
     halves = F.slice("__sums", 2 * HASHES + 1, BITS // 2)
     weak = F.concat(F.array("__n"), F.transform(halves, lambda x: x.bitwiseAND(F.lit(STRONG - 1))), F.transform(halves, lambda x: F.shiftrightunsigned(x, 32)))

@@ -341,6 +341,16 @@ def test_fingerprints_add_up(spark):
     assert r.fx == r.fy == r.sum and r.left == r.fp and r.fx != r.fp
 
 
+def test_likeness_survives_a_word_inserted_early(spark):
+    words = [f"w{k}" for k in range(600)]
+    df = spark.createDataFrame([(" ".join(words), " ".join([*words[:3], "new", *words[3:]]), "a b")], "x string, y string, z string")
+    for c in "xyz":
+        df = fingerprints.with_fingerprint(df, c, f"f{c}")
+    r = df.select("fx", "fz", fingerprints.likeness("fx", "fy").alias("near"), fingerprints.likeness("fx", "fz").alias("far")).first()
+    assert r.near > 0.9 and r.far < 0.3
+    assert r.fx[16] == 596 and r.fz[16] == 1 and all(x <= 596 for x in r.fx[17:]) and max(r.fx[17:]) > 255
+
+
 def plain_hits(text, windows):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     hit, items = set(), set()
