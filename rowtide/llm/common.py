@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where no one has set it (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where no one has set it, a temporary one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -52,10 +55,10 @@ def salted_rank(df: DataFrame, by: list[str], salt: Column, order: list[Column],
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column, back to back, and the n + 1 offsets of its rows; a null row is empty."""
+    """The UTF-8 bytes of a column of strings or bytes, back to back, and the n + 1 offsets of its rows; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -97,24 +100,6 @@ def id_salt(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-_RANDOM = np.random.default_rng(0x5EED)
-_BYTE = _RANDOM.integers(1, 1 << 64, 256, np.uint64, endpoint=False)
-_BASE, _STEP, _KEPT = 0x9E3779B97F4A7C15, 1 << 12, 9 << 18
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n - 1) modulo 2^64."""
-    low = np.full(_STEP, base, np.uint64)
-    low[0] = 1
-    low = np.multiply.accumulate(low)
-    high = np.full(n // _STEP + 1, pow(base, _STEP, 1 << 64), np.uint64)
-    high[0] = 1
-    return (np.multiply.accumulate(high)[:, None] * low).reshape(-1)[:n]
-
-
-_POWERS: list[np.ndarray] = []
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A one-to-one map of 64-bit numbers whose high bits depend on all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -122,18 +107,66 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same in every process."""
-    n = len(data) + 1
-    if n <= _KEPT:  # a worker keeps these between its tasks
-        if not _POWERS:
-            _POWERS[:] = [_powers(base, _KEPT) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
-        up, down = _POWERS
-    else:
-        up, down = (_powers(base, n) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
-    sums = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[data] * up[: n - 1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Bytes up to which a span is hashed along with all others; longer ones one by one.
+_SHORT = 256
+_PART = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number (zeros behind the end)."""
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", held, 0, (1,))
+
+
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the bytes of each span, the same in every process.
+
+    Spans are read eight bytes at a time and mixed after each step; those over ``_SHORT`` bytes have 128 bits of BLAKE2.
+    """
+    size = ends - starts
+    a, b = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), mixed(size.astype(np.uint64) + np.uint64(0x5EED))
+    eights, at = _eights(data), np.flatnonzero(size <= _SHORT)
+    for k in range(0, _SHORT, 8):
+        at = at[size[at] > k] if k else at[size[at] > 0]
+        if not len(at):
+            break
+        x = eights[starts[at] + k] & _PART[np.minimum(size[at] - k, 8)]
+        a[at] = mixed(a[at] ^ x)
+        y = (b[at] + x) * np.uint64(0xD6E8FEB86659FD93)
+        y = (y ^ (y >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F) + x
+        b[at] = y ^ (y >> np.uint64(29))
+    for i in np.flatnonzero(size > _SHORT):
+        a[i], b[i] = np.frombuffer(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return a, mixed(b)
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``data`` and ``other`` that begin at these places and have these sizes are the same bytes."""
+    same, at = np.ones(len(size), bool), np.arange(len(size))
+    left, right, k = _eights(data), _eights(other), 0
+    while len(at := at[size[at] > k]):
+        part = _PART[np.minimum(size[at] - k, 8)]
+        ok = (left[starts[at] + k] & part) == (right[others[at] + k] & part)
+        same[at[~ok]] = False
+        at, k = at[ok], k + 8
+    return same
+
+
+def joined_evenly(rows: DataFrame, found: DataFrame, key: list[str], how: str = "inner", hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``found``, which has one row a key, without sending the rows of a frequent key to one task.
+
+    A key is frequent if more than one in ``hot`` of all rows has it, so there are fewer than ``hot`` such keys, whatever
+    the size: their rows of ``found`` are broadcast, and all others are joined by key. ``rows`` is read three times and so
+    should be a written table; keys have no nulls.
+    """
+    spark = rows.sparkSession
+    many = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    many = many.filter(F.col("__n") > rows.count() // hot).select(*key)
+    many = spark.createDataFrame(many.collect(), many.schema)
+    marked = rows.join(F.broadcast(many.withColumn("__hot", F.lit(True))), key, "left")
+    few = found.join(F.broadcast(many), key, "left_semi")
+    a = marked.filter("__hot").drop("__hot").join(F.broadcast(few), key, how)
+    return a.unionByName(marked.filter("__hot is null").drop("__hot").join(found, key, how))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -6,11 +6,15 @@ match). The index is the Burrows-Wheeler transform of those runs with a wavelet
 ``EVERY``-th suffix position kept. All windows of all items are searched backwards at once, their occurrences are located
 by walking to a kept position, and overlapping occurrences merge into removal spans.
 
-A window is ``WINDOW`` consecutive words of an item; an item with fewer words, but some, is one window. Words are compared
-by 64-bit hashes. The benchmark is broadcast in blocks of at most about ``BLOCK_BYTES`` of text, one pass for each.
+A window is ``WINDOW`` consecutive words of an item; an item with fewer words, but some, is one window. Words are looked up
+by a hash and then compared byte by byte. The benchmark is broadcast in blocks of at most about ``BLOCK_BYTES`` of text, one
+pass over the documents for each; a block is built, sent and given up before the next one. How it is cut into blocks
+doesn't change the result.
 
 Null and empty texts have no words. Items with equal ids count once; an item without an id marks words but isn't listed.
-Repeated documents are judged each; other columns are ignored. Without items nothing is hit.
+Repeated documents are judged each, and so are rows with one doc_id and different texts; no ties arise, as items are listed in
+the order of their ids as text. A very long text is a shard of its own, in one task. Other columns are ignored. Without
+items nothing is hit; an empty table of documents gives no rows.
 """
 
 from __future__ import annotations
@@ -111,9 +115,15 @@ class Items:
         data, offsets = common.text_buffer(texts)
         data = _LOWER[data]
         starts, ends, first = common.word_spans(data, offsets, _WORD)
-        hashes = common.span_hashes(data, starts, ends)
-        self.words, number = np.unique(hashes, return_inverse=True)
-        number = number.reshape(-1) + 1
+        flat, to = data[_WORD[data]], np.concatenate([[0], np.cumsum(ends - starts)])
+        spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(flat)]).dictionary_encode()
+        self.data, to = common.text_buffer(spans.dictionary)
+        hashes = common.span_names(self.data, to[:-1], to[1:])[0]
+        order = np.argsort(hashes)
+        self.hashes, self.starts, self.sizes = hashes[order], to[:-1][order], np.diff(to)[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(1, len(order) + 1)
+        number = place[spans.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
         rows, of = [], []
         names = sorted({x for x in ids if x is not None})
         place = {x: k for k, x in enumerate(names)}
@@ -124,7 +134,7 @@ class Items:
                 rows.append(got)
                 of.append(np.full(len(got), place.get(name, -1)))
         self.names = names
-        every = np.concatenate(rows) if rows else np.zeros((0, width), np.int64)
+        every = np.concatenate(rows) if rows else np.zeros((0, width), np.int32)
         self.windows, which = np.unique(every, axis=0, return_inverse=True) if len(every) else (every, np.zeros(0, np.int64))
         pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(of) if of else np.zeros(0, np.int64)], axis=1), axis=0)
         pairs = pairs[pairs[:, 1] >= 0]
@@ -132,17 +142,34 @@ class Items:
         self.items, self.at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
         self.shortest = int(self.lengths.min(initial=width))
 
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word, from 1 on; 0 for words that no item has."""
+        found = np.zeros(len(starts), np.int64)
+        if not len(self.hashes):
+            return found
+        hashes, size = common.span_names(data, starts, ends)[0], ends - starts
+        at = np.searchsorted(self.hashes, hashes)
+        live = np.arange(len(starts))
+        while len(live := live[self.hashes[np.minimum(at[live], len(self.hashes) - 1)] == hashes[live]]):
+            i = at[live]
+            same = self.sizes[i] == size[live]
+            same[same] = common.equal_spans(data, starts[live[same]], self.data, self.starts[i[same]], size[live[same]])
+            found[live[same]] = i[same] + 1
+            live = live[~same]  # a word of the same hash but other bytes may follow
+            at[live] += 1
+            live = live[at[live] < len(self.hashes)]
+        return found
+
 
 def matches(items: Items, data: np.ndarray, offsets: np.ndarray):
     """For a shard: starts, ends, first word of each document, which words are hit, and (document, item) pairs."""
     data = _LOWER[data]
     starts, ends, first = common.word_spans(data, offsets, _WORD)
     hit, none = np.zeros(len(starts), bool), np.zeros((0, 2), np.int64)
-    if not len(items.words) or not len(starts):
+    number = items.numbers(data, starts, ends)
+    known = number > 0
+    if not known.any():
         return starts, ends, first, hit, none
-    hashes = common.span_hashes(data, starts, ends)
-    at = np.minimum(np.searchsorted(items.words, hashes), len(items.words) - 1)
-    known = items.words[at] == hashes
     new = np.zeros(len(starts) + 1, bool)  # where a run can't go on from the word before
     new[first] = True
     new[1:] |= ~known
@@ -158,23 +185,25 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray):
     word = np.repeat(edge[runs] - np.concatenate([[0], np.cumsum(size + 1)[:-1]]), size + 1) + np.arange(int((size + 1).sum()))
     gap = np.zeros(len(word), bool)
     gap[np.cumsum(size + 1) - 1] = True
-    text = np.where(gap, 0, at[np.minimum(word, len(at) - 1)] + 1)
+    text = np.where(gap, 0, number[np.minimum(word, len(number) - 1)])
     present, text = np.unique(text, return_inverse=True)  # only the symbols of this shard
     text = text.reshape(-1)
-    small = np.searchsorted(present, items.windows)
-    small = np.minimum(small, len(present) - 1)
-    usable = np.flatnonzero(((present[small] == items.windows) | (items.windows == 0)).all(1))
+    here = np.full(len(items.hashes) + 1, -1, np.int64)
+    here[present] = np.arange(len(present))
+    usable = np.arange(len(items.windows))
+    for k in range(items.windows.shape[1]):  # windows of which all words occur
+        usable = usable[here[items.windows[usable, k]] >= 0]
     if not len(usable):
         return starts, ends, first, hit, none
     index = Index(text, len(present))
     lengths = items.lengths[usable]
-    lo, hi = index.search(small[usable], lengths)
+    lo, hi = index.search(here[items.windows[usable]], lengths)
     found = np.flatnonzero((hi > lo))
-    number = (hi - lo)[found]
+    times = (hi - lo)[found]
     if not len(found):
         return starts, ends, first, hit, none
-    row = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(int(number.sum()))
-    place, window = index.locate(row), np.repeat(found, number)
+    row = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
+    place, window = index.locate(row), np.repeat(found, times)
     change = np.bincount(place, minlength=len(text) + 1) - np.bincount(place + lengths[window], minlength=len(text) + 1)
     covered = np.cumsum(change)[: len(text)] > 0
     hit[word[covered & ~gap]] = True
@@ -191,25 +220,30 @@ def _spans(starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> list[tuple[
     return list(zip(starts[np.flatnonzero(edge == 1)].tolist(), ends[np.flatnonzero(edge == -1) - 1].tolist(), strict=True))
 
 
-def blocks(benchmark: DataFrame, width: int, block_bytes: int) -> list[Items]:
-    """The benchmark as blocks to broadcast: its size is asked for first, then each block is read by itself."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-int(size) // block_bytes))
-    some = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
-    for k in range(n):
-        got = (some.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else some).toArrow()
-        yield Items(got.column("item_id").to_pylist(), got.column("text").combine_chunks(), width)
+class Blocks:
+    """The benchmark in blocks of bounded size, each read by itself when it is asked for."""
+
+    def __init__(self, benchmark: DataFrame, width: int, block_bytes: int):
+        size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.n, self.width = max(1, -(-int(size) // block_bytes)), width
+        self.some = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
+
+    def sent(self, k: int):
+        """Block ``k`` as a broadcast value."""
+        some = self.some.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == k) if self.n > 1 else self.some
+        got = some.toArrow()
+        return self.some.sparkSession.sparkContext.broadcast(Items(got.column("item_id").to_pylist(), got.column("text").combine_chunks(), self.width))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids) and spans of UTF-8 bytes to remove, for each document (doc_id, text)."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     fields = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start long, end long>>"
-    every = list(blocks(benchmark, width, block_bytes))
+    blocks = Blocks(benchmark, width, block_bytes)
     out = docs.select(F.col("doc_id").cast("long"), "text")
-    for k, block in enumerate(every):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        more = k + 1 < len(every)  # the next pass needs the text
+    for k in range(blocks.n):
+        held = blocks.sent(k)
+        more = k + 1 < blocks.n  # the next pass needs the text
 
         def run(batches: Iterator[pa.RecordBatch], held=held, later=k > 0, more=more) -> Iterator[pa.RecordBatch]:
             items = held.value
@@ -234,7 +268,10 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes
                 made = [batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(span)), batch.column("text")]
                 yield pa.RecordBatch.from_arrays(made[: 5 + more], ["doc_id", "n_words", "n_hit", "items", "spans", "text"][: 5 + more])
 
-        out = (common.staged(out) if k else out).mapInArrow(run, fields + ", text string" * more)
+        out = out.mapInArrow(run, fields + ", text string" * more)
+        if more:
+            out = common.staged(out)
+            held.destroy()
     return out
 
 
@@ -247,12 +284,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     spans = "__spans"
     while spans in names:
         spans += "_"
-    every = list(blocks(benchmark, width, block_bytes))
+    blocks = Blocks(benchmark, width, block_bytes)
     out = docs
-    for k, block in enumerate(every):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+    for k in range(blocks.n):
+        held = blocks.sent(k)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, later=k > 0, more=k + 1 < len(every)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, later=k > 0, more=k + 1 < blocks.n) -> Iterator[pa.RecordBatch]:
             for batch in common.small_batches(batches):
                 at = names.index("text")
                 texts = batch.column(at)
@@ -289,8 +326,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
                         batch = batch.set_column(n, batch.schema.field(n), counted)
                 yield batch
 
-        made = T.StructType([*schema.fields, T.StructField(spans, T.ArrayType(T.LongType()))]) if k + 1 < len(every) else schema
-        out = (common.staged(out) if k else out).mapInArrow(run, made)
+        more = k + 1 < blocks.n
+        out = out.mapInArrow(run, T.StructType([*schema.fields, T.StructField(spans, T.ArrayType(T.LongType()))]) if more else schema)
+        if more:
+            out = common.staged(out)
+            held.destroy()
     return out
 
 

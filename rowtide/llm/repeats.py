@@ -1,24 +1,30 @@
-"""Substring dedup by recompression: long repeats are found through symbols that equal word sequences get everywhere.
-
-A text's words are named by their hashes. Each round first collapses maximal runs of one symbol, then joins pairs: every
-symbol lies left or right by a bit of its name, and a left one directly before a right one becomes one symbol. A name
-is a hash of what it stands for, so it is the same in every document without any exchange. A symbol also knows on which
-words its forming depended; where two documents share those words, both have it.
-
-Every window of ``WINDOW`` words elects one of the symbols that depend on its own words only: of the highest level, the
-largest name, taken with the words it depends on. Equal windows elect equal symbols, so a window can only repeat where
-its symbol does (a window without any symbol stands for itself). Then, on a table of documents dealt into shards:
-
-1. each shard sends the symbols it elects, once each, with the smallest and largest doc_id; the shards are told which
-   symbols occur in more than one document;
-2. each shard sends the hashes (96 bits) of the windows behind those symbols in the same way, which verifies the repeats,
-   and is told the smallest doc_id of each window that also occurs elsewhere;
+"""Substring dedup by recompression: long repeats are found, and told from others, by symbols that equal word sequences
+get everywhere.
+
+A text's words are named by 128-bit hashes. Each round first names maximal runs of one symbol, then pairs: every symbol
+lies left or right by a bit of its name, and a left one directly before a right one becomes one symbol. A name is a hash
+of the names it stands for, so all tasks give the same one without asking each other. A symbol also knows on which words
+its forming depended; where two documents share those words, both have it.
+
+Every window of ``WINDOW`` words is spelled by the largest symbols that depend on its own words only, from left to
+right, with single words where there is none. Equal windows have the same spelling and different ones another, so the
+spelling's hash (96 bits) stands for the window. The greatest symbol of the spelling (highest round, then largest name) is
+elected: equal windows elect equal symbols, so a window can only repeat where its symbol does. Spark compares both in two
+rounds, on a table of documents dealt into shards:
+
+1. each shard sends the symbols it elects, once each, with the smallest and largest doc_id, and is told which occur in
+   more than one document;
+2. each shard sends the spellings of the windows behind those symbols in the same way, and is told the smallest doc_id of
+   each window that also occurs elsewhere;
 3. each shard drops the words of windows that start in a document with a smaller doc_id.
 
-A group of copies costs a row for each shard, not for each copy. Numbers travel packed, a few rows for each pair of tasks.
+A group of copies costs a row for each shard, not for each copy. Numbers travel packed, those of a shard for one task
+together, so there are never more rows than numbers. A shard has ``SHARD_BYTES`` of text; one very long text is a shard of
+its own, read in one task.
 
 Null and empty texts have no words; texts of fewer words than a window lose nothing. A null doc_id counts as larger than
-all others. Rows with equal doc_id never remove each other's words. Other columns are ignored.
+all others. Rows with equal doc_id never remove each other's words, whatever their texts; ties between windows don't
+matter, as only the smallest doc_id counts. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,106 +39,128 @@ from pyspark.sql import functions as F
 
 from rowtide.llm import common
 
-WINDOW, ROUNDS, SHARD_BYTES, BATCH = 13, 2, 16 << 20, 2 << 20
+WINDOW, ROUNDS, SHARD_BYTES, BATCH = 13, 2, 16 << 20, 256 << 10
 _NO_ID = (1 << 63) - 1
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-class Sums:
-    """Hashes of any intervals of a sequence of hashes, from running sums."""
+#: Weights of the places in a spelling, for both halves of its hash.
+_PLACE = np.random.default_rng(0x5EED).integers(1, 1 << 63, (2, 64), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Further than any window reaches, for a symbol's own words and for what it depends on.
+_NONE, _FAR = 127, 1 << 28
+
+
+def _shifted(x: np.ndarray, by: int, start: np.ndarray, edge: int) -> np.ndarray:
+    """The value of the symbol before (``by`` 1) or after (-1); ``edge`` where the document has none."""
+    out = np.empty_like(x)
+    if by > 0:
+        out[1:] = x[:-1]
+        out[start] = edge
+    else:
+        out[:-1] = x[1:]
+        out[:-1][start[1:]] = edge
+        out[-1:] = edge
+    return out
 
-    def __init__(self, names: np.ndarray, base: int):
-        n = len(names) + 1
-        self.back = common._powers(pow(base, -1, 1 << 64), n)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(names * common._powers(base, n)[: n - 1], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return common.mixed((self.sums[end] - self.sums[start]) * self.back[start])
+class Round:
+    """The symbols that a round leaves, by their first word: two halves of the name, words, and words it depends on."""
+
+    def __init__(self, words: int):
+        self.a, self.b = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
+        self.size = np.zeros(words, np.int8)
+        self.back, self.ahead = np.full(words, _NONE, np.int8), np.full(words, _NONE, np.int8)
 
 
 class Text:
     """The words of a batch of documents: names, and the windows that lie within a document."""
 
     def __init__(self, column: pa.Array, width: int):
+        if not 0 < width <= _PLACE.shape[1]:
+            raise ValueError(f"a window has 1 to {_PLACE.shape[1]} words")
         self.data, offsets = common.text_buffer(column)
         self.starts, self.ends, self.first = common.word_spans(self.data, offsets, _WORD)
-        self.names = common.span_hashes(self.data, self.starts, self.ends)
-        rows, n = len(offsets) - 1, len(self.names)
+        self.a, self.b = common.span_names(self.data, self.starts, self.ends)
+        rows, n = len(offsets) - 1, len(self.a)
         self.row = np.repeat(np.arange(rows), np.diff(self.first))
         to = np.repeat(self.first[1:], np.diff(self.first))
         self.windows = np.flatnonzero(np.arange(n) + width <= to)
         self.width = width
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits for each window."""
-        at = self.windows
-        return Sums(self.names, int(_A)).of(at, at + self.width), Sums(self.names, int(_B)).of(at, at + self.width).astype(np.uint32)
-
-    def symbols(self, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each round the words (from, to) on which its new symbols depend."""
-        name, row = self.names, self.row
-        n = len(name)
-        since, until = np.arange(n), np.arange(1, n + 1)  # what a symbol depends on
-        low, high = self.first[row], self.first[row + 1]
-        for turn in range(rounds):
-            if not len(name):
-                return
-            # runs: each depends on the different symbols beside it, and at a document's edge on what isn't there
-            cut = np.concatenate([[True], (name[1:] != name[:-1]) | (row[1:] != row[:-1])])
-            a = np.flatnonzero(cut)
-            b = np.append(a[1:], len(name)) - 1
-            before, after = np.maximum(a - 1, 0), np.minimum(b + 1, len(name) - 1)
-            ds = np.where((a > 0) & (row[before] == row[a]), np.minimum(since[a], since[before]), low[a] - 1)
-            de = np.where((b + 1 < len(name)) & (row[after] == row[b]), np.maximum(until[b], until[after]), high[b] + 1)
-            # within a run everything depends on all of it
-            ds, de = np.minimum(ds, np.minimum.reduceat(since, a)), np.maximum(de, np.maximum.reduceat(until, a))
-            size = (b - a + 1).astype(np.uint64)
-            name, row, low, high = np.where(size > 1, common.mixed(name[a] + size * _A), name[a]), row[a], low[a], high[a]
-            made = size > 1
+    def rounds(self, rounds: int = ROUNDS) -> Iterator[Round]:
+        """Run and pair the symbols again and again; what a round forms within a window's width is yielded."""
+        a, b, n = self.a, self.b, len(self.a)
+        at = since = np.arange(n, dtype=np.int32)  # a symbol's first word, and what it depends on
+        until = at + 1
+        start = np.zeros(n, bool)  # a document's first symbol
+        start[self.first[:-1][self.first[:-1] < n]] = True
+        for turn in range(rounds if n else 0):
+            # a run ends at the symbols beside it, and depends at a document's edge on what isn't there
+            low, high = np.minimum(_shifted(since, 1, start, -_FAR), _shifted(since, -1, start, _FAR)), np.maximum(_shifted(until, 1, start, -_FAR), _shifted(until, -1, start, _FAR))
+            since, until = np.minimum(since, low), np.maximum(until, high)
+            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & ~start[1:]
+            made = np.zeros(len(a), bool)
+            if same.any():  # runs: within one, everything depends on all of it
+                i = np.flatnonzero(np.append(True, ~same))
+                size = np.diff(np.append(i, len(a))).astype(np.uint64)
+                since, until = np.minimum.reduceat(since, i), np.maximum.reduceat(until, i)
+                a, b, at, start, made = a[i], b[i], at[i], start[i], size > 1
+                a[made], b[made] = common.mixed(a[made] + size[made] * _A), common.mixed(b[made] + size[made] * _B)
             # pairs: a left symbol and the right one after it
-            right = (common.mixed(name + np.uint64((turn + 1) * int(_B) % (1 << 64))) >> np.uint64(63)).astype(bool)
-            pair = np.flatnonzero(~right[:-1] & right[1:] & (row[:-1] == row[1:]))
-            joined, gone = np.zeros(len(name), bool), np.zeros(len(name), bool)
-            joined[pair], gone[pair + 1] = True, True
-            # a left symbol that stays saw what comes after it, a right one what came before
-            x = np.flatnonzero(~joined & ~gone)
-            nx, px = np.minimum(x + 1, len(name) - 1), np.maximum(x - 1, 0)
-            old_s, old_e = ds.copy(), de.copy()
-            has_next, has_prev = (x + 1 < len(name)) & (row[nx] == row[x]), (x > 0) & (row[px] == row[x])
-            s_left = np.where(has_next, np.minimum(old_s[x], old_s[nx]), old_s[x])
-            e_left = np.where(has_next, np.maximum(old_e[x], old_e[nx]), high[x] + 1)
-            s_right = np.where(has_prev, np.minimum(old_s[x], old_s[px]), low[x] - 1)
-            e_right = np.where(has_prev, np.maximum(old_e[x], old_e[px]), old_e[x])
-            ds[x], de[x] = np.where(right[x], s_right, s_left), np.where(right[x], e_right, e_left)
-            ds[pair], de[pair] = np.minimum(old_s[pair], old_s[pair + 1]), np.maximum(old_e[pair], old_e[pair + 1])
-            name = name.copy()
-            name[pair] = common.mixed(name[pair] * _A + name[pair + 1] * _B + np.uint64(turn))
-            made = (made | joined)[~gone]
-            name, row, low, high, since, until = name[~gone], row[~gone], low[~gone], high[~gone], ds[~gone], de[~gone]
-            within = made & (until - since <= self.width) & (since >= low) & (until <= high)
-            yield since[within], until[within]
-
-    def elected(self, rounds: int = ROUNDS) -> np.ndarray:
-        """The name of each window's symbol."""
-        n = len(self.names)
-        sums, best = Sums(self.names, int(_A)), np.zeros(n, np.uint64)
-        for since, until in self.symbols(rounds):
-            name, size = np.zeros(n + self.width, np.uint64), np.full(n + self.width, self.width + 1, np.int8)
-            value = sums.of(since, until) | np.uint64(1)
-            order = np.argsort(value)  # where several begin at a word, the largest name stays
-            name[since[order]], size[since[order]] = value[order], (until - since)[order]
-            top = np.zeros(n, np.uint64)
-            for ahead in range(self.width - 1):
-                np.maximum(top, np.where(size[ahead : n + ahead] <= self.width - ahead, name[ahead : n + ahead], 0), out=top)
-            best = np.where(top > 0, top, best)
+            right = (common.mixed(a + np.uint64((turn + 1) * int(_B) % (1 << 64))) >> np.uint64(63)).astype(bool)
+            pair = ~right[:-1] & right[1:] & ~start[1:]
+            joined, gone = np.append(pair, False), np.append(False, pair)
+            # a right symbol that stays saw what came before it, a left one and a pair what comes after
+            behind = right & ~gone
+            low = np.where(behind, _shifted(since, 1, start, -_FAR), _shifted(since, -1, start, _FAR))
+            high = np.where(behind, _shifted(until, 1, start, -_FAR), _shifted(until, -1, start, _FAR))
+            since, until = np.minimum(since, low), np.maximum(until, high)
+            i = np.flatnonzero(pair)
+            first, second = common.mixed(a[i] * _A + a[i + 1] * _B + np.uint64(turn)), common.mixed(b[i] * _B + common.mixed(b[i + 1] + np.uint64(turn)))
+            a, b = a.copy(), b.copy()
+            a[i], b[i] = first, second
+            made, stay = (made | joined)[~gone], ~gone
+            a, b, at, start, since, until = a[stay], b[stay], at[stay], start[stay], since[stay], until[stay]
+            i = np.flatnonzero(made & (until - since <= self.width))
+            found, p = Round(n + self.width), at[i]
+            found.a[p], found.b[p], found.size[p] = a[i], b[i], np.append(at[1:], n)[i] - p
+            found.back[p], found.ahead[p] = p - since[i], until[i] - p
+            yield found
+
+    def spelled(self, rounds: int = ROUNDS, elect: bool = True, spell: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window the elected symbol, and 64 and 32 bits of its spelling (zeros for what isn't asked for)."""
+        n, width = len(self.a), self.width
+        levels = list(self.rounds(rounds))
+        a, b = (np.concatenate([x, np.zeros(width, np.uint64)]) for x in (self.a, self.b))
+        here, best = np.zeros(n, np.int8), np.zeros(n, np.uint64)  # how far each window is spelled
+        first, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for d in range(width):
+            now, q = here == d, slice(d, n + d)
+            x, y, size, symbol = a[q], b[q], np.ones(n, np.int8), np.zeros(n, np.uint64)
+            for k, level in enumerate(levels):
+                fits = (level.back[q] <= d) & (level.ahead[q] <= width - d)
+                size = np.where(fits, level.size[q], size)
+                if spell:
+                    x, y = np.where(fits, level.a[q], x), np.where(fits, level.b[q], y)
+                if elect:
+                    symbol = np.where(fits, (level.a[q] >> np.uint64(8)) | np.uint64(k + 1 << 56), symbol)
+            if elect:
+                np.maximum(best, symbol * now, out=best)
+            if spell:
+                first += x * now * _PLACE[0, d]
+                second += y * now * _PLACE[1, d]
+            here += size * now
         at = self.windows
-        chosen = best[at]
-        alone = np.flatnonzero(chosen == 0)
-        chosen[alone] = sums.of(at[alone], at[alone] + self.width) & ~np.uint64(1)
-        return chosen
+        best, first, second = best[at], common.mixed(first[at]), (common.mixed(second[at]) >> np.uint64(32)).astype(np.uint32)
+        if elect:  # windows without any symbol stand for themselves
+            alone = np.flatnonzero(best == 0)
+            words = np.zeros(len(alone), np.uint64)
+            for d in range(width):
+                words += self.a[at[alone] + d] * _PLACE[0, d]
+            best[alone] = common.mixed(words) >> np.uint64(8)
+        return best, first, second
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -232,31 +260,39 @@ def _replies(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[order], more[order], low[order]
 
 
-def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int, str]:
-    """Documents (doc_id, text, shard) as a table bucketed by shard, so that later joins on it move no text."""
+def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """Documents (doc_id, text, shard) as a table bucketed by shard, so that later joins on it move no text.
+
+    The table's files stay in the shared folder with those of all stages; its name is dropped from the catalog.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     enough = min(common.parts(spark), -(-int(total) // (shard_bytes // 16 or 1)))  # small tables still use all tasks
     shards = max(1, enough, -(-int(total) // shard_bytes))
+    limit = "spark.sql.sources.bucketing.maxBuckets"
+    if shards > int(spark.conf.get(limit)):
+        spark.conf.set(limit, shards)
     name = f"repeats_{uuid.uuid4().hex}"
     shard = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("int").alias("shard")
     writer = docs.withColumn("shard", shard).repartition(shards, "shard").write.format("parquet").option("compression", "zstd")
     writer.bucketBy(shards, "shard").option("path", f"{common.shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name), shards, name
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table, shards
 
 
 def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space, as bytes) of each document."""
     spark = docs.sparkSession
-    table, shards, _ = sharded(docs, shard_bytes)
+    table, shards = sharded(docs, shard_bytes)
     parts = max(common.parts(spark), shards)
 
     def send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in common.small_batches(batches, BATCH):
             text, ids = Text(batch.column("text"), width), _ids(batch)
-            name, row = text.elected(rounds), text.row[text.windows]
+            name, row = text.spelled(rounds, spell=False)[0], text.row[text.windows]
             if not len(name):
                 continue
             new = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (row[1:] != row[:-1])]))
@@ -274,10 +310,9 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, shard_byte
         found, shard = [], left.column("shard")[0].as_py() if left.num_rows else 0
         for batch in _batches(left):
             text, ids = Text(batch.column("text"), width), _ids(batch)
-            name = text.elected(rounds)
+            name, a, b = text.spelled(rounds)
             at = np.minimum(np.searchsorted(known, name), max(len(known) - 1, 0))
             some = np.flatnonzero(known[at] == name) if len(known) and len(name) else np.zeros(0, int)
-            a, b = text.hashes()
             own = ids[text.row[text.windows[some]]]
             found.append(_least([a[some], b[some]], own, own))
         keys, low, high = _least([np.concatenate([x[0][k] for x in found]) for k in (0, 1)], np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])) if found else ([np.zeros(0, "<u8"), np.zeros(0, "<u4")], np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -288,10 +323,10 @@ def dedup(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, shard_byte
         doc, words, gone, kept = [], [], [], []
         for batch in _batches(left):
             text, ids = Text(batch.column("text"), width), _ids(batch)
-            n = len(text.names)
+            n = len(text.a)
             bad = np.zeros(n + 1, np.int64)
             if len(key) and len(text.windows):
-                a, b = text.hashes()
+                _, a, b = text.spelled(rounds, elect=False)
                 at = np.searchsorted(key, a)
                 hit = np.flatnonzero(key[np.minimum(at, len(key) - 1)] == a)
                 while len(hit):  # keys that agree in the first 64 bits only are a step apart

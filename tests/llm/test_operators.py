@@ -443,3 +443,71 @@ def test_null_ids(spark):
     assert simhash.one_of_each(df).count() == 3
     assert repeats.dedup(df).count() == 3 and packing.pack(df, packing.tokenizer_path()).count() == 3
     assert sharding.shard(df).count() == 3 and decontamination.find(df, df.withColumnRenamed("doc_id", "item_id")).filter("n_hit > 0").count() == 2
+
+
+def thue_morse(n):
+    words = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(n)) for flip in (0, 1)]
+    assert words[0] != words[1]
+    return words
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one, other = thue_morse(1024)
+    head, tail = [f"a{k}" for k in range(6)], [f"z{k}" for k in range(6)]
+    rows = [(k, " ".join([*head, w, *tail])) for k, w in enumerate((one, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join([*head[2:], other, *tail[:5]]))], "item_id long, text string")
+    assert [(r.doc_id, r.n_hit, r["items"]) for r in decontamination.find(docs, bench).orderBy("doc_id").collect()] == [(0, 0, []), (1, 10, ["5"])]
+    assert [r.n_removed for r in repeats.dedup(docs).orderBy("doc_id").collect()] == [0, 0]
+
+
+def test_words_of_equal_hashes_are_compared(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "span_names", lambda data, starts, ends: (np.zeros(len(starts), np.uint64),) * 2)
+    items = decontamination.Items(["1"], pa.array(["one two three"]))
+    data, offsets = common.text_buffer(pa.array(["three one other tw twoo two"]))
+    starts, ends, _ = common.word_spans(data, offsets, decontamination._WORD)
+    got = items.numbers(data, starts, ends)
+    assert [x > 0 for x in got] == [True, True, False, False, False, True] and len(set(got[got > 0])) == 3
+
+
+def test_names_of_spans():
+    rng = np.random.default_rng(0)
+    words = [rng.integers(97, 99, rng.integers(1, 600), np.uint8).tobytes() for _ in range(3000)] + [b"a" * k for k in range(1, 700)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    a, b = common.span_names(data, starts, ends)
+    of = {}
+    for w, x, y in zip(words, a.tolist(), b.tolist(), strict=True):
+        assert of.setdefault(w, (x, y)) == (x, y)
+    assert len({x for x, _ in of.values()}) == len({y for _, y in of.values()}) == len(of)
+    alone = common.span_names(np.frombuffer(words[5], np.uint8), np.array([0]), np.array([len(words[5])]))
+    assert (alone[0][0], alone[1][0]) == (a[5], b[5])
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3, 4])
+def test_spellings_tell_windows_apart(rounds):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(rounds)
+    for kinds in ("ab", "abc", [f"w{k}" for k in range(30)]):
+        pool = [[rng.choice(kinds) for _ in range(rng.randrange(13, 60))] for _ in range(6)]
+        texts = []
+        for _ in range(40):
+            w = []
+            while len(w) < 60:
+                p, i = rng.choice(pool), rng.randrange(13)
+                w += [*p[i : i + rng.randrange(5, 50)], rng.choice(kinds)]
+            texts.append(" ".join(w))
+        text = repeats.Text(pa.array(texts), 13)
+        elected, first, second = text.spelled(rounds)
+        assert (text.spelled(rounds, spell=False)[0] == elected).all() and (text.spelled(rounds, elect=False)[1] == first).all()
+        words = [w for t in texts for w in t.split()]
+        by, back, chosen = {}, {}, {}
+        for at, e, x, y in zip(text.windows.tolist(), elected.tolist(), first.tolist(), second.tolist(), strict=True):
+            window = tuple(words[at : at + 13])
+            assert by.setdefault(window, (x, y)) == (x, y) and back.setdefault((x, y), window) == window and chosen.setdefault(window, e) == e
