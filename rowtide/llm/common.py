@@ -40,14 +40,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_rank(df: DataFrame, by: list[str], salt: Column, order: list[Column], rank: str, salts: int = 256) -> DataFrame:
+def salted_rank(df: DataFrame, by: list[str], salt: Column, order: list[Column], rank: str, salts: int | Column = 256) -> DataFrame:
     """Add ``rank`` (long, gapless from 0 within each value of ``by``) without gathering a value's rows in one task.
 
     Rows are ranked within (by, salt) and moved up by the number of rows of smaller salts. ``by`` must take a bounded
-    number of values (lengths, shards): the table of offsets, at most values x ``salts`` rows, is then broadcast.
-    ``salt`` must depend on the row's own values only, so that a retried task gives the same ranks. ``by`` has no nulls.
+    number of values (lengths, shards): the table of offsets, a row for each value and salt, is then broadcast. ``salts``
+    may be a column that follows from ``by``. ``salt`` must depend on the row's own values only, so that a retried task gives the same ranks. ``by`` has no nulls.
     """
-    df = df.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    df = df.withColumn("__salt", F.pmod(salt, F.lit(salts) if isinstance(salts, int) else salts).cast("int"))
     before = Window.partitionBy(*by).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(*by, "__salt").agg(F.count("*").alias("__n")).withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy(*by, "__salt").orderBy(*order)

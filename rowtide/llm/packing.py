@@ -5,12 +5,17 @@ search runs once on that histogram (a few thousand steps) and Spark does the res
 within their length, and placing each piece by its rank.
 
 Bin completion takes the largest remaining piece, enumerates undominated fillings of what is left of its sequence, and
-branches over them, least waste first; one step fills as many equal sequences as the counts allow. A branch is pruned
-when its waste so far leaves no room for fewer sequences than the incumbent has. The first incumbent is best-fit
-decreasing; each full descent that needs fewer sequences replaces it.
+branches over them, least waste first; one step fills as many equal sequences as the counts allow, and later fewer. A
+branch is pruned when its waste so far or a lower bound leaves no room for fewer sequences than the incumbent has.
+Best-fit decreasing gives the first incumbent, and one more for what each step leaves.
 
-Null and empty texts give one piece of length 1 (the end id alone). Repeated rows are packed as often as they occur.
-Other columns are ignored. An empty table gives no rows.
+The search ends when the incumbent meets the lower bound or nothing is left to try, and so with the fewest sequences
+there can be; it is stopped after ``SEARCH_STEPS`` steps (``complete`` says more), as the number of branches has no useful bound. The more
+documents there are, the sooner best-fit meets the bound.
+
+Null and empty texts give one piece of length 1 (the end id alone). Repeated rows are packed as often as they occur, and
+so are rows with one doc_id and different texts; pieces of equal length are placed in the order of a hash of their ids.
+A very long text is cut into pieces by one task. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from rowtide.llm import common
 
 CAPACITY = 2048
 END_ID = 0
-#: Steps of the search beyond the first descent, and words whose ids a task keeps.
-SEARCH_STEPS, KEPT_WORDS = 2000, 600_000
+#: Steps of the search, fillings looked at for each on average, and words whose ids a task keeps.
+SEARCH_STEPS, LOOKED, KEPT_WORDS = 2000, 20, 600_000
 
 _LATIN = [chr(c) for c in range(0x180) if c != 0x130 and not 0x1C <= c <= 0x1F]
 _L = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
@@ -152,129 +157,174 @@ def least(counts: np.ndarray, capacity: int) -> int:
     """No packing needs fewer sequences: the best of the bounds that count large pieces by themselves."""
     lengths = np.arange(capacity + 1)
     number, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
-    half, best = capacity // 2, -(-int(total[-1]) // capacity)
-    for k in range(half + 1):  # pieces over capacity - k stand alone; those over a half don't share; the rest fills up
-        alone = number[-1] - number[capacity - k + 1]
-        large = number[capacity - k + 1] - number[half + 1]
-        spare = large * capacity - (total[capacity - k + 1] - total[half + 1])
-        small = total[half + 1] - total[k]
-        best = max(best, int(alone + large + max(0, -(-(small - spare) // capacity))))
-    return best
-
-
-def _fits_into(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
-    """Whether the pieces of ``small`` can be dealt into those of ``large``: then ``large`` dominates it."""
-    if not small:
-        return True
-    return any(x >= small[0] and _fits_into(small[1:], tuple(sorted((*large[:i], x - small[0], *large[i + 1 :]), reverse=True))) for i, x in enumerate(large))
-
-
-def fillings(counts: np.ndarray, room: int, width: int = 4) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` from the histogram, least waste first; each is maximal (nothing more fits)."""
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [()]
-    top = int(have[-1])
-    if top == room:  # one piece that fits exactly dominates every other filling
-        return [(top,)]
-    under = np.zeros(room + 1, np.int64)  # the largest length at most so long
-    under[have] = have
-    under = np.maximum.accumulate(under)
-    second = under[room - have]
-    same = (second == have) & (counts[have] < 2)
-    second[same] = under[have[same] - 1]
-    pairs = [(top, int(second[-1]))]
-    order = np.argsort(-(have + second), kind="stable")[:width]
-    pairs += [(int(max(have[i], second[i])), int(min(have[i], second[i]))) for i in order]
-    found = set()
-    for pair in pairs:
-        kind, left = [x for x in pair if x], room - sum(pair)
-        while left and (x := int(under[left])):  # the largest that still fit
-            if counts[x] > kind.count(x):
-                kind.append(x)
-                left -= x
-            else:
-                lower = under[x - 1] if x > 1 else 0
-                if not lower:
-                    break
-                kind.append(int(lower)) if counts[lower] > kind.count(lower) else None
-                if kind[-1] != lower:
-                    break
-                left -= int(lower)
-        found.add(tuple(sorted(kind, reverse=True)))
-    ways = sorted(found, key=lambda k: (room - sum(k), len(k)))
-    return [k for i, k in enumerate(ways) if not any(j != i and sum(o) >= sum(k) and len(o) <= 4 and len(k) <= 5 and o != k and _fits_into(k, o) for j, o in enumerate(ways[: i]))]
+    half = capacity // 2
+    k = np.arange(half + 1)  # pieces over capacity - k stand alone; those over a half don't share; the rest fills up
+    edge = capacity - k + 1
+    alone, large = number[-1] - number[edge], number[edge] - number[half + 1]
+    spare = large * capacity - (total[edge] - total[half + 1])
+    small = total[half + 1] - total[k]
+    return max(-(-int(total[-1]) // capacity), int((alone + large + np.maximum(0, -(-(small - spare) // capacity))).max()))
+
+
+def _dominates(large: tuple[int, ...], small: tuple[int, ...]) -> bool:
+    """Whether first-fit deals the pieces of ``small`` into those of ``large``: then ``large`` is at least as good."""
+    room = list(large)
+    for x in small:
+        for i, r in enumerate(room):
+            if r >= x:
+                room[i] -= x
+                break
+        else:
+            return False
+    return True
+
+
+def fillings(counts: np.ndarray, room: int, waste: int, after: tuple[int, tuple[int, ...]] | None = None, spent: list[int] | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths, largest first) of every undominated way to fill ``room`` that wastes at most ``waste``.
+
+    They come lazily, least waste first, and of equal waste those with larger pieces first. Each is maximal: nothing that
+    is left fits in its waste. ``after``: only those behind this one in that order. ``spent``: counts those looked at.
+    """
+    lengths = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1]]
+    # sums within reach with the lengths from each on, as bits; a shorter length may go in several times
+    reach, whole = [1], (1 << room + 1) - 1
+    for x in reversed(lengths):
+        bits, n, step = reach[-1], min(int(counts[x]), room // x), 1
+        while n:  # 1, 2, 4, ... copies at a time
+            bits |= bits << x * min(step, n)
+            n -= min(step, n)
+            step *= 2
+        reach.append(bits & whole)
+    reach.reverse()
+    smallest = lengths[-1] if lengths else room + 1
+    kept: list[tuple[int, ...]] = []
+
+    def ways(k: int, left: int) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield ()
+            return
+        while k < len(lengths) and reach[k] >> left & 1:
+            x = lengths[k]
+            for n in range(min(int(counts[x]), left // x), 0, -1):
+                if reach[k + 1] >> left - n * x & 1:
+                    for rest in ways(k + 1, left - n * x):
+                        yield (x,) * n + rest
+            k += 1
+
+    for lost in range(after[0] if after else 0, min(waste, room) + 1):
+        if not reach[0] >> room - lost & 1:
+            continue
+        for kind in ways(0, room - lost):
+            if spent is not None:
+                spent[0] += 1
+                if spent[0] > spent[1]:
+                    return
+            if lost >= smallest and any(int(counts[x]) > kind.count(x) for x in lengths if x <= lost):
+                continue  # something more would fit
+            if any(_dominates(one, kind) for one in kept):
+                continue
+            kept.append(kind)
+            if after is None or lost > after[0] or (lost == after[0] and kind < after[1]):
+                yield lost, kind
+            if len(kind) < 2 and not lost:
+                return  # one piece that fits exactly is at least as good as all others
+
+
+class Step:
+    """A sequence's kind that the search has chosen, and what else there is to try at its place."""
+
+    def __init__(self, largest: int, ways: Iterator[tuple[int, tuple[int, ...]]]):
+        self.largest, self.ways = largest, ways
+        self.way: tuple[int, tuple[int, ...]] = (0, ())
+        self.times = 0
 
 
 def complete(counts: np.ndarray, capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> list[tuple[tuple[int, ...], int]]:
-    """Branch and bound over fillings; the result is the last incumbent: (lengths of a sequence, how many such)."""
+    """Branch and bound over fillings; the result is the last incumbent: (lengths of a sequence, how many such).
+
+    A step takes the largest piece left and an undominated filling of the rest of its sequence, as often as the counts
+    allow, and branches first over fewer times (another filling then follows for the same largest piece) and then over
+    the next filling. What is left after a step is also packed by best-fit, which gives incumbents early. A branch ends
+    where the sequences so far and a lower bound for the rest don't beat the incumbent. If the search ends by itself the
+    result is the least possible; it is stopped after ``steps`` steps or ``LOOKED`` times as many fillings looked at, with
+    the best incumbent until then.
+    """
     counts = counts.astype(np.int64).copy()
     total = int((counts * np.arange(capacity + 1)).sum())
     incumbent, bound = best_fit(counts, capacity), least(counts, capacity)
     most = sum(m for _, m in incumbent)
-    path: list[tuple[tuple[int, ...], int, list[tuple[int, ...]]]] = []
+    path: list[Step] = []
     waste = used = 0
-    spent = 0
+    spent = [0, LOOKED * steps]
 
-    def fill(ways: list[tuple[int, ...]]) -> None:
+    def put(step: Step, times: int) -> None:
         nonlocal waste, used
-        kind = (largest, *ways[0])
+        for x in (step.largest, *step.way[1]):
+            counts[x] -= times
+        step.times += times
+        waste += times * step.way[0]
+        used += times
+
+    def fits(step: Step) -> int:
         need: dict[int, int] = {}
-        for x in kind:
+        for x in (step.largest, *step.way[1]):
             need[x] = need.get(x, 0) + 1
-        times = min(int(counts[x]) // n for x, n in need.items())
-        for x, n in need.items():
-            counts[x] -= n * times
-        waste += times * (capacity - sum(kind))
-        used += times
-        path.append((kind, times, ways[1:]))
+        return min(int(counts[x]) // n for x, n in need.items())
 
-    def undo() -> list[tuple[int, ...]]:
-        nonlocal waste, used
-        kind, times, rest = path.pop()
-        for x in kind:
-            counts[x] += times
-        waste -= times * (capacity - sum(kind))
-        used -= times
-        return rest
-
-    largest = capacity
-    descended = False
-    while most > bound:
-        while largest and not counts[largest]:
-            largest -= 1
-        back = False
-        if not largest:
-            if used < most:
-                most, incumbent = used, [(kind, times) for kind, times, _ in path]
-            descended = back = True
-        elif waste > (most - 1) * capacity - total:
-            descended = back = True
-        if back:
-            while path:
-                rest = undo()
-                if rest:
-                    break
+    def opened(after: tuple[int, tuple[int, ...]] | None) -> Step:
+        largest = int(np.flatnonzero(counts)[-1])
+        counts[largest] -= 1
+        here = counts.copy()
+        counts[largest] += 1
+        return Step(largest, fillings(here, capacity - largest, (most - 1) * capacity - total - waste, after, spent))
+
+    for _ in range(steps):
+        if most <= bound or spent[0] > spent[1]:
+            break
+        if path and path[-1].times:
+            last = path[-1]
+            left = int(counts.sum())
+            if left:
+                rest = best_fit(counts, capacity)
+                n = sum(m for _, m in rest)
             else:
+                rest, n = [], 0
+            if used + n < most:
+                most = used + n
+                incumbent = [((x.largest, *x.way[1]), x.times) for x in path] + rest
+            if left and used + least(counts, capacity) < most and waste <= (most - 1) * capacity - total:
+                # the same largest piece again: only with fillings behind this one, so no order of fillings comes twice
+                path.append(opened(last.way if counts[last.largest] else None))
+        elif not path:
+            path.append(opened(None))
+        while path:  # the next choice: fewer times, then the next filling, then a step back
+            last = path[-1]
+            if last.times > 1:
+                put(last, -1)
                 break
-            largest = max(x for x in range(capacity, 0, -1) if counts[x])
-            fill(rest)
+            put(last, -last.times)
+            way = next(last.ways, None)
+            if way is not None:
+                last.way = way
+                put(last, fits(last))
+                break
+            path.pop()
         else:
-            counts[largest] -= 1
-            ways = fillings(counts, capacity - largest)
-            counts[largest] += 1
-            fill(ways)
-        spent += descended
-        if spent > steps:
             break
     return incumbent
 
 
 def place(rows: DataFrame, capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> DataFrame:
-    """Add sequence_id and offset to pieces with a ``length``; ``rows`` is read twice and so should be a written table."""
+    """Add sequence_id and offset to pieces with a ``length`` and a number of their own, ``__row``, which is dropped.
+
+    ``rows`` is read several times and so should be a written table. A piece that fills a sequence is one by itself and
+    isn't moved; its sequence_id is below 0.
+    """
+    spark = rows.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in rows.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[length] = n
+    counts[capacity] = 0
     taken = np.zeros(capacity + 1, np.int64)
     table, sequence = [], 0
     for kind, times in complete(counts, capacity, steps):
@@ -288,7 +338,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY, steps: int = SEARCH_STEPS)
     lengths, ranks, sequences, offsets = (np.array(x, np.int64) for x in zip(*table, strict=True)) if table else (np.zeros(0, np.int64),) * 4
     # Each step of the search uses up one length but for fewer than a sequence holds, so the table's size follows the
     # number of distinct lengths, which is at most the capacity, and not the number of rows.
-    held = rows.sparkSession.sparkContext.broadcast((lengths << 48 | ranks, ranks, sequences, offsets))
+    held = spark.sparkContext.broadcast((lengths << 48 | ranks, ranks, sequences, offsets))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, to, at = held.value
@@ -298,14 +348,22 @@ def place(rows: DataFrame, capacity: int = CAPACITY, steps: int = SEARCH_STEPS)
             batch = batch.drop_columns(["__rank"])
             yield batch.append_column("sequence_id", pa.array(to[i] + rank - first[i])).append_column("offset", pa.array(at[i]))
 
-    ranked = common.salted_rank(rows, ["length"], common.id_salt("doc_id", "piece"), [F.col("doc_id"), F.col("piece")], "__rank", 64)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return ranked.select(*rows.columns, "__rank").mapInArrow(put, f"{fields}, sequence_id long, offset long")
+    # frequent lengths are ranked in parts, each of a bounded share of all rows: at most capacity + enough parts in all
+    enough = max(64, 4 * common.parts(spark))
+    salts = [(k, 1 + int(n) * enough // int(counts.sum())) for k, n in enumerate(counts.tolist()) if n]
+    salted = rows.join(F.broadcast(spark.createDataFrame(salts, "length long, __salts long")), "length")
+    kept = [c for c in rows.columns if c != "__row"]
+    ranked = common.salted_rank(salted, ["length"], common.id_salt("doc_id", "piece", "__row"), [F.col("doc_id"), F.col("piece")], "__rank", F.col("__salts"))
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    packed = ranked.select(*kept, "__rank").mapInArrow(put, f"{fields}, sequence_id long, offset long")
+    full = rows.filter(F.col("length") == capacity).select(*kept, (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, steps: int = SEARCH_STEPS, with_ids: bool = False) -> DataFrame:
     """Pack documents (doc_id, text): one row per piece with its sequence and its place there."""
-    return place(common.staged(pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity, steps)
+    found = pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("__row", F.monotonically_increasing_id())
+    return place(common.staged(found), capacity, steps)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -97,11 +97,51 @@ def test_bin_completion_is_no_worse_than_best_fit(seed):
     assert packing.least(counts, 100) <= n <= sum(t for _, t in packing.best_fit(counts, 100))
 
 
-def test_bin_completion_beats_best_fit_where_it_can():
-    counts = np.zeros(11, np.int64)
-    for x in (6, 5, 5, 4, 4, 3, 3):  # 6+4, 5+5, 4+3+3
-        counts[x] += 1
-    assert sum(t for _, t in packing.complete(counts, 10)) == 3
+def fewest(lengths, capacity):
+    """Over all subsets: the fewest sequences, and the least that the last of them can hold."""
+    best = [(99, 0)] * (1 << len(lengths))
+    best[0] = (0, capacity)
+    for some in range(1 << len(lengths)):
+        n, used = best[some]
+        for i, x in enumerate(lengths):
+            if not some >> i & 1:
+                best[some | 1 << i] = min(best[some | 1 << i], (n, used + x) if used + x <= capacity else (n + 1, x))
+    return best[-1][0]
+
+
+def test_bin_completion_finds_the_fewest():
+    import random
+
+    rng, better = random.Random(1), 0
+    for _ in range(150):
+        capacity = rng.choice([20, 50, 100, 200])
+        lengths = [rng.randrange(max(1, capacity // rng.choice([10, 6, 4])), capacity // rng.choice([1, 2]) + 1) for _ in range(rng.randrange(1, 11))]
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        found = packing.complete(counts, capacity)
+        assert sorted(x for kind, times in found for x in kind * times) == sorted(lengths) and all(sum(kind) <= capacity for kind, _ in found)
+        n = sum(times for _, times in found)
+        assert n == fewest(lengths, capacity)
+        better += n < sum(times for _, times in packing.best_fit(counts, capacity))
+    assert better
+    counts = np.bincount([52, 51, 30, 19, 17, 16, 15], minlength=101)  # a filling of three pieces that no best pair starts
+    assert sum(times for _, times in packing.complete(counts, 100)) == 2
+
+
+def test_fillings_are_all_undominated_ones():
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        room, lengths = rng.randrange(5, 30), [rng.randrange(1, 20) for _ in range(7)]
+        counts = np.bincount(lengths, minlength=40)
+        got = list(packing.fillings(counts, room, room))
+        assert [w for w, _ in got] == sorted(w for w, _ in got) and all(sum(k) + w == room for w, k in got)
+        for n in range(len(lengths) + 1):
+            for some in itertools.combinations(sorted(lengths, reverse=True), n):
+                if sum(some) <= room and some not in {k for _, k in got}:  # something found is at least as good, or more fits
+                    rest = collections.Counter(lengths) - collections.Counter(some)
+                    assert any(packing._dominates(k, some) for _, k in got) or any(x <= room - sum(some) for x in rest)
 
 
 def plain_secrets(text):
