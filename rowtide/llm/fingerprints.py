@@ -9,7 +9,8 @@ a row of a paragraph, from every word on; a shorter paragraph is one), and in ho
 of two such sums estimates how many pieces two texts don't share, so they give a likeness from 0 to 1.
 
 A null text is an empty one. An empty text has one empty paragraph. Rows with equal doc_id count as neighbours in an
-order fixed by their texts; rows without doc_id come last. Other columns are ignored; an empty table gives no rows.
+order fixed by their texts; rows without doc_id come last. A very long text is a row like any other, held
+with its hashes by one task. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -90,30 +91,37 @@ def likeness(a: str, b: str) -> Column:
 def with_next(docs: DataFrame, take: list[str]) -> DataFrame:
     """Add next_<column> of the following row by descending doc_id; after the last comes the first.
 
-    Ranges of doc_id are dealt out, about ``parts`` of them; the first row of each range also goes, as a guest, to the
-    end of the range before, so that each range finds its neighbours by itself. The driver sees a bound and an id a range.
+    Ranges of doc_id are dealt out, about ``parts`` of them, and an id that fills a range by itself (such as null) is dealt
+    into 256 more, by a hash of its rows' texts, which also orders rows of equal doc_id. The first row of each range also goes, as a guest, to the end of the range before, so that each range finds its neighbours by itself.
+    The driver sees a bound a range; the table of first rows, one a range, is lined up by one task and broadcast.
     """
-    spark = docs.sparkSession
-    n = common.parts(spark)
+    n = common.parts(docs.sparkSession)
     docs = docs.withColumn("__key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     cuts = docs.agg(F.percentile_approx("__key", [i / n for i in range(1, n)] or [0.5], 10000)).first()[0]
     if cuts is None:
         return docs.drop("__key").withColumns({f"next_{c}": F.col(c) for c in take})
+    often = {x for x in cuts if cuts.count(x) > 1}
+    docs = docs.withColumn("__tie", F.xxhash64("text") if often else F.lit(0).cast("long"))
     cuts = sorted(set(cuts))
     bounds = F.array(*[F.lit(x).cast("long") for x in cuts])
     steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
     # the number of bounds at most the key, by halving
     at = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(cuts)) & (F.get(bounds, p + s - 1) <= F.col("__key")), p + s).otherwise(p))
-    docs = docs.withColumn("__range", at)
-    heads = sorted(docs.groupBy("__range").agg(F.max("__key")).collect())
-    guests = {head: heads[(i + 1) % len(heads)][0] for i, (_, head) in enumerate(heads)}  # the range that has the row before
-    before = F.element_at(F.create_map(*[F.lit(x) for pair in guests.items() for x in pair]), F.col("__key"))
+    docs = docs.withColumn("__range", at.cast("long") * 257 + 256)
+    if often:  # the first byte of the tie, in its order
+        docs = docs.withColumn("__range", F.when(F.col("__key").isin(sorted(often)), F.col("__range") - 1 - (F.shiftright("__tie", 56) + 128)).otherwise(F.col("__range")))
+    # a row for each range: its first row, and the range that has the row before
+    line = Window.orderBy("__guest_of")
+    heads = docs.groupBy(F.col("__range").alias("__guest_of")).agg(F.max(F.struct("__key", F.bitwise_not("__tie").alias("__back"))).alias("__head"))
+    following = F.coalesce(F.lead("__guest_of").over(line), F.first("__guest_of").over(line))
+    heads = heads.select(F.col("__head.__key").alias("__key"), F.bitwise_not(F.col("__head.__back")).alias("__tie"), following.alias("__guest_of"))
+    docs = docs.join(F.broadcast(heads), ["__key", "__tie"], "left")
     own = F.struct(F.col("__range").alias("r"), F.lit(False).alias("guest"))
-    docs = docs.withColumn("__at", F.explode(F.when(before.isNotNull(), F.array(own, F.struct(before.alias("r"), F.lit(True).alias("guest")))).otherwise(F.array(own))))
-    docs = docs.withColumns({"__range": F.col("__at.r"), "__guest": F.col("__at.guest")}).drop("__at")
+    docs = docs.withColumn("__at", F.explode(F.when(F.col("__guest_of").isNotNull(), F.array(own, F.struct(F.col("__guest_of").alias("r"), F.lit(True).alias("guest")))).otherwise(F.array(own))))
+    docs = docs.withColumns({"__range": F.col("__at.r"), "__guest": F.col("__at.guest")}).drop("__at", "__guest_of")
     order = Window.partitionBy("__range").orderBy("__guest", F.desc("__key"), F.xxhash64("text"))
     docs = docs.withColumns({f"next_{c}": F.lead(c).over(order) for c in take})
-    return docs.filter(~F.col("__guest")).drop("__key", "__range", "__guest")
+    return docs.filter(~F.col("__guest")).drop("__key", "__tie", "__range", "__guest")
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
