@@ -1,14 +1,16 @@
 """Balanced label propagation: documents with equal texts are drawn into one shard, under quotas that keep shards even.
 
 The links of a group of equal texts run through the text's hash, so a group costs a row for each shard it has members
-in, not a row for each pair. In each round the shard with most of a group's members asks for its others; the requests
-are summed to a matrix of shards by shards, which the driver turns into shares that the receiving shards have room for.
-Small groups move whole, by a hash against that share; members of large ones move in proportion. A full shard keeps
-what it has, and the rest of a group that is larger than a shard gathers elsewhere. Documents without links fill the
-shards up at the end, with those of a shard that holds too many.
-
-The law is ``rows``: counts differ by one at most. Null and empty texts are equal. Repeated rows are members each. Other
-columns are ignored; an empty table gives no rows.
+in, not a row for each pair. In each round every group's members are joined with the shard where most of them are, which
+asks for the others; the requests are summed to a matrix of shards by shards, which the driver turns into shares that the
+receiving shards have room for. What a group has in a shard moves whole, by a hash against that share; what is more than
+the shard asked has room for moves in proportion. A full shard keeps what it has, and the rest of a group that is larger
+than a shard gathers elsewhere. Rounds end when nothing is asked for, or after ``ROUNDS``. Documents without links fill
+the shards up at the end, with those of a shard that holds too many.
+
+The law is ``rows``: counts differ by one at most. Null and empty texts are equal. Repeated rows are members each; rows
+with one doc_id and different texts belong to their texts' groups. Ties between shards are broken by a hash. A very long
+text only has its hashes taken. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from rowtide.llm import common
 
-SHARDS, ROUNDS, LARGE, FULL = 8, 8, 64, 0.97
+#: Shards, rounds at most, and the share of its rows from which on a shard asks for no more.
+SHARDS, ROUNDS, FULL = 8, 8, 0.97
 GROUP = ["g1", "g2"]
 
 
@@ -43,8 +46,9 @@ def propagate(state: DataFrame, room: np.ndarray, rounds: int = ROUNDS) -> DataF
             load[shard] = n
         full = [int(s) for s in np.flatnonzero(load >= FULL * room)]
         open_ = ~F.col("shard").isin(full) if full else F.lit(True)
-        group = Window.partitionBy(*GROUP).orderBy(F.desc(F.when(open_, F.col("n")).otherwise(0)), F.xxhash64(*GROUP, "shard"))
-        asked = state.withColumn("to", F.first("shard").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        votes = F.struct(F.when(open_, F.col("n")).otherwise(0), F.xxhash64(*GROUP, "shard"))
+        leaders = state.groupBy(*GROUP).agg(F.max_by("shard", votes).alias("to"))
+        asked = state.join(leaders, GROUP)  # at most a row for each shard and group
         asked = asked.withColumn("to", F.when(open_ & ~F.col("to").isin(full) if full else F.lit(True), F.col("to")).otherwise(F.col("shard")))
         flow = np.zeros((k, k))
         for a, b, n in asked.filter("shard != to").groupBy("shard", "to").agg(F.sum("n")).collect():
@@ -55,8 +59,9 @@ def propagate(state: DataFrame, room: np.ndarray, rounds: int = ROUNDS) -> DataF
         for _ in range(50):  # what comes in may be as much as there is room for, with what goes out
             out = (flow * share[None, :]).sum(1)
             share = np.clip((room - load + out) / np.maximum(flow.sum(0), 1), 0, 1)
-        part = F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.col("to") + 1)
-        moved = F.when(F.col("shard") == F.col("to"), F.col("n")).when(F.col("n") >= LARGE, F.floor(F.col("n") * part)).when(unit(*GROUP, "shard", F.lit(turn)) < part, F.col("n")).otherwise(0).cast("long")
+        of = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("to") + 1)
+        part, free = of(share), of(np.maximum(room - load, 0))
+        moved = F.when(F.col("shard") == F.col("to"), F.col("n")).when(F.col("n") > free, F.floor(F.col("n") * part)).when(unit(*GROUP, "shard", F.lit(turn)) < part, F.col("n")).otherwise(0).cast("long")
         asked = asked.withColumn("moved", moved)
         rows = F.array(F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")), F.struct("shard", (F.col("n") - F.col("moved")).alias("n")))
         state = common.staged(asked.select(*GROUP, F.explode(rows).alias("x")).select(*GROUP, "x.shard", "x.n").filter("n > 0").groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")))
@@ -77,11 +82,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     whole = Window.partitionBy(*GROUP)
     groups = state.withColumn("up", F.sum("n").over(up_to) / F.sum("n").over(whole)).groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("up", "shard"))).alias("places"))
     place = F.element_at(F.filter("places", lambda x: x["up"] > unit("doc_id", F.lit("place"))), 1)["shard"]
-    dealt = common.staged(docs.join(groups, GROUP, "left").select("doc_id", "size", "text_crc32", F.coalesce(place, F.lit(-1)).cast("int").alias("first")))
+    dealt = common.staged(common.joined_evenly(docs, groups, GROUP, "left").select("doc_id", "size", "text_crc32", F.coalesce(place, F.lit(-1)).cast("int").alias("first")))
     held = {s: n for s, n in dealt.groupBy("first").count().collect()}
     kept = np.array([min(held.get(s, 0), room[s]) for s in range(shards)], np.int64)
     over = np.array([held.get(s, 0) - kept[s] for s in range(shards)], np.int64)
-    ranked = common.salted_rank(dealt, ["first"], common.id_salt("doc_id"), [F.col("doc_id")], "rank")
+    ranked = common.salted_rank(dealt, ["first"], common.id_salt("doc_id"), [F.col("doc_id")], "rank", max(256, common.parts(docs.sparkSession)))
 
     def pick(values, of: Column) -> Column:
         return F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), of + 1)
