@@ -6,7 +6,9 @@ logistic regression separates the families; within a family each pair of languag
 
 Learned from at most ``SAMPLE`` documents a language, those with the smallest hashes of their ids. Texts that are null or
 have no letter are ``und`` with score 0, as are all if there is nothing to learn from. Languages that no family lists
-are a family each. Repeated rows are judged each; other columns are ignored.
+are a family each. Repeated rows are judged each; of rows with one doc_id the least text and language are learned from. A
+very long text is read by one task; ties between languages go to the first by name. Other columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -127,7 +129,8 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, list[st
     few = known.join(F.broadcast(counts), "lang").select("doc_id", "lang", "n", place).filter(F.col("at") * F.col("n") < 2 * sample + 100)
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).filter(F.col("k") <= sample).select("doc_id", F.col("lang").alias("learn"))
     few = few.groupBy("doc_id").agg(F.min("learn").alias("learn"))
-    both = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null").join(F.broadcast(few), "doc_id")  # at most ``sample`` rows a language
+    both = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null").join(F.broadcast(few), "doc_id")
+    both = both.groupBy("doc_id", "learn").agg(F.min("text").alias("text"))  # one row an id: at most ``sample`` rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, 1 << 20):
