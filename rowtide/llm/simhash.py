@@ -17,8 +17,9 @@ many texts there are.
 Equal fingerprints count once, so exact copies cost nothing. Connected components come from Spark rounds over the
 forest's links, with a written table between rounds.
 
-Null and empty texts have no words: fingerprint zero, linked like any other. Rows with the same doc_id keep a row each.
-Other columns are ignored. An empty table gives no rows.
+Null and empty texts have no words: fingerprint zero, linked like any other. Rows with the same doc_id keep a row each,
+whatever their texts; a bit that is set in just half the shingles is 0. A very long text is read by one task. Other columns
+are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -261,15 +262,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes, with a written table between: every node's larger neighbours are linked
     to its smallest neighbour, then its smaller ones are. Paths shorten by a factor each round.
+
+    A node with very many links is no task of its own: ``joined_evenly`` broadcasts what the few such nodes are linked to.
     """
     edges = common.staged(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi != lo").distinct())
     before = None
     while True:
-        both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select("hi", "lo"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lo"), F.least("u", "m").alias("m"))
+        large = common.staged(common.joined_evenly(edges, low, ["lo"]).select("hi", F.col("m").alias("lo")).distinct())
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        edges = large.join(small, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x")).select("x.hi", "x.lo").filter("hi != lo").distinct()
+        pairs = F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))
+        edges = common.joined_evenly(large, small, ["hi"]).select(F.explode(pairs).alias("x")).select("x.hi", "x.lo").filter("hi != lo").distinct()
         edges = common.staged(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
@@ -284,8 +288,8 @@ def near_duplicates(docs: DataFrame, most: int = MOST, width: int = SHINGLE, gro
     points = common.staged(marked.groupBy(*names).agg(F.min("doc_id").alias("node")))
     known = points.filter("node is not null")
     joined = components(links_within(band_cells(marked, known, names), names, most, first=first) if bands else links(known, most, groups))
-    named = points.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return marked.drop("bands").join(named, names).select("doc_id", *names, "component_id")
+    named = common.staged(points.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
+    return common.joined_evenly(marked.drop("bands"), named, names).select("doc_id", *names, "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,4 +303,5 @@ def one_of_each(docs: DataFrame, most: int = MOST, width: int = SHINGLE, words:
     Rows with equal doc_id are one document; rows without a doc_id stay.
     """
     found = near_duplicates(docs, most, width, None, words, first, bands)
-    return docs.join(found.filter("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.filter("doc_id is not null").join(found.filter("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    return rest.select(*docs.columns).union(docs.filter("doc_id is null"))

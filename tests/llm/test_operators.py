@@ -307,6 +307,42 @@ def test_features_do_not_depend_on_batches():
     assert np.allclose(languages.features(pa.array(texts)), np.concatenate([languages.features(pa.array([t], pa.string())) for t in texts]))
 
 
+def plain_parts(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    m = re.match(r"([^/?#]*)([^?#]*)", rest, re.DOTALL)
+    return lower(m[1]), m[2] if rest else ""
+
+
+def plain_rule(host, path):
+    fits = [(len(h + p), h + p, said) for said, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def test_op5_rules_and_words(spark, folder):
+    """Host, path and rule of every page, and the verdict of a plain logistic regression on n-grams for the rest."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    weights, want = urls.learn(urls.labelled_urls()), []
+
+    def bins(text):
+        data = ("^" + text + "$").encode()
+        found = set()
+        for n in urls.GRAMS:
+            for i in range(len(data) - n + 1):
+                code = 0
+                for x in data[i : i + n]:
+                    code = code * 257 + x
+                found.add(int(common.mixed(np.array([code + n], np.uint64))[0]) % urls.BINS)
+        return sorted(found or {0})
+
+    for r in pages:
+        host, path = plain_parts(r.url)
+        rule, said = plain_rule(host, path)
+        at = bins(host + path)
+        own = "block" if host and sum(weights[at]) / len(at) ** 0.5 + weights[-1] >= 0 else "allow"
+        want.append((r.page_id, host, path, rule, said or own))
+    assert multiset(urls.op5_urls(spark, folder).collect()) == multiset(want)
+
+
 def test_op5(spark, folder):
     got = {r.page_id: r for r in urls.op5_urls(spark, folder).collect()}
     assert (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("www.example.com", "/en/7x", "example.com/en/7", "allow")
@@ -354,6 +390,75 @@ def test_op7_with_a_group_larger_than_a_shard(spark):
     check_shards(spark, rows, got, 5)
 
 
+def plain_print(text):
+    """Lanes of a text's fingerprint by the definition: 16 strong ones, the number of pieces, and 64 bit counts."""
+    import struct
+
+    def xx(data, seed):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def xx_long(n, seed):
+        return xx(struct.pack("<q", n - (1 << 64) if n >> 63 else n), seed)
+
+    lanes, pieces = [0] * 16, []
+    for p in text.split("\n"):
+        digest = hashlib.sha512(p.encode()).hexdigest().encode()
+        for k in range(8):
+            h = _spark_int(k, xx(digest, 42))
+            lanes[2 * k] += h & 0xFFFFFFFF
+            lanes[2 * k + 1] += h >> 32
+        words = [xx(w.encode(), 42) for w in p.split(" ")]
+        for i in range(max(1, len(words) - 4)):
+            h = 42
+            for w in words[i : i + 5]:
+                h = xx_long(w, h)
+            pieces.append(h)
+    return [x % (1 << 32) for x in lanes] + [len(pieces) % (1 << 24)] + [sum(h >> b & 1 for h in pieces) % (1 << 24) for b in [*range(32), *range(32, 64)]]
+
+
+def _spark_int(n, seed):
+    """Spark's XXH64 of an int: four bytes."""
+    return xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    norm = lambda n, of: 4.0 * sum(x * x for x in of) - 4.0 * n * sum(of) + 64.0 * n * n
+    apart = [((x - y + (1 << 23)) % (1 << 24)) - (1 << 23) for x, y in zip(a[16:], b[16:], strict=True)]
+    whole = norm(a[16], a[17:]) + norm(b[16], b[17:])
+    return min(max(1 - norm(apart[0], apart[1:]) / whole, 0), 1) if whole else 0.0
+
+
+def test_op8_values(spark, rows, folder):
+    got = {r.doc_id: r for r in fingerprints.op8_fingerprint(spark, folder).collect()}
+    repeated = {d for d, n in collections.Counter(r[0] for r in rows).items() if n > 1}
+    order = sorted({r[0]: r[1] or "" for r in rows}.items(), reverse=True)
+    shown = lambda lanes: "".join(f"{x:08x}" if i < 16 else f"{x:06x}" for i, x in enumerate(lanes))
+    checked = 0
+    for (d, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        if d in repeated or len(text) > 20_000:
+            continue
+        k, lanes, after = len(text) // 3, plain_print(text), plain_print(following)
+        changed = plain_print(text[: len(text) - k] + following[:k])
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (shown(lanes), shown(changed))
+        assert abs(got[d].near_edited - plain_likeness(lanes, changed)) < 1e-9 and abs(got[d].near_next - plain_likeness(lanes, after)) < 1e-9
+        checked += 1
+    assert checked > 40
+
+
+def test_op8_where_one_id_has_most_rows(spark):
+    """Every row's next one is a row that no other row has as its next, in descending order of ids."""
+    from pyspark.sql import functions as F
+
+    rows = [(None if k % 2 else k % 97, f"text {k}") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = fingerprints.with_next(df.withColumn("me", F.struct("doc_id", "text")), ["me"]).select("me", "next_me").collect()
+    key = lambda x: -1 if x.doc_id is None else x.doc_id
+    assert len({r.me for r in got}) == len({r.next_me for r in got}) == 4000
+    assert sum(key(r.next_me) > key(r.me) for r in got) == 1 and all(key(r.next_me) in (key(r.me), key(r.me) - 1, 96) for r in got)
+
+
 def test_op8(spark, rows, folder):
     got = fingerprints.op8_fingerprint(spark, folder).collect()
     assert len(got) == len(rows)
