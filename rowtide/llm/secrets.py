@@ -7,8 +7,9 @@ every window of 20 characters: under ``RATIO`` characters per token it is a ``ra
 both sides, unless it is an identifier (words that the vocabulary knows and numbers, joined by separators). The spans of
 the patterns always stay.
 
-A null text has no spans. Each row is judged by itself, so repeated rows, ties and other columns don't matter; very long
-runs are tokenized in blocks of ``BLOCK`` characters, which bounds the time for each.
+A null or empty text has no spans. Each row is judged by itself, so repeated rows, rows with one doc_id, ties and other
+columns don't matter; spans that start together are listed in the order of ``KINDS``. Runs are tokenized whole, and the
+time for a very long text grows with its length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rowtide.llm import common
 
-RATIO, BLOCK, LEAST = 2.0, 256, 20
+RATIO, LEAST = 2.0, 20
 #: The order of kinds where spans start together.
 KINDS = ["assign", "access", "hex", "random"]
 #: Patterns, the group that is the secret's value (0: the match), and its least length.
@@ -63,7 +64,7 @@ class Scanner:
     def sizes(self, run: str) -> list[int]:
         """Characters of each token."""
         size = self.size
-        return [size[t] for at in range(0, len(run), BLOCK) for t in self.encode(run[at : at + BLOCK])]
+        return [size[t] for t in self.encode(run)]
 
     def identifier(self, run: str) -> bool:
         """Words and numbers; with letters, those of words that have ``ratio`` characters a token make up the half at least."""
@@ -110,10 +111,22 @@ class Scanner:
                 pattern, group, least = PATTERNS[kind]
                 found += [(m.start(), k, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
         base = sorted(found)
+        covered: list[list[int]] = []  # what the patterns' spans cover, without overlaps
+        for s, _, e in base:
+            if covered and s <= covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], e)
+            else:
+                covered.append([s, e])
+        k = 0
         for m in RUN.finditer(text):
             at, last = m.span()
-            taken = [(s, e) for s, _, e in base if s < last and at < e]
-            taken += [(at + x.start(), at + x.end()) for x in KNOWN.finditer(m.group())]
+            while k < len(covered) and covered[k][1] <= at:
+                k += 1
+            taken = [(at + x.start(), at + x.end()) for x in KNOWN.finditer(m.group())]
+            for i in range(k, len(covered)):
+                if covered[i][0] >= last:
+                    break
+                taken.append(tuple(covered[i]))
             for s, e in [*sorted(taken), (last, last)]:
                 if s - at >= LEAST:
                     found += [(at + x, 3, at + y) for x, y in self.random(text[at:s])]

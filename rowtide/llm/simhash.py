@@ -138,9 +138,15 @@ def cells(points: DataFrame, most: int, groups: int) -> DataFrame:
 
 
 def band_cells(marked: DataFrame, points: DataFrame, names: list[str]) -> DataFrame:
-    """(node, fp..., salt, cell): for each fingerprint the bands of all texts that have it."""
-    some = marked.select(*names, "bands").distinct().join(points, names)
-    return some.select("node", *names, F.xxhash64(*names, "bands").alias("salt"), F.explode("bands").alias("cell"))
+    """(node, fp..., salt, cell): for each fingerprint the bands of all texts that have it, where it meets another one.
+
+    Only nodes and bands are compared at first; fingerprints then travel for the bands that are shared.
+    """
+    some = common.staged(marked.select(*names, "bands").distinct().join(points, names).select("node", *names, "bands"))
+    keyed = common.staged(some.select("node", F.explode("bands").alias("cell")).distinct())
+    shared = keyed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("cell")
+    met = common.joined_evenly(keyed, shared, ["cell"])
+    return met.join(some.select("node", *names).distinct(), "node").select("node", *names, F.xxhash64("node").alias("salt"), "cell")
 
 
 def _signed(x: int) -> int:

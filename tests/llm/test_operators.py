@@ -190,6 +190,20 @@ def test_random_keys_of_every_alphabet_and_place(text, key):
     assert any(key in x for x in spans)
 
 
+def test_long_texts_take_time_in_proportion():
+    import random
+    import time
+
+    rng = random.Random(0)
+    scanner = secrets.Scanner(secrets.vocabulary_path(), secrets.RATIO)
+    key = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = ["1" + "a" * 1_000_000 + "B", key(1_000_000, "abcXYZ0189"), " ".join(key(24, "0123456789abcdef") for _ in range(40_000)), "token " * 160_000, "aB" * 500_000]
+    for text in texts:
+        start = time.process_time()
+        scanner.spans(text)
+        assert time.process_time() - start < 30
+
+
 def test_redact(spark, rows):
     df = fixtures.frame(spark, rows)
     out = secrets.redact(df, secrets.vocabulary_path())
@@ -286,6 +300,30 @@ def test_pipeline_links_all_near_copies_that_meet_the_cut(spark):
     assert near > 50
 
 
+def test_recall_of_the_pipelines_near_dedup(spark):
+    """Pairs with an exact share of common five-word shingles: how many end in one group."""
+    import random
+
+    import corpus_pipeline as c
+
+    rng, rows, share = random.Random(8), [], {}
+    for k in range(600):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(504)]
+        gone = (27, 45, 58, 90, 140)[k % 5]  # words replaced in a row: gone + 4 shingles of 500 on each side
+        other = list(words)
+        other[100 : 100 + gone] = [f"v{rng.randrange(10**7)}" for _ in range(gone)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        share[2 * k + 1] = (500 - gone - 4) / (500 + gone + 4)
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), c.CUT, c.SHINGLE, None, c.WORDS, c.FIRST, c.BANDS)
+    of = collections.defaultdict(list)
+    for r in found.filter("doc_id % 2 = 1").collect():
+        assert r.component_id in (r.doc_id, r.doc_id - 1)
+        of[round(share[r.doc_id], 2)].append(r.component_id < r.doc_id)
+    got = {x: sum(n) / len(n) for x, n in of.items()}
+    assert sorted(got) == [0.55, 0.68, 0.78, 0.82, 0.88]
+    assert got[0.88] == 1 and got[0.82] >= 0.97 and got[0.68] <= 0.1 and got[0.55] == 0, got
+
+
 def test_texts_of_one_fingerprint_share_its_bands(spark):
     rows = [(0, "same text"), (1, "same text"), (2, None), (3, ""), (None, "same text"), (None, "other")]
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 63, 5, None, 6, 22, 32)
@@ -656,3 +694,23 @@ def test_spellings_tell_windows_apart(rounds):
         for at, e, x, y in zip(text.windows.tolist(), elected.tolist(), first.tolist(), second.tolist(), strict=True):
             window = tuple(words[at : at + 13])
             assert by.setdefault(window, (x, y)) == (x, y) and back.setdefault((x, y), window) == window and chosen.setdefault(window, e) == e
+
+
+def test_pipeline_on_messy_tables(spark, rows, folder, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).collect() == []
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = docs.schema
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, folder))
+        assert docs.schema == want, name
+    ids = {r[0] for r in rows}
+    left = collections.Counter(r.doc_id for r in docs.collect())
+    assert set(left) <= ids and left
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} == set(left) and packed_length(packed)
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        nulls = common.staged(stage(spark, nulls, folder))
+        assert nulls.count() in (0, 4), name
