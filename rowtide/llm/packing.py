@@ -125,11 +125,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing on a histogram: (lengths of a sequence, how many such sequences)."""
     room: dict[int, dict[tuple[int, ...], int]] = {}  # by what is left
-    for length in range(capacity, 0, -1):
+    open_ = 0  # which keys ``room`` has, as bits
+    for length in np.flatnonzero(counts)[::-1].tolist():
         n = int(counts[length])
         while n:
-            left = min((r for r in room if r >= length), default=None)
-            if left is None:
+            fits = open_ >> length
+            if not fits:
                 each = capacity // length
                 full, rest = divmod(n, each)
                 for k, m in ((each, full), (rest, 1)):
@@ -137,8 +138,9 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
                         kind = room.setdefault(capacity - k * length, {})
                         key = (length,) * k
                         kind[key] = kind.get(key, 0) + m
-                n = 0
-                continue
+                        open_ |= 1 << capacity - k * length
+                break
+            left = length + (fits & -fits).bit_length() - 1
             key, m = room[left].popitem()
             each = min(left // length, n)
             used = min(m, n // each)
@@ -146,7 +148,9 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
                 room[left][key] = m - used
             if not room[left]:
                 del room[left]
+                open_ ^= 1 << left
             kind = room.setdefault(left - each * length, {})
+            open_ |= 1 << left - each * length
             new = key + (length,) * each
             kind[new] = kind.get(new, 0) + used
             n -= used * each

@@ -9,7 +9,8 @@ its forming depended; where two documents share those words, both have it.
 Every window of ``WINDOW`` words is spelled by the largest symbols that depend on its own words only, from left to
 right, with single words where there is none. Equal windows have the same spelling and different ones another, so the
 spelling's hash (96 bits) stands for the window. The greatest symbol of the spelling (highest round, then largest name) is
-elected: equal windows elect equal symbols, so a window can only repeat where its symbol does. Spark compares both in two
+elected, with the words it depends on: equal windows elect equal symbols, so a window can only repeat where its symbol
+does. Spark compares both in two
 rounds, on a table of documents dealt into shards:
 
 1. each shard sends the symbols it elects, once each, with the smallest and largest doc_id, and is told which occur in
@@ -66,10 +67,13 @@ def _shifted(x: np.ndarray, by: int, start: np.ndarray, edge: int) -> np.ndarray
 
 
 class Round:
-    """The symbols that a round leaves, by their first word: two halves of the name, words, and words it depends on."""
+    """The symbols that a round leaves, by their first word: two halves of the name, words, and words it depends on.
+
+    ``whole`` names the symbol together with all words that it depends on.
+    """
 
     def __init__(self, words: int):
-        self.a, self.b = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
+        self.a, self.b, self.whole = np.zeros(words, np.uint64), np.zeros(words, np.uint64), np.zeros(words, np.uint64)
         self.size = np.zeros(words, np.int8)
         self.back, self.ahead = np.full(words, _NONE, np.int8), np.full(words, _NONE, np.int8)
 
@@ -94,6 +98,8 @@ class Text:
         a, b, n = self.a, self.b, len(self.a)
         at = since = np.arange(n, dtype=np.int32)  # a symbol's first word, and what it depends on
         until = at + 1
+        up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (int(_A), pow(int(_A), -1, 1 << 64)))
+        sums = np.append(np.uint64(0), np.cumsum(a * up[:n]))  # of the words' names, for any words in a row
         start = np.zeros(n, bool)  # a document's first symbol
         start[self.first[:-1][self.first[:-1] < n]] = True
         for turn in range(rounds if n else 0):
@@ -127,6 +133,7 @@ class Text:
             found, p = Round(n + self.width), at[i]
             found.a[p], found.b[p], found.size[p] = a[i], b[i], np.append(at[1:], n)[i] - p
             found.back[p], found.ahead[p] = p - since[i], until[i] - p
+            found.whole[p] = common.mixed((sums[until[i]] - sums[since[i]]) * down[since[i]] + (until[i] - p).astype(np.uint64))
             yield found
 
     def spelled(self, rounds: int = ROUNDS, elect: bool = True, spell: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +152,7 @@ class Text:
                 if spell:
                     x, y = np.where(fits, level.a[q], x), np.where(fits, level.b[q], y)
                 if elect:
-                    symbol = np.where(fits, (level.a[q] >> np.uint64(8)) | np.uint64(k + 1 << 56), symbol)
+                    symbol = np.where(fits, (level.whole[q] >> np.uint64(8)) | np.uint64(k + 1 << 56), symbol)
             if elect:
                 np.maximum(best, symbol * now, out=best)
             if spell:
