@@ -17,6 +17,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def text(data: str | Column) -> Column:
+    """Bytes as text; what isn't UTF-8 becomes U+FFFD and ends no job."""
+    return F.make_valid_utf8(_col(data).cast("string"))
+
+
 def le(data: str | Column, at: int | Column, n: int, kind: str = "bigint") -> Column:
     """An unsigned little-endian number of n bytes; ``at`` counts from 1. Eight bytes need decimal(20,0)."""
     data = _col(data)
@@ -66,7 +71,7 @@ def is_rows(code: str | Column = "type_code") -> Column:
 def rotate_file(data: str = "body") -> Column:
     """The file that a ROTATE event names."""
     name = F.expr(f"substring(`{data}`, 9)")
-    return F.regexp_replace(F.decode(name, "utf-8"), "\\x00$", "")
+    return F.regexp_replace(text(name), "\\x00$", "")
 
 
 def rotate_position(data: str = "body") -> Column:
@@ -78,7 +83,7 @@ def query_text(data: str = "body") -> Column:
     d = F.col(data)
     at = F.lit(13) + le(data, 12, 2, "int") + le(data, 9, 1, "int") + 1
     size = F.length(d)
-    return F.when((size >= 13) & (at <= size), F.decode(F.substring(d, at + 1, size - at), "utf-8"))
+    return F.when((size >= 13) & (at <= size), text(F.substring(d, at + 1, size - at)))
 
 
 def mysql_gtid(data: str = "body") -> Column:
@@ -95,4 +100,5 @@ def mariadb_gtid(data: str = "body", server: str = "server_id") -> Column:
 
 
 def annotation(data: str = "body") -> Column:
-    return F.decode(F.col(data), "utf-8")
+    """The statement of an ANNOTATE_ROWS event."""
+    return text(data)

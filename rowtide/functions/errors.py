@@ -6,6 +6,13 @@ from __future__ import annotations
 class LogError(Exception):
     code = 1
 
+    @classmethod
+    def of(cls, code: int) -> LogError:
+        """The error of a report that has only its number left."""
+        found = cls(CODES.get(code, "ERROR"))
+        found.code = code
+        return found
+
 
 class ParseError(LogError):
     """An event or table map whose layout is broken."""

@@ -1,7 +1,8 @@
 """Transaction ids and their sets as Spark columns and frames.
 
 A MySQL set is text such as ``uuid:1-4:7,uuid:1-8``; a MariaDB set is a list of ``domain-server-sequence``. Sets are
-compared as rows of half-open ranges, so merging is a window over ranges and never a loop.
+compared as rows of half-open ranges, so merging is a window over ranges and never a loop. A set counts as a whole: if any
+part of it is malformed or tagged, none of it is used, and text or bytes made from it are null.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ def is_tagged(gtid: str | Column) -> Column:
 
 
 def is_mariadb(gtid: str | Column) -> Column:
-    """Whether every part is domain-server-sequence of digits; a comma may end the list."""
+    """Whether every part is domain-server-sequence, of 32, 32 and 64 bits; a comma may end the list."""
     g = F.col(gtid) if isinstance(gtid, str) else gtid
-    return g.rlike(r"^ *[0-9]{1,10}-[0-9]{1,10}-[0-9]{1,20} *(, *[0-9]{1,10}-[0-9]{1,10}-[0-9]{1,20} *)*,?$")
+    fields = F.transform(F.split(F.regexp_replace(g, ", *$", ""), ","), lambda p: F.split(F.trim(p), "-"))
+    within = lambda x, bits: F.coalesce(x.try_cast("decimal(38,0)") < F.lit(str(1 << bits)).cast("decimal(38,0)"), F.lit(False))
+    fits = F.forall(fields, lambda f: (F.size(f) == 3) & within(F.get(f, F.lit(0)), 32) & within(F.get(f, F.lit(1)), 32) & within(F.get(f, F.lit(2)), 64))
+    return g.rlike(r"^ *[0-9]{1,10}-[0-9]{1,10}-[0-9]{1,20} *(, *[0-9]{1,10}-[0-9]{1,10}-[0-9]{1,20} *)*,?$") & fits
 
 
 def is_safe_mariadb(gtid: str | Column) -> Column:
@@ -37,27 +41,38 @@ def is_safe_mariadb(gtid: str | Column) -> Column:
     return g.rlike("^[0-9, -]*$")
 
 
+def _parts(gtid: str) -> Column:
+    """The ranges of a MySQL set as an array of (sid, start, end), with nulls for all that doesn't parse."""
+
+    def of_part(p: Column) -> Column:
+        pieces = F.split(F.trim(p), ":")
+        compact = F.lower(F.replace(F.element_at(pieces, 1), F.lit("-")))
+        good = (F.length(F.element_at(pieces, 1)) == 36) & compact.rlike("^[0-9a-f]{32}$") & (F.size(pieces) > 1)
+        sid = F.concat_ws("-", *[F.substring(compact, x, n) for x, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+        def of_piece(x: Column) -> Column:
+            start = F.regexp_extract(F.trim(x), r"^([0-9]+)(-[0-9]+)?$", 1).try_cast("decimal(38,0)")
+            to = F.coalesce(F.regexp_extract(F.trim(x), r"^([0-9]+)-([0-9]+)$", 2).try_cast("decimal(38,0)"), start)
+            fits = good & (start >= 1) & (to >= start) & (to < LIMIT)
+            return F.struct(F.when(fits, sid).alias("sid"), F.when(fits, start).cast("long").alias("start"), F.when(fits, to + 1).cast("long").alias("end"))
+
+        return F.transform(F.slice(F.concat(pieces, F.when(F.size(pieces) < 2, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), 2, F.greatest(F.size(pieces) - 1, F.lit(1))), of_piece)
+
+    return F.flatten(F.transform(F.filter(F.split(F.col(gtid), ","), lambda p: F.trim(p) != ""), of_part))
+
+
 def ranges(sets: DataFrame, gtid: str, *keep: str) -> DataFrame:
-    """Rows (keep..., sid, start, end) of MySQL sets, half-open; parts that don't parse have a null sid.
+    """Rows (keep..., sid, start, end) of MySQL sets, half-open; a set of which any part doesn't parse gives one row of nulls.
 
-    A part is ``uuid`` of 32 hexadecimal digits in 36 characters, then numbers or ranges; tagged parts don't parse.
+    A part is ``uuid`` of 32 hexadecimal digits in 36 characters, then numbers or ranges from 1 on; tagged parts don't parse.
     """
-    part = sets.select(*keep, F.explode(F.filter(F.split(F.col(gtid), ","), lambda p: F.trim(p) != "")).alias("part"))
-    pieces = F.split(F.trim("part"), ":")
-    uuid = F.element_at(pieces, 1)
-    good = (F.length(uuid) == 36) & (F.length(F.replace(uuid, F.lit("-"))) == 32) & F.replace(uuid, F.lit("-")).rlike("^[0-9A-Fa-f]{32}$") & (F.size(pieces) > 1)
-    part = part.select(*keep, uuid.alias("uuid"), good.alias("good"), F.explode_outer(F.when(F.size(pieces) > 1, F.slice(pieces, 2, F.size(pieces)))).alias("piece"))
-    start = F.regexp_extract(F.trim("piece"), r"^([0-9]+)(-[0-9]+)?$", 1).try_cast("decimal(20,0)")
-    to = F.regexp_extract(F.trim("piece"), r"^([0-9]+)-([0-9]+)$", 2).try_cast("decimal(20,0)")
-    part = part.withColumns({"a": start, "b": F.coalesce(to, start)})
-    fits = F.col("good") & (F.col("a") >= 1) & (F.col("b") >= F.col("a")) & (F.col("b") < LIMIT)
-    compact = F.lower(F.replace("uuid", F.lit("-")))
-    sid = F.concat_ws("-", *[F.substring(compact, x, n) for x, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return part.select(*keep, F.when(fits, sid).alias("sid"), F.when(fits, F.col("a")).cast("long").alias("start"), F.when(fits, F.col("b") + 1).cast("long").alias("end"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("sid"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end")))
+    found = sets.select(*keep, _parts(gtid).alias("__parts"))
+    whole = F.when(F.exists("__parts", lambda x: x["sid"].isNull()), none).otherwise(F.col("__parts"))
+    return found.select(*keep, F.explode(whole).alias("__x")).select(*keep, "__x.*")
 
 
-def merged(found: DataFrame, *by: str) -> DataFrame:
-    """Ranges (by..., start, end) with overlapping and adjacent ones joined."""
+def _islands(found: DataFrame, by: list[str]) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     top = F.max("end").over(before)
@@ -66,12 +81,22 @@ def merged(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
+def merged(found: DataFrame, *by: str) -> DataFrame:
+    """Ranges (by..., start, end) with overlapping and adjacent ones joined.
+
+    A log has one or two server ids, so ranges are first joined within stretches of 2^20 numbers, all at once, and only
+    what is left of each stretch is lined up by itself.
+    """
+    first = _islands(found.withColumn("__stretch", F.shiftright("start", 20)), [*by, "__stretch"]).drop("__stretch")
+    return _islands(first, list(by))
+
+
 def set_text(found: DataFrame, *by: str) -> DataFrame:
-    """(by..., gtid_set): the canonical text of merged ranges (by..., sid, start, end)."""
+    """(by..., gtid_set): the canonical text of merged ranges (by..., sid, start, end); null where one is null."""
     one = F.when(F.col("end") - F.col("start") == 1, F.col("start").cast("string")).otherwise(F.concat(F.col("start").cast("string"), F.lit("-"), (F.col("end") - 1).cast("string")))
     listed = found.groupBy(*by, "sid").agg(F.array_sort(F.collect_list(F.struct("start", one.alias("text")))).alias("parts"))
     sid = F.concat(F.col("sid"), F.lit(":"), F.array_join(F.transform("parts", lambda p: p["text"]), ":"))
-    return listed.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(sid)), ",").alias("gtid_set"))
+    return listed.groupBy(*by).agg(F.when(F.count("sid") == F.count("*"), F.array_join(F.array_sort(F.collect_list(sid)), ",")).alias("gtid_set"))
 
 
 def _le8(n: Column) -> Column:
@@ -81,10 +106,11 @@ def _le8(n: Column) -> Column:
 
 
 def encoded(found: DataFrame, *by: str) -> DataFrame:
-    """(by..., encoded): merged ranges in the binary form of the wire, as hexadecimal text."""
+    """(by..., encoded): merged ranges in the binary form of the wire, as hexadecimal text; null where one is null."""
     listed = found.groupBy(*by, "sid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
     one = F.concat(F.replace("sid", F.lit("-")), _le8(F.size("parts").cast("long")), F.array_join(F.transform("parts", lambda p: F.concat(_le8(p["start"]), _le8(p["end"]))), ""))
-    return listed.groupBy(*by).agg(F.concat(_le8(F.count("*")), F.array_join(F.array_sort(F.collect_list(one)), "")).alias("encoded"))
+    whole = F.concat(_le8(F.count("*")), F.array_join(F.array_sort(F.collect_list(one)), ""))
+    return listed.groupBy(*by).agg(F.when(F.count("sid") == F.count("*"), whole).alias("encoded"))
 
 
 def missing(whole: DataFrame, part: DataFrame, *by: str) -> DataFrame:

@@ -23,12 +23,15 @@ ENVELOPE = f"source_id string, seq long, row_in_event int, op string, database s
 def with_header(raw: DataFrame, checksum: str = "auto") -> DataFrame:
     """Add header fields, body and crc_ok. checksum: auto (from the format description, CRC32 until then), crc32, none.
 
-    An artificial ROTATE (flag 0x20) has a checksum where it matches, even in a log that has none.
+    An artificial ROTATE (flag 0x20) has a checksum where it matches, even in a log that has none. Where the reader of the
+    files has followed the format descriptions (``declared``), nothing is looked up here.
     """
     events = raw.withColumns(B.header())
     if checksum == "auto":
         order = Window.partitionBy("source_id", "file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
         said = F.last(F.when(F.col("type_code") == 15, B.declared_checksum()), ignorenulls=True).over(order)
+        if "declared" in raw.columns:
+            said = F.col("declared")
         events = events.withColumn("__crc", F.coalesce(said, F.lit(True)))
         artificial = (F.col("type_code") == 4) & (F.col("flags").bitwiseAND(0x20) != 0)
         events = events.withColumn("__crc", F.col("__crc") | (artificial & (F.length("raw") >= 23) & B.checksum_matches()))
@@ -53,9 +56,11 @@ def carried(events: DataFrame, value: Column, before: str, after: str) -> DataFr
 
 
 def with_position(events: DataFrame) -> DataFrame:
-    """Add log_file and offset: where to resume. A ROTATE names the file from there on; a next position of 0 changes nothing."""
+    """Add log_file and offset: where to resume. A ROTATE names the file from there on; a next position of 0 and a damaged
+    event change nothing.
+    """
     rotate = F.col("type_code") == 4
-    at = F.when(rotate, B.rotate_position()).when(F.col("next_pos") > 0, F.col("next_pos"))
+    at = F.when(F.col("crc_ok"), F.when(rotate, B.rotate_position()).when(F.col("next_pos") > 0, F.col("next_pos")))
     events = carried(carried(events, F.when(rotate, B.rotate_file()), "__b", "log_file").drop("__b"), at, "__b", "offset").drop("__b")
     return events.withColumns({"log_file": F.coalesce("log_file", F.lit("")), "offset": F.coalesce("offset", F.lit(0))})
 
@@ -71,7 +76,7 @@ def map_names(body: str = "body") -> dict[str, Column]:
     n = B.le(body, 9, 1, "int")
     at = F.lit(11) + n  # of the table's length
     m = B.le(body, at, 1, "int")
-    return {"database": F.decode(F.substring(F.col(body), F.lit(10), n), "utf-8"), "table": F.decode(F.substring(F.col(body), at + 1, m), "utf-8")}
+    return {"database": B.text(F.substring(F.col(body), F.lit(10), n)), "table": B.text(F.substring(F.col(body), at + 1, m))}
 
 
 def table_maps(events: DataFrame) -> DataFrame:
@@ -82,11 +87,17 @@ def table_maps(events: DataFrame) -> DataFrame:
 def attach(events: DataFrame, allowed: Column | None = None) -> DataFrame:
     """Row events with their table map as of that place; ``allowed``: a predicate over database and table.
 
-    A row event without a table map stays, with null names: that is an error unless it is dropped.
+    A row event without a table map stays, with null names: that is an error unless it is dropped. What the reader of the
+    files couldn't cut into events (``error_code``) stays as well. Where that reader has followed the table maps
+    (``map_body``), nothing is moved or sorted.
     """
-    events = with_map_seq(events)
-    rows = events.filter(F.col("type_code").isin(B.ROWS))
-    out = rows.join(table_maps(events), ["source_id", "file", "map_seq"], "left")
+    broken = F.col("error_code") != 0 if "error_code" in events.columns else F.lit(False)
+    wanted = F.col("type_code").isin(B.ROWS) | broken
+    if "map_body" in events.columns:
+        out = events.filter(wanted).withColumns(map_names("map_body"))
+    else:
+        events = with_map_seq(events)
+        out = events.filter(wanted).join(table_maps(events), ["source_id", "file", "map_seq"], "left")
     return out if allowed is None else out.filter(F.col("database").isNull() | allowed)
 
 
@@ -158,15 +169,21 @@ def _envelope(made: list[tuple], before: Images, after: Images) -> pa.RecordBatc
 
 
 def decode_rows(attached: DataFrame) -> DataFrame:
-    """The change rows of attached row events: one for each row, or one with an error code for an event that fails."""
+    """The change rows of attached row events: one for each row, or one with an error code for an event that fails.
+
+    The offset of a failed event is where it begins, so that resuming at the greatest offset doesn't pass it; it is null
+    where the log doesn't say.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[bytes, codec.TableMap] = {}
         for batch in batches:
             made, before, after = [], Images(), Images()
-            for source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                op, start = codec.OPS[kind], len(made)
+            for source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset, begin, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                op, start = codec.OPS.get(kind), len(made)
                 try:
+                    if code:
+                        raise LogError.of(code)
                     if not crc_ok:
                         raise ChecksumError("checksum differs")
                     if declared is None:
@@ -186,7 +203,7 @@ def decode_rows(attached: DataFrame) -> DataFrame:
                     for images in (before, after):
                         images.cut(start)
                         images.add(None, [])
-                    made.append((source, seq, 0, op, database, name, ts, file, offset, e.code))
+                    made.append((source, seq, 0, op, database, name, ts, file, begin, e.code))
                 if len(made) >= 20_000:
                     yield _envelope(made, before, after)
                     made, before, after = [], Images(), Images()
@@ -195,8 +212,10 @@ def decode_rows(attached: DataFrame) -> DataFrame:
 
     if "offset" not in attached.columns:
         attached = attached.withColumn("offset", F.col("next_pos"))
+    begin = F.when(F.col("next_pos") >= F.col("event_length"), F.col("next_pos") - F.col("event_length"))
+    code = F.col("error_code") if "error_code" in attached.columns else F.lit(0)
     wanted = ["source_id", "seq", "type_code", "crc_ok", "body", "map_body", "database", "table", "ts", "file", "offset"]
-    return attached.select(*wanted).mapInArrow(run, ENVELOPE)
+    return attached.select(*wanted, begin.alias("begin"), code.alias("code")).mapInArrow(run, ENVELOPE)
 
 
 _STORED = {"i": (pa.int64(), "long"), "d": (pa.float64(), "double"), "s": (pa.string(), "string"), "b": (pa.binary(), "binary")}
@@ -229,8 +248,10 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
         maps: dict[bytes, codec.TableMap] = {}
         for batch in batches:
             made, lists = [], [[] for _ in wanted]
-            for source, file, seq, kind, crc_ok, body, declared in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for source, file, seq, kind, crc_ok, body, declared, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 try:
+                    if code:
+                        raise LogError.of(code)
                     if not crc_ok:
                         raise ChecksumError("checksum differs")
                     if declared is None:
@@ -241,7 +262,7 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
                         maps[declared] = codec.TableMap(declared)
                     images = [x[side] for x in codec.rows(kind, body, maps[declared])]
                 except LogError as e:
-                    made.append((source, file, seq, 0, codec.OPS[kind], e.code))
+                    made.append((source, file, seq, 0, codec.OPS.get(kind), e.code))
                     for out in lists:
                         out.append(None)
                     continue
@@ -254,13 +275,17 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
 
     fields = "source_id string, file string, seq long, row_in_event int, op string, error_code int"
     fields += "".join(f", `{n}` {_STORED[w][1]}" for n, (_, w) in zip(names, wanted, strict=True))
-    found = attached.select("source_id", "file", "seq", "type_code", "crc_ok", "body", "map_body").mapInArrow(run, fields)
-    cast = lambda n, kind: F.decode(n, "utf-8") if kind == "text" else F.col(n).try_cast(kind) if _stored(kind) == "s" and kind != "string" else F.col(n).cast(kind)
+    code = F.col("error_code") if "error_code" in attached.columns else F.lit(0)
+    found = attached.select("source_id", "file", "seq", "type_code", "crc_ok", "body", "map_body", code.alias("code")).mapInArrow(run, fields)
+    cast = lambda n, kind: B.text(n) if kind == "text" else F.col(n).try_cast(kind) if _stored(kind) == "s" and kind != "string" else F.col(n).cast(kind)
     return found.select(*head, *[cast(n, kind).alias(n) for n, (_, kind) in columns.items()])
 
 
 def changes(raw: DataFrame, allowed: Column | None = None, checksum: str = "auto") -> DataFrame:
-    """Raw events to change rows. The offset is the event header's next position."""
+    """Raw events to change rows. The offset is the event header's next position.
+
+    From ``framing.read_files`` on, each file goes through one task and nothing is exchanged.
+    """
     return decode_rows(attach(with_header(raw, checksum), allowed))
 
 
@@ -306,7 +331,7 @@ def column(image: str, ordinal: int, kind: str = "string") -> Column:
     if kind.startswith(("decimal", "date", "timestamp")):
         return v["s"].try_cast(kind)
     if kind == "text":  # TEXT columns travel as bytes
-        return F.coalesce(v["s"], F.decode(v["b"], "utf-8"))
+        return F.coalesce(v["s"], B.text(v["b"]))
     return v[_FIELD.get(kind, "s")].cast(kind)
 
 

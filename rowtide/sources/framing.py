@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 import struct
 import uuid
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from rowtide.functions import bytes as B
 from rowtide.functions.errors import ParseError
 
 MAGIC = b"\xfebin"
 # Fixed limits: the default, the most, and the least size of an event.
 DEFAULT_EVENT, MOST_EVENT, LEAST_EVENT = 64 << 20, 1 << 30, 23
+#: Bytes of a file that are read at once.
+CHUNK = 8 << 20
 SCHEMA = "source_id string, file string, seq long, raw binary, error_code int"
 
 
@@ -55,39 +59,88 @@ class Framer:
         self.rest, self.failed = b"", False
 
 
-def events_of(data: bytes, limit: int = DEFAULT_EVENT) -> Iterator[tuple[bytes, int]]:
-    """(event, error code) of a file's content; a file may start with four magic bytes. A bad length ends the file."""
-    framer = Framer(limit)
+def events_of(chunks: Iterator[bytes], limit: int = DEFAULT_EVENT, closed: bool = True) -> Iterator[tuple[bytes, int]]:
+    """(event, error code) of a file's content, in chunks of any sizes; a file may start with four magic bytes.
+
+    A bad length ends the file with an error, and so does an event that is cut off, if the file is ``closed``.
+    """
+    framer, head = Framer(limit), b""
     try:
-        for raw in framer.feed(data[4:] if data[:4] == MAGIC else data):
-            yield raw, 0
+        for chunk in chunks:
+            if head is not None:
+                head += chunk
+                if len(head) < 4:
+                    continue
+                chunk, head = head[4:] if head[:4] == MAGIC else head, None
+            for raw in framer.feed(chunk):
+                yield raw, 0
     except ParseError:
         yield b"", ParseError.code
+        return
+    if closed and (framer.rest or head):
+        yield b"", ParseError.code
+
+
+class Follower:
+    """What a file's events have declared so far: checksums, and the table maps by the tables' numbers."""
+
+    def __init__(self):
+        self.declared: bool | None = None
+        self.maps: dict[bytes, tuple[int, bytes]] = {}
 
+    def see(self, seq: int, raw: bytes) -> tuple[bool | None, int | None, bytes | None]:
+        """declared, map_seq and map_body for an event."""
+        kind = raw[4] if len(raw) >= 19 else 0
+        if kind == 15:
+            if len(raw) >= 81 and raw[-5] == 1:
+                self.declared = True
+            elif len(raw) >= 77 and raw[-1] == 0:
+                self.declared = False
+        elif kind == 19:
+            self.maps[raw[19:25]] = seq, raw[19:] if self.declared is False else raw[19:-4]
+        elif kind in B.ROWS and raw[19:25] in self.maps:
+            return self.declared, *self.maps[raw[19:25]]
+        return self.declared, None, None
 
-def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, source_id: str = "log") -> DataFrame:
-    """(source_id, file, seq, raw, error_code): the events of all files under ``path``, numbered within each file."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+FRAMED = SCHEMA + ", declared boolean, map_seq long, map_body binary"
+
+
+def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, source_id: str = "log", files_per_trigger: int = 0) -> DataFrame:
+    """(source_id, file, seq, raw, error_code) of all files under ``path``, numbered within each file, with ``declared``,
+    map_seq and map_body, which spare later steps looking for them.
+
+    Files are read whole, by a task each, and so must be closed. With ``files_per_trigger`` it is a stream of so many
+    files a trigger, from the first one on, that needs no state.
+    """
+    if files_per_trigger:
+        kinds = "path string, modificationTime timestamp, length long, content binary"
+        files = spark.readStream.format("binaryFile").schema(kinds).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    else:
+        files = spark.read.format("binaryFile").load(path)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                held, size, seq = [], 0, 0
-                for raw, code in events_of(content.as_py(), limit):
-                    held.append((source_id, name, seq, raw, code))
-                    size, seq = size + len(raw), seq + 1
+                held, size, follower, data = [], 0, Follower(), memoryview(content.as_buffer())
+                chunks = (bytes(data[at : at + CHUNK]) for at in range(0, len(data), CHUNK))
+                for seq, (raw, code) in enumerate(events_of(chunks, limit)):
+                    held.append((source_id, name, seq, raw, code, *follower.see(seq, raw)))
+                    size += len(raw)
                     if size > 4 << 20:
                         yield _batch(held)
                         held, size = [], 0
                 if held:
                     yield _batch(held)
 
-    return files.mapInArrow(run, SCHEMA)
+    return files.mapInArrow(run, FRAMED)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["source_id", "file", "seq", "raw", "error_code"])
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+    names = ["source_id", "file", "seq", "raw", "error_code", "declared", "map_seq", "map_body"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 class FilePart(InputPartition):
@@ -98,10 +151,15 @@ class FilePart(InputPartition):
 
 
 def _read(part: FilePart, source_id: str, limit: int) -> Iterator[tuple]:
-    with open(part.path, "rb") as f:
-        f.seek(part.start)
-        data = f.read(-1 if part.end is None else part.end - part.start)
-    for k, (raw, code) in enumerate(events_of(data, limit)):
+    def chunks() -> Iterator[bytes]:
+        at = part.start
+        with open(part.path, "rb") as f:
+            f.seek(at)
+            while chunk := f.read(CHUNK if part.end is None else min(CHUNK, part.end - at)):
+                at += len(chunk)
+                yield chunk
+
+    for k, (raw, code) in enumerate(events_of(chunks(), limit, part.end is None)):
         yield source_id, os.path.basename(part.path), part.seq + k, raw, code
 
 
@@ -121,7 +179,7 @@ def _lengths(path: str, at: int, limit: int) -> Iterator[int]:
 
 
 class RowLogSource(DataSource):
-    """``format("rowlog")``; options: path, sourceId, maxEventSize, maxEventsPerTrigger, maxBytesPerTrigger.
+    """``format("rowlog")``; options: path, sourceId, maxEventSize, maxEventsPerTrigger, maxBytesPerTrigger, checkpoint.
 
     The path must be mounted on all machines; ``read_files`` reads any store that Spark reads.
     """
@@ -148,6 +206,7 @@ class _Options:
         self.path = options["path"].removeprefix("file://").replace("file:", "")
         self.source_id = options.get("sourceId", "log")
         self.limit = size_limit(int(options.get("maxEventSize", DEFAULT_EVENT)))
+        self.checkpoint = options.get("checkpoint", "").removeprefix("file://").removeprefix("file:")
         self.most_events = int(options.get("maxEventsPerTrigger", 10_000))
         self.most_bytes = int(options.get("maxBytesPerTrigger", 256 << 20))
 
@@ -169,13 +228,20 @@ class RowLogReader(DataSourceReader):
 class RowLogStream(DataSourceStreamReader):
     """Offsets are a file's name, and how many events and bytes of it are read; files follow each other by name.
 
-    Spark doesn't tell a reader where its checkpoint stands, so the first trigger after a start takes all that is there;
-    later ones take a bounded number of events and bytes. A single event beyond the bound still goes through, alone.
+    Every trigger takes a bounded number of events and bytes; a single event beyond the bound still goes through, alone.
+    Spark doesn't tell a reader where its checkpoint stands, so the option ``checkpoint`` names the query's folder; without
+    it the first trigger after a start takes all that is there.
     """
 
     def __init__(self, options):
         self.of = _Options(options)
         self.at: dict | None = None
+        if self.of.checkpoint:
+            logged = [int(n) for n in os.listdir(f"{self.of.checkpoint}/offsets") if n.isdigit()] if os.path.isdir(f"{self.of.checkpoint}/offsets") else []
+            self.at = self.initialOffset()
+            if logged:
+                with open(f"{self.of.checkpoint}/offsets/{max(logged)}", encoding="utf-8") as f:
+                    self.at = json.loads(f.read().splitlines()[-1])
 
     def initialOffset(self):
         return {"file": "", "event": 0, "byte": 0}

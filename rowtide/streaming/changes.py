@@ -9,6 +9,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,27 +17,46 @@ from pyspark.sql import functions as F
 from rowtide.functions import bytes as B
 from rowtide.operators import decode
 
-_OUT = "source_id string, file string, seq long, type_code int, crc_ok boolean, body binary, map_body binary, ts long, offset long"
+_OUT = "source_id string, file string, seq long, type_code int, crc_ok boolean, error_code int, body binary, map_body binary, ts long, next_pos long, event_length long"
 
 
 def attach_maps(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Give row events the latest table map of their table; events of a file arrive in order of ``seq``."""
+    """Give row events the latest table map of their table; a file's events arrive in order of ``seq``, and its state ends
+    with it."""
     maps = pickle.loads(state.get[0]) if state.exists else {}
     events = pd.concat(list(batches)).sort_values("seq")
+    kind = events["type_code"].fillna(0).astype(int).to_numpy()
+    events["map_body"] = _as_of(events["table_id"], kind, events["body"], maps)
+    if np.isin(kind, (3, 4)).any():
+        if state.exists:
+            state.remove()
+    else:
+        state.update((pickle.dumps(maps),))
+    kept = events[np.isin(kind, B.ROWS) | (events["error_code"].to_numpy() != 0)].copy()
+    kept["source_id"], kept["file"] = key
+    yield kept[[x.split()[0] for x in _OUT.split(", ")]]
+
+
+def _as_of(tables: pd.Series, kinds: np.ndarray, bodies: pd.Series, maps: dict) -> list[bytes | None]:
+    """The map of each event's table at its place; ``maps`` is what was known before and becomes what is known after."""
     out = []
-    for x in events.itertuples(index=False):
-        if x.type_code == 19:
-            maps[x.table_id] = bytes(x.body)
-        else:
-            out.append((*key, x.seq, x.type_code, x.crc_ok, bytes(x.body), maps.get(x.table_id), x.ts, x.next_pos))
-    state.update((pickle.dumps(maps),))
-    yield pd.DataFrame(out, columns=["source_id", "file", "seq", "type_code", "crc_ok", "body", "map_body", "ts", "offset"])
-
-
-def changes(raw: DataFrame, allowed: Column | None = None) -> DataFrame:
-    """A stream of change rows from a stream of (source_id, file, seq, raw, ...); all events carry a CRC32."""
-    events = decode.with_header(raw, "crc32").filter(F.col("type_code").isin(19, *B.ROWS))
-    events = events.select("source_id", "file", "seq", "type_code", "crc_ok", "body", "table_id", "ts", "next_pos")
+    for table, kind, body in zip(tables.tolist(), kinds.tolist(), bodies.tolist(), strict=True):
+        if kind == 19:
+            maps[table] = bytes(body)
+        out.append(maps.get(table))
+    return out
+
+
+def changes(raw: DataFrame, allowed: Column | None = None, checksum: str = "crc32") -> DataFrame:
+    """A stream of change rows from a stream of raw events.
+
+    From ``framing.read_files`` (closed files), checksums are as their files declare and nothing is kept between triggers.
+    From ``read`` (files that grow), ``checksum`` is crc32 or none for all events, and the state is a file's table maps.
+    """
+    if "map_body" in raw.columns:
+        return decode.changes(raw, allowed)
+    events = decode.with_header(raw, checksum).filter(F.col("type_code").isin(3, 4, 19, *B.ROWS) | (F.col("error_code") != 0))
+    events = events.select("source_id", "file", "seq", "type_code", "crc_ok", "error_code", "body", "table_id", "ts", "next_pos", "event_length")
     held = events.groupBy("source_id", "file").applyInPandasWithState(attach_maps, _OUT, "maps binary", "append", "NoTimeout")
     held = held.withColumns(decode.map_names("map_body"))
     return decode.decode_rows(held if allowed is None else held.filter(F.col("database").isNull() | allowed))

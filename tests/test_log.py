@@ -42,7 +42,10 @@ def test_framing_does_not_depend_on_chunks():
     for at in range(0, len(data), 7):
         got += framer.feed(data[at : at + 7])
     assert b"".join(got) == data and len(got) == 5
-    assert [x for x, _ in framing.events_of(framing.MAGIC + data)] == got
+    whole = framing.MAGIC + data
+    for size in (1, 3, 50, 1000):
+        assert [x for x, _ in framing.events_of(whole[k : k + size] for k in range(0, len(whole), size))] == got
+    assert [c for _, c in framing.events_of([whole[:-1]])] == [0, 0, 0, 0, 100] and len(list(framing.events_of([whole[:-1]], closed=False))) == 4
 
 
 def test_framing_stops_at_a_bad_length():
