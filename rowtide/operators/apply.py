@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.functions import statements as S
+from rowtide.sources import folders
 
 
 def current(before: str = "before", after: str = "after") -> Column:
@@ -70,15 +72,37 @@ def validate_server(variables: DataFrame) -> DataFrame:
     return asked.join(got, ["server", "variable"], "left").filter(bad).select("server", "variable", "wanted", "found")
 
 
-def upsert(spark_batch: DataFrame, state_path: str, out_path: str, key: list[str], order: list[str]) -> None:
-    """For ``foreachBatch``: merge a batch of typed changes into the state at ``state_path`` and write it to ``out_path``."""
+def upsert(spark_batch: DataFrame, state_path: str, key: list[str], order: list[str], buckets: int = 64) -> None:
+    """For ``foreachBatch``: merge a batch of typed changes into the state at ``state_path``.
+
+    The state holds the last row of each key, deleted ones too (``current_state`` leaves them out), so that an older row
+    that comes late changes nothing. It is dealt into ``buckets`` by key, and a batch only rewrites the buckets it touches.
+    """
     spark = spark_batch.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    new = spark_batch.withColumn("__bucket", bucket)
+    touched = [r[0] for r in new.select("__bucket").distinct().collect()]  # at most ``buckets``
     try:
-        old = spark.read.parquet(state_path).select(*spark_batch.columns)
-    except Exception as e:  # no state yet
-        if "PATH_NOT_FOUND" not in str(e):
+        old = spark.read.schema(new.schema).parquet(state_path).filter(F.col("__bucket").isin(touched))
+    except AnalysisException as e:  # no state yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        old = spark_batch.limit(0)
-    latest_state(old.union(spark_batch), key, order).select(*spark_batch.columns).write.mode("overwrite").parquet(out_path)
+        old = new.limit(0)
+    rest = [c for c in new.columns if c not in key]
+    last = old.unionByName(new).groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last")).select(*key, "__last.*")
+    held = folders.new_folder(spark, "merged")
+    last.write.parquet(held)
+    merged = spark.read.schema(last.schema).parquet(held).repartition("__bucket")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(state_path)
+
+
+def current_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """The rows of the state that aren't deleted."""
+    return spark.read.parquet(state_path).filter("op <> 'DELETE'").drop("__bucket")
 
 
+def observed(events: DataFrame, name: str = "log") -> tuple[DataFrame, Observation]:
+    """The same events with header, and counts of events, bytes and checksum errors that an action on them fills in."""
+    seen = Observation(name)
+    counts = [F.count("*").alias("events"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("bytes"), F.count_if(~F.col("crc_ok")).alias("crc_errors")]
+    return events.observe(seen, *counts), seen

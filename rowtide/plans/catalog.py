@@ -292,22 +292,22 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("file", B.kind_name().alias("event")).agg(F.count("*").alias("n"), F.sum("ts").alias("seconds"), F.sum("next_pos").alias("positions"))
 
 
-@query(_CHANGES + "SELECT event_id % 7 > 0 AS crc_ok, op, count(*) AS n FROM h GROUP BY ALL")
+@query(_CHANGES + "SELECT event_id % 7 < 6 AS crc_ok, op, count(*) AS n FROM h GROUP BY ALL")
 def crc_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = D.with_header(L.event_log(spark, sf_dir, damage=7)).filter(B.is_rows())
     op = F.when(F.col("type_code") == 30, "INSERT").when(F.col("type_code") == 31, "UPDATE").otherwise("DELETE")
     return events.groupBy("crc_ok", op.alias("op")).agg(F.count("*").alias("n"))
 
 
-@query(_CHANGES + "SELECT op, CASE WHEN event_id % 7 = 0 THEN 101 ELSE 0 END AS error_code, count(*) AS n FROM h GROUP BY ALL")
+@query(_CHANGES + "SELECT op, CASE WHEN event_id % 7 = 6 THEN 101 ELSE 0 END AS error_code, count(*) AS n FROM h GROUP BY ALL")
 def permissive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.changes(L.event_log(spark, sf_dir, damage=7)).groupBy("op", "error_code").agg(F.count("*").alias("n"))
 
 
-@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op FROM h WHERE event_id > 0 AND event_id < coalesce((SELECT min(event_id) FROM h WHERE event_id > 0 AND event_id % 1777 = 0), 9223372036854775807)")
+@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op FROM h WHERE event_id < coalesce((SELECT min(event_id) FROM h WHERE event_id % 777 = 776), 9223372036854775807)")
 def failfast_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source a file would restart the numbers, so files are lined up first: the prefix ends at the first bad event of all."""
-    found = D.changes(L.event_log(spark, sf_dir, damage=1777)).filter("offset > 1004 or file > 'binlog.000001'")
+    found = D.changes(L.event_log(spark, sf_dir, damage=777))
     line = found.withColumn("seq", F.substring("file", 8, 6).cast("long") * 1_000_000_000 + F.col("seq"))
     kept = D.failfast_prefix(line).filter("error_code = 0")
     return kept.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op")
@@ -326,7 +326,7 @@ def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rowtide.sources.framing import RowLogSource
 
     spark.dataSource.register(RowLogSource)
-    found = D.changes(spark.read.format("rowlog").load(written_files(spark, sf_dir)).drop("error_code"))
+    found = D.changes(spark.read.format("rowlog").load(written_files(spark, sf_dir)))
     return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "table")
 
 
@@ -335,26 +335,122 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files through Spark's binary file scan, which also reads remote stores."""
     from rowtide.sources.framing import read_files
 
-    found = D.changes(read_files(spark, written_files(spark, sf_dir)).drop("error_code"))
+    found = D.changes(read_files(spark, written_files(spark, sf_dir)))
     return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "database")
 
 
-def written_files(spark: SparkSession, sf_dir: str) -> str:
-    """The log of the events as files in the shared folder."""
+def written_files(spark: SparkSession, sf_dir: str, extra: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """The log of the events as files in the shared folder; ``extra`` makes more rows from (source_id, file) of each file."""
     from rowtide.sources.framing import write_files
 
-    folder = folders.new_folder(spark, "rowlog")
-    write_files(L.event_log(spark, sf_dir), folder)
+    folder, log = folders.new_folder(spark, "rowlog"), L.event_log(spark, sf_dir)
+    write_files(log if extra is None else log.unionByName(extra(log.select("source_id", "file").distinct())), folder)
     return folder
 
 
+def _even_files(seq: int, raw: bytes) -> Callable[[DataFrame], DataFrame]:
+    """Damage for every second file: these bytes at this place."""
+    return lambda files: files.filter(F.substring("file", 8, 6).cast("int") % 2 == 0).select("source_id", "file", F.lit(seq).cast("long").alias("seq"), F.unhex(F.lit(raw.hex())).alias("raw"))
+
+
+_BROKEN_FILES = "SELECT DISTINCT file, 100 AS error_code, CAST(1 AS BIGINT) AS n FROM h WHERE CAST(file[8:] AS INTEGER) % 2 = 0"
+
+
+@query(_CHANGES + "SELECT file, 0 AS error_code, count(*) AS n FROM h GROUP BY file UNION ALL " + _BROKEN_FILES)
+def framing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second file ends in an event whose length can't be: its other rows and an error come through."""
+    from rowtide.sources.framing import read_files
+
+    folder = written_files(spark, sf_dir, _even_files(1 << 40, struct.pack("<IBIIIH", 0, 2, 1, 5, 0, 0)))
+    return D.changes(read_files(spark, folder)).groupBy("file", "error_code").agg(F.count("*").alias("n"))
+
+
+@query(_CHANGES + "SELECT file, 0 AS error_code, count(*) AS n FROM h GROUP BY file UNION ALL " + _BROKEN_FILES)
+def cut_off_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second file ends within an event."""
+    from rowtide.sources.framing import read_files
+
+    folder = written_files(spark, sf_dir, _even_files(1 << 40, C.event(16, b"\0" * 8)[:-1]))
+    return D.changes(read_files(spark, folder)).groupBy("file", "error_code").agg(F.count("*").alias("n"))
+
+
+@query(_CHANGES + "SELECT file, 0 AS error_code, count(*) AS n FROM h WHERE CAST(file[8:] AS INTEGER) % 2 = 1 GROUP BY file UNION ALL " + _BROKEN_FILES)
+def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second file begins with an event larger than the limit; nothing behind it is read."""
+    from rowtide.sources.framing import read_files
+
+    folder = written_files(spark, sf_dir, _even_files(-1, C.event(2, b"x" * 5000)))
+    return D.changes(read_files(spark, folder, limit=4096)).groupBy("file", "error_code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, 'sh' || chr(65533) || 'p' AS \"database\", 0 AS error_code FROM orders")
+def bad_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of ``orders`` with a database name that isn't UTF-8."""
+
+    def spoilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = [C.event(19, r[19:-4].replace(b"shop", b"sh\xffp")) if r[4] == 19 else r for r in b.column("raw").to_pylist()]
+            yield b.set_column(3, "raw", pa.array(raws, pa.binary()))
+
+    found = D.changes(_orders_log(spark, sf_dir).mapInArrow(spoilt, L.RAW), F.col("database") != "shop")
+    return found.select(_id().alias("o_orderkey"), "database", "error_code")
+
+
+@query("SELECT o_orderkey, 0 AS error_code FROM orders")
+def checksum_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second file declares that it has no checksums, but for the artificial ROTATE that it begins with."""
+
+    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        plain = TaskContext.get().partitionId() % 2 == 1
+        for b in batches:
+            raws = []
+            for raw, seq in zip(b.column("raw").to_pylist(), b.column("seq").to_pylist(), strict=True):
+                if plain:
+                    body = raw[19:-5] + b"\0" if raw[4] == 15 else raw[19:-4]
+                    raw = C.event(raw[4], body, next_pos=100 + seq, checksum=False)
+                raws.append(raw)
+            out = b.set_column(3, "raw", pa.array(raws, pa.binary()))
+            if b.num_rows and b.column("seq")[0].as_py() == 0:
+                rotate = C.event(4, (4).to_bytes(8, "little") + b"part.x", flags=0x20)
+                yield L.raw_batch([("log", b.column("file")[0].as_py(), -1, rotate)])
+            yield out
+
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz"))
+    log = L.table_log(orders.repartition(4, "o_orderkey"), "shop", "orders", _ORDERS).mapInArrow(bare, L.RAW)
+    return D.changes(log).select(_id().alias("o_orderkey"), "error_code")
+
+
+@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, (SELECT count(DISTINCT file) FROM h) AS triggers FROM h")
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files as a stream of one closed file a trigger, without state; the number of triggers is part of the result."""
+    from rowtide.sources.framing import read_files
+    from rowtide.streaming import changes as stream
+
+    raw = read_files(spark, written_files(spark, sf_dir), files_per_trigger=1)
+    out, marks = folders.new_folder(spark, "rows"), folders.new_folder(spark, "marks")
+    n = stream.run_to_end(stream.changes(raw).select(F.coalesce(_id(), _id("before")).alias("event_id"), "op"), out, marks)
+    return spark.read.parquet(out).withColumn("triggers", F.lit(n).cast("long"))
+
+
+@query(_CHANGES + "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM h) WHERE k = 1 AND op <> 'DELETE'")
+def upserted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state kept in a table by two batches, the later half of the log first."""
+    rows = D.changes(L.event_log(spark, sf_dir)).select(F.coalesce(D.column("after", 2, "bigint"), D.column("before", 2, "bigint")).alias("user_id"), "op", "file", "seq", _id().alias("event_id"), D.column("after", 3).alias("event_type"), D.column("after", 4, "double").alias("value"))
+    state, later = folders.new_folder(spark, "state"), F.pmod(F.xxhash64("file", "seq"), F.lit(2)) == 0
+    for some in (rows.filter(later), rows.filter(~later)):
+        A.upsert(some, state, ["user_id"], ["file", "seq"])
+    return A.current_state(spark, state).select("user_id", "event_id", "event_type", "value")
+
+
 @query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, \"table\" FROM h WHERE \"database\" <> 'db0'")
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files as a stream in small triggers, decoded with state and written once."""
+    """The files as a stream of bounded triggers, from the first on, decoded with state and written once."""
     from rowtide.streaming import changes as stream
 
-    raw = stream.read(spark, written_files(spark, sf_dir), maxEventsPerTrigger="20000")
     out, marks = folders.new_folder(spark, "rows"), folders.new_folder(spark, "marks")
+    raw = stream.read(spark, written_files(spark, sf_dir), maxEventsPerTrigger="20000", checkpoint=marks)
     found = stream.changes(raw, F.col("database") != "db0")
     stream.run_to_end(found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "table"), out, marks)
     return spark.read.parquet(out)
@@ -362,21 +458,46 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Statements and servers.
 
-# Statements and whether they change a schema.
-STATEMENTS = [("ALTER TABLE users ADD COLUMN x INT", True), ("RENAME TABLE a TO b", True), ("  create table t (id int)", True), ("DROP TABLE t", True), ("/* audit */ ALTER TABLE t ADD c INT", True), ("/* first */ /* second */ RENAME TABLE a TO b", True), ("-- audit\nDROP TABLE t", True), ("# audit\nCREATE TABLE t (a INT)", True), ("/*+ optimizer hint */ TRUNCATE TABLE t", True), ("/*!50100 ALTER TABLE t ENGINE=x */", True), ("/*! ALTER TABLE t ENGINE=x */", True), ("/*M!100100 RENAME TABLE a TO b */", True), ("BEGIN", False), ("COMMIT", False), ("INSERT INTO t VALUES (1)", False), ("/* unterminated", False), ("/* comment only */", False), ("-- comment only", False), ("# comment only", False), ("ALTERED TABLE t", False), ("CREATE2 TABLE t", False), ("-- ALTER TABLE t", False)]
+#: What a statement may begin with, its verb, and whether that changes a schema; a table's name follows.
+_BEFORE = ["", " \t\n", "/* note */ ", "/* a */ /* b */", "-- note\n", "# note\n", "/*!80000 ", "/*+ hint */ "]
+_VERBS = [("create index i on ", True), ("DROP VIEW ", True), ("Truncate ", True), ("ALTER VIEW ", True), ("RENAME USER ", True), ("SELECT * FROM ", False), ("UPDATE ", False), ("REPLACE INTO ", False), ("DELETE FROM ", False), ("GRANT ALL ON ", False), ("CREATED ", False), ("drop_old ", False), ("-- DROP TABLE ", False), ("/* CREATE TABLE ", False), ("# ALTER TABLE ", False)]
+
+
+def _listed(values: list[str], name: str) -> str:
+    return "(VALUES " + ", ".join("(" + "'" + v.replace("'", "''") + "')" for v in values) + f") {name}"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('" + s.replace("'", "''") + f"', {str(d).lower()})" for s, d in STATEMENTS) + ") t(statement, ddl)")
+@query("SELECT x || verb || n_name AS statement, ddl FROM nation, " + _listed(_BEFORE, "b(x)") + ", (VALUES " + ", ".join(f"('{v}', {str(d).lower()})" for v, d in _VERBS) + ") v(verb, ddl)")
 def ddl_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s, _ in STATEMENTS], "statement string").withColumn("ddl", S.is_ddl("statement"))
+    """Statements on every nation's name, with all verbs behind all kinds of comments."""
+    verbs = F.explode(F.array(*[F.concat(F.lit(x + v), F.col("n_name")) for x in _BEFORE for v, _ in _VERBS]))
+    return _table(spark, sf_dir, "nation").select(verbs.alias("statement")).withColumn("ddl", S.is_ddl("statement"))
 
 
-@query("SELECT * FROM (VALUES (1, 'binlog_format', 'ROW', 'STATEMENT'), (2, 'gtid_mode', 'ON', NULL), (3, 'log_bin_compress', 'OFF', 'ON')) t(server, variable, wanted, found)")
+@query("SELECT n_name AS name, '`' || replace(n_name || CASE WHEN n_nationkey % 2 = 0 THEN '`x' ELSE '' END, '`', '``') || '`' AS quoted, 'event=start nation=' || n_nationkey || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE ' name=' || n_name END AS line FROM nation")
+def names_and_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, k = F.col("n_name"), F.col("n_nationkey")
+    line = S.log_line("start", nation=k, name=F.when(k % 3 != 0, name))
+    return _table(spark, sf_dir, "nation").select(name.alias("name"), S.quoted(F.concat(name, F.when(k % 2 == 0, "`x").otherwise(""))).alias("quoted"), line.alias("line"))
+
+
+@query("""SELECT s_suppkey AS server, 'binlog_format' AS variable, 'ROW' AS wanted, 'STATEMENT' AS found FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT s_suppkey, 'gtid_mode', 'ON', NULL FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey % 3 > 0
+UNION ALL SELECT s_suppkey, 'log_bin_compress', 'OFF', 'ON' FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 3 = 0""")
 def validate_server(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = {"log_bin": "ON", "gtid_mode": "ON", "binlog_format": "ROW", "binlog_row_image": "FULL"}
-    servers = [(0, "8.4.0", good), (1, "9.1.0", good | {"binlog_format": "STATEMENT"}), (2, "8.4.0", {k: v for k, v in good.items() if k != "gtid_mode"}), (3, "11.4-MariaDB", {k: v for k, v in good.items() if k != "gtid_mode"} | {"log_bin_compress": "ON"})]
-    rows = [(s, v, k, x) for s, v, of in servers for k, x in of.items()]
-    return A.validate_server(spark.createDataFrame(rows, "server int, version string, name string, value string"))
+    """A server for each supplier; every third is MariaDB, and some have variables that don't do."""
+    k = F.col("s_suppkey")
+    held = {
+        "log_bin": F.lit("on"),
+        "GTID_MODE": F.when(k % 7 != 0, "ON"),
+        "binlog_format": F.when(k % 5 == 0, "STATEMENT").otherwise("ROW"),
+        "binlog_row_image": F.lit("FULL"),
+        "log_bin_compress": F.when(k % 4 == 0, "ON").otherwise("OFF"),
+    }
+    version = F.when(k % 3 == 0, "11.4-MariaDB").otherwise("8.4.0")
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in held.items()])).alias("x")
+    servers = _table(spark, sf_dir, "supplier").select(k.alias("server"), version.alias("version"), rows).select("server", "version", "x.*")
+    return A.validate_server(servers.filter("value is not null"))
 
 
 # Transaction ids.
@@ -409,17 +530,52 @@ def gtid_committed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions.committed_set(done, spark.createDataFrame([("events", f"{_S2}:900001-900002:900005")], "source_id string, gtid_set string"))
 
 
-@query(f"SELECT * FROM (VALUES ('{_S1}:100,{_S2}:200', '{_S1}:1-100,{_S2}:1-200', false), ('{_S1}:0', '', false), ('{_S1}:1-5:7', '{_S1}:1-5:7', false), ('0-1-100', '0-1-100', false), ('{_S1}:tag:5', '{_S1}:tag:5', true)) t(gtid, normalized, tagged)")
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '{_S1}:1-' || o_orderkey + 1 || ',{_S2}:1-2' WHEN 1 THEN '' WHEN 2 THEN '{_S1}:2-' || o_orderkey + 2 ELSE '{_S1}:tag:' || o_orderkey END AS normalized, o_orderkey % 4 = 3 AS tagged FROM orders""")
 def gtid_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = [f"{_S1}:100,{_S2}:200", f"{_S1}:0", f"{_S1}:1-5:7", "0-1-100", f"{_S1}:tag:5"]
-    return spark.createDataFrame([(x,) for x in given], "gtid string").select("gtid", G.normalized("gtid").alias("normalized"), G.is_tagged("gtid").alias("tagged"))
+    """A set of each form for every order."""
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    given = F.when(k % 4 == 0, F.concat(F.lit(f"{_S1}:"), (k + 1).cast("string"), F.lit(f", {_S2}:2"))).when(k % 4 == 1, F.lit(f"{_S1}:0")).when(k % 4 == 2, F.concat(F.lit(f"{_S1}:2-"), (k + 2).cast("string"))).otherwise(F.concat(F.lit(f"{_S1}:tag:"), n))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", G.normalized(given.alias("g")).alias("normalized"), G.is_tagged(given).alias("tagged"))
 
 
-@query()
+def _le8_sql(n: str) -> str:
+    h = f"format('{{:016x}}', CAST({n} AS BIGINT))"
+    return "(" + " || ".join(f"substr({h}, {15 - 2 * k}, 2)" for k in range(8)) + ")"
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 7
+WHEN 0 THEN {_le8_sql('1')} || '{_S1.replace('-', '')}' || {_le8_sql('1')} || {_le8_sql('1')} || {_le8_sql('o_orderkey + 9')}
+WHEN 1 THEN {_le8_sql('2')} || '{_S1.replace('-', '')}' || {_le8_sql('1')} || {_le8_sql('o_orderkey')} || {_le8_sql('o_orderkey + 1')} || '{_S2.replace('-', '')}' || {_le8_sql('2')} || {_le8_sql('1')} || {_le8_sql('4')} || {_le8_sql('7')} || {_le8_sql('8')}
+END AS encoded, CASE WHEN o_orderkey % 7 < 2 THEN o_orderkey % 7 + 1 END AS sids FROM orders""")
 def gtid_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = [(1, f"{_S1}:1-3"), (2, f"{_S1}:1-5:3-8"), (3, f"{_S1}:1-3, {_S1}:5-7"), (4, f"{_S1}:1-3:4-6,{_S2}:9")]
-    found = G.ranges(spark.createDataFrame(given, "id int, gtid string"), "gtid", "id")
-    return G.encoded(G.merged(found, "id", "sid"), "id")
+    """A set for every order, well-formed or with one part that isn't, which spoils the whole set."""
+    k = F.col("o_orderkey")
+    n, good = k.cast("string"), f"{_S2}:1-3:7"
+    forms = {
+        0: F.concat(F.lit(f"{_S1}:1-"), (k + 3).cast("string"), F.lit(f",{_S1}:2-"), (k + 8).cast("string")),
+        1: F.concat(F.lit(f"{_S1}:"), n, F.lit(f", {good}")),
+        2: F.concat(F.lit(f"{good},{_S1}:tag:"), n),
+        3: F.concat(F.lit(f"{good},{_S1}:0-"), n),
+        4: F.concat(F.lit(f"{good},nonsense:"), n),
+        5: F.concat(F.lit(f"{_S1}:"), (k + 1).cast("string"), F.lit("-"), n, F.lit(f",{good}")),
+        6: F.lit(f"{good},{_S1}"),
+    }
+    given = F.lit(None).cast("string")
+    for rest, form in forms.items():
+        given = F.when(k % 7 == rest, form).otherwise(given)
+    merged = G.merged(G.ranges(_table(spark, sf_dir, "orders").select("o_orderkey", given.alias("gtid")), "gtid", "o_orderkey"), "o_orderkey", "sid")
+    sids = merged.groupBy("o_orderkey").agg(F.nullif(F.count_distinct("sid"), F.lit(0)).alias("sids"))
+    return G.encoded(merged, "o_orderkey").join(sids, "o_orderkey")
+
+
+@query("""SELECT o_orderkey, o_orderkey % 5 < 2 AS ok FROM orders""")
+def mariadb_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    given = F.when(k % 5 == 0, F.concat(F.lit("0-1-"), n)).when(k % 5 == 1, F.concat(F.lit("4294967295-1-18446744073709551615, 1-2-"), n, F.lit(",")))
+    given = given.when(k % 5 == 2, F.concat(F.lit("4294967296-1-"), n)).when(k % 5 == 3, F.concat(F.lit("0-1-99999999999999999999,0-1-"), n)).otherwise(F.concat(n, F.lit("-1")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", G.is_mariadb(given).alias("ok"))
 
 
 def _encoded(*sids: tuple[str, list[tuple[int, int]]]) -> str:
@@ -427,9 +583,6 @@ def _encoded(*sids: tuple[str, list[tuple[int, int]]]) -> str:
     return le8(len(sids)) + "".join(s.replace("-", "") + le8(len(r)) + "".join(le8(a) + le8(b) for a, b in r) for s, r in sids)
 
 
-_SQL["gtid_encode"] = "SELECT CAST(id AS INTEGER) AS id, encoded FROM (VALUES " + ", ".join(f"({k}, '{_encoded(*x)}')" for k, x in enumerate([[(_S1, [(1, 4)])], [(_S1, [(1, 9)])], [(_S1, [(1, 4), (5, 8)])], [(_S1, [(1, 7)]), (_S2, [(9, 10)])]], 1)) + ") t(id, encoded)"
-
-
 @query(_CHANGES + "SELECT user_id % 4 AS domain, CAST(1 AS BIGINT) AS server, max(event_id + 1) AS seq FROM h GROUP BY 1")
 def mariadb_highwater(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = transactions.commits(transactions.with_gtid(D.with_header(L.event_log(spark, sf_dir, maria=True))))

@@ -79,7 +79,7 @@ def event_log(spark: SparkSession, sf_dir: str, maria: bool = False, damage: int
 
     Each file starts with a format description and ends with a ROTATE to the next. Each change is a transaction: GTID,
     BEGIN, the table map where the file hasn't had it yet, the row event, and XID or COMMIT. ``damage``: every row event
-    whose source row's number is divisible by it has a wrong byte.
+    whose source row's number leaves the greatest remainder when divided by it has a wrong byte.
     """
     made = event_changes(spark, sf_dir).repartition("file").sortWithinPartitions("file", "event_id")
 
@@ -117,7 +117,7 @@ def event_log(spark: SparkSession, sf_dir: str, maria: bool = False, damage: int
                 images = b"".join(image(v) for v in (x["before"], x["after"]) if v is not None)
                 kind = {"INSERT": 30, "UPDATE": 31, "DELETE": 32}[x["op"]]
                 raw = C.event(kind, C.rows_body(x["table_id"], 6, [images], kind == 31), ts, at)
-                if damage and k % damage == 0:
+                if damage and k % damage == damage - 1:
                     raw = raw[:-5] + bytes([raw[-5] ^ 0xFF]) + raw[-4:]
                 put(raw)
                 put(C.event(16, struct.pack("<Q", k), ts, at) if k % 3 else C.event(2, struct.pack("<IIBHH", 1, 0, 0, 0, 0) + b"\0COMMIT", ts, at))

@@ -55,7 +55,8 @@ def changes(raw: DataFrame, allowed: Column | None = None, checksum: str = "crc3
     """
     if "map_body" in raw.columns:
         return decode.changes(raw, allowed)
-    events = decode.with_header(raw, checksum).filter(F.col("type_code").isin(3, 4, 19, *B.ROWS) | (F.col("error_code") != 0))
+    ends = F.col("type_code").isin(3, 4) & (F.col("flags").bitwiseAND(0x20) == 0)
+    events = decode.with_header(raw, checksum).filter(F.col("type_code").isin(19, *B.ROWS) | ends | (F.col("error_code") != 0))
     events = events.select("source_id", "file", "seq", "type_code", "crc_ok", "error_code", "body", "table_id", "ts", "next_pos", "event_length")
     held = events.groupBy("source_id", "file").applyInPandasWithState(attach_maps, _OUT, "maps binary", "append", "NoTimeout")
     held = held.withColumns(decode.map_names("map_body"))
@@ -70,10 +71,14 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.format("rowlog").options(**options).load(path)
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Write what is there to Parquet, exactly once, and stop; a later call goes on from the checkpoint."""
+def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> int:
+    """Write what is there to Parquet, exactly once, and stop; a later call goes on from the checkpoint.
+
+    Returns the number of triggers that had rows.
+    """
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").start()
     try:
         query.processAllAvailable()
+        return sum(p.numInputRows > 0 for p in query.recentProgress)
     finally:
         query.stop()

@@ -151,10 +151,62 @@ def test_stream_resumes_and_loses_nothing(spark, tmp_path):
 
 def test_upsert_batches(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "id long, op string, seq long, v string")
-    a, b = str(tmp_path / "a"), str(tmp_path / "b")
-    A.upsert(rows((1, "INSERT", 1, "x"), (2, "INSERT", 2, "y")), a, b, ["id"], ["seq"])
-    A.upsert(rows((1, "UPDATE", 3, "z"), (2, "DELETE", 4, None)), b, a, ["id"], ["seq"])
-    assert [(r.id, r.v) for r in spark.read.parquet(a).collect()] == [(1, "z")]
+    path = str(tmp_path / "state")
+    A.upsert(rows((1, "INSERT", 1, "x"), (2, "INSERT", 2, "y"), (3, "INSERT", 2, "w")), path, ["id"], ["seq"])
+    A.upsert(rows((1, "UPDATE", 3, "z"), (2, "DELETE", 5, None)), path, ["id"], ["seq"])
+    A.upsert(rows((2, "UPDATE", 4, "late")), path, ["id"], ["seq"])  # a deleted key stays deleted
+    assert sorted((r.id, r.v) for r in A.current_state(spark, path).collect()) == [(1, "z"), (3, "w")]
+
+
+def test_counters_and_errors_of_statements(spark):
+    bad = bytearray(bytes.fromhex(WRITE))
+    bad[-6] ^= 1
+    query = C.event(2, struct.pack("<IIBHH", 1, 0, 0, 0, 0) + b"\0INSERT INTO t VALUES ('caf\xe9')")
+    events, seen = A.observed(D.with_header(raw(spark, [MAP, bytes(bad), query])))
+    assert events.filter("type_code = 2").select(B.query_text().alias("q")).first().q == "INSERT INTO t VALUES ('caf\ufffd')"
+    events.count()
+    assert seen.get == {"events": 3, "bytes": len(bytes.fromhex(MAP)) + len(bad) + len(query), "crc_errors": 1}
+    failed = D.changes(raw(spark, [MAP, WRITE, bytes(bad)])).orderBy("seq").collect()
+    assert [(r.offset, r.error_code) for r in failed] == [(200, 0), (160, 101)]  # where the failed event begins
+
+
+def test_id_sets_count_as_a_whole(spark):
+    s1 = "00000000-0000-0000-0000-000000000001"
+    sets = spark.createDataFrame([(1, f"{s1}:1-3,{s1}:tag:5"), (2, f"{s1}:0-4"), (3, f"{s1}:1-3"), (4, f"{s1}:5,x")], "id int, g string")
+    merged = G.merged(G.ranges(sets, "g", "id"), "id", "sid")
+    assert {r.id: r.gtid_set for r in G.set_text(merged, "id").collect()} == {1: None, 2: None, 3: f"{s1}:1-3", 4: None}
+    far = spark.createDataFrame([(1, a, a + 3) for a in (0, (1 << 20) - 3, 1 << 20, (1 << 21) + 5, 3)], "id int, start long, end long")
+    assert sorted((r.start, r.end) for r in G.merged(far, "id").collect()) == [(0, 6), ((1 << 20) - 3, (1 << 20) + 3), ((1 << 21) + 5, (1 << 21) + 8)]
+
+
+def test_values_that_inflate_to_less_or_more():
+    from rowtide.functions.errors import DecodeError
+
+    good = C.deflated(b"some text")
+    assert C.inflated(good, 100) == b"some text"
+    for bad in (good + b"x", bytes([0x81, 0]) + C.zlib.compress(b""), bytes([0x81, 8]) + good[2:]):
+        with pytest.raises(DecodeError):
+            C.inflated(bad, 100)
+
+
+def test_files_are_decoded_without_an_exchange(spark, tmp_path):
+    (tmp_path / "b.1").write_bytes(framing.MAGIC + bytes.fromhex(MAP + WRITE + UPDATE))
+    found = D.changes(framing.read_files(spark, str(tmp_path)))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.op for r in found.orderBy("seq").collect()] == ["INSERT", "UPDATE"]
+
+
+def test_stream_takes_bounded_triggers_from_the_first_on(spark, tmp_path):
+    folder, out, marks = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "marks")
+    folder.mkdir()
+    event = lambda n: C.event(30, C.rows_body(42, 1, [C.image(COLUMNS, [n])]))
+    (folder / "b.1").write_bytes(framing.MAGIC + bytes.fromhex(MAP) + b"".join(map(event, range(19))))
+    read = lambda: stream.changes(stream.read(spark, str(folder), maxEventsPerTrigger="5", checkpoint=marks)).select(D.column("after", 0, "bigint").alias("id"))
+    assert stream.run_to_end(read(), out, marks) == 4
+    with open(folder / "b.1", "ab") as f:
+        f.write(b"".join(map(event, range(19, 26))))
+    assert stream.run_to_end(read(), out, marks) == 2
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(26))
 
 
 def test_queries_have_sql():
