@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rowtide.functions import bytes as B
 from rowtide.functions import codec
+from rowtide.functions import statements as S
 from rowtide.functions.errors import ChecksumError, DecodeError, LogError
 
 VALUE = "struct<ordinal int, name string, kind string, i bigint, d double, s string, b binary>"
@@ -84,8 +85,23 @@ def table_maps(events: DataFrame) -> DataFrame:
     return events.filter("type_code = 19").select("source_id", "file", F.col("seq").alias("map_seq"), F.col("body").alias("map_body"), *[c.alias(n) for n, c in map_names().items()])
 
 
-def attach(events: DataFrame, allowed: Column | None = None) -> DataFrame:
-    """Row events with their table map as of that place; ``allowed``: a predicate over database and table.
+def passing(attached: DataFrame, allowed: Column | DataFrame | None) -> DataFrame:
+    """Attached events of the tables that pass, and those without a name, which are errors.
+
+    ``allowed`` is a predicate over database and table, or a frame (database, table) of the tables wanted, which is read
+    anew by each run, and by each trigger of a stream; it is joined on the names, before any row is decoded.
+    """
+    if allowed is None:
+        return attached
+    if isinstance(allowed, DataFrame):
+        wanted = allowed.select("database", "table").distinct().withColumn("__wanted", F.lit(True))
+        found = attached.join(wanted, ["database", "table"], "left").filter(F.col("database").isNull() | F.col("__wanted"))
+        return found.select(*attached.columns)
+    return attached.filter(F.col("database").isNull() | allowed)
+
+
+def attach(events: DataFrame, allowed: Column | DataFrame | None = None) -> DataFrame:
+    """Row events with their table map as of that place; ``allowed`` as for ``passing``.
 
     A row event without a table map stays, with null names: that is an error unless it is dropped. What the reader of the
     files couldn't cut into events (``error_code``) stays as well. Where that reader has followed the table maps
@@ -98,7 +114,7 @@ def attach(events: DataFrame, allowed: Column | None = None) -> DataFrame:
     else:
         events = with_map_seq(events)
         out = events.filter(wanted).join(table_maps(events), ["source_id", "file", "map_seq"], "left")
-    return out if allowed is None else out.filter(F.col("database").isNull() | allowed)
+    return passing(out, allowed)
 
 
 class Images:
@@ -281,7 +297,7 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
     return found.select(*head, *[cast(n, kind).alias(n) for n, (_, kind) in columns.items()])
 
 
-def changes(raw: DataFrame, allowed: Column | None = None, checksum: str = "auto") -> DataFrame:
+def changes(raw: DataFrame, allowed: Column | DataFrame | None = None, checksum: str = "auto") -> DataFrame:
     """Raw events to change rows. The offset is the event header's next position.
 
     From ``framing.read_files`` on, each file goes through one task and nothing is exchanged.
@@ -304,16 +320,36 @@ def with_names(found: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumns({"before": named("before"), "after": named("after")}).select(*found.columns, "names_resolved")
 
 
+def with_schema_since(found: DataFrame, events: DataFrame) -> DataFrame:
+    """Add schema_since: the place (file, seq) of the last statement before each row that changes a schema, null before
+    the first. ``events`` are those of the same log, with header.
+
+    Such statements are few: those of a file travel to its rows as one array of numbers, and a file knows the last one of
+    the files before it.
+    """
+    ddl = (F.col("type_code") == 2) & S.is_ddl(B.query_text())
+    files = events.groupBy("source_id", "file").agg(F.array_sort(F.collect_list(F.when(ddl, F.col("seq")))).alias("__ddl"))
+    across = Window.partitionBy("source_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.size("__ddl") > 0, F.struct("file", F.try_element_at("__ddl", F.lit(-1)).alias("seq")))
+    files = files.withColumn("__in", F.last(own, ignorenulls=True).over(across)).filter((F.size("__ddl") > 0) | F.col("__in").isNotNull())
+    past = F.filter("__ddl", lambda at: at < F.col("seq"))
+    here = F.when(F.size(past) > 0, F.struct("file", F.try_element_at(past, F.lit(-1)).alias("seq")))
+    return found.join(files, ["source_id", "file"], "left").withColumn("schema_since", F.coalesce(here, F.col("__in"))).select(*found.columns, "schema_since")
+
+
 def with_names_asof(found: DataFrame, registry: DataFrame) -> DataFrame:
     """As ``with_names``, from a registry with versions (database, table, file, seq, names): the last one at each row's place.
 
-    The versions of a table, one for each change of its schema, travel as one array, so hot tables are no hot keys.
+    Where ``found`` has schema_since, a version from before that statement is out of date and not used, whatever table the
+    statement was about. The versions of a table travel as one array, so hot tables are no hot keys.
     """
     version = F.struct("file", "seq", "names")
     all_ = registry.groupBy("database", "table").agg(F.array_sort(F.collect_list(version)).alias("__all"))
     here = F.struct("file", "seq")
-    past = F.filter("__all", lambda v: F.struct(v["file"], v["seq"]) <= here)
-    rows = found.join(all_, ["database", "table"], "left").withColumn("__names", F.element_at(F.transform(past, lambda v: v["names"]), -1))
+    since = F.col("schema_since")
+    fresh = lambda v: since.isNull() | (F.struct(v["file"], v["seq"]) >= since) if "schema_since" in found.columns else F.lit(True)
+    past = F.filter("__all", lambda v: (F.struct(v["file"], v["seq"]) <= here) & fresh(v))
+    rows = found.join(all_, ["database", "table"], "left").withColumn("__names", F.try_element_at(F.transform(past, lambda v: v["names"]), F.lit(-1)))
     size = F.coalesce(F.size("after"), F.size("before"))
     rows = rows.withColumn("names_resolved", F.coalesce(F.size("__names") == size, F.lit(False)))
     named = lambda c: F.when(F.col("names_resolved"), F.transform(c, lambda v: v.withField("name", F.get("__names", v["ordinal"])))).otherwise(F.col(c))

@@ -16,21 +16,26 @@ from rowtide.functions import statements as S
 from rowtide.operators.decode import carried
 
 
+def marks(events: DataFrame) -> DataFrame:
+    """Add own_gtid of GTID events, ends, whether an event ends a transaction, and mark: what is pending after the event
+    (an id, or nothing as ``""``), null for an event that leaves it as it is."""
+    kind = F.col("type_code")
+    own = F.when(kind == 33, B.mysql_gtid()).when(kind == 162, B.mariadb_gtid())
+    ends = (kind == 16) | ((kind == 2) & S.is_boundary(B.query_text()))
+    events = events.withColumns({"own_gtid": own, "ends": F.coalesce(ends, F.lit(False))})
+    return events.withColumn("mark", F.when(F.col("own_gtid").isNotNull(), F.col("own_gtid")).when(F.col("ends") | (kind == 34), F.lit("")))
+
+
 def with_gtid(events: DataFrame) -> DataFrame:
     """Add own_gtid of GTID events, gtid, the pending one at each event, and committed, the one that the event commits.
 
     A pending id commits at XID, at a boundary statement, or where the next GTID or an anonymous one begins.
     """
-    kind = F.col("type_code")
-    own = F.when(kind == 33, B.mysql_gtid()).when(kind == 162, B.mariadb_gtid())
-    ends = (kind == 16) | ((kind == 2) & S.is_boundary(B.query_text()))
-    events = events.withColumns({"own_gtid": own, "__ends": ends})
-    mark = F.when(F.col("own_gtid").isNotNull(), F.col("own_gtid")).when(F.col("__ends") | (kind == 34), F.lit(""))
-    events = carried(events, mark, "__before", "__after")
-    here = F.col("__ends") | (kind == 34) | F.col("own_gtid").isNotNull()
+    events = carried(marks(events), F.col("mark"), "__before", "__after")
     none = F.lit("")
-    out = events.withColumns({"gtid": F.nullif(F.when(F.col("__ends"), F.col("__before")).otherwise(F.col("__after")), none), "committed": F.when(here, F.nullif(F.col("__before"), none))})
-    return out.drop("__before", "__after", "__ends")
+    pending = F.when(F.col("ends"), F.col("__before")).otherwise(F.col("__after"))
+    out = events.withColumns({"gtid": F.nullif(pending, none), "committed": F.when(F.col("mark").isNotNull(), F.nullif(F.col("__before"), none))})
+    return out.drop("__before", "__after", "ends", "mark")
 
 
 def commits(marked: DataFrame) -> DataFrame:
@@ -38,9 +43,15 @@ def commits(marked: DataFrame) -> DataFrame:
     return marked.filter("committed is not null").select("source_id", "file", "seq", F.col("committed").alias("gtid"))
 
 
+def singles(done: DataFrame) -> DataFrame:
+    """(source_id, sid, start, end): a range for each MySQL id of ``commits``."""
+    part = done.select("source_id", F.split("gtid", ":").alias("p")).select("source_id", F.col("p")[0].alias("sid"), F.col("p")[1].cast("long").alias("start"))
+    return part.withColumn("end", F.col("start") + 1)
+
+
 def committed_set(done: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """(source_id, gtid_set): MySQL ids committed, with those of a baseline (source_id, gtid_set), in canonical text."""
-    part = done.select("source_id", F.split("gtid", ":").alias("p")).select("source_id", F.col("p")[0].alias("sid"), F.col("p")[1].cast("long").alias("start")).withColumn("end", F.col("start") + 1)
+    part = singles(done)
     if baseline is not None:
         part = part.union(G.ranges(baseline, "gtid_set", "source_id"))
     return G.set_text(G.merged(part, "source_id", "sid"), "source_id")
@@ -97,9 +108,7 @@ def baselines(events: DataFrame) -> DataFrame:
 def checkpoint(marked: DataFrame) -> DataFrame:
     """(source_id, gtid_set): what a log's own baselines and its committed transactions come to, MySQL form."""
     start = baselines(marked).filter("kind = 'mysql'").select("source_id", "sid", F.col("a").alias("start"), F.col("b").alias("end"))
-    own = commits(marked).select("source_id", F.split("gtid", ":").alias("p"))
-    own = own.select("source_id", F.col("p")[0].alias("sid"), F.col("p")[1].cast("long").alias("start")).withColumn("end", F.col("start") + 1)
-    return G.set_text(G.merged(start.union(own), "source_id", "sid"), "source_id")
+    return G.set_text(G.merged(start.union(singles(commits(marked))), "source_id", "sid"), "source_id")
 
 
 def mariadb_checkpoint(marked: DataFrame) -> DataFrame:

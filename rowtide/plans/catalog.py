@@ -240,6 +240,14 @@ def filter_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "database", "table", "op")
 
 
+@query(_FILTERED + "(\"database\", \"table\") IN (('db0', 'sessions'), ('db1', 'items'))")
+def filter_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables wanted come as a frame, which is joined before the decoding."""
+    wanted = spark.createDataFrame([("db0", "sessions"), ("db1", "items"), ("db1", "items")], "database string, `table` string")
+    found = D.changes(L.event_log(spark, sf_dir), wanted)
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "database", "table", "op")
+
+
 # Schemas along the log.
 
 
@@ -456,6 +464,38 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+# Transactions of a stream; the log's queries on ids follow below.
+
+
+def _stream_commits(spark: SparkSession, sf_dir: str, marks: str) -> DataFrame:
+    from rowtide.streaming import changes as stream
+    from rowtide.streaming import transactions as tracked
+
+    raw = stream.read(spark, written_files(spark, sf_dir), sourceId="events", maxEventsPerTrigger="7001", checkpoint=marks)
+    return tracked.commits(raw)
+
+
+@query(_CHANGES + "SELECT 'events' AS source_id, file, '00000000-0000-0000-0000-00000000000' || (1 + event_id % 2) || ':' || (event_id // 2 + 1) AS gtid FROM h")
+def stream_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as they commit; the bound of a trigger falls within transactions."""
+    from rowtide.streaming import changes as stream
+
+    out, marks = folders.new_folder(spark, "rows"), folders.new_folder(spark, "marks")
+    stream.run_to_end(_stream_commits(spark, sf_dir, marks), out, marks)
+    return spark.read.parquet(out).select("source_id", "file", "gtid")
+
+
+@query(_CHANGES + """, g AS (SELECT event_id % 2 AS s, event_id // 2 + 1 AS n FROM h), i AS (SELECT s, n, n - row_number() OVER (PARTITION BY s ORDER BY n) AS k FROM g)
+SELECT 'events' AS source_id, '00000000-0000-0000-0000-00000000000' || (1 + s) AS sid, min(n) AS "start", max(n) + 1 AS "end" FROM i GROUP BY s, k""")
+def stream_committed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set that a stream has committed, kept batch by batch."""
+    from rowtide.streaming import transactions as tracked
+
+    held, marks = folders.new_folder(spark, "set"), folders.new_folder(spark, "marks")
+    tracked.run_to_end(_stream_commits(spark, sf_dir, marks), held, marks)
+    return tracked.kept_set(spark, held).select("source_id", "sid", "start", "end")
+
+
 # Statements and servers.
 
 #: What a statement may begin with, its verb, and whether that changes a schema; a table's name follows.
@@ -630,6 +670,19 @@ def names_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "names_resolved", F.get(A.current(), F.lit(0))["name"].alias("name"))
 
 
+@query(_CHANGES + """SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, file <> 'binlog.000002' AND "table" = 'items' AS names_resolved,
+CASE WHEN "table" = 'items' AND file <> 'binlog.000002' THEN CASE WHEN file > 'binlog.000002' THEN 'new' ELSE 'old' END WHEN first_value(event_id % 2) OVER (PARTITION BY file, table_id ORDER BY event_id) = 0 THEN 'event_id' ELSE '0' END AS name FROM h""")
+def names_after_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement at the end of the first file puts the names out of date until the third."""
+    alter = C.event(2, struct.pack("<IIBHH", 1, 0, 0, 0, 0) + b"\0ALTER TABLE items RENAME COLUMN old TO new")
+    log = L.event_log(spark, sf_dir).union(spark.createDataFrame([("events", "binlog.000001", 1 << 40, bytearray(alter))], L.RAW))
+    rest = ["ts", "user_id", "event_type", "value", "props"]
+    known = [(f"db{k}", "items", file, 0, [name, *rest]) for k in range(3) for file, name in (("", "old"), ("binlog.000003", "new"))]
+    found = D.with_schema_since(D.changes(log), D.with_header(log))
+    found = D.with_names_asof(found, spark.createDataFrame(known, "database string, `table` string, file string, seq long, names array<string>"))
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "names_resolved", F.get(A.current(), F.lit(0))["name"].alias("name"))
+
+
 @query("SELECT 'INSERT' AS op, o_orderkey, o_orderdate, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view of four columns that never builds the envelope."""

@@ -47,7 +47,7 @@ def _as_of(tables: pd.Series, kinds: np.ndarray, bodies: pd.Series, maps: dict)
     return out
 
 
-def changes(raw: DataFrame, allowed: Column | None = None, checksum: str = "crc32") -> DataFrame:
+def changes(raw: DataFrame, allowed: Column | DataFrame | None = None, checksum: str = "crc32") -> DataFrame:
     """A stream of change rows from a stream of raw events.
 
     From ``framing.read_files`` (closed files), checksums are as their files declare and nothing is kept between triggers.
@@ -60,7 +60,7 @@ def changes(raw: DataFrame, allowed: Column | None = None, checksum: str = "crc3
     events = events.select("source_id", "file", "seq", "type_code", "crc_ok", "error_code", "body", "table_id", "ts", "next_pos", "event_length")
     held = events.groupBy("source_id", "file").applyInPandasWithState(attach_maps, _OUT, "maps binary", "append", "NoTimeout")
     held = held.withColumns(decode.map_names("map_body"))
-    return decode.decode_rows(held if allowed is None else held.filter(F.col("database").isNull() | allowed))
+    return decode.decode_rows(decode.passing(held, allowed))
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:

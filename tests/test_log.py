@@ -16,6 +16,7 @@ from rowtide.operators import filters, transactions
 from rowtide.plans import catalog
 from rowtide.sources import framing
 from rowtide.streaming import changes as stream
+from rowtide.streaming import transactions as tracked
 
 COLUMNS = [("id", C.LONG, 0)]
 MAP = "e80300001301000000320000006400000000002a000000000000000674657374646200057573657273000103000137f708d8"
@@ -209,6 +210,46 @@ def test_stream_takes_bounded_triggers_from_the_first_on(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(26))
 
 
+def test_stream_tracks_transactions_over_triggers_files_and_restarts(spark, tmp_path):
+    folder, held, marks = tmp_path / "log", str(tmp_path / "set"), str(tmp_path / "marks")
+    folder.mkdir()
+    gtid = lambda n: C.event(33, b"\0" + (1).to_bytes(16, "big") + struct.pack("<Q", n))
+    end = C.event(16, b"\0" * 8)
+    (folder / "b.1").write_bytes(framing.MAGIC + b"".join([gtid(1), end, gtid(2), gtid(3), C.event(34, b""), end, gtid(4)]))
+    read = lambda: tracked.commits(stream.read(spark, str(folder), maxEventsPerTrigger="1", checkpoint=marks))
+    kept = lambda: [(r.start, r.end) for r in tracked.kept_set(spark, held).orderBy("start").collect()]
+    assert tracked.run_to_end(read(), held, marks) == 7
+    assert kept() == [(1, 4)]
+    (folder / "b.2").write_bytes(framing.MAGIC + end + gtid(9))
+    tracked.run_to_end(read(), held, marks)
+    assert kept() == [(1, 5)]
+
+
+def test_stream_keeps_the_highest_id_of_each_domain(spark, tmp_path):
+    folder, held, marks = tmp_path / "log", str(tmp_path / "set"), str(tmp_path / "marks")
+    folder.mkdir()
+    gtid = lambda d, n: C.event(162, struct.pack("<QIB", n, d, 0))
+    (folder / "b.1").write_bytes(framing.MAGIC + b"".join([gtid(0, 5), gtid(1, 7), gtid(0, 6), gtid(1, 8)]))
+    tracked.run_to_end(tracked.commits(stream.read(spark, str(folder), maxEventsPerTrigger="2", checkpoint=marks)), held, marks, mariadb=True)
+    assert sorted((r.domain, int(r.seq)) for r in tracked.kept_set(spark, held).collect()) == [(0, 6), (1, 7)]
+
+
+def test_names_are_out_of_date_after_a_statement_on_schemas(spark):
+    query = lambda q: C.event(2, struct.pack("<IIBHH", 1, 0, 0, 0, 0) + b"\0" + q)
+    write = C.event(30, C.rows_body(42, 1, [C.image(COLUMNS, [1])]))
+    log = raw(spark, [MAP, write, query(b"INSERT INTO users VALUES (1)"), write, query(b"DROP VIEW v"), write, write]).union(raw(spark, [MAP, write], "f2"))
+    known = spark.createDataFrame([("testdb", "users", "f1", 0, ["a"]), ("testdb", "users", "f1", 6, ["b"])], "database string, `table` string, file string, seq long, names array<string>")
+    found = D.with_names_asof(D.with_schema_since(D.changes(log), D.with_header(log)), known).orderBy("file", "seq").collect()
+    assert [(r.file, r.seq, r.names_resolved, r.after[0].name) for r in found] == [("f1", 1, True, "a"), ("f1", 3, True, "a"), ("f1", 5, False, "0"), ("f1", 6, True, "b"), ("f2", 1, True, "b")]
+
+
+def test_tables_wanted_as_a_frame_leave_errors(spark):
+    write = C.event(30, C.rows_body(42, 1, [C.image(COLUMNS, [1])]))
+    log = raw(spark, [write, MAP, write])  # the first has no table map
+    wanted = spark.createDataFrame([("testdb", "other")], "database string, `table` string")
+    assert [(r.seq, r.error_code != 0) for r in D.changes(log, wanted).collect()] == [(0, True)]
+
+
 def test_queries_have_sql():
     assert set(catalog.oracle_sql()) == set(catalog.queries())
 
