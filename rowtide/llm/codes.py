@@ -78,7 +78,7 @@ class Cells:
 def encode(x: np.ndarray, books: list[Cells]) -> tuple[np.ndarray, np.ndarray]:
     """Codes (vectors by parts) and the squared distances summed over the parts."""
     codes, error = np.zeros((len(x), len(books)), np.int64), np.zeros(len(x), np.int64)
-    cut = x.reshape(len(x), len(books), -1)
+    cut = x.reshape(len(x), len(books), x.shape[1] // len(books))
     for at in range(0, len(x), TOGETHER):
         to = min(at + TOGETHER, len(x))
         for p, book in enumerate(books):

@@ -41,7 +41,7 @@ def folder(spark, rows, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
-    return fixtures.save(spark, [], tmp_path_factory.mktemp("none"), benchmark=([], "item_id long, text string"), labels=([], "doc_id long, quality int, toxic int"), pages=([], "page_id long, url string, html string"))
+    return fixtures.save(spark, [], tmp_path_factory.mktemp("none"), embeddings=([], "vec_id long, embedding array<float>, label int"), benchmark=([], "item_id long, text string"), labels=([], "doc_id long, quality int, toxic int"), pages=([], "page_id long, url string, html string"))
 
 
 def multiset(rows):
