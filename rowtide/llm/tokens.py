@@ -2,7 +2,7 @@
 
 A prefix's encoding is the encoding of a shorter prefix and one last token. A run of tokens is what the tokenizer gives if
 each two neighbours are what it gives for these two alone, and each token for itself, so exactly one token that the prefix
-ends with fits behind the encoding of what stands before it. The longest ones are tried first; whether two
+ends with fits behind the encoding of what stands before it. An automaton names those tokens, the longest first; whether two
 tokens may stand side by side is asked once and remembered. So one walk over a text finds the token count of all its
 prefixes, each exactly what the tokenizer gives for that prefix alone. (They aren't monotone: a word's next letter can
 complete a longer token.)
@@ -10,7 +10,8 @@ complete a longer token.)
 The counts are stored as differences, a signed byte for each code point, and answer questions without encoding again:
 ``tokens_at`` (tokens of the first n code points), ``fitting`` (the longest prefix within a budget) and ``truncated``
 (its text). No token has a word mark behind another character, so a walk begins anew at each word, and workers remember
-the differences of up to ``KEPT`` words of up to ``SHORT`` characters; others are walked each time they occur.
+the differences of words of up to ``SHORT`` characters (of ``KEPT`` of them, and as many that were in use before those);
+others are walked each time they occur.
 
 A null text is empty and has no tokens. A very long text is walked by one task, in time that follows its length. Repeated
 rows are counted each; rows with one id are no concern. Characters that the vocabulary lacks count as their bytes, and the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from rowtide.llm import common
 
 LIMIT = 4096
-KEPT, PAIRS, SHORT = 500_000, 1_000_000, 32
+KEPT, PAIRS, SHORT = 400_000, 1_000_000, 32
 MARK = "▁"  # what the tokenizer turns a space into; here both are a space
 PREFIXES = "doc_id long, n_chars long, n_bytes long, n_tokens long, steps binary"
 
@@ -45,6 +46,7 @@ class Prefixes:
     """Differences of the token counts of successive prefixes of texts."""
 
     def __init__(self, path: str):
+        import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -56,91 +58,104 @@ class Prefixes:
         if any(" " in piece.lstrip(" ") for piece in self.score):
             raise ValueError("only models whose tokens begin with the mark of a space, or have none, are supported")
         longer = [piece for piece in self.score if len(piece) > 1]
-        self.touching = {piece[k : k + 2] for piece in longer for k in range(len(piece) - 1)}
-        # a token that isn't what the tokenizer gives for its own text occurs in no encoding
-        self.text = [piece for piece in self.score if len(piece) == 1 or self.merged(piece) == [piece]]
-        self.number = {piece: k for k, piece in enumerate(self.text)}
-        sizes: dict[str, set[int]] = {}
-        for piece in self.number:
-            if len(piece) > 1:
-                sizes.setdefault(piece[-2:], set()).add(len(piece))
-        #: By the last two characters, how long a token that ends with them can be, the longest first.
-        self.sizes = {two: sorted(found, reverse=True) for two, found in sizes.items()}
+        #: Tokens by number: the text, and how it comes about. One that the tokenizer doesn't give for its own text occurs nowhere.
+        self.text, self.made = [], []
+        for piece in self.score:
+            made = self.merges(piece)
+            if len(made) == len(piece):
+                self.text.append(piece)
+                self.made.append(made)
+        self.ending = ahocorasick.Automaton()
+        for k, piece in enumerate(self.text):
+            self.ending.add_word(piece, (len(piece), k))
+        self.ending.make_automaton()
         inside = {char for piece in longer for char in piece}
+        if not inside <= self.score.keys() or "\n" in inside:
+            raise ValueError("only models that know each character of their tokens, and have no line ends in them, are supported")
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
         self.words = re.compile(f" *[^ {alone}]+| +" + f"|[{alone}]" * bool(alone)).findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """A short text's tokens: of all neighbours that join to a token those with the best score are joined, from the left, until none do."""
-        parts, score = list(text), self.score
+    def merges(self, text: str) -> list[tuple[float, str, str]]:
+        """How a short text is joined: of all neighbours that make up a token those with the best score are, the left ones first.
+
+        For each step (the first: none taken) the score of the next, and what the text begins and ends with.
+        """
+        parts, score, made = list(text), self.score, []
         while len(parts) > 1:
             best, at = max((score.get(a + b, -np.inf), -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            made.append((best, parts[0], parts[-1]))
             if best == -np.inf:
-                break
+                return made
             parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
-        return parts
+        return [*made, (-np.inf, parts[0], parts[0])]
 
     def fit(self, left: int, right: int) -> bool:
-        """Whether the tokenizer leaves two tokens side by side."""
+        """Whether the tokenizer leaves two tokens side by side: both come about as they do alone, unless it joins across first."""
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        a, b = self.text[left], self.text[right]
-        found = a[-1] + b[0] not in self.touching or self.merged(a + b) == [a, b]
-        self.pairs[left << 32 | right] = found
-        return found
+        a, b, score = iter(self.made[left]), iter(self.made[right]), self.score
+        (own, _, end), (other, begin, _) = next(a), next(b)
+        while (across := score.get(end + begin, -np.inf)) <= own or across < other:
+            if own == other == -np.inf:
+                break
+            if own >= other:
+                own, _, end = next(a)
+            else:
+                other, begin, _ = next(b)
+        fits = self.pairs[left * len(self.text) + right] = across == -np.inf
+        return fits
 
     def walked(self, words: list[str]) -> dict[str, bytes]:
-        """For each word what each character adds to the token count; in order, words share the walk over what they begin with."""
-        found, before = {}, ""
-        number, sizes, pairs, fit = self.number.get, self.sizes.get, self.pairs.get, self.fit
-        count, last = [0], [-1]  # of each prefix: its tokens, and the last of them (-1: none, or bytes)
-        for word in sorted(words):
-            same, most = 0, min(len(word), len(before))
-            while same < most and word[same] == before[same]:
-                same += 1
-            del count[same + 1 :], last[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                for size in sizes(word[end - 2 : end], ()) if end > 1 else ():
-                    start = end - size
-                    if start < 0:
-                        continue
-                    token = number(word[start:end])
-                    if token is None:
-                        continue
-                    left = last[start]
-                    if left >= 0:
-                        fits = pairs(left << 32 | token)
-                        if not (fit(left, token) if fits is None else fits):
-                            continue
-                    count.append(count[start] + 1)
-                    last.append(token)
-                    break
-                else:  # the character is a token, or its bytes are
-                    token = number(word[end - 1], -1)
-                    count.append(count[-1] + (1 if token >= 0 else len(word[end - 1].encode())))
-                    last.append(token)
-            found[word] = bytes([(b - a) & 255 for a, b in zip(count, count[1:], strict=False)])
-            before = word
+        """For each word what each character adds to the token count; one walk goes over all of them, parted by line ends."""
+        joined = "\n".join(words)
+        count, last = [0] * (len(joined) + 1), [-1] * (len(joined) + 1)  # of each prefix: its tokens, and the last one (-1: none, or bytes)
+        pairs, fit, n, at = self.pairs.get, self.fit, len(self.text), 0
+        for end, (size, token) in self.ending.iter(joined):  # of tokens with one end the longest comes first
+            if end < at:  # another one has fitted
+                continue
+            while at < end:  # no token ends here: the character counts as its bytes
+                count[at + 1] = count[at] + len(joined[at].encode())
+                at += 1
+            start = end + 1 - size
+            left = last[start]
+            if size > 1 and left >= 0:
+                fits = pairs(left * n + token)
+                if not (fit(left, token) if fits is None else fits):
+                    continue
+            at = end + 1
+            count[at] = count[start] + 1
+            last[at] = token
+        for k in range(at, len(joined)):
+            count[k + 1] = count[k] + len(joined[k].encode())
+        steps, found, at = np.diff(np.array(count)).astype(np.int8).tobytes(), {}, 0
+        for word in words:
+            found[word] = steps[at : at + len(word)]
+            at += len(word) + 1
         return found
 
     def steps(self, texts: list[str]) -> list[np.ndarray]:
         """What each code point of each text adds to the token count, as signed bytes."""
         cut = [self.words(" " + text.replace(MARK, " ")) if text else [] for text in texts]
-        new = self.walked(list(set().union(*cut).difference(self.known)))
-        known = self.known
-        missing = {word: made for word, made in new.items() if len(word) > SHORT}
-        if len(known) + len(new) > KEPT:
-            missing |= {word: known[word] for word in set().union(*cut) if word in known}
-            known.clear()
-        for word, made in new.items():
-            if len(word) <= SHORT:
-                known[word] = made
+        known, before = self.known, self.before
+        made = [list(map(known.get, words)) for words in cut]
+        new = {word for words, found in zip(cut, made, strict=True) if None in found for word, x in zip(words, found, strict=True) if x is None}
+        again = new.intersection(before)
+        for word in again:
+            known[word] = before[word]
+        walked = self.walked(list(new - again))
+        known.update(walked)
         found = []
-        for words in cut:
-            made = np.frombuffer(b"".join([known[word] if word in known else missing[word] for word in words]), np.int8)
-            found.append(np.concatenate([made[:1] + made[1:2], made[2:]]))  # the mark in front comes with the first code point
+        for words, steps in zip(cut, made, strict=True):
+            steps = np.frombuffer(b"".join([known[word] for word in words] if None in steps else steps), np.int8)
+            found.append(np.concatenate([steps[:1] + steps[1:2], steps[2:]]))  # the space in front comes with the first code point
+        for word in walked:
+            if len(word) > SHORT:
+                del known[word]
+        if len(known) > KEPT:
+            self.known, self.before = {}, known
         return found
 
 
