@@ -9,9 +9,9 @@ complete a longer token.)
 
 The counts are stored as differences, a signed byte for each code point, and answer questions without encoding again:
 ``tokens_at`` (tokens of the first n code points), ``fitting`` (the longest prefix within a budget) and ``truncated``
-(its text). No token has a word mark behind another character, so a walk begins anew at each word, and workers remember
-the differences of words of up to ``SHORT`` characters (of ``KEPT`` of them, and as many that were in use before those);
-others are walked each time they occur.
+(its text). No token has a space behind another character, or letters and punctuation (``alphabets``), so a walk begins anew at
+each word, and workers remember the differences of words of up to ``SHORT`` characters (of ``KEPT`` of them, and as many
+that were in use before those); others are walked each time they occur.
 
 A null text is empty and has no tokens. A very long text is walked by one task, in time that follows its length. Repeated
 rows are counted each; rows with one id are no concern. Characters that the vocabulary lacks count as their bytes, and the
@@ -42,6 +42,20 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def alphabets(tokens: list[str], most: int = 6) -> list[set[str]]:
+    """Sets of characters such that no token has characters of two of them (but spaces); the smaller sets are taken as one."""
+    of: dict[str, set[str]] = {}
+    for a, b in sorted({token[k : k + 2] for token in tokens for k in range(len(token) - 1)}):
+        if a != " " and b != " ":
+            both = of.setdefault(a, {a}) | of.setdefault(b, {b})
+            of |= dict.fromkeys(both, both)
+        else:
+            of.setdefault(b, {b})
+    of.pop(" ", None)
+    found = sorted({id(chars): chars for chars in of.values()}.values(), key=lambda chars: (-len(chars), min(chars)))
+    return found[:most] + [set().union(*found[most:])] * (len(found) > most)
+
+
 class Prefixes:
     """Differences of the token counts of successive prefixes of texts."""
 
@@ -72,8 +86,7 @@ class Prefixes:
         inside = {char for piece in longer for char in piece}
         if not inside <= self.score.keys() or "\n" in inside:
             raise ValueError("only models that know each character of their tokens, and have no line ends in them, are supported")
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
-        self.words = re.compile(f" *[^ {alone}]+| +" + f"|[{alone}]" * bool(alone)).findall
+        self.words = re.compile("|".join([f" *[{re.escape(''.join(sorted(chars)))}]+" for chars in alphabets(longer)] + [" +", "."]), re.DOTALL).findall
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
