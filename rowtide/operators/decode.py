@@ -7,13 +7,16 @@ filter, and only then the Python decoding of the row images that are left, so ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtide.functions import bytes as B
-from rowtide.functions import codec
+from rowtide.functions import codec, columnar
 from rowtide.functions import statements as S
 from rowtide.functions.errors import ChecksumError, DecodeError, LogError
 
@@ -184,47 +187,80 @@ def _envelope(made: list[tuple], before: Images, after: Images) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*plain[:6], before.arrow(), after.arrow(), *plain[6:]], _NAMES)
 
 
+def _images(read: columnar.Rows, side: int, table: codec.TableMap) -> pa.Array:
+    """One side's images of what was read column by column, row by row."""
+    rows, n = len(read.event), len(table.types)
+    if read.images[side] is None or not rows:
+        return pa.nulls(rows, _VALUE_ARROW)
+    columns = [read.column(side, c) for c in range(n)]
+    order = pa.array((np.arange(rows)[:, None] + rows * np.arange(n)).ravel())
+    ordinal = np.tile(np.arange(n, dtype=np.int32), rows)
+    fields = [pa.array(ordinal), pa.array(table.shown, pa.string()).take(pa.array(ordinal)), columnar.KINDS.take(pa.array(np.stack([c.kinds for c in columns], 1).ravel()))]
+    for name in "idsb":
+        kept = [c.field(name) for c in columns]
+        none = all(x.null_count == rows for x in kept)
+        fields.append(pa.nulls(rows * n, kept[0].type) if none else pa.concat_arrays(kept).take(order))
+    values = pa.StructArray.from_arrays(fields, fields=list(_VALUE_ARROW.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n), values, type=_VALUE_ARROW)
+
+
+def _read_envelope(batch: pa.RecordBatch, kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> pa.RecordBatch:
+    at, n = pa.array(rows[read.event]), len(read.event)
+    of = lambda name: batch.column(batch.schema.names.index(name)).take(at)
+    same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(n, np.int64)))
+    head = [of("source_id"), of("seq"), pa.array(read.number), same(codec.OPS[kind]), same(table.database), same(table.table)]
+    return pa.RecordBatch.from_arrays([*head, _images(read, 0, table), _images(read, 1, table), of("ts"), of("file"), of("offset"), pa.array(np.zeros(n, np.int32))], _NAMES)
+
+
+#: Rows of a batch that goes back to Spark.
+AT_ONCE = 20_000
+
+
 def decode_rows(attached: DataFrame) -> DataFrame:
     """The change rows of attached row events: one for each row, or one with an error code for an event that fails.
 
-    The offset of a failed event is where it begins, so that resuming at the greatest offset doesn't pass it; it is null
-    where the log doesn't say.
+    Events of one table are read side by side, column by column; those with an unusual layout one by one. The offset of a
+    failed event is where it begins, so that resuming at the greatest offset doesn't pass it; it is null where the log
+    doesn't say.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[bytes, codec.TableMap] = {}
-        for batch in batches:
-            made, before, after = [], Images(), Images()
-            for source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset, begin, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                op, start = codec.OPS.get(kind), len(made)
-                try:
-                    if code:
-                        raise LogError.of(code)
-                    if not crc_ok:
-                        raise ChecksumError("checksum differs")
-                    if declared is None:
-                        raise DecodeError("row event without a table map")
-                    table = maps.get(declared)
-                    if table is None:
-                        if len(maps) > 4096:
-                            maps.clear()
-                        table = maps[declared] = codec.TableMap(declared)
-                        table.shown = [n or str(i) for i, n in enumerate(table.names)]
-                    for k, (old, new) in enumerate(codec.rows(kind, body, table)):
-                        made.append((source, seq, k, op, table.database, table.table, ts, file, offset, 0))
-                        before.add(old, table.shown)
-                        after.add(new, table.shown)
-                except LogError as e:  # all rows of an event, or none
-                    del made[start:]
-                    for images in (before, after):
-                        images.cut(start)
-                        images.add(None, [])
-                    made.append((source, seq, 0, op, database, name, ts, file, begin, e.code))
-                if len(made) >= 20_000:
-                    yield _envelope(made, before, after)
-                    made, before, after = [], Images(), Images()
-            if made:
+    def one_by_one(batch: pa.RecordBatch, reader: columnar.Reader) -> Iterator[pa.RecordBatch]:
+        made, before, after = [], Images(), Images()
+        for source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset, begin, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            op, start = codec.OPS.get(kind), len(made)
+            try:
+                if code:
+                    raise LogError.of(code)
+                if not crc_ok:
+                    raise ChecksumError("checksum differs")
+                if declared is None:
+                    raise DecodeError("row event without a table map")
+                table = reader.table(declared)
+                for k, (old, new) in enumerate(codec.rows(kind, body, table)):
+                    made.append((source, seq, k, op, table.database, table.table, ts, file, offset, 0))
+                    before.add(old, table.shown)
+                    after.add(new, table.shown)
+            except LogError as e:  # all rows of an event, or none
+                del made[start:]
+                for images in (before, after):
+                    images.cut(start)
+                    images.add(None, [])
+                made.append((source, seq, 0, op, database, name, ts, file, begin, e.code))
+            if len(made) >= AT_ONCE:
                 yield _envelope(made, before, after)
+                made, before, after = [], Images(), Images()
+        if made:
+            yield _envelope(made, before, after)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = columnar.Reader()
+        for whole in batches:
+            for batch in columnar.pieces(whole, "body"):
+                for found in reader.groups(batch, partial(_read_envelope, batch)):
+                    for at in range(0, found.num_rows, AT_ONCE):
+                        yield found.slice(at, AT_ONCE)
+                if reader.left.any():
+                    yield from one_by_one(batch.filter(pa.array(reader.left)), reader)
 
     if "offset" not in attached.columns:
         attached = attached.withColumn("offset", F.col("next_pos"))
@@ -260,34 +296,61 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
             return x if kind in ("STRING", "BYTES") else None
         return x if kind == ("INT" if stored == "i" else "DOUBLE") else None
 
+    def stored_as(found: columnar.Column, stored: str) -> pa.Array:
+        """As ``content``, of a whole column."""
+        if stored in "id":
+            return found.field(stored)
+        text, data = found.field("s"), found.field("b")
+        if stored == "b":
+            return pc.coalesce(text.cast(pa.binary()), data)
+        if found.layout.kind == columnar.INT:
+            return pc.coalesce(text, found.field("i").cast(pa.string()))
+        if found.layout.kind == columnar.DOUBLE:
+            return pa.array([None if x is None else str(x) for x in found.field("d").to_pylist()], pa.string())
+        if data.null_count == len(data):
+            return text
+        return pc.coalesce(text, pa.array([None if x is None else x.decode("utf-8", "replace") for x in data.to_pylist()], pa.string()))
+
+    def read_columns(batch: pa.RecordBatch, kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> pa.RecordBatch:
+        at, n = pa.array(rows[read.event]), len(read.event)
+        of = lambda name: batch.column(batch.schema.names.index(name)).take(at)
+        op = pa.array([codec.OPS[kind]], pa.string()).take(pa.array(np.zeros(n, np.int64)))
+        made = [of("source_id"), of("file"), of("seq"), pa.array(read.number), op, pa.array(np.zeros(n, np.int32))]
+        for ordinal, stored in wanted:
+            there = read.images[side] is not None and ordinal < len(table.types) and n
+            made.append(stored_as(read.column(side, ordinal), stored) if there else pa.nulls(n, _STORED[stored][0]))
+        return pa.RecordBatch.from_arrays(made, head + names)
+
+    def one_by_one(batch: pa.RecordBatch, reader: columnar.Reader) -> pa.RecordBatch:
+        made, lists = [], [[] for _ in wanted]
+        for source, file, seq, kind, crc_ok, body, declared, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            try:
+                if code:
+                    raise LogError.of(code)
+                if not crc_ok:
+                    raise ChecksumError("checksum differs")
+                if declared is None:
+                    raise DecodeError("row event without a table map")
+                images = [x[side] for x in codec.rows(kind, body, reader.table(declared))]
+            except LogError as e:
+                made.append((source, file, seq, 0, codec.OPS.get(kind), e.code))
+                for out in lists:
+                    out.append(None)
+                continue
+            made += [(source, file, seq, k, codec.OPS[kind], 0) for k in range(len(images))]
+            for out, (ordinal, stored) in zip(lists, wanted, strict=True):
+                out += [None if x is None or ordinal >= len(x) else content(x[ordinal], stored) for x in images]
+        plain = [pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * len(head), head_types, strict=True)]
+        return pa.RecordBatch.from_arrays([*plain, *[pa.array(x, _STORED[w][0]) for x, (_, w) in zip(lists, wanted, strict=True)]], head + names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[bytes, codec.TableMap] = {}
-        for batch in batches:
-            made, lists = [], [[] for _ in wanted]
-            for source, file, seq, kind, crc_ok, body, declared, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                try:
-                    if code:
-                        raise LogError.of(code)
-                    if not crc_ok:
-                        raise ChecksumError("checksum differs")
-                    if declared is None:
-                        raise DecodeError("row event without a table map")
-                    if declared not in maps:
-                        if len(maps) > 4096:
-                            maps.clear()
-                        maps[declared] = codec.TableMap(declared)
-                    images = [x[side] for x in codec.rows(kind, body, maps[declared])]
-                except LogError as e:
-                    made.append((source, file, seq, 0, codec.OPS.get(kind), e.code))
-                    for out in lists:
-                        out.append(None)
-                    continue
-                made += [(source, file, seq, k, codec.OPS[kind], 0) for k in range(len(images))]
-                for out, (ordinal, stored) in zip(lists, wanted, strict=True):
-                    out += [None if x is None or ordinal >= len(x) else content(x[ordinal], stored) for x in images]
-            if made:
-                plain = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), head_types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*plain, *[pa.array(x, _STORED[w][0]) for x, (_, w) in zip(lists, wanted, strict=True)]], head + names)
+        reader, some = columnar.Reader(), {ordinal for ordinal, _ in wanted}
+        keep = lambda table: (some, set()) if side == 0 else (set(), some)
+        for whole in batches:
+            for batch in columnar.pieces(whole, "body"):
+                yield from reader.groups(batch, partial(read_columns, batch), keep)
+                if reader.left.any():
+                    yield one_by_one(batch.filter(pa.array(reader.left)), reader)
 
     fields = "source_id string, file string, seq long, row_in_event int, op string, error_code int"
     fields += "".join(f", `{n}` {_STORED[w][1]}" for n, (_, w) in zip(names, wanted, strict=True))
