@@ -7,6 +7,8 @@ are cut off, rare types) leaves its event to ``codec.rows``, which reads it or s
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 
@@ -337,8 +339,9 @@ def read(kind: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tabl
     return Rows(event[picked], number[picked], images, picked, np.flatnonzero(~ok), data)
 
 
-def groups(batch: pa.RecordBatch, kind: str, body: str, declared: str, usable: np.ndarray):
-    """(kind, rows of the batch, starts, ends, declared map) of the usable rows by kind and table map, and their bodies' bytes."""
+def groups(batch: pa.RecordBatch, kind: str, body: str, declared: str, known: str, usable: np.ndarray):
+    """(kind, rows of the batch, starts, ends, declared map, what is known of the table) of the usable rows by these, and
+    their bodies' bytes."""
     names = batch.schema.names
     content = batch.column(names.index(body)).cast(pa.large_binary())
     offsets = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
@@ -346,13 +349,15 @@ def groups(batch: pa.RecordBatch, kind: str, body: str, declared: str, usable: n
     data, offsets = np.concatenate([raw, np.zeros(8, np.uint8)]), offsets - offsets[0]
     maps = batch.column(names.index(declared)).dictionary_encode()
     which = maps.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    told = batch.column(names.index(known)).fill_null("").dictionary_encode()
     kinds = batch.column(names.index(kind)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     usable = usable & (which >= 0) & np.isin(kinds, list(C.OPS)) & content.is_valid().to_numpy(zero_copy_only=False)
-    key = which * 256 + kinds
+    key = (which * max(len(told.dictionary), 1) + told.indices.to_numpy(zero_copy_only=False)) * 256 + kinds
     found = []
     for k in np.unique(key[usable]).tolist():
         rows = np.flatnonzero(usable & (key == k))
-        found.append((k % 256, rows, offsets[rows], offsets[rows + 1], maps.dictionary[k // 256].as_py()))
+        m, t = divmod(k // 256, len(told.dictionary))
+        found.append((k % 256, rows, offsets[rows], offsets[rows + 1], maps.dictionary[m].as_py(), told.dictionary[t].as_py() or None))
     return data, found
 
 
@@ -371,16 +376,19 @@ class Reader:
     """Reads batches of attached row events; what it leaves is told by ``left``, a flag for each row of the batch."""
 
     def __init__(self):
-        self.tables: dict[bytes, C.TableMap] = {}
+        self.tables: dict[tuple[bytes, str | None], C.TableMap] = {}
         self.left = np.zeros(0, bool)
 
-    def table(self, declared: bytes) -> C.TableMap:
-        """Parsed once; at most some thousands are kept."""
-        found = self.tables.get(declared)
+    def table(self, declared: bytes, known: str | None = None) -> C.TableMap:
+        """Parsed once; at most some thousands are kept. ``known``: names and signs of its columns as JSON."""
+        found = self.tables.get((declared, known))
         if found is None:
             if len(self.tables) > 4096:
                 self.tables.clear()
-            found = self.tables[declared] = C.TableMap(declared)
+            found = self.tables[declared, known] = C.TableMap(declared)
+            if known:
+                told = json.loads(known)
+                found.know(told.get("names") or [], told.get("unsigned"))
             found.shown = [n or str(i) for i, n in enumerate(found.names)]
         return found
 
@@ -389,10 +397,10 @@ class Reader:
         usable = batch.column(batch.schema.names.index("crc_ok")).fill_null(False).to_numpy(zero_copy_only=False)
         usable = usable & (batch.column(batch.schema.names.index("code")).fill_null(0).to_numpy(zero_copy_only=False) == 0)
         self.left = np.ones(batch.num_rows, bool)
-        data, found = groups(batch, "type_code", "body", "map_body", usable)
-        for kind, rows, starts, ends, declared in found:
+        data, found = groups(batch, "type_code", "body", "map_body", "known", usable)
+        for kind, rows, starts, ends, declared, known in found:
             try:
-                table = self.table(declared)
+                table = self.table(declared, known)
                 got = read(kind, data, starts, ends, table, None if wanted is None else wanted(table))
                 made = None if got is None else make(kind, table, rows, got)
             except LogError:  # one of these events; it is found when they are read one by one

@@ -30,5 +30,17 @@ class DecodeError(LogError):
     code = 202
 
 
+class RequestRefused(LogError):
+    """A server answered a query with an error."""
+
+    code = 402
+
+
+class ConnectionEnded(LogError):
+    """A server ended a connection, or its record ends."""
+
+    code = 403
+
+
 # Fixed values.
-CODES = {0: "OK", 1: "ERROR", 100: "PARSE", 101: "CHECKSUM", 200: "DECODE", 201: "DECODE_COLUMN", 202: "DECODE_ROW"}
+CODES = {0: "OK", 1: "ERROR", 100: "PARSE", 101: "CHECKSUM", 200: "DECODE", 201: "DECODE_COLUMN", 202: "DECODE_ROW", 301: "QUEUE_FULL", 400: "CONNECT", 401: "AUTH", 402: "VALIDATION", 403: "STREAM", 404: "DISCONNECTED"}

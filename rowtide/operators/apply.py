@@ -62,13 +62,22 @@ def validate_server(variables: DataFrame) -> DataFrame:
     A required variable that is missing breaks its rule; an optional one doesn't.
     """
     spark = variables.sparkSession
-    # Variable, value wanted, needed on which flavour (null: both), whether it must exist.
-    rules = [("log_bin", "ON", None, True), ("gtid_mode", "ON", "mysql", True), ("binlog_format", "ROW", None, True), ("binlog_row_image", "FULL", None, True), ("binlog_transaction_compression", "OFF", "mysql", False), ("log_bin_compress", "OFF", "mariadb", False)]
-    table = spark.createDataFrame(rules, "variable string, wanted string, only string, required boolean")
+    # Variable, the value that it must have, the one that it mustn't have, on which flavour (null: both), whether it must exist.
+    rules = [
+        ("log_bin", "ON", None, None, True),
+        ("gtid_mode", "ON", None, "mysql", True),
+        ("binlog_format", "ROW", None, None, True),
+        ("binlog_row_image", "FULL", None, None, True),
+        ("binlog_transaction_compression", "OFF", "ON", "mysql", False),
+        ("binlog_row_value_options", "not PARTIAL_JSON", "PARTIAL_JSON", "mysql", False),
+        ("log_bin_compress", "OFF", "ON", "mariadb", False),
+    ]
+    table = spark.createDataFrame(rules, "variable string, wanted string, barred string, only string, required boolean")
     servers = variables.groupBy("server").agg(F.max(S.flavor("version")).alias("flavor"))
     asked = servers.join(F.broadcast(table), F.col("only").isNull() | (F.col("only") == F.col("flavor")))
     got = variables.select("server", F.lower("name").alias("variable"), F.upper("value").alias("found"))
-    bad = (F.col("found").isNull() & F.col("required")) | (F.col("found") != F.col("wanted"))
+    missing = F.col("found").isNull() & F.col("required")
+    bad = missing | F.when(F.col("barred").isNull(), F.col("found") != F.col("wanted")).otherwise(F.col("found") == F.col("barred"))
     return asked.join(got, ["server", "variable"], "left").filter(bad).select("server", "variable", "wanted", "found")
 
 

@@ -178,8 +178,8 @@ class Images:
 
 
 _VALUE_ARROW = pa.list_(pa.struct([("ordinal", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("i", pa.int64()), ("d", pa.float64()), ("s", pa.string()), ("b", pa.binary())]))
-_ARROW = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), _VALUE_ARROW, _VALUE_ARROW, pa.int64(), pa.string(), pa.int64(), pa.int32()]
-_NAMES = ["source_id", "seq", "row_in_event", "op", "database", "table", "before", "after", "ts", "file", "offset", "error_code"]
+_ARROW = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), _VALUE_ARROW, _VALUE_ARROW, pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_()]
+_NAMES = ["source_id", "seq", "row_in_event", "op", "database", "table", "before", "after", "ts", "file", "offset", "error_code", "names_resolved"]
 
 
 def _envelope(made: list[tuple], before: Images, after: Images) -> pa.RecordBatch:
@@ -209,7 +209,36 @@ def _read_envelope(batch: pa.RecordBatch, kind: int, table: codec.TableMap, rows
     of = lambda name: batch.column(batch.schema.names.index(name)).take(at)
     same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(n, np.int64)))
     head = [of("source_id"), of("seq"), pa.array(read.number), same(codec.OPS[kind]), same(table.database), same(table.table)]
-    return pa.RecordBatch.from_arrays([*head, _images(read, 0, table), _images(read, 1, table), of("ts"), of("file"), of("offset"), pa.array(np.zeros(n, np.int32))], _NAMES)
+    tail = [of("ts"), of("file"), of("offset").cast(pa.int64()), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, table.resolved))]
+    return pa.RecordBatch.from_arrays([*head, _images(read, 0, table), _images(read, 1, table), *tail], _NAMES)
+
+
+def _known(attached: DataFrame) -> Column:
+    return F.col("known") if "known" in attached.columns else F.lit(None).cast("string").alias("known")
+
+
+def registry(columns: DataFrame) -> DataFrame:
+    """(database, table, names, unsigned) from a frame with a row for each column: database, table, ordinal, name, type.
+
+    The type is as a server spells it (``int unsigned``), and such a frame is ``information_schema.columns`` read over
+    JDBC, or ``captures.columns`` of recorded answers.
+    """
+    unsigned = F.coalesce(F.contains(F.lower("type"), F.lit("unsigned")), F.lit(False))
+    told = columns.select("database", "table", F.struct("ordinal", F.coalesce("name", F.lit("")).alias("name"), unsigned.alias("unsigned")).alias("__c"))
+    listed = told.groupBy("database", "table").agg(F.array_sort(F.collect_list("__c")).alias("__c"))
+    return listed.select("database", "table", F.transform("__c", lambda c: c["name"]).alias("names"), F.transform("__c", lambda c: c["unsigned"]).alias("unsigned"))
+
+
+def with_known(attached: DataFrame, tables: DataFrame) -> DataFrame:
+    """Attached events with what a registry (database, table, names, and unsigned if it has it) knows of their table.
+
+    ``decode_rows`` and ``decode_columns`` use it for events whose table map leaves out a name: then all names are the
+    registry's, and the signs too if the table map leaves these out. Names stay unresolved where the registry lacks
+    the table or has another number of columns. A table in the registry twice is an error of the registry: any one counts.
+    """
+    unsigned = F.col("unsigned") if "unsigned" in tables.columns else F.lit(None).cast("array<boolean>")
+    told = tables.select("database", "table", F.to_json(F.struct("names", unsigned.alias("unsigned"))).alias("known")).dropDuplicates(["database", "table"])
+    return attached.join(told, ["database", "table"], "left").withColumn("known", F.coalesce("known", F.lit("{}")))
 
 
 #: Rows of a batch that goes back to Spark.
@@ -221,12 +250,12 @@ def decode_rows(attached: DataFrame) -> DataFrame:
 
     Events of one table are read side by side, column by column; those with an unusual layout one by one. The offset of a
     failed event is where it begins, so that resuming at the greatest offset doesn't pass it; it is null where the log
-    doesn't say.
+    doesn't say. After ``with_known``, rows say whether their columns' names are resolved.
     """
 
     def one_by_one(batch: pa.RecordBatch, reader: columnar.Reader) -> Iterator[pa.RecordBatch]:
         made, before, after = [], Images(), Images()
-        for source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset, begin, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset, begin, code, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             op, start = codec.OPS.get(kind), len(made)
             try:
                 if code:
@@ -235,9 +264,9 @@ def decode_rows(attached: DataFrame) -> DataFrame:
                     raise ChecksumError("checksum differs")
                 if declared is None:
                     raise DecodeError("row event without a table map")
-                table = reader.table(declared)
+                table = reader.table(declared, known)
                 for k, (old, new) in enumerate(codec.rows(kind, body, table)):
-                    made.append((source, seq, k, op, table.database, table.table, ts, file, offset, 0))
+                    made.append((source, seq, k, op, table.database, table.table, ts, file, offset, 0, table.resolved))
                     before.add(old, table.shown)
                     after.add(new, table.shown)
             except LogError as e:  # all rows of an event, or none
@@ -245,7 +274,7 @@ def decode_rows(attached: DataFrame) -> DataFrame:
                 for images in (before, after):
                     images.cut(start)
                     images.add(None, [])
-                made.append((source, seq, 0, op, database, name, ts, file, begin, e.code))
+                made.append((source, seq, 0, op, database, name, ts, file, begin, e.code, None))
             if len(made) >= AT_ONCE:
                 yield _envelope(made, before, after)
                 made, before, after = [], Images(), Images()
@@ -267,7 +296,8 @@ def decode_rows(attached: DataFrame) -> DataFrame:
     begin = F.when(F.col("next_pos") >= F.col("event_length"), F.col("next_pos") - F.col("event_length"))
     code = F.col("error_code") if "error_code" in attached.columns else F.lit(0)
     wanted = ["source_id", "seq", "type_code", "crc_ok", "body", "map_body", "database", "table", "ts", "file", "offset"]
-    return attached.select(*wanted, begin.alias("begin"), code.alias("code")).mapInArrow(run, ENVELOPE)
+    found = attached.select(*wanted, begin.alias("begin"), code.alias("code"), _known(attached)).mapInArrow(run, ENVELOPE + ", names_resolved boolean")
+    return found if "known" in attached.columns else found.drop("names_resolved")
 
 
 _STORED = {"i": (pa.int64(), "long"), "d": (pa.float64(), "double"), "s": (pa.string(), "string"), "b": (pa.binary(), "binary")}
@@ -323,7 +353,7 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
 
     def one_by_one(batch: pa.RecordBatch, reader: columnar.Reader) -> pa.RecordBatch:
         made, lists = [], [[] for _ in wanted]
-        for source, file, seq, kind, crc_ok, body, declared, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for source, file, seq, kind, crc_ok, body, declared, code, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             try:
                 if code:
                     raise LogError.of(code)
@@ -331,7 +361,7 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
                     raise ChecksumError("checksum differs")
                 if declared is None:
                     raise DecodeError("row event without a table map")
-                images = [x[side] for x in codec.rows(kind, body, reader.table(declared))]
+                images = [x[side] for x in codec.rows(kind, body, reader.table(declared, known))]
             except LogError as e:
                 made.append((source, file, seq, 0, codec.OPS.get(kind), e.code))
                 for out in lists:
@@ -355,7 +385,7 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
     fields = "source_id string, file string, seq long, row_in_event int, op string, error_code int"
     fields += "".join(f", `{n}` {_STORED[w][1]}" for n, (_, w) in zip(names, wanted, strict=True))
     code = F.col("error_code") if "error_code" in attached.columns else F.lit(0)
-    found = attached.select("source_id", "file", "seq", "type_code", "crc_ok", "body", "map_body", code.alias("code")).mapInArrow(run, fields)
+    found = attached.select("source_id", "file", "seq", "type_code", "crc_ok", "body", "map_body", code.alias("code"), _known(attached)).mapInArrow(run, fields)
     cast = lambda n, kind: B.text(n) if kind == "text" else F.col(n).try_cast(kind) if _stored(kind) == "s" and kind != "string" else F.col(n).cast(kind)
     return found.select(*head, *[cast(n, kind).alias(n) for n, (_, kind) in columns.items()])
 

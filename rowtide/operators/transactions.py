@@ -117,6 +117,19 @@ def mariadb_checkpoint(marked: DataFrame) -> DataFrame:
     return G.high_water(start.union(G.mariadb_parts(commits(marked), "gtid", "source_id")), "source_id")
 
 
+def resume_position(events: DataFrame) -> DataFrame:
+    """(source_id, log_file, offset): where reading a log would go on, after the last of its events (with header).
+
+    An aggregate with one row a source, so it holds for batches and, with that row as its state, for streams. The file is
+    the one that the last ROTATE names (empty before the first); damaged events and next positions of 0 change nothing.
+    """
+    place, rotate = F.struct("file", "seq"), F.col("type_code") == 4
+    at = F.when(F.col("crc_ok"), F.when(rotate, B.rotate_position().cast("long")).when(F.col("next_pos") > 0, F.col("next_pos")))
+    told = events.select("source_id", F.when(rotate & F.col("crc_ok"), F.struct(place.alias("p"), B.rotate_file().alias("v"))).alias("f"), F.when(at.isNotNull(), F.struct(place.alias("p"), at.alias("v"))).alias("o"))
+    last = told.groupBy("source_id").agg(F.max("f").alias("f"), F.max("o").alias("o"))
+    return last.select("source_id", F.coalesce("f.v", F.lit("")).alias("log_file"), F.coalesce("o.v", F.lit(0)).alias("offset"))
+
+
 def resume_after(marked: DataFrame, done: DataFrame) -> DataFrame:
     """The events of transactions that aren't in a set (source_id, gtid_set), and those outside of any transaction.
 

@@ -728,3 +728,136 @@ def format_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _table(spark, sf_dir, "orders").select(k, "o_orderstatus", F.when(k % 2 != 0, F.lit("order note").cast("binary")).alias("note"))
     log = L.table_log(made, "shop", "orders", [("k", C.LONGLONG, 0), ("status", C.VARCHAR, 16), ("note", C.BLOB, 2)])
     return D.changes(log).select(A.format_event().alias("line"))
+
+
+# Recorded connections, and what a server says about its tables.
+
+
+@query(_CHANGES + """SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, "table", 0 AS error_code FROM h
+UNION ALL SELECT CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 403 FROM h WHERE CAST(file[8:] AS INTEGER) % 2 = 0 GROUP BY file""")
+def captured_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as connections were recorded, in packets with heartbeats between; every second one ends with an error."""
+    from rowtide.sources import captures
+
+    found = D.changes(captures.events(L.recorded(L.event_log(spark, sf_dir))))
+    return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "table", "error_code")
+
+
+@query(_CHANGES + "SELECT file, CAST(1236 AS INTEGER) AS server_code, 'purged ' || file AS message FROM h WHERE CAST(file[8:] AS INTEGER) % 2 = 0 GROUP BY file")
+def captured_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the servers said when they ended connections."""
+    from rowtide.sources import captures
+
+    return captures.events(L.recorded(L.event_log(spark, sf_dir))).filter("error_code <> 0").select("file", "server_code", "message")
+
+
+@query(_CHANGES + """SELECT event_id, name, told OR "table" = 'sessions' AS names_resolved FROM (
+SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, "table", first_value(event_id % 2) OVER w = 0 AS told,
+CASE WHEN first_value(event_id % 2) OVER w = 0 THEN 'event_id' WHEN "table" = 'sessions' THEN 'id' ELSE '0' END AS name FROM h WINDOW w AS (PARTITION BY file, table_id ORDER BY event_id))""")
+def captured_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the log leaves out, from recorded answers to SHOW COLUMNS; those on ``items`` have too few columns."""
+    from rowtide.sources import captures
+
+    heads = ["Field", "Type", "Null", "Key", "Default", "Extra"]
+    shown = [["id", "bigint", "NO", "PRI", None, ""], *[[n, "varchar(255)", "YES", "", None, ""] for n in ["ts", "user_id", "event_type", "value", "props"]]]
+    said = [L.answer(heads, shown[: 6 if table == "sessions" else 4]) for table in ("sessions", "items") for _ in range(3)]
+    asked = [("answers", k, f"db{k % 3}", "sessions" if k < 3 else "items") for k in range(6)]
+    answers = spark.createDataFrame([("answers", bytearray(b"".join(said)))], "file string, content binary")
+    told = captures.columns(captures.results(answers), spark.createDataFrame(asked, "file string, result int, database string, `table` string"))
+    attached = D.with_known(D.attach(D.with_header(L.event_log(spark, sf_dir))), D.registry(told))
+    return D.decode_rows(attached).select(F.coalesce(_id(), _id("before")).alias("event_id"), F.get(A.current(), F.lit(0))["name"].alias("name"), "names_resolved")
+
+
+@query("SELECT o_orderkey, 4294967295 - o_orderkey AS whole, o_orderkey % 256 AS tiny, CAST(-o_orderkey AS BIGINT) AS below, 'whole' AS name, true AS names_resolved FROM orders")
+def signs_from_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a log that tells neither names nor signs, which a frame as of ``information_schema.columns`` does."""
+    k = F.col("o_orderkey").cast("long")
+    made = _table(spark, sf_dir, "orders").select("o_orderkey", (F.lit(4294967295) - k).alias("whole"), (k % 256).alias("tiny"), F.negative(k).alias("below"))
+    log = L.table_log(made, "shop", "orders", [("o_orderkey", C.LONGLONG, 0), ("whole", C.LONG, 0), ("tiny", C.TINY, 0), ("below", C.LONGLONG, 0)], named=False)
+    columns = [("shop", "orders", n, name, kind) for n, (name, kind) in enumerate([("o_orderkey", "bigint"), ("whole", "int unsigned"), ("tiny", "tinyint(3) UNSIGNED"), ("below", "bigint")], 1)]
+    known = D.registry(spark.createDataFrame(columns, "database string, `table` string, ordinal int, name string, type string"))
+    found = D.decode_rows(D.with_known(D.attach(D.with_header(log)), known))
+    return found.select(_id().alias("o_orderkey"), D.column("after", 1, "bigint").alias("whole"), D.column("after", 2, "bigint").alias("tiny"), D.column("after", 3, "bigint").alias("below"), F.get("after", F.lit(1))["name"].alias("name"), "names_resolved")
+
+
+@query("""SELECT s_suppkey AS server, 'binlog_row_value_options' AS variable, 'not PARTIAL_JSON' AS wanted, 'PARTIAL_JSON' AS found FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 3 > 0
+UNION ALL SELECT s_suppkey, 'binlog_transaction_compression', 'OFF', 'ON' FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 3 > 0""")
+def validate_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables that needn't be there, but mustn't have some values; every third server is MariaDB, which has none of them."""
+    k = F.col("s_suppkey")
+    held = {"log_bin": F.lit("ON"), "gtid_mode": F.lit("ON"), "binlog_format": F.lit("row"), "binlog_row_image": F.lit("full"), "binlog_row_value_options": F.when(k % 4 == 0, "partial_json").when(k % 4 == 1, ""), "binlog_transaction_compression": F.when(k % 5 == 0, "ON").when(k % 5 == 1, "OFF")}
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in held.items()])).alias("x")
+    servers = _table(spark, sf_dir, "supplier").select(k.alias("server"), F.when(k % 3 == 0, "10.11-mariadb").otherwise("9.1.0").alias("version"), rows).select("server", "version", "x.*")
+    return A.validate_server(servers.filter("value is not null"))
+
+
+# Positions and sets along streams, and streams that start again.
+
+_PLACES = _CHANGES + """SELECT file AS source_id, CASE WHEN CAST(file[8:] AS INTEGER) % 2 = 1 THEN 'binlog.' || lpad(CAST(1 + CAST(file[8:] AS INTEGER) AS VARCHAR), 6, '0') ELSE '' END AS log_file,
+CASE WHEN CAST(file[8:] AS INTEGER) % 2 = 1 THEN 4 ELSE max(next_pos) END AS "offset" FROM h GROUP BY file"""
+
+
+def _places(raw: DataFrame) -> DataFrame:
+    """Each file as a source; those with even numbers aren't closed yet."""
+    events = D.with_header(raw, "crc32").withColumn("source_id", F.col("file"))
+    return transactions.resume_position(events.filter((F.col("type_code") != 4) | (F.substring("file", 8, 6).cast("int") % 2 == 1)))
+
+
+@query(_PLACES)
+def resume_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(L.event_log(spark, sf_dir))
+
+
+@query(_PLACES)
+def stream_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream, whose state is a row a source."""
+    from rowtide.streaming import changes as stream
+    from rowtide.streaming import transactions as tracked
+
+    held, marks = folders.new_folder(spark, "places"), folders.new_folder(spark, "marks")
+    raw = stream.read(spark, written_files(spark, sf_dir), maxEventsPerTrigger="7001", checkpoint=marks)
+    query = _places(raw).writeStream.foreachBatch(tracked.keep_last(held)).option("checkpointLocation", marks).outputMode("complete").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return tracked.kept_set(spark, held).select("source_id", "log_file", "offset")
+
+
+@query(_CHANGES + f""", g AS (SELECT 1 + event_id % 2 AS s, event_id // 2 + 1 AS n FROM h UNION SELECT 1, unnest(range(700001, 700011))),
+i AS (SELECT s, n, n - row_number() OVER (PARTITION BY s ORDER BY n) AS k FROM g)
+SELECT 'events' AS source_id, '{_S1[:-1]}' || s AS sid, min(n) AS "start", max(n) + 1 AS "end" FROM i GROUP BY s, k""")
+def stream_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set that a stream has committed, with the sets that its files begin with."""
+    from rowtide.streaming import changes as stream
+    from rowtide.streaming import transactions as tracked
+
+    first = C.event(35, bytes.fromhex(_encoded((_S1, [(700001, 700006), (700006, 700011)])))).hex()
+    begin = lambda files: files.select("source_id", "file", F.lit(-1).cast("long").alias("seq"), F.unhex(F.lit(first)).alias("raw"))
+    held, marks = folders.new_folder(spark, "set"), folders.new_folder(spark, "marks")
+    raw = stream.read(spark, written_files(spark, sf_dir, begin), sourceId="events", maxEventsPerTrigger="7001", checkpoint=marks)
+    tracked.run_to_end(tracked.committed(raw), held, marks)
+    return tracked.kept_set(spark, held).select("source_id", "sid", "start", "end")
+
+
+@query(_CHANGES + "SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, CAST(1 AS BIGINT) AS survived FROM h")
+def stream_survives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose sink fails once: it starts again from its checkpoint, and no row is lost or doubled."""
+    from rowtide.streaming import changes as stream
+    from rowtide.streaming import supervise
+
+    out, marks, failed = folders.new_folder(spark, "rows"), folders.new_folder(spark, "marks"), []
+    files = written_files(spark, sf_dir)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if not failed:
+            failed.append(batch_id)
+            raise ConnectionError("the sink is away")
+
+    def start():
+        found = stream.changes(stream.read(spark, files, maxEventsPerTrigger="20000", checkpoint=marks))
+        return found.select(F.coalesce(_id(), _id("before")).alias("event_id"), "op").writeStream.foreachBatch(write).option("checkpointLocation", marks).start()
+
+    n = supervise.keep_running(start, to_end=True)
+    return spark.read.parquet(out).select("event_id", "op", F.lit(n).cast("long").alias("survived"))

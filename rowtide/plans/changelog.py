@@ -128,3 +128,50 @@ def event_log(spark: SparkSession, sf_dir: str, maria: bool = False, damage: int
             yield raw_batch(out)
 
     return made.mapInArrow(run, RAW)
+
+
+def recorded(log: DataFrame, beats: int = 50) -> DataFrame:
+    """(file, content): each file of an event log, whose tasks hold files in order, as a recorded connection.
+
+    Heartbeats of all forms come after every so many events. The connections of files with even numbers end with an error.
+    """
+    from rowtide.sources import captures
+
+    beat = [b"", b"\0", b"\0" + C.event(27, b"binlog")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, parts, n = None, [], 0
+
+        def closed() -> pa.RecordBatch:
+            if int(file[7:]) % 2 == 0:
+                parts.append(captures.packets(b"\xff" + struct.pack("<H", 1236) + b"#HY000" + b"purged " + file.encode(), n))
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([b"".join(parts)], pa.binary())], ["file", "content"])
+
+        for batch in batches:
+            for name, raw in zip(batch.column("file").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                if name != file:
+                    if file is not None:
+                        yield closed()
+                    file, parts, n = name, [], 0
+                parts.append(captures.packets(b"\0" + raw, n))
+                n += 1
+                if n % beats == 0:
+                    parts.append(captures.packets(beat[n // beats % 3], n))
+        if file is not None:
+            yield closed()
+
+    return log.mapInArrow(run, "file string, content binary")
+
+
+def answer(names: list[str], rows: list[list[str | None]], without_end_marks: bool = False) -> bytes:
+    """The packets of a server's answer to a text query."""
+    from rowtide.sources import captures
+
+    def field(x: str | None) -> bytes:
+        return b"\xfb" if x is None else C.pack(len(x.encode())) + x.encode()
+
+    mark, end = b"\xfe\0\0\2\0", b"\xfe\0\0\2\0\0\0" if without_end_marks else b"\xfe\0\0\2\0"
+    sent = [C.pack(len(names)), *[b"".join(map(field, ["def", "s", "t", "t", n, n])) + b"\x0c" + b"\0" * 12 for n in names]]
+    sent += [] if without_end_marks else [mark]
+    sent += [*[b"".join(map(field, r)) for r in rows], end]
+    return b"".join(captures.packets(x, 1 + k) for k, x in enumerate(sent))

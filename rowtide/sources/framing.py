@@ -96,6 +96,8 @@ class Follower:
                 self.declared = True
             elif len(raw) >= 77 and raw[-1] == 0:
                 self.declared = False
+        elif kind == 4:  # tables are numbered anew in the next file
+            self.maps.clear()
         elif kind == 19:
             self.maps[raw[19:25]] = seq, raw[19:] if self.declared is False else raw[19:-4]
         elif kind in B.ROWS and raw[19:25] in self.maps:

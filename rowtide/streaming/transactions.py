@@ -38,15 +38,30 @@ def commits(raw: DataFrame, checksum: str = "crc32") -> DataFrame:
     return told.groupBy("source_id").applyInPandasWithState(track, "source_id string, file string, seq long, gtid string", "pending string", "append", "NoTimeout")
 
 
+def committed(raw: DataFrame, checksum: str = "crc32", mariadb: bool = False) -> DataFrame:
+    """What a stream of raw events adds to the set of committed ids: its transactions, and the sets that its files begin with.
+
+    MySQL: (source_id, sid, start, end). MariaDB: (source_id, domain, server, seq). For ``keep_set``.
+    """
+    done, events = commits(raw, checksum), decode.with_header(raw, "auto" if "declared" in raw.columns else checksum)
+    start = T.baselines(events.filter("crc_ok")).filter(F.col("kind") == ("mariadb" if mariadb else "mysql"))
+    if mariadb:
+        start = start.select("source_id", F.col("sid").cast("long").alias("domain"), F.col("a").alias("server"), F.col("b").cast("decimal(20,0)").alias("seq"))
+        return G.mariadb_parts(done, "gtid", "source_id").unionByName(start)
+    return T.singles(done).unionByName(start.select("source_id", "sid", F.col("a").alias("start"), F.col("b").alias("end")))
+
+
 def keep_set(path: str, mariadb: bool = False) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` on ``commits``: the set committed so far as a folder for each batch under ``path``.
+    """For ``foreachBatch`` on ``commits`` or ``committed``: the set so far as a folder for each batch under ``path``.
 
     MySQL ids are held as merged ranges, MariaDB ones as the highest of each domain, both few. A batch that runs again
     starts from the folder of the one before, so nothing counts twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = G.mariadb_parts(batch, "gtid", "source_id") if mariadb else T.singles(batch)
+        new = batch
+        if "gtid" in batch.columns:
+            new = G.mariadb_parts(batch, "gtid", "source_id") if mariadb else T.singles(batch)
         if batch_id:
             new = new.unionByName(batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}"))
         kept = G.high_water(new, "source_id") if mariadb else G.merged(new, "source_id", "sid")
@@ -61,6 +76,15 @@ def kept_set(spark: SparkSession, path: str) -> DataFrame:
     return all_.join(F.broadcast(all_.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
 
+def keep_last(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on a small aggregate in mode ``complete``, such as ``resume_position``: a folder for each batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mariadb: bool = False) -> int:
     """Keep the set of a stream of commits until there is no more, and stop; returns the number of triggers with rows."""
     query = stream.writeStream.foreachBatch(keep_set(path, mariadb)).option("checkpointLocation", checkpoint).outputMode("append").start()
