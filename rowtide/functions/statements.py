@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ def is_boundary(statement: str | Column) -> Column:
     return F.coalesce(first_keyword(statement).isin(BOUNDARIES), F.lit(False))
 
 
+_first = re.compile(_FIRST).match
+
+
+def ends_transaction(body: bytes) -> bool:
+    """``is_boundary`` of a QUERY event's body, for readers of files."""
+    if len(body) < 13 or (at := 14 + int.from_bytes(body[11:13], "little") + body[8]) > len(body):
+        return False
+    found = _first(body[at:].decode("utf-8", "replace"))
+    return found is not None and found.group(1).upper() in BOUNDARIES
+
+
 def quoted(name: str | Column) -> Column:
     """An identifier in backticks; null if it holds a NUL."""
     name = F.col(name) if isinstance(name, str) else name

@@ -182,9 +182,10 @@ _ARROW = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.stri
 _NAMES = ["source_id", "seq", "row_in_event", "op", "database", "table", "before", "after", "ts", "file", "offset", "error_code", "names_resolved"]
 
 
-def _envelope(made: list[tuple], before: Images, after: Images) -> pa.RecordBatch:
+def _envelope(made: list[tuple], before: Images, after: Images, batch: pa.RecordBatch, keep: tuple[str, ...], events: list[int]) -> pa.RecordBatch:
     plain = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), _ARROW[:6] + _ARROW[8:], strict=True)]
-    return pa.RecordBatch.from_arrays([*plain[:6], before.arrow(), after.arrow(), *plain[6:]], _NAMES)
+    kept = _kept(batch, keep, pa.array(events, pa.int64()))
+    return pa.RecordBatch.from_arrays([*plain[:6], before.arrow(), after.arrow(), *plain[6:], *kept], [*_NAMES, *keep])
 
 
 def _images(read: columnar.Rows, side: int, table: codec.TableMap) -> pa.Array:
@@ -204,13 +205,17 @@ def _images(read: columnar.Rows, side: int, table: codec.TableMap) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n), values, type=_VALUE_ARROW)
 
 
-def _read_envelope(batch: pa.RecordBatch, kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> pa.RecordBatch:
+def _kept(batch: pa.RecordBatch, keep: tuple[str, ...], events: pa.Array) -> list[pa.Array]:
+    return [batch.column(batch.schema.names.index(f"keep_{name}")).take(events) for name in keep]
+
+
+def _read_envelope(batch: pa.RecordBatch, keep: tuple[str, ...], kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> pa.RecordBatch:
     at, n = pa.array(rows[read.event]), len(read.event)
     of = lambda name: batch.column(batch.schema.names.index(name)).take(at)
     same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(n, np.int64)))
     head = [of("source_id"), of("seq"), pa.array(read.number), same(codec.OPS[kind]), same(table.database), same(table.table)]
     tail = [of("ts"), of("file"), of("offset").cast(pa.int64()), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, table.resolved))]
-    return pa.RecordBatch.from_arrays([*head, _images(read, 0, table), _images(read, 1, table), *tail], _NAMES)
+    return pa.RecordBatch.from_arrays([*head, _images(read, 0, table), _images(read, 1, table), *tail, *_kept(batch, keep, at)], [*_NAMES, *keep])
 
 
 def _known(attached: DataFrame) -> Column:
@@ -245,17 +250,20 @@ def with_known(attached: DataFrame, tables: DataFrame) -> DataFrame:
 AT_ONCE = 20_000
 
 
-def decode_rows(attached: DataFrame) -> DataFrame:
+def decode_rows(attached: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The change rows of attached row events: one for each row, or one with an error code for an event that fails.
 
     Events of one table are read side by side, column by column; those with an unusual layout one by one. The offset of a
     failed event is where it begins, so that resuming at the greatest offset doesn't pass it; it is null where the log
-    doesn't say. After ``with_known``, rows say whether their columns' names are resolved.
+    doesn't say. After ``with_known``, rows say whether their columns' names are resolved. ``keep``: columns of the events
+    that their rows have too, such as gtid.
     """
+    keep = tuple(keep)
 
     def one_by_one(batch: pa.RecordBatch, reader: columnar.Reader) -> Iterator[pa.RecordBatch]:
-        made, before, after = [], Images(), Images()
-        for source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset, begin, code, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        made, before, after, events = [], Images(), Images(), []
+        plain = batch.columns[: len(batch.columns) - len(keep)]
+        for at, (source, seq, kind, crc_ok, body, declared, database, name, ts, file, offset, begin, code, known) in enumerate(zip(*[c.to_pylist() for c in plain], strict=True)):
             op, start = codec.OPS.get(kind), len(made)
             try:
                 if code:
@@ -275,17 +283,18 @@ def decode_rows(attached: DataFrame) -> DataFrame:
                     images.cut(start)
                     images.add(None, [])
                 made.append((source, seq, 0, op, database, name, ts, file, begin, e.code, None))
+            events += [at] * (len(made) - start)
             if len(made) >= AT_ONCE:
-                yield _envelope(made, before, after)
-                made, before, after = [], Images(), Images()
+                yield _envelope(made, before, after, batch, keep, events)
+                made, before, after, events = [], Images(), Images(), []
         if made:
-            yield _envelope(made, before, after)
+            yield _envelope(made, before, after, batch, keep, events)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = columnar.Reader()
         for whole in batches:
             for batch in columnar.pieces(whole, "body"):
-                for found in reader.groups(batch, partial(_read_envelope, batch)):
+                for found in reader.groups(batch, partial(_read_envelope, batch, keep)):
                     for at in range(0, found.num_rows, AT_ONCE):
                         yield found.slice(at, AT_ONCE)
                 if reader.left.any():
@@ -296,7 +305,9 @@ def decode_rows(attached: DataFrame) -> DataFrame:
     begin = F.when(F.col("next_pos") >= F.col("event_length"), F.col("next_pos") - F.col("event_length"))
     code = F.col("error_code") if "error_code" in attached.columns else F.lit(0)
     wanted = ["source_id", "seq", "type_code", "crc_ok", "body", "map_body", "database", "table", "ts", "file", "offset"]
-    found = attached.select(*wanted, begin.alias("begin"), code.alias("code"), _known(attached)).mapInArrow(run, ENVELOPE + ", names_resolved boolean")
+    more = [F.col(name).alias(f"keep_{name}") for name in keep]
+    schema = ENVELOPE + ", names_resolved boolean" + "".join(f", `{name}` {attached.schema[name].dataType.simpleString()}" for name in keep)
+    found = attached.select(*wanted, begin.alias("begin"), code.alias("code"), _known(attached), *more).mapInArrow(run, schema)
     return found if "known" in attached.columns else found.drop("names_resolved")
 
 
@@ -390,12 +401,12 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
     return found.select(*head, *[cast(n, kind).alias(n) for n, (_, kind) in columns.items()])
 
 
-def changes(raw: DataFrame, allowed: Column | DataFrame | None = None, checksum: str = "auto") -> DataFrame:
-    """Raw events to change rows. The offset is the event header's next position.
+def changes(raw: DataFrame, allowed: Column | DataFrame | None = None, checksum: str = "auto", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw events to change rows. The offset is the event header's next position. ``keep`` as for ``decode_rows``.
 
     From ``framing.read_files`` on, each file goes through one task and nothing is exchanged.
     """
-    return decode_rows(attach(with_header(raw, checksum), allowed))
+    return decode_rows(attach(with_header(raw, checksum), allowed), keep)
 
 
 def failfast_prefix(found: DataFrame) -> DataFrame:

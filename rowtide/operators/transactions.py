@@ -133,7 +133,8 @@ def resume_position(events: DataFrame) -> DataFrame:
 def resume_after(marked: DataFrame, done: DataFrame) -> DataFrame:
     """The events of transactions that aren't in a set (source_id, gtid_set), and those outside of any transaction.
 
-    Ranges of the set are merged first, so a transaction meets at most one of them.
+    Ranges of the set are merged first, so a transaction meets at most one of them. ``marked`` has gtid from ``with_gtid``,
+    or from the reader of the files: then it may be a stream.
     """
     held = G.merged(G.ranges(done, "gtid_set", "source_id"), "source_id", "sid").select(F.col("source_id").alias("__s"), F.col("sid").alias("__sid"), "start", "end")
     own = F.split("gtid", ":")

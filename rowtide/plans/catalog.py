@@ -861,3 +861,48 @@ def stream_survives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = supervise.keep_running(start, to_end=True)
     return spark.read.parquet(out).select("event_id", "op", F.lit(n).cast("long").alias("survived"))
+
+
+# Files that are read in part, and the transactions of their rows.
+
+_GTIDS = f"CASE WHEN event_id % 2 = 0 THEN '{_S1}' ELSE '{_S2}' END || ':' || (event_id // 2 + 1)"
+
+
+@query(_CHANGES + f"SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, {_GTIDS} AS gtid, file FROM h WHERE file BETWEEN 'binlog.000002' AND 'binlog.000003'")
+def files_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some files by name, the others not opened; rows know their transaction."""
+    from rowtide.sources.framing import read_files
+
+    raw = read_files(spark, written_files(spark, sf_dir), since="binlog.000002", until="binlog.000003")
+    return D.changes(raw, keep=("gtid",)).select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "gtid", "file")
+
+
+@query(_CHANGES + f"SELECT {_GTIDS} AS gtid, op, file FROM h WHERE file >= 'binlog.000002'")
+def file_source_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The format ``rowlog`` with all that decoding needs, and a filter on files for the source."""
+    from rowtide.sources.framing import RowLogSource
+
+    spark.dataSource.register(RowLogSource)
+    raw = spark.read.format("rowlog").option("follow", "true").load(written_files(spark, sf_dir)).filter("file >= 'binlog.000002'")
+    return D.changes(raw, keep=("gtid",)).select("gtid", "op", "file")
+
+
+@query(_CHANGES + f"SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op, {_GTIDS} AS gtid FROM h WHERE NOT (event_id % 2 = 0 AND event_id // 2 + 1 < 300) AND NOT (event_id % 2 = 1 AND event_id // 2 + 1 BETWEEN 100 AND 200)")
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that begins after a set of transactions, without state."""
+    from rowtide.sources.framing import read_files
+    from rowtide.streaming import changes as stream
+
+    raw = read_files(spark, written_files(spark, sf_dir), source_id="events", files_per_trigger=2)
+    done = spark.createDataFrame([("events", f"{_S1}:1-299,{_S2}:100-150:151-200")], "source_id string, gtid_set string")
+    rest = transactions.resume_after(D.attach(D.with_header(raw)), done)
+    out, marks = folders.new_folder(spark, "rows"), folders.new_folder(spark, "marks")
+    stream.run_to_end(D.decode_rows(rest, ("gtid",)).select(F.coalesce(_id(), _id("before")).alias("event_id"), "op", "gtid"), out, marks)
+    return spark.read.parquet(out)
+
+
+@query(_CHANGES + f"SELECT {_GTIDS} AS gtid, op, CAST(1 AS BIGINT) AS n, file FROM h")
+def transaction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each transaction, from a log whose events windows line up."""
+    found = D.decode_rows(D.attach(transactions.with_gtid(D.with_header(L.event_log(spark, sf_dir)))), ("gtid",))
+    return found.groupBy("gtid", "op", "file").agg(F.count("*").alias("n"))

@@ -84,8 +84,8 @@ def events_of(data: memoryview, limit: int) -> Iterator[tuple[bytes, int, int |
 def events(files: DataFrame, limit: int = framing.DEFAULT_EVENT, source_id: str = "log") -> DataFrame:
     """As ``framing.read_files``, from a frame (file, content) of recorded answers to dump requests, with server_code and message."""
     limit = framing.size_limit(limit)
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.string()]
-    names = ["source_id", "file", "seq", "raw", "error_code", "declared", "map_seq", "map_body", "server_code", "message"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.string()]
+    names = [x.split()[0] for x in EVENTS.split(", ")]
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

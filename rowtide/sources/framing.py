@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import glob
 import json
+import operator
 import os
 import struct
 import uuid
@@ -16,9 +17,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from rowtide.functions import bytes as B
+from rowtide.functions import statements as S
 from rowtide.functions.errors import ParseError
 
 MAGIC = b"\xfebin"
@@ -82,15 +84,20 @@ def events_of(chunks: Iterator[bytes], limit: int = DEFAULT_EVENT, closed: bool
 
 
 class Follower:
-    """What a file's events have declared so far: checksums, and the table maps by the tables' numbers."""
+    """What a file's events have declared so far: checksums, the table maps by the tables' numbers, and the transaction's id.
+
+    Transactions don't go on in the next file of a log, so a file's own events are enough to know their ids.
+    """
 
     def __init__(self):
         self.declared: bool | None = None
         self.maps: dict[bytes, tuple[int, bytes]] = {}
+        self.gtid: str | None = None
 
-    def see(self, seq: int, raw: bytes) -> tuple[bool | None, int | None, bytes | None]:
-        """declared, map_seq and map_body for an event."""
+    def see(self, seq: int, raw: bytes) -> tuple[bool | None, int | None, bytes | None, str | None]:
+        """declared, map_seq, map_body and gtid for an event."""
         kind = raw[4] if len(raw) >= 19 else 0
+        found, gtid = (None, None), self.gtid
         if kind == 15:
             if len(raw) >= 81 and raw[-5] == 1:
                 self.declared = True
@@ -99,27 +106,51 @@ class Follower:
         elif kind == 4:  # tables are numbered anew in the next file
             self.maps.clear()
         elif kind == 19:
-            self.maps[raw[19:25]] = seq, raw[19:] if self.declared is False else raw[19:-4]
-        elif kind in B.ROWS and raw[19:25] in self.maps:
-            return self.declared, *self.maps[raw[19:25]]
-        return self.declared, None, None
+            self.maps[raw[19:25]] = seq, self._body(raw)
+        elif kind in B.ROWS:
+            found = self.maps.get(raw[19:25], found)
+        elif kind in (33, 162):
+            self.gtid = gtid = own_gtid(raw) or gtid
+        elif kind in (16, 34) or kind == 2 and S.ends_transaction(self._body(raw)):
+            self.gtid = None
+            gtid = None if kind == 34 else gtid
+        return self.declared, *found, gtid
+
+    def _body(self, raw: bytes) -> bytes:
+        return raw[19:] if self.declared is False else raw[19:-4]
 
 
-FRAMED = SCHEMA + ", declared boolean, map_seq long, map_body binary"
+def own_gtid(raw: bytes) -> str | None:
+    """The id that an event of either flavour begins a transaction with; none if it is cut off or not positive."""
+    if raw[4] == 33 and len(raw) >= 44:
+        number = int.from_bytes(raw[36:44], "little")
+        return f"{uuid.UUID(bytes=raw[20:36])}:{number}" if 1 <= number < 1 << 63 else None
+    if raw[4] == 162 and len(raw) >= 32:
+        sequence, domain = struct.unpack_from("<QI", raw, 19)
+        return f"{domain}-{int.from_bytes(raw[5:9], 'little')}-{sequence}"
+    return None
 
 
-def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, source_id: str = "log", files_per_trigger: int = 0) -> DataFrame:
+FRAMED = SCHEMA + ", declared boolean, map_seq long, map_body binary, gtid string"
+
+
+def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, source_id: str = "log", files_per_trigger: int = 0, since: str | None = None, until: str | None = None) -> DataFrame:
     """(source_id, file, seq, raw, error_code) of all files under ``path``, numbered within each file, with ``declared``,
-    map_seq and map_body, which spare later steps looking for them.
+    map_seq, map_body and gtid (the transaction's id), which spare later steps looking for them.
 
     Files are read whole, by a task each, and so must be closed. With ``files_per_trigger`` it is a stream of so many
-    files a trigger, from the first one on, that needs no state.
+    files a trigger, from the first one on, that needs no state. ``since`` and ``until`` are names of files: those before
+    and after aren't opened.
     """
     if files_per_trigger:
         kinds = "path string, modificationTime timestamp, length long, content binary"
         files = spark.readStream.format("binaryFile").schema(kinds).option("maxFilesPerTrigger", files_per_trigger).load(path)
     else:
         files = spark.read.format("binaryFile").load(path)
+    if since is not None:
+        files = files.filter(F.col("_metadata.file_name") >= since)
+    if until is not None:
+        files = files.filter(F.col("_metadata.file_name") <= until)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +171,8 @@ def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, sourc
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
-    names = ["source_id", "file", "seq", "raw", "error_code", "declared", "map_seq", "map_body"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.string()][: len(rows[0])]
+    names = [x.split()[0] for x in FRAMED.split(", ")][: len(rows[0])]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
@@ -152,7 +183,9 @@ class FilePart(InputPartition):
         self.path, self.seq, self.start, self.end = path, seq, start, end
 
 
-def _read(part: FilePart, source_id: str, limit: int) -> Iterator[tuple]:
+def _read(part: FilePart, source_id: str, limit: int, follow: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of a few MB; ``follow``: of a whole file, with what ``FRAMED`` has more."""
+
     def chunks() -> Iterator[bytes]:
         at = part.start
         with open(part.path, "rb") as f:
@@ -161,8 +194,15 @@ def _read(part: FilePart, source_id: str, limit: int) -> Iterator[tuple]:
                 at += len(chunk)
                 yield chunk
 
+    held, size, follower, name = [], 0, Follower(), os.path.basename(part.path)
     for k, (raw, code) in enumerate(events_of(chunks(), limit, part.end is None)):
-        yield source_id, os.path.basename(part.path), part.seq + k, raw, code
+        held.append((source_id, name, part.seq + k, raw, code, *(follower.see(k, raw) if follow else ())))
+        size += len(raw)
+        if size > 4 << 20 or len(held) >= 10_000:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
 
 
 def _lengths(path: str, at: int, limit: int) -> Iterator[int]:
@@ -181,9 +221,13 @@ def _lengths(path: str, at: int, limit: int) -> Iterator[int]:
 
 
 class RowLogSource(DataSource):
-    """``format("rowlog")``; options: path, sourceId, maxEventSize, maxEventsPerTrigger, maxBytesPerTrigger, checkpoint.
+    """``format("rowlog")``; options: path, sourceId, maxEventSize, maxEventsPerTrigger, maxBytesPerTrigger, checkpoint, follow,
+    pushFilters.
 
-    The path must be mounted on all machines; ``read_files`` reads any store that Spark reads.
+    The path must be mounted on all machines; ``read_files`` reads any store that Spark reads. Files are read a few MB at a
+    time, whatever their size. With ``follow`` (batches only) rows have what ``read_files`` adds, so that ``changes`` needs
+    no exchange. With ``pushFilters``, for which ``spark.sql.python.filterPushdown.enabled`` must be set, files that filters on
+    ``file`` rule out aren't opened.
     """
 
     @classmethod
@@ -191,10 +235,10 @@ class RowLogSource(DataSource):
         return "rowlog"
 
     def schema(self) -> str:
-        return SCHEMA
+        return FRAMED if _Options(self.options).follow else SCHEMA
 
     def reader(self, schema):
-        return RowLogReader(self.options)
+        return PushingReader(self.options) if self.options.get("pushFilters", "false").lower() == "true" else RowLogReader(self.options)
 
     def streamReader(self, schema):
         return RowLogStream(self.options)
@@ -209,6 +253,7 @@ class _Options:
         self.source_id = options.get("sourceId", "log")
         self.limit = size_limit(int(options.get("maxEventSize", DEFAULT_EVENT)))
         self.checkpoint = options.get("checkpoint", "").removeprefix("file://").removeprefix("file:")
+        self.follow = options.get("follow", "false").lower() == "true"
         self.most_events = int(options.get("maxEventsPerTrigger", 10_000))
         self.most_bytes = int(options.get("maxBytesPerTrigger", 256 << 20))
 
@@ -219,12 +264,28 @@ class _Options:
 class RowLogReader(DataSourceReader):
     def __init__(self, options):
         self.of = _Options(options)
+        self.wanted: list[Filter] = []
 
     def partitions(self):
-        return [FilePart(p) for p in self.of.files()]
+        named = [(os.path.basename(p), p) for p in self.of.files()]
+        return [FilePart(p) for name, p in named if all(_HOLDS[type(f)](name, f.value) for f in self.wanted)]
 
     def read(self, partition):
-        yield from _read(partition, self.of.source_id, self.of.limit)
+        if partition is not None:  # Spark asks once where there are no files
+            yield from _read(partition, self.of.source_id, self.of.limit, self.of.follow)
+
+
+class PushingReader(RowLogReader):
+    def pushFilters(self, filters):
+        """Takes the comparisons of ``file`` with names; Spark evaluates the others."""
+        for f in filters:
+            if isinstance(f, tuple(_HOLDS)) and f.attribute == ("file",):
+                self.wanted.append(f)
+            else:
+                yield f
+
+
+_HOLDS = {EqualTo: operator.eq, In: lambda name, names: name in names, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 
 
 class RowLogStream(DataSourceStreamReader):

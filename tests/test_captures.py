@@ -1,5 +1,6 @@
 """Recorded connections, what servers say about tables, and streams that start again."""
 
+import struct
 import threading
 
 import pytest
@@ -9,7 +10,7 @@ from rowtide.functions import codec as C
 from rowtide.operators import decode as D
 from rowtide.operators import transactions
 from rowtide.plans import changelog as L
-from rowtide.sources import captures
+from rowtide.sources import captures, framing
 from rowtide.streaming import supervise
 
 LIMIT = 64 << 20
@@ -199,3 +200,60 @@ def test_stopping_ends_the_wait():
         Query.awaitTermination = before
     assert made[0].stopped and len(made) == 1
     assert supervise.keep_running(start, stop=stop) == 0 and len(made) == 1
+
+
+def begun(n):
+    return C.event(33, b"\0" + (1).to_bytes(16, "big") + struct.pack("<Q", n))
+
+
+def said(statement):
+    return C.event(2, struct.pack("<IIBHH", 1, 0, 1, 0, 2) + b"..d\0" + statement)
+
+
+def test_readers_of_files_follow_transactions_as_windows_do(spark, tmp_path):
+    row, maria = C.event(30, C.rows_body(1, 2, [C.image(COLUMNS, [5, "x"])])), C.event(162, struct.pack("<QIB", 7, 3, 0))
+    head = [C.event(15, L.FDE), C.event(19, C.table_map(1, "d", "t", COLUMNS))]
+    logs = {
+        "b.1": [*head, row, begun(1), said(b"BEGIN"), row, C.event(16, b"\0" * 8), row, begun(2), said(b"/* a */ alter table t"), row],
+        "b.2": [*head, begun(3), row, begun(4), row, C.event(34, b""), row, begun(0), row, maria, row, said(b"commit"), row, begun(5)[:-9], row],
+    }
+    for name, raws in logs.items():
+        (tmp_path / name).write_bytes(framing.MAGIC + b"".join(raws))
+    raw = framing.read_files(spark, str(tmp_path))
+    followed = {(r.file, r.seq): r.gtid for r in raw.collect()}
+    marked = transactions.with_gtid(D.with_header(raw.drop("gtid"))).select("file", "seq", "gtid").collect()
+    assert followed == {(r.file, r.seq): r.gtid for r in marked}
+    assert sum(g is not None for g in followed.values()) > 10
+    rows = D.changes(raw, keep=("gtid",)).collect()
+    assert all(r.gtid == followed[r.file, r.seq] for r in rows) and len(rows) == 11
+    done = spark.createDataFrame([("log", "00000000-0000-0000-0000-000000000001:1-3")], "source_id string, gtid_set string")
+    rest = D.decode_rows(transactions.resume_after(D.attach(D.with_header(raw)), done), ("gtid",)).collect()
+    assert sorted((r.gtid or "") for r in rest) == sorted((r.gtid or "") for r in rows if r.gtid not in {f"00000000-0000-0000-0000-000000000001:{n}" for n in (1, 2, 3)})
+
+
+@pytest.mark.parametrize("push", [False, True])
+def test_the_source_reads_only_files_asked_for(spark, tmp_path, push):
+    spark.dataSource.register(framing.RowLogSource)
+    for k in range(4):
+        (tmp_path / f"b.{k}").write_bytes(framing.MAGIC + b"".join([C.event(15, L.FDE), C.event(19, C.table_map(1, "d", "t", COLUMNS)), C.event(30, C.rows_body(1, 2, [C.image(COLUMNS, [k, "x"])]))]))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", str(push).lower())
+    try:
+        raw = spark.read.format("rowlog").option("follow", "true").option("pushFilters", str(push)).load(str(tmp_path))
+        for where, want in [("file > 'b.1' and file <= 'b.3' and seq >= 0", [2, 3]), ("file = 'b.2'", [2]), ("file in ('b.0', 'b.3')", [0, 3]), ("file < 'b.1' or file = 'b.3'", [0, 3]), ("file >= 'x'", [])]:
+            found = D.changes(raw.filter(where))
+            assert sorted(r.after[0].i for r in found.collect()) == want
+            if push and " or " not in where and want:
+                assert found.rdd.getNumPartitions() == len(want)
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_files_before_and_after_are_not_opened(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"b.{k}").write_bytes(framing.MAGIC + C.event(16, struct.pack("<Q", k)))
+    read = lambda **names: sorted({r.file for r in framing.read_files(spark, str(tmp_path), **names).collect()})
+    assert read(since="b.1") == ["b.1", "b.2", "b.3"] and read(until="b.1") == ["b.0", "b.1"] and read(since="b.2", until="b.2") == ["b.2"] and read(since="c") == []
+    scan = framing.read_files(spark, str(tmp_path), since="b.3")
+    scan.collect()
+    assert scan._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value() == 1
