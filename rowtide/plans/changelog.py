@@ -35,11 +35,12 @@ def table_log(rows: DataFrame, database: str, table: str, columns: list[tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, seq = f"part.{TaskContext.get().partitionId():06d}", 2
         yield raw_batch([("log", name, 0, C.event(15, FDE)), ("log", name, 1, C.event(19, C.table_map(7, database, table, columns, unsigned, named), next_pos=100))])
+        write = C.image_writer(columns)
         for batch in batches:
             values = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
             out = []
             for at in range(0, len(values), per_event):
-                images = [C.image(columns, list(v)) for v in values[at : at + per_event]]
+                images = [write(v) for v in values[at : at + per_event]]
                 if kind == 31:
                     images = [x + x for x in images]
                 out.append(("log", name, seq, C.event(kind, C.rows_body(7, len(columns), images, kind == 31), next_pos=100 + seq)))
@@ -83,11 +84,9 @@ def event_log(spark: SparkSession, sf_dir: str, maria: bool = False, damage: int
     """
     made = event_changes(spark, sf_dir).repartition("file").sortWithinPartitions("file", "event_id")
 
-    def image(x: dict) -> bytes:
-        return C.image(EVENT_COLUMNS, [x["event_id"], x["ts"], x["user_id"], x["event_type"], x["value"], x["props"]])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, seq, seen, out = None, 0, set(), []
+        write = C.image_writer(EVENT_COLUMNS)
 
         def put(raw: bytes) -> None:
             nonlocal seq
@@ -114,7 +113,7 @@ def event_log(spark: SparkSession, sf_dir: str, maria: bool = False, damage: int
                 if x["table_id"] not in seen:
                     seen.add(x["table_id"])
                     put(C.event(19, C.table_map(x["table_id"], x["database"], x["table"], EVENT_COLUMNS, named=k % 2 == 0), ts, at))
-                images = b"".join(image(v) for v in (x["before"], x["after"]) if v is not None)
+                images = b"".join(write([v[n] for n, _, _ in EVENT_COLUMNS]) for v in (x["before"], x["after"]) if v is not None)
                 kind = {"INSERT": 30, "UPDATE": 31, "DELETE": 32}[x["op"]]
                 raw = C.event(kind, C.rows_body(x["table_id"], 6, [images], kind == 31), ts, at)
                 if damage and k % damage == damage - 1:
