@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _BLANK = r"[ \t\n\r\x0b\f]"
 _TRIVIA = rf"(?is)^(?>{_BLANK}++|#[^\r\n]*+|--(?={_BLANK}|$)[^\r\n]*+|/\*(?!!|M!)(?>.*?\*/))*+"
 _DDL = rf"{_TRIVIA}(?:/\*M?!\d*+{_BLANK}*+)?+(alter|rename|drop|create|truncate)(?![A-Za-z0-9_$])"
-_FIRST = r"(?is)^(?>[ \t\n\r\x0b\f;]++|#[^\r\n]*+|--[^\r\n]*+|/\*(?>.*?\*/))*+([A-Za-z]+)"
+_FIRST = r"(?is)^(?>[ \t\n\r\x0b\f]++|#[^\n]*+|--[^\n]*+|/\*(?>.*?\*/))*+([A-Za-z]+)"
 BOUNDARIES = ["COMMIT", "ROLLBACK", "ALTER", "RENAME", "DROP", "CREATE", "TRUNCATE"]
 
 

@@ -906,3 +906,16 @@ def transaction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each transaction, from a log whose events windows line up."""
     found = D.decode_rows(D.attach(transactions.with_gtid(D.with_header(L.event_log(spark, sf_dir)))), ("gtid",))
     return found.groupBy("gtid", "op", "file").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN {_le8_sql('0')} WHEN 1 THEN NULL
+WHEN 2 THEN {_le8_sql('1')} || '{_S2.replace('-', '')}' || {_le8_sql('1')} || {_le8_sql('o_orderkey')} || {_le8_sql('o_orderkey + 6')}
+ELSE {_le8_sql('2')} || '{_S1.replace('-', '')}' || {_le8_sql('1')} || {_le8_sql('1')} || {_le8_sql('2')} || '{_S2.replace('-', '')}' || {_le8_sql('1')} || {_le8_sql('o_orderkey')} || {_le8_sql('o_orderkey + 1')} END AS encoded,
+o_orderkey % 4 = 1 AS tagged FROM orders""")
+def gtid_encode_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set for every order: none, tagged in its second part, of ranges that touch, and with colons and commas too many."""
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    given = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit(f"{_S1}:1,{_S2}:t:"), n)).when(k % 4 == 2, F.concat(F.lit(f"{_S2}:"), (k + 3).cast("string"), F.lit("-"), (k + 5).cast("string"), F.lit(":"), n, F.lit("-"), (k + 2).cast("string")))
+    sets = _table(spark, sf_dir, "orders").select("o_orderkey", given.otherwise(F.concat(F.lit(f"{_S2}::"), n, F.lit(f": ,, {_S1}:1"))).alias("g"))
+    return G.encoded_sets(sets.withColumn("tagged", G.is_tagged("g")), "g", "o_orderkey", "tagged")
