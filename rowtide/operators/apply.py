@@ -110,8 +110,14 @@ def current_state(spark: SparkSession, state_path: str) -> DataFrame:
     return spark.read.parquet(state_path).filter("op <> 'DELETE'").drop("__bucket")
 
 
-def observed(events: DataFrame, name: str = "log") -> tuple[DataFrame, Observation]:
-    """The same events with header, and counts of events, bytes and checksum errors that an action on them fills in."""
-    seen = Observation(name)
+def observed(events: DataFrame, name: str = "log") -> tuple[DataFrame, Observation | None]:
+    """The same events with header, and counts of events, bytes and checksum errors that an action on them fills in.
+
+    Of a stream the counts are each batch's, in its progress under ``name`` (``streaming.progress`` logs them), and the
+    second part is none.
+    """
     counts = [F.count("*").alias("events"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("bytes"), F.count_if(~F.col("crc_ok")).alias("crc_errors")]
+    if events.isStreaming:
+        return events.observe(name, *counts), None
+    seen = Observation(name)
     return events.observe(seen, *counts), seen

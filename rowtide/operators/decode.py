@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rowtide.functions import bytes as B
 from rowtide.functions import codec, columnar
 from rowtide.functions import statements as S
-from rowtide.functions.errors import ChecksumError, DecodeError, LogError
+from rowtide.functions.errors import ChecksumError, DecodeError, LogError, ParseError
 
 VALUE = "struct<ordinal int, name string, kind string, i bigint, d double, s string, b binary>"
 ENVELOPE = f"source_id string, seq long, row_in_event int, op string, database string, `table` string, before array<{VALUE}>, after array<{VALUE}>, ts long, file string, offset long, error_code int"
@@ -311,11 +311,11 @@ def decode_rows(attached: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return found if "known" in attached.columns else found.drop("names_resolved")
 
 
-_STORED = {"i": (pa.int64(), "long"), "d": (pa.float64(), "double"), "s": (pa.string(), "string"), "b": (pa.binary(), "binary")}
+_STORED = {"v": (pa.list_(pa.float32()), "array<float>"), "i": (pa.int64(), "long"), "d": (pa.float64(), "double"), "s": (pa.string(), "string"), "b": (pa.binary(), "binary")}
 
 
 def _stored(kind: str) -> str:
-    return "b" if kind == "text" else "s" if kind == "decimal(20,0)" else _FIELD.get(kind, "s")
+    return "v" if kind == "array<float>" else "b" if kind == "text" else "s" if kind == "decimal(20,0)" else _FIELD.get(kind, "s")
 
 
 def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], image: str = "after") -> DataFrame:
@@ -335,6 +335,8 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
             return x.decode("utf-8", "replace") if kind in ("STRING", "BYTES") else None if x is None else str(x)
         if stored == "b":
             return x if kind in ("STRING", "BYTES") else None
+        if stored == "v":
+            return np.frombuffer(x, "<f4").tolist() if kind == "BYTES" and len(x) % 4 == 0 else None
         return x if kind == ("INT" if stored == "i" else "DOUBLE") else None
 
     def stored_as(found: columnar.Column, stored: str) -> pa.Array:
@@ -342,6 +344,8 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
         if stored in "id":
             return found.field(stored)
         text, data = found.field("s"), found.field("b")
+        if stored == "v":
+            return pa.array([None if x is None or len(x) % 4 else np.frombuffer(x, "<f4") for x in data.to_pylist()], _STORED["v"][0])
         if stored == "b":
             return pc.coalesce(text.cast(pa.binary()), data)
         if found.layout.kind == columnar.INT:
@@ -401,6 +405,107 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
     return found.select(*head, *[cast(n, kind).alias(n) for n, (_, kind) in columns.items()])
 
 
+DEFINITIONS = "source_id string, database string, `table` string, file string, seq long, n_maps long, n_columns int, ordinal int, name string, type string, meta int, unsigned boolean, nullable boolean, labels array<string>, key int, spark_type string, error_code int"
+
+
+def definitions(events: DataFrame) -> DataFrame:
+    """Each definition of a table that a log (with header) declares, a row for each column, with where it is declared first.
+
+    ``n_maps``: how often it is; labels of enumerations and sets, and the place in the key (from 0), where the log tells
+    them; ``spark_type``: as ``codec.spark_type``. A table map that doesn't parse is a row with an error code and no column.
+    Logs repeat their table maps, so equal ones are brought together before any is parsed.
+    """
+    maps = table_maps(events.filter("crc_ok")).withColumn("definition", F.substring("map_body", 9, 1 << 30))
+    some = maps.groupBy("source_id", "database", "table", "definition").agg(F.min(F.struct("file", "map_seq")).alias("at"), F.count("*").alias("n"))
+    names = [x.split()[0].strip("`") for x in DEFINITIONS.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for source, database, name, body, file, seq, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                head = (source, database, name, file, seq, n)
+                try:
+                    table = codec.TableMap(bytes(8) + body)
+                except LogError as e:
+                    rows.append((*head, *[None] * 10, e.code))
+                    continue
+                for i, (kind, meta, unsigned, labels) in enumerate(zip(table.types, table.meta, table.unsigned, table.labels, strict=True)):
+                    real = meta >> 8 if kind == codec.STRING and meta >> 8 in (codec.ENUM, codec.SET) else kind
+                    told = (table.names[i] or None, codec.TYPE_NAMES.get(real, "UNKNOWN"), meta, unsigned, table.nullable[i], labels)
+                    rows.append((*head, len(table.types), i, *told, table.key.index(i) if i in table.key else None, codec.spark_type(kind, meta, unsigned, labels), 0))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return some.select("source_id", "database", "table", "definition", "at.file", "at.map_seq", "n").mapInArrow(run, DEFINITIONS)
+
+
+def schema_changes(found: DataFrame) -> DataFrame:
+    """(source_id, database, table, file, seq, added, dropped, retyped) of ``definitions``: at each new definition of a table
+    the names of columns that the one before it hadn't, that it hasn't any more, and whose types differ.
+
+    Definitions without names go by numbers. A table has as many rows here as definitions, however long the log.
+    """
+    column = F.struct(F.coalesce("name", F.col("ordinal").cast("string")).alias("name"), F.struct("type", "meta", "unsigned").alias("kind"))
+    of = ["source_id", "database", "table"]
+    whole = found.filter("error_code = 0").groupBy(*of, "file", "seq").agg(F.collect_list(column).alias("now"))
+    before = F.lag("now").over(Window.partitionBy(*of).orderBy("file", "seq"))
+    names = lambda c: F.transform(c, lambda x: x["name"])
+    pairs = whole.withColumn("old", before).filter("old is not null")
+    differ = F.filter("now", lambda x: F.exists("old", lambda y: (y["name"] == x["name"]) & (y["kind"] != x["kind"])))
+    told = [F.array_sort(F.array_except(names("now"), names("old"))).alias("added"), F.array_sort(F.array_except(names("old"), names("now"))).alias("dropped"), F.array_sort(names(differ)).alias("retyped")]
+    return pairs.select(*of, "file", "seq", *told).filter("size(added) + size(dropped) + size(retyped) > 0")
+
+
+def _shown_as(name: str, kind: str, labels: list[str] | None) -> Column:
+    """A column as ``definitions`` says, from what ``decode_columns`` reads for ``_read_as``."""
+    c = F.col(name)
+    if kind == "timestamp":
+        return F.timestamp_seconds(c.try_cast("decimal(20,6)"))
+    if kind == "interval":
+        part = lambda k: F.regexp_extract(c, r"^(-?)([0-9]+):([0-9]+):([0-9.]+)$", k)
+        size = F.make_dt_interval(F.lit(0), part(2).try_cast("int"), part(3).try_cast("int"), part(4).try_cast("decimal(18,6)"))
+        return F.when(part(1) == "-", -size).otherwise(size)
+    if kind == "string" and labels is not None:
+        return F.when(c == 0, "").otherwise(F.get(F.array(*map(F.lit, labels)), c.cast("int") - 1))
+    if kind == "array<string>":
+        bit = lambda k: c.bitwiseAND(F.lit(1 << k if k < 63 else -1 << 63)) != 0
+        return F.when(c.isNotNull(), F.array_compact(F.array(*[F.when(bit(k), F.lit(x)) for k, x in enumerate(labels)])))
+    return c
+
+
+def _read_as(kind: str, labels: list[str] | None) -> str:
+    return "string" if kind in ("timestamp", "interval") else "bigint" if kind == "array<string>" or kind == "string" and labels is not None else kind
+
+
+def view(raw: DataFrame, database: str, table: str, image: str = "after", checksum: str = "auto") -> DataFrame:
+    """One table of a log as a plain table with the types that the log declares, and source_id, file, seq, row_in_event, op and error_code.
+
+    Columns are those of the last definition (a column without a name has its number, as ``c0``); rows of earlier ones have
+    nulls for what they lack, as columns go by their place. Enumerations are their labels, sets arrays of labels, times
+    intervals; what a type can't hold (dates of zeros) is null. Only the definition comes to the driver. Events of the
+    table that can't be decoded are rows with an error code.
+    """
+    events = with_header(raw, checksum)
+    wanted = (F.col("database") == database) & (F.col("table") == table)
+    told = definitions(events).filter(wanted & (F.col("error_code") == 0))
+    last = told.agg(F.max(F.struct("file", "seq", "source_id")).alias("at")).first().at
+    if last is None:
+        raise ValueError(f"the log has no table {database}.{table}")
+    columns = told.filter((F.col("file") == last.file) & (F.col("seq") == last.seq) & (F.col("source_id") == last.source_id)).orderBy("ordinal").collect()
+    names = [c.name or f"c{c.ordinal}" for c in columns]
+    found = decode_columns(attach(events, wanted), {f"__{c.ordinal}": (c.ordinal, _read_as(c.spark_type, c.labels)) for c in columns}, image)
+    return found.select("source_id", "file", "seq", "row_in_event", "op", "error_code", *[_shown_as(f"__{c.ordinal}", c.spark_type, c.labels).alias(n) for c, n in zip(columns, names, strict=True)])
+
+
+def strict(found: DataFrame) -> DataFrame:
+    """The same rows; the first one with an error code ends the query, batch or stream, with an error that says where."""
+    kinds = {ParseError.code: "ParseError", ChecksumError.code: "ChecksumError", DecodeError.code: "DecodeError"}
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("error_code")), F.lit("LogError"))
+    told = F.concat(kind, F.lit(": code "), F.col("error_code").cast("string"), F.lit(" at event "), F.col("seq").cast("string"), F.lit(" of "), F.coalesce("file", F.lit("")))
+    return found.withColumn("error_code", F.when(F.col("error_code") == 0, F.col("error_code")).otherwise(F.raise_error(told).cast("int")))
+
+
 def changes(raw: DataFrame, allowed: Column | DataFrame | None = None, checksum: str = "auto", keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw events to change rows. The offset is the event header's next position. ``keep`` as for ``decode_rows``.
 

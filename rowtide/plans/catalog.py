@@ -919,3 +919,55 @@ def gtid_encode_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit(f"{_S1}:1,{_S2}:t:"), n)).when(k % 4 == 2, F.concat(F.lit(f"{_S2}:"), (k + 3).cast("string"), F.lit("-"), (k + 5).cast("string"), F.lit(":"), n, F.lit("-"), (k + 2).cast("string")))
     sets = _table(spark, sf_dir, "orders").select("o_orderkey", given.otherwise(F.concat(F.lit(f"{_S2}::"), n, F.lit(f": ,, {_S1}:1"))).alias("g"))
     return G.encoded_sets(sets.withColumn("tagged", G.is_tagged("g")), "g", "o_orderkey", "tagged")
+
+
+# Tables as the log declares them.
+
+_STATUS = {"O": "open", "F": "filled", "P": "partly"}
+_FLAGS = ["a", "b", "c"]
+
+
+def _declared_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, t = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    status = F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3)
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    made = _table(spark, sf_dir, "orders").select(k, status.alias("status"), (k % 8).alias("flags"), price.alias("price"), t.alias("ordered"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k % 1000000).alias("stamp"), ((k % 300000 - 150000) * 1000000).alias("clock"), (F.lit(4294967295) - k).alias("whole"), F.when(k % 3 > 0, t.cast("date")).alias("day"))
+    columns = [("o_orderkey", C.LONGLONG, 0), ("status", C.STRING, C.ENUM << 8 | 1), ("flags", C.STRING, C.SET << 8 | 1), ("price", C.NEWDECIMAL, 12 << 8 | 2), ("ordered", C.DATETIME2, 0), ("stamp", C.TIMESTAMP2, 6), ("clock", C.TIME2, 0), ("whole", C.LONG, 0), ("day", C.DATE, 0)]
+    return L.table_log(made, "shop", "orders", columns, [n == "whole" for n, *_ in columns], labels={1: list(_STATUS.values()), 2: _FLAGS}, key=[0])
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'partly' END AS status,
+concat_ws(',', CASE WHEN o_orderkey % 2 = 1 THEN 'a' END, CASE WHEN o_orderkey // 2 % 2 = 1 THEN 'b' END, CASE WHEN o_orderkey // 4 % 2 = 1 THEN 'c' END) AS flags, CAST(o_totalprice AS DECIMAL(12,2)) AS price,
+CAST(o_orderdate AS TIMESTAMP) AS ordered, CAST(epoch(o_orderdate) AS BIGINT) * 1000000 + o_orderkey % 1000000 AS stamp, (o_orderkey % 300000 - 150000) * 1000000 AS clock, 4294967295 - o_orderkey AS whole,
+CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""")
+def typed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with the types and labels that its log declares."""
+    found = D.view(_declared_log(spark, sf_dir), "shop", "orders")
+    clock = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.col("clock"))
+    return found.select("o_orderkey", "status", F.array_join("flags", ",").alias("flags"), "price", "ordered", F.unix_micros("stamp").alias("stamp"), clock.alias("clock"), "whole", "day")
+
+
+@query(_CHANGES + """, m AS (SELECT DISTINCT "database", "table", first_value(event_id % 2 = 0) OVER (PARTITION BY file, table_id ORDER BY event_id) AS named, file, table_id FROM h),
+d AS (SELECT "database", "table", named, count(*) AS n_maps, min(file) AS file FROM m GROUP BY ALL)
+SELECT "database", "table", file, n_maps, CAST(c AS INTEGER) AS ordinal, CASE WHEN named THEN ['event_id', 'ts', 'user_id', 'event_type', 'value', 'props'][c + 1] END AS name,
+['LONGLONG', 'DATETIME2', 'LONGLONG', 'VARCHAR', 'DOUBLE', 'VARCHAR'][c + 1] AS type, ['bigint', 'timestamp_ntz', 'bigint', 'string', 'double', 'string'][c + 1] AS spark_type FROM d, range(6) r(c)""")
+def table_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log declares its tables to be: with names or without, a table has up to two definitions."""
+    return D.definitions(D.with_header(L.event_log(spark, sf_dir))).select("database", "table", "file", "n_maps", "ordinal", "name", "type", "spark_type")
+
+
+@query("""WITH v AS (SELECT o_custkey % 20 AS t, o_orderkey, o_orderkey % 3 AS kind FROM orders),
+f AS (SELECT t, kind, min(o_orderkey) AS first FROM v GROUP BY ALL), l AS (SELECT *, lag(kind) OVER (PARTITION BY t ORDER BY first) AS old FROM f)
+SELECT 't' || t AS "table", CAST(first AS BIGINT) AS seq, CASE WHEN kind = 1 THEN 'extra' ELSE '' END AS added, CASE WHEN old = 1 THEN 'extra' ELSE '' END AS dropped, CASE WHEN (kind = 2) <> (old = 2) THEN 'n' ELSE '' END AS retyped FROM l WHERE old IS NOT NULL""")
+def schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for every twentieth of the customers, declared anew at each order with one of three definitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = [("k", C.LONGLONG, 0), ("n", C.LONG, 0)]
+        forms = [plain, [*plain, ("extra", C.VARCHAR, 20)], [plain[0], ("n", C.DOUBLE, 8)]]
+        for b in batches:
+            yield L.raw_batch([("log", "log.1", k, C.event(19, C.table_map(k % 99, "shop", f"t{c % 20}", forms[k % 3]))) for k, c in zip(*[x.to_pylist() for x in b.columns], strict=True)])
+
+    log = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")).mapInArrow(run, L.RAW)
+    found = D.schema_changes(D.definitions(D.with_header(log, "crc32")))
+    return found.select("table", "seq", *[F.array_join(c, ",").alias(c) for c in ("added", "dropped", "retyped")])

@@ -25,7 +25,7 @@ def raw_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["source_id", "file", "seq", "raw"])
 
 
-def table_log(rows: DataFrame, database: str, table: str, columns: list[tuple[str, int, int]], unsigned: list[bool] | None = None, named: bool = True, per_event: int = 100, kind: int = 30) -> DataFrame:
+def table_log(rows: DataFrame, database: str, table: str, columns: list[tuple[str, int, int]], unsigned: list[bool] | None = None, named: bool = True, per_event: int = 100, kind: int = 30, labels: dict[int, list[str]] | None = None, key: list[int] | None = None) -> DataFrame:
     """Each partition of ``rows`` as a file: a format description, a table map, and row events of some rows each.
 
     ``columns`` are (name, wire type, meta) in the order of the columns of ``rows``. kind 31 repeats each row as its own
@@ -34,7 +34,7 @@ def table_log(rows: DataFrame, database: str, table: str, columns: list[tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, seq = f"part.{TaskContext.get().partitionId():06d}", 2
-        yield raw_batch([("log", name, 0, C.event(15, FDE)), ("log", name, 1, C.event(19, C.table_map(7, database, table, columns, unsigned, named), next_pos=100))])
+        yield raw_batch([("log", name, 0, C.event(15, FDE)), ("log", name, 1, C.event(19, C.table_map(7, database, table, columns, unsigned, named, labels, key), next_pos=100))])
         write = C.image_writer(columns)
         for batch in batches:
             values = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
