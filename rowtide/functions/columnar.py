@@ -99,7 +99,7 @@ class Image:
     """One image (before or after) of the rows read so far: for each column the steps' values and nulls."""
 
     def __init__(self, layouts: list[Layout], wanted: set[int]):
-        self.layouts, self.wanted = layouts, wanted
+        self.layouts, self.wanted = layouts, {c for c in wanted if c < len(layouts)}
         self.values: list[list] = [[] for _ in layouts]
         self.nulls: list[list] = [[] for _ in layouts]
 
@@ -153,14 +153,26 @@ class Image:
             out.append(value)
         return np.stack([negative.astype(np.int64), *out]), odd
 
+    def close(self, picked: np.ndarray, data: np.ndarray) -> None:
+        """Bring the steps together, and inflate what is compressed in the rows picked, which can fail."""
+        for c in self.wanted:
+            layout, values = self.layouts[c], self.values[c]
+            nulls = self.nulls[c] = np.concatenate(self.nulls[c])
+            if layout.form != "span":
+                self.values[c] = np.concatenate(values, axis=-1)
+                continue
+            starts, sizes = self.values[c] = tuple(map(np.concatenate, zip(*values, strict=True)))
+            if layout.inflate is not None:
+                content = np.full(len(starts), None, object)
+                for k in picked[~nulls[picked]].tolist():
+                    content[k] = C.inflated(data[starts[k] : starts[k] + sizes[k]].tobytes(), layout.inflate)
+                self.values[c] = content
+
     def column(self, c: int, rows: np.ndarray, data: np.ndarray) -> Column:
-        layout = self.layouts[c]
-        nulls = np.concatenate(self.nulls[c])[rows]
-        if layout.form == "span":
-            starts, sizes = (np.concatenate(x)[rows] for x in zip(*self.values[c], strict=True))
-            return Column(layout, nulls, data=data, starts=starts, sizes=sizes)
-        values = np.concatenate(self.values[c], axis=-1)[..., rows]
-        return Column(layout, nulls, values=values)
+        layout, values, nulls = self.layouts[c], self.values[c], self.nulls[c][rows]
+        if layout.form == "span" and layout.inflate is None:
+            return Column(layout, nulls, data=data, starts=values[0][rows], sizes=values[1][rows])
+        return Column(layout, nulls, values=values[..., rows])
 
 
 class Column:
@@ -226,12 +238,10 @@ class Column:
             self.b = self._with_nulls(found)
 
     def _inflated(self) -> None:
-        spans = zip(self.starts.tolist(), self.sizes.tolist(), self.nulls.tolist(), strict=True)
-        content = [None if null else C.inflated(self.data[at : at + n].tobytes(), self.layout.inflate) for at, n, null in spans]
         if self.layout.kind == STRING:
-            self._told(content)
+            self._told(self.values.tolist())
         else:
-            self.b = pa.array(content, pa.binary())
+            self.b = pa.array(self.values.tolist(), pa.binary())
 
     def _told(self, content: list[bytes | None]) -> None:
         text, rest = [], []
@@ -295,6 +305,12 @@ class Rows:
     def column(self, side: int, c: int) -> Column:
         return self.images[side].column(c, self.picked, self.data)
 
+    def parts(self, most: int):
+        """The rows in parts of at most ``most``."""
+        for at in range(0, len(self.event), most):
+            part = slice(at, at + most)
+            yield Rows(self.event[part], self.number[part], self.images, self.picked[part], self.left, self.data)
+
 
 def read(kind: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: C.TableMap, wanted: tuple[set[int], set[int]] | None = None) -> Rows | None:
     """The rows of events of one kind and table map; none if they are to be read one by one.
@@ -336,6 +352,8 @@ def read(kind: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tabl
         return None if not ok.any() else Rows(np.zeros(0, np.int64), np.zeros(0, np.int32), images, np.zeros(0, np.int64), np.flatnonzero(~ok), data)
     event, number = np.concatenate(event), np.concatenate(number)
     picked = np.flatnonzero(ok[event])
+    for side in sides:
+        images[side].close(picked, data)
     return Rows(event[picked], number[picked], images, picked, np.flatnonzero(~ok), data)
 
 
@@ -361,7 +379,7 @@ def groups(batch: pa.RecordBatch, kind: str, body: str, declared: str, known: st
     return data, found
 
 
-def pieces(batch: pa.RecordBatch, body: str, most: int = 8 << 20):
+def pieces(batch: pa.RecordBatch, body: str, most: int = 4 << 20):
     """The batch in slices of at most about ``most`` bytes of bodies."""
     content = batch.column(batch.schema.names.index(body)).cast(pa.large_binary())
     offsets = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
@@ -393,7 +411,7 @@ class Reader:
         return found
 
     def groups(self, batch: pa.RecordBatch, make, wanted=None):
-        """``make(kind, table, rows of the batch, what was read)`` for each group of events that could be read."""
+        """What ``make(kind, table, rows of the batch, what was read)`` yields for each group of events that could be read."""
         usable = batch.column(batch.schema.names.index("crc_ok")).fill_null(False).to_numpy(zero_copy_only=False)
         usable = usable & (batch.column(batch.schema.names.index("code")).fill_null(0).to_numpy(zero_copy_only=False) == 0)
         self.left = np.ones(batch.num_rows, bool)
@@ -402,10 +420,9 @@ class Reader:
             try:
                 table = self.table(declared, known)
                 got = read(kind, data, starts, ends, table, None if wanted is None else wanted(table))
-                made = None if got is None else make(kind, table, rows, got)
             except LogError:  # one of these events; it is found when they are read one by one
                 continue
             if got is not None:
                 self.left[rows] = False
                 self.left[rows[got.left]] = True
-                yield made
+                yield from make(kind, table, rows, got)

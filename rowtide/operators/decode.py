@@ -209,7 +209,13 @@ def _kept(batch: pa.RecordBatch, keep: tuple[str, ...], events: pa.Array) -> lis
     return [batch.column(batch.schema.names.index(f"keep_{name}")).take(events) for name in keep]
 
 
-def _read_envelope(batch: pa.RecordBatch, keep: tuple[str, ...], kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> pa.RecordBatch:
+def _read_envelope(batch: pa.RecordBatch, keep: tuple[str, ...], kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows that their images have at most about ``VALUES`` values."""
+    for part in read.parts(max(1, VALUES // len(table.types))):
+        yield _envelope_of(batch, keep, kind, table, rows, part)
+
+
+def _envelope_of(batch: pa.RecordBatch, keep: tuple[str, ...], kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> pa.RecordBatch:
     at, n = pa.array(rows[read.event]), len(read.event)
     of = lambda name: batch.column(batch.schema.names.index(name)).take(at)
     same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(n, np.int64)))
@@ -246,8 +252,8 @@ def with_known(attached: DataFrame, tables: DataFrame) -> DataFrame:
     return attached.join(told, ["database", "table"], "left").withColumn("known", F.coalesce("known", F.lit("{}")))
 
 
-#: Rows of a batch that goes back to Spark.
-AT_ONCE = 20_000
+#: Rows, and values of images, of a batch that goes back to Spark.
+AT_ONCE, VALUES = 20_000, 200_000
 
 
 def decode_rows(attached: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -294,9 +300,7 @@ def decode_rows(attached: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         reader = columnar.Reader()
         for whole in batches:
             for batch in columnar.pieces(whole, "body"):
-                for found in reader.groups(batch, partial(_read_envelope, batch, keep)):
-                    for at in range(0, found.num_rows, AT_ONCE):
-                        yield found.slice(at, AT_ONCE)
+                yield from reader.groups(batch, partial(_read_envelope, batch, keep))
                 if reader.left.any():
                     yield from one_by_one(batch.filter(pa.array(reader.left)), reader)
 
@@ -356,7 +360,11 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
             return text
         return pc.coalesce(text, pa.array([None if x is None else x.decode("utf-8", "replace") for x in data.to_pylist()], pa.string()))
 
-    def read_columns(batch: pa.RecordBatch, kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> pa.RecordBatch:
+    def read_columns(batch: pa.RecordBatch, kind: int, table: codec.TableMap, rows: np.ndarray, whole: columnar.Rows) -> Iterator[pa.RecordBatch]:
+        for part in whole.parts(max(1, VALUES // max(1, len(wanted)))):
+            yield columns_of(batch, kind, table, rows, part)
+
+    def columns_of(batch: pa.RecordBatch, kind: int, table: codec.TableMap, rows: np.ndarray, read: columnar.Rows) -> pa.RecordBatch:
         at, n = pa.array(rows[read.event]), len(read.event)
         of = lambda name: batch.column(batch.schema.names.index(name)).take(at)
         op = pa.array([codec.OPS[kind]], pa.string()).take(pa.array(np.zeros(n, np.int64)))

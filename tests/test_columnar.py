@@ -170,3 +170,20 @@ def test_batches_of_both_kinds(spark):
 def test_pieces_hold_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in (10, 0, 900, 5, 5)], pa.binary())], ["body"])
     assert [p.num_rows for p in columnar.pieces(batch, "body", 100)] == [2, 1, 2]
+
+
+def test_batches_stay_small(spark, monkeypatch):
+    """Wide tables give batches of few rows, and a damaged compressed value leaves its event to be read alone."""
+    monkeypatch.setattr(D, "VALUES", 10)
+    columns = [("k", C.LONG, 0), *[(f"c{k}", C.TINY, 0) for k in range(6)], ("z", C.BLOB_COMPRESSED, 2)]
+    raws = [C.event(15, L.FDE), C.event(19, C.table_map(1, "d", "t", columns))]
+    images = [C.image(columns, [k, *range(6), b"x" * k if k % 3 else None]) for k in range(60)]
+    bad = C.image(columns, [99, *range(6), b"yy"])
+    raws += [C.event(30, C.rows_body(1, 8, images[k : k + 3])) for k in range(0, 60, 3)]
+    raws.append(C.event(30, C.rows_body(1, 8, [bad[:-1] + b"?"])))
+    log = spark.createDataFrame([("s", "f", k, bytearray(r)) for k, r in enumerate(raws)], L.RAW).coalesce(1)
+    for whole, bad_code in ((log.filter("seq < 22"), None), (log, 202)):
+        found = D.changes(whole).collect()
+        assert sorted(r.after[0].i for r in found if r.error_code == 0) == list(range(60))
+        assert {r.after[7].b and len(r.after[7].b) for r in found if r.error_code == 0} == {None, *[k for k in range(60) if k % 3]}
+        assert [r.error_code for r in found if r.error_code] == ([] if bad_code is None else [bad_code])
