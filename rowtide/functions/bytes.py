@@ -33,6 +33,12 @@ def be(data: str | Column, at: int | Column, n: int) -> Column:
     return F.conv(F.hex(F.substring(_col(data), F.lit(at) if isinstance(at, int) else at, F.lit(n))), 16, 10).cast("decimal(20,0)" if n == 8 else "bigint")
 
 
+def to_le(number: str | Column, n: int) -> Column:
+    """A number that isn't negative as n little-endian bytes; its higher bytes are left out."""
+    digits = F.lpad(F.hex(_col(number).cast("bigint")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(n)]))
+
+
 def header(raw: str = "raw") -> dict[str, Column]:
     """The fields of an event's header, and of row events and table maps the table's number."""
     kind = le(raw, 5, 1, "int")

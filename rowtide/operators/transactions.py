@@ -57,8 +57,8 @@ def committed_set(done: DataFrame, baseline: DataFrame | None = None) -> DataFra
     return G.set_text(G.merged(part, "source_id", "sid"), "source_id")
 
 
-def _previous(body: bytes) -> list[tuple[str, int, int]]:
-    """The ranges of a PREVIOUS_GTIDS body, all or none."""
+def ranges_of(body: bytes) -> list[tuple[str, int, int]]:
+    """The ranges of a set in the form of the wire, as in a PREVIOUS_GTIDS body, all or none."""
     try:
         (n,), at, out = struct.unpack_from("<Q", body), 8, []
         for _ in range(n):
@@ -95,7 +95,7 @@ def baselines(events: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for source, file, seq, code, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                kind, found = ("mysql", _previous(body)) if code == 35 else ("mariadb", _listed(body))
+                kind, found = ("mysql", ranges_of(body)) if code == 35 else ("mariadb", _listed(body))
                 rows += [(source, file, seq, kind, *x) for x in found]
             if rows:
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]

@@ -971,3 +971,25 @@ def schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")).mapInArrow(run, L.RAW)
     found = D.schema_changes(D.definitions(D.with_header(log, "crc32")))
     return found.select("table", "seq", *[F.array_join(c, ",").alias(c) for c in ("added", "dropped", "retyped")])
+
+
+# What clients asked for.
+
+
+@query(f"""SELECT s_suppkey AS server_id, 'DUMP_GTID' AS command, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{_S1}:1-' || s_suppkey + 1 ELSE '{_S1}:7,{_S2}:2-' || s_suppkey + 2 END AS gtid_set, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 4 END AS flags,
+'shop`s' AS "database", 't' || s_suppkey AS "table" FROM supplier""")
+def captured_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica for each supplier: what set its log was to begin after, and which table's columns it asked for before."""
+    from rowtide.sources import captures
+
+    k = F.col("s_suppkey").cast("long")
+    given = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(f"{_S1}:1-"), (k + 1).cast("string"))).otherwise(F.concat(F.lit(f"{_S2}:2-"), (k + 2).cast("string"), F.lit(f",{_S1}:7")))
+    sets = G.encoded_sets(_table(spark, sf_dir, "supplier").select(k.alias("k"), given.alias("g")), "g", "k")
+    packet = lambda c: F.concat(B.to_le(F.length(c), 3), F.lit(b"\0"), c)
+    query = lambda text: packet(F.concat(F.lit(b"\3"), text.cast("binary")))
+    show = query(F.concat(F.lit("SHOW COLUMNS FROM `shop``s`.`t"), F.col("k").cast("string"), F.lit("`")))
+    dump = packet(captures.dump_request(F.col("k"), F.when(F.col("encoded") == "0" * 16, "").otherwise(F.col("encoded"))))
+    files = sets.select(F.col("k").cast("string").alias("file"), F.concat(query(F.lit("SET @x = 1")), packet(F.lit(b"\x0e")), show, dump).alias("content"))
+    found = captures.requests(files)
+    tables = captures.asked(found).filter("result = 1")
+    return found.filter("command = 'DUMP_GTID'").join(tables, "file").select("server_id", "command", "gtid_set", "flags", "database", "table")

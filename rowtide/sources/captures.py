@@ -3,7 +3,8 @@
 A packet is three bytes of length, a number, and content; content of the greatest length goes on in the next packet.
 ``read_events`` takes the answers to a dump request, which are log events with a mark in front, and gives rows that
 ``decode.changes`` reads like those of log files. ``read_results`` takes answers to text queries, and ``columns`` makes of
-answers to SHOW COLUMNS what ``decode.registry`` needs. A file is a connection, read from its first answer on by one task.
+answers to SHOW COLUMNS what ``decode.registry`` needs. ``read_requests`` takes what a client sent: its queries, and where it
+asked a log to begin. A file is one side of a connection, read from its first answer or request on by one task.
 
 Heartbeats (empty answers, and events of that kind) carry nothing and are no rows. An error, an end mark, any other mark
 and a file that ends within a packet end the connection: its last row has an error code, with what the server said.
@@ -11,14 +12,18 @@ and a file that ends within a packet end the connection: its last row has an err
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rowtide.functions import bytes as B
 from rowtide.functions import codec
 from rowtide.functions.errors import ConnectionEnded, ParseError, RequestRefused
+from rowtide.operators import transactions
 from rowtide.sources import framing
 
 #: The greatest length of a packet's content, marks of an answer, the kind of heartbeat events, most columns.
@@ -205,6 +210,92 @@ def read_results(spark: SparkSession, path: str, without_end_marks: bool = False
     return results(_files(spark, path), without_end_marks)
 
 
+#: Commands, the flag of a request that goes by a set, and how a MariaDB client tells its set beforehand.
+QUERY, DUMP, DUMP_GTID, THROUGH_SET = 0x03, 0x12, 0x1E, 0x04
+STATE = re.compile(r"(?is)^\s*SET\s+@slave_connect_state\s*=\s*'([^']*)'")
+SHOWN = r"(?is)^\s*SHOW\s+(?:FULL\s+)?COLUMNS\s+FROM\s+`((?:[^`]|``)*)`\.`((?:[^`]|``)*)`"
+REQUESTS = "file string, request int, command string, statement string, server_id long, log_file string, position long, flags int, gtid_set string, error_code int"
+
+
+def dump_request(server_id: Column, encoded: Column, log_file: Column | str = "", position: Column | int = 4, flags: Column | int = 0) -> Column:
+    """The content of a request for a log's events after a set (``gtid.encoded``: hexadecimal text, empty for none), as bytes."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    name, sent = lit(log_file).cast("binary"), F.unhex(encoded)
+    flag = F.when(F.length(sent) > 0, lit(flags).bitwiseOR(THROUGH_SET)).otherwise(lit(flags))
+    return F.concat(F.lit(bytes([DUMP_GTID])), B.to_le(flag, 2), B.to_le(server_id, 4), B.to_le(F.length(name), 4), name, B.to_le(lit(position), 8), B.to_le(F.length(sent), 4), sent)
+
+
+def request_of(content: bytes, state: str | None) -> tuple:
+    """command, statement, server_id, log_file, position, flags, gtid_set and error code of a request; ``state`` is a set told before."""
+    command = content[0] if content else None
+    if command == QUERY:
+        return "QUERY", content[1:].decode("utf-8", "replace"), None, None, None, None, None, 0
+    try:
+        if command == DUMP:
+            position, flags, server = struct.unpack_from("<IHI", content, 1)
+            return "DUMP", None, server, content[11:].decode("utf-8", "replace"), position, flags, state, 0
+        if command == DUMP_GTID:
+            flags, server, n = struct.unpack_from("<HII", content, 1)
+            position, size = struct.unpack_from("<QI", content, 11 + n)
+            body = content[23 + n :]
+            if len(body) != size or position >= 1 << 63:
+                raise ParseError("request of another length")
+            found = transactions.ranges_of(body) if size else []
+            if not found and size and body != bytes(8):
+                raise ParseError("request with a damaged set")
+            return "DUMP_GTID", None, server, content[11 : 11 + n].decode("utf-8", "replace"), position, flags, _set_text(found), 0
+    except (struct.error, ParseError):
+        return "DUMP" if command == DUMP else "DUMP_GTID", None, None, None, None, None, None, ParseError.code
+    return "OTHER", None, None, None, None, None, None, 0
+
+
+def _set_text(ranges: list[tuple[str, int, int]]) -> str:
+    by: dict[str, list[str]] = {}
+    for sid, start, end in ranges:
+        by.setdefault(sid, []).append(str(start) if end == start + 1 else f"{start}-{end - 1}")
+    return ",".join(":".join([sid, *parts]) for sid, parts in by.items())
+
+
+def requests(files: DataFrame) -> DataFrame:
+    """The requests of recorded clients, from a frame (file, content), counted from 0 in each file.
+
+    A damaged request has an error code, and so has the end of a file that ends within one. The set of a MariaDB client
+    is the one it told in a statement before.
+    """
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
+    names = [x.split()[0] for x in REQUESTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+                rows, state = [], None
+                try:
+                    for sent in contents(memoryview(content.as_buffer()) if content.is_valid else memoryview(b""), framing.MOST_EVENT):
+                        row = request_of(sent, state)
+                        if row[0] == "QUERY" and (told := STATE.match(row[1])):
+                            state = told.group(1)
+                        rows.append((name, len(rows), *row))
+                except ConnectionEnded as e:
+                    rows.append((name, len(rows), *[None] * 7, e.code))
+                for at in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 10_000], strict=True), kinds, strict=True)], names)
+
+    return files.select("file", "content").mapInArrow(run, REQUESTS)
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    return requests(_files(spark, path))
+
+
+def asked(found: DataFrame) -> DataFrame:
+    """(file, result, database, table) of the requests for a table's columns, for ``columns``: the answers to queries come in
+    the order of the queries, so a result's number is how many queries come before its own."""
+    order = Window.partitionBy("file").orderBy("request")
+    queries = found.filter("command = 'QUERY'").withColumn("result", F.row_number().over(order) - 1)
+    name = lambda k: F.replace(F.regexp_extract("statement", SHOWN, k), F.lit("``"), F.lit("`"))
+    return queries.filter(F.col("statement").rlike(SHOWN)).select("file", "result", name(1).alias("database"), name(2).alias("table"))
+
+
 def columns(found: DataFrame, asked: DataFrame) -> DataFrame:
     """(database, table, ordinal, name, type) from answers to SHOW COLUMNS; ``asked`` (file, result, database, table) tells
     which table each was about. Failed answers and rows of less than two values tell nothing."""

@@ -5,6 +5,7 @@ import threading
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from rowtide.functions import codec as C
 from rowtide.operators import decode as D
@@ -257,3 +258,32 @@ def test_files_before_and_after_are_not_opened(spark, tmp_path):
     scan = framing.read_files(spark, str(tmp_path), since="b.3")
     scan.collect()
     assert scan._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value() == 1
+
+
+def test_requests(spark):
+    from rowtide.functions import gtid as G
+    from rowtide.plans import catalog
+
+    dump = lambda body, size=None: b"\x1e" + struct.pack("<HII", 4, 9, 3) + b"b.7" + struct.pack("<QI", 120, len(body) if size is None else size) + body
+    some = bytes.fromhex(catalog._encoded((catalog._S1, [(1, 4), (7, 8)]), (catalog._S2, [(5, 6)])))
+    sent = {
+        b"\x03SELECT 1": ("QUERY", "SELECT 1", None, None, None, None, 0),
+        dump(b""): ("DUMP_GTID", None, 9, "b.7", 120, "", 0),
+        dump(bytes(8)): ("DUMP_GTID", None, 9, "b.7", 120, "", 0),
+        dump(some): ("DUMP_GTID", None, 9, "b.7", 120, f"{catalog._S1}:1-3:7,{catalog._S2}:5", 0),
+        dump(some[:-1]): ("DUMP_GTID", None, None, None, None, None, 100),
+        dump(some, 5): ("DUMP_GTID", None, None, None, None, None, 100),
+        dump(b"")[:9]: ("DUMP_GTID", None, None, None, None, None, 100),
+        b"\x03 set @slave_connect_state = '0-1-5'": ("QUERY", " set @slave_connect_state = '0-1-5'", None, None, None, None, 0),
+        b"\x12" + struct.pack("<IHI", 4, 0, 7) + b"b.1": ("DUMP", None, 7, "b.1", 4, "0-1-5", 0),
+        b"\x12abc": ("DUMP", None, None, None, None, None, 100),
+        b"\x0e": ("OTHER", None, None, None, None, None, 0),
+        b"": ("OTHER", None, None, None, None, None, 0),
+    }
+    data = b"".join(map(captures.packets, sent)) + b"\5\0"
+    found = captures.requests(spark.createDataFrame([("f", bytearray(data)), ("n", None)], "file string, content binary")).orderBy("request").collect()
+    assert [(r.command, r.statement, r.server_id, r.log_file, r.position, r.gtid_set, r.error_code) for r in found] == [*sent.values(), (None,) * 6 + (403,)]
+    text = f"{catalog._S1}:1-3:7,{catalog._S2}:5"
+    df = spark.createDataFrame([(9, text), (10, "")], "k long, g string")
+    made = G.encoded_sets(df, "g", "k").withColumn("encoded", F.when(F.col("k") == 9, F.col("encoded")).otherwise("")).select("k", captures.dump_request(F.col("k"), F.col("encoded"), "b.7", 120).alias("x")).orderBy("k").collect()
+    assert bytes(made[0].x) == dump(some) and bytes(made[1].x) == b"\x1e" + struct.pack("<HII", 0, 10, 3) + b"b.7" + struct.pack("<QI", 120, 0)
