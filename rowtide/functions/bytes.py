@@ -92,6 +92,13 @@ def query_text(data: str = "body") -> Column:
     return F.when((size >= 13) & (at <= size), text(F.substring(d, at + 1, size - at)))
 
 
+def query_database(data: str = "body") -> Column:
+    """The default database of a QUERY event; empty if it has none, null where the body is too short."""
+    d = F.col(data)
+    at, n = F.lit(13) + le(data, 12, 2, "int"), le(data, 9, 1, "int")
+    return F.when((F.length(d) >= 13) & (at + n < F.length(d)), text(F.substring(d, at + 1, n)))
+
+
 def mysql_gtid(data: str = "body") -> Column:
     """``uuid:number`` of a GTID event; null if the number isn't positive."""
     h = F.lower(F.hex(F.substring(F.col(data), 2, 16)))

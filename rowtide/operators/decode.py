@@ -448,6 +448,19 @@ def definitions(events: DataFrame) -> DataFrame:
     return some.select("source_id", "database", "table", "definition", "at.file", "at.map_seq", "n").mapInArrow(run, DEFINITIONS)
 
 
+def statements(events: DataFrame) -> DataFrame:
+    """(source_id, file, seq, ts, database, statement, executed, is_ddl) of all events with header that carry a statement, in
+    batches and streams: those that were executed, and those that row events note as their cause, which change no schema.
+
+    A stream of those with is_ddl tells, for ``foreachBatch``, when to read a registry again. Damaged events have none.
+    """
+    kind, body = F.col("type_code"), F.col("body")
+    noted = F.when(kind == 160, B.annotation()).otherwise(B.text(F.substring(body, F.lit(2), F.length(body))))  # behind a length that isn't used
+    found = events.filter(kind.isin(2, 29, 160) & F.col("crc_ok"))
+    told = found.select("source_id", "file", "seq", "ts", F.when(kind == 2, B.query_database()).alias("database"), F.when(kind == 2, B.query_text()).otherwise(noted).alias("statement"), (kind == 2).alias("executed"))
+    return told.filter("statement is not null").withColumn("is_ddl", F.col("executed") & S.is_ddl("statement"))
+
+
 def schema_changes(found: DataFrame) -> DataFrame:
     """(source_id, database, table, file, seq, added, dropped, retyped) of ``definitions``: at each new definition of a table
     the names of columns that the one before it hadn't, that it hasn't any more, and whose types differ.

@@ -993,3 +993,39 @@ def captured_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = captures.requests(files)
     tables = captures.asked(found).filter("result = 1")
     return found.filter("command = 'DUMP_GTID'").join(tables, "file").select("server_id", "command", "gtid_set", "flags", "database", "table")
+
+
+def _with_statements(files: DataFrame) -> DataFrame:
+    """In each file a statement that changes a schema, one that doesn't, and the causes that row events of both flavours note."""
+    n = F.col("file").cast("binary")
+    executed = lambda text: F.concat(F.lit(struct.pack("<IIBHH", 1, 0, 4, 0, 2) + b"..shop\0"), F.lit(text), n)
+    bodies = {2: [executed(b"/* x */ ALTER TABLE `"), executed(b"ANALYZE TABLE `")], 160: [F.concat(F.lit(b"DROP TABLE noted "), n)], 29: [F.concat(F.lit(b"\x08UPDATE "), n)]}
+    raws = []
+    for kind, some in bodies.items():
+        for body in some:
+            head = F.concat(F.lit(struct.pack("<IBI", 9, kind, 1)), B.to_le(F.length(body) + 23, 4), F.lit(bytes(6)), body)
+            raws.append(F.concat(head, B.to_le(F.crc32(head), 4)))
+    rows = F.posexplode(F.array(*raws)).alias("k", "raw")
+    return files.select("source_id", "file", rows).select("source_id", "file", (F.col("k") - 10).cast("long").alias("seq"), "raw")
+
+
+_STATEMENTS = """SELECT file, CAST(9 AS BIGINT) AS ts, CASE WHEN executed THEN 'shop' END AS "database", head || file AS statement, executed, is_ddl FROM (SELECT DISTINCT file FROM h),
+(VALUES ('/* x */ ALTER TABLE `', true, true), ('ANALYZE TABLE `', true, false), ('DROP TABLE noted ', false, false), ('UPDATE ', false, false)) v(head, executed, is_ddl)"""
+
+
+@query(_CHANGES + _STATEMENTS)
+def log_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = L.event_log(spark, sf_dir)
+    found = D.statements(D.with_header(log.unionByName(_with_statements(log.select("source_id", "file").distinct()))))
+    return found.filter("seq < 0").select("file", "ts", "database", "statement", "executed", "is_ddl")
+
+
+@query(_CHANGES + _STATEMENTS + " WHERE is_ddl")
+def stream_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that change schemas, as a stream."""
+    from rowtide.streaming import changes as stream
+
+    out, marks = folders.new_folder(spark, "rows"), folders.new_folder(spark, "marks")
+    raw = stream.read(spark, written_files(spark, sf_dir, _with_statements), maxEventsPerTrigger="20000", checkpoint=marks)
+    stream.run_to_end(D.statements(D.with_header(raw, "crc32")).filter("is_ddl"), out, marks)
+    return spark.read.parquet(out).select("file", "ts", "database", "statement", "executed", "is_ddl")
