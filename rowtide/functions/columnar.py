@@ -64,9 +64,9 @@ class Layout:
             return cls(INT, "number", 4, signed=False)
         if kind in (C.FLOAT, C.DOUBLE):
             return cls(DOUBLE, "real", 4 if kind == C.FLOAT else 8)
-        if kind in (C.ENUM, C.SET) or kind == C.STRING and meta >> 8 in (C.ENUM, C.SET):
+        if kind == C.STRING and meta >> 8 in (C.ENUM, C.SET):
             size = meta & 0xFF
-            return cls(INT, "number", size, signed=size == 8) if 1 <= size <= (2 if C.ENUM in (kind, meta >> 8) else 8) else None
+            return cls(INT, "number", size, signed=size == 8) if 1 <= size <= (2 if meta >> 8 == C.ENUM else 8) else None
         if kind == C.BIT:
             size = (meta >> 8) + bool(meta & 0xFF) or 1
             return cls(INT, "turned", size, signed=size == 8) if size <= 8 else None
@@ -75,7 +75,7 @@ class Layout:
             return cls(STRING, "span", 1 if most <= 255 else 2, inflate=most if kind == C.VARCHAR_COMPRESSED else None)
         if kind in BLOBS:
             size = 4 if kind == C.TYPED_ARRAY else meta or (4 if kind in (C.JSON, C.GEOMETRY) else 1 if kind != C.BLOB_COMPRESSED else 0)
-            return cls(BYTES, "span", size, inflate=C.MAX_INFLATED if kind == C.BLOB_COMPRESSED else None) if 1 <= size <= 4 else None
+            return cls(BYTES, "span", size, inflate=C.blob_limit(size) if kind == C.BLOB_COMPRESSED else None) if 1 <= size <= 4 else None
         if kind == C.NEWDECIMAL:
             precision, scale = meta >> 8, meta & 0xFF
             whole = precision - scale
