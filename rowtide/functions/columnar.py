@@ -283,7 +283,7 @@ class Column:
 
     def _clock(self) -> None:
         negative, v, micros = self._apart()
-        self._text(("-", negative), *_digits(v >> 12 & 0x3FF, 2, 4), (":", True), *_digits(v >> 6 & 63, 2, 2), (":", True), *_digits(v & 63, 2, 2), *_fraction(micros, self.layout.meta))
+        self._text(("-", negative), *_digits(v >> 12, 2, 4), (":", True), *_digits(v >> 6 & 63, 2, 2), (":", True), *_digits(v & 63, 2, 2), *_fraction(micros, self.layout.meta))
 
     def _stamp(self) -> None:
         extra = (self.layout.meta + 1) // 2

@@ -413,6 +413,42 @@ def decode_columns(attached: DataFrame, columns: dict[str, tuple[int, str]], ima
     return found.select(*head, *[cast(n, kind).alias(n) for n, (_, kind) in columns.items()])
 
 
+def damaged(events: DataFrame) -> DataFrame:
+    """Events with header that are no row events and are damaged, as error rows of the form of ``changes``: a wrong checksum,
+    and table maps that don't parse, also those of tables that are filtered out.
+
+    ``changes`` tells what is wrong with row events only, as the others don't change its rows. Both together, and
+    ``failfast_prefix`` or ``strict`` on that, stop where a reader stops that takes no damage at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed: dict[bytes, int] = {}
+        for batch in batches:
+            rows = []
+            for source, seq, kind, crc_ok, body, ts, file, offset in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                code = 0 if crc_ok else ChecksumError.code
+                if kind == 19 and crc_ok:
+                    if len(parsed) > 4096:
+                        parsed.clear()
+                    if body[6:] not in parsed:
+                        try:
+                            codec.TableMap(body)
+                            parsed[body[6:]] = 0
+                        except LogError as e:
+                            parsed[body[6:]] = e.code
+                    code = parsed[body[6:]]
+                if code:
+                    rows.append((source, seq, 0, *[None] * 5, ts, file, offset, code, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ARROW, strict=True)], _NAMES)
+
+    whole = F.col("error_code") == 0 if "error_code" in events.columns else F.lit(True)
+    begin = F.when(F.col("next_pos") >= F.col("event_length"), F.col("next_pos") - F.col("event_length"))
+    some = events.filter(whole & ~F.col("type_code").isin(B.ROWS) & ((F.col("type_code") == 19) | ~F.col("crc_ok")))
+    found = some.select("source_id", "seq", "type_code", "crc_ok", "body", "ts", "file", begin.alias("offset"))
+    return found.mapInArrow(run, ENVELOPE + ", names_resolved boolean").drop("names_resolved")
+
+
 DEFINITIONS = "source_id string, database string, `table` string, file string, seq long, n_maps long, n_columns int, ordinal int, name string, type string, meta int, unsigned boolean, nullable boolean, labels array<string>, key int, spark_type string, error_code int"
 
 

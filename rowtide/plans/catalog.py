@@ -1029,3 +1029,16 @@ def stream_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = stream.read(spark, written_files(spark, sf_dir, _with_statements), maxEventsPerTrigger="20000", checkpoint=marks)
     stream.run_to_end(D.statements(D.with_header(raw, "crc32")).filter("is_ddl"), out, marks)
     return spark.read.parquet(out).select("file", "ts", "database", "statement", "executed", "is_ddl")
+
+
+@query(_CHANGES + """SELECT CASE WHEN op = 'DELETE' THEN b_id ELSE event_id END AS event_id, op FROM h
+WHERE event_id <= coalesce((SELECT min(event_id) FROM h WHERE event_id % 500 = 250 AND event_id % 3 > 0), 9223372036854775807)""")
+def failfast_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix of a log up to its first damaged event, which is one that ends a transaction."""
+    log = L.event_log(spark, sf_dir)
+    bad = (B.le("raw", 5, 1, "int") == 16) & (B.le("raw", 20, 8) % 500 == 250)
+    log = log.withColumn("raw", F.when(bad, F.concat(F.substring("raw", 1, 27), F.lit(b"\0\0\0\0"))).otherwise(F.col("raw")))
+    events = D.with_header(log)
+    found = D.decode_rows(D.attach(events)).unionByName(D.damaged(events))
+    kept = D.failfast_prefix(found.withColumn("seq", F.substring("file", 8, 6).cast("long") * 1_000_000_000 + F.col("seq")))
+    return kept.filter("error_code = 0").select(F.coalesce(_id(), _id("before")).alias("event_id"), "op")

@@ -120,3 +120,13 @@ def test_damage_ends_a_strict_stream_at_once(spark, tmp_path, caplog):
 
 def test_lines():
     assert progress.line("x", a=1, b=None, c="y") == "event=x a=1 c=y"
+
+
+def test_damaged_events_of_any_kind(spark):
+    good = C.table_map(1, "d", "t", COLUMNS[:1])
+    raws = [C.event(19, good, next_pos=100), row(1, COLUMNS[:1], [1]), C.event(16, bytes(8), next_pos=500)[:-1] + b"?", C.event(19, good[:-9]), C.event(19, good[:-9]), C.event(2, b""), row(1, COLUMNS[:1], [1])[:-1] + b"?"]
+    events = D.with_header(log(spark, raws))
+    assert sorted((r.seq, r.error_code, r.offset, r.op) for r in D.damaged(events).collect()) == [(2, 101, 469, None), (3, 100, None, None), (4, 100, None, None)]
+    both = D.decode_rows(D.attach(events)).unionByName(D.damaged(events))
+    assert [(r.seq, r.error_code) for r in D.failfast_prefix(both).collect()] == [(1, 0)]
+    assert D.damaged(events.limit(0)).collect() == []
