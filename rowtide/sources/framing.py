@@ -13,6 +13,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -134,13 +135,16 @@ def own_gtid(raw: bytes) -> str | None:
 FRAMED = SCHEMA + ", declared boolean, map_seq long, map_body binary, gtid string"
 
 
-def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, source_id: str = "log", files_per_trigger: int = 0, since: str | None = None, until: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, source_id: str = "log", files_per_trigger: int = 0, since: str | None = None, until: str | None = None, opened: bool = False) -> DataFrame:
     """(source_id, file, seq, raw, error_code) of all files under ``path``, numbered within each file, with ``declared``,
     map_seq, map_body and gtid (the transaction's id), which spare later steps looking for them.
 
     Files are read whole, by a task each, and so must be closed. With ``files_per_trigger`` it is a stream of so many
     files a trigger, from the first one on, that needs no state. ``since`` and ``until`` are names of files: those before
     and after aren't opened.
+
+    Spark hands a task the whole content of a file, 2 GB at most. With ``opened`` it hands over paths only, and tasks read them
+    a few MB at a time, whatever their size: from mounted folders and the stores that Arrow knows (S3, GCS, HDFS).
     """
     if files_per_trigger:
         kinds = "path string, modificationTime timestamp, length long, content binary"
@@ -151,14 +155,21 @@ def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, sourc
         files = files.filter(F.col("_metadata.file_name") >= since)
     if until is not None:
         files = files.filter(F.col("_metadata.file_name") <= until)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path" if opened else "content")
+
+    def chunks_of(held: pa.Scalar) -> Iterator[bytes]:
+        if opened:
+            yield from _opened(held.as_py())
+            return
+        data = memoryview(held.as_buffer())
+        for at in range(0, len(data), CHUNK):
+            yield bytes(data[at : at + CHUNK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                held, size, follower, data = [], 0, Follower(), memoryview(content.as_buffer())
-                chunks = (bytes(data[at : at + CHUNK]) for at in range(0, len(data), CHUNK))
-                for seq, (raw, code) in enumerate(events_of(chunks, limit)):
+            for name, given in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held, size, follower = [], 0, Follower()
+                for seq, (raw, code) in enumerate(events_of(chunks_of(given), limit)):
                     held.append((source_id, name, seq, raw, code, *follower.see(seq, raw)))
                     size += len(raw)
                     if size > 4 << 20:
@@ -170,6 +181,23 @@ def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, sourc
     return files.mapInArrow(run, FRAMED)
 
 
+def _opened(path: str) -> Iterator[bytes]:
+    """A file's content, ``CHUNK`` bytes at a time."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        with open(f"/{rest.lstrip('/')}" if rest else path, "rb") as f:
+            while chunk := f.read(CHUNK):
+                yield chunk
+        return
+    from pyarrow import fs
+
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    store, name = fs.FileSystem.from_uri(quote(f"{scheme}:{rest}", safe=":/@"))
+    with store.open_input_stream(name) as f:
+        while chunk := f.read(CHUNK):
+            yield chunk
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.string()][: len(rows[0])]
     names = [x.split()[0] for x in FRAMED.split(", ")][: len(rows[0])]

@@ -287,3 +287,17 @@ def test_requests(spark):
     df = spark.createDataFrame([(9, text), (10, "")], "k long, g string")
     made = G.encoded_sets(df, "g", "k").withColumn("encoded", F.when(F.col("k") == 9, F.col("encoded")).otherwise("")).select("k", captures.dump_request(F.col("k"), F.col("encoded"), "b.7", 120).alias("x")).orderBy("k").collect()
     assert bytes(made[0].x) == dump(some) and bytes(made[1].x) == b"\x1e" + struct.pack("<HII", 0, 10, 3) + b"b.7" + struct.pack("<QI", 120, 0)
+
+
+def test_files_opened_by_tasks(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        raws = [C.event(15, L.FDE), C.event(19, C.table_map(1, "d", "t", COLUMNS)), *[C.event(30, C.rows_body(1, 2, [C.image(COLUMNS, [n, "x" * 50])])) for n in range(40)]]
+        (tmp_path / f"b {k}%41.é").write_bytes(framing.MAGIC + b"".join(raws) + (b"cut" if k == 2 else b""))
+    whole = framing.read_files(spark, str(tmp_path))
+    some = framing.read_files(spark, str(tmp_path), opened=True)
+    assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert "content" not in some._jdf.queryExecution().executedPlan().toString()
+    assert D.changes(framing.read_files(spark, str(tmp_path), since="b 2", opened=True)).groupBy("error_code").count().collect() != []
+    monkeypatch.setattr(framing, "CHUNK", 100)
+    path = next(tmp_path.iterdir())
+    assert b"".join(framing._opened(f"file:{path}")) == b"".join(framing._opened(f"file://{path}")) == b"".join(framing._opened(str(path))) == path.read_bytes()
