@@ -268,7 +268,7 @@ def schema_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
                 seq += 2
             yield L.raw_batch(out)
 
-    found = D.changes(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").mapInArrow(run, L.RAW))
+    found = D.changes(L.spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).mapInArrow(run, L.RAW))
     return found.select(_id().alias("o_orderkey"), F.size("after").alias("n_columns"), D.column("after", 2).alias("added"))
 
 

@@ -25,6 +25,12 @@ def raw_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["source_id", "file", "seq", "raw"])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in at least as many partitions as there are cores: a small table comes in one, and one task would write its log."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table_log(rows: DataFrame, database: str, table: str, columns: list[tuple[str, int, int]], unsigned: list[bool] | None = None, named: bool = True, per_event: int = 100, kind: int = 30, labels: dict[int, list[str]] | None = None, key: list[int] | None = None) -> DataFrame:
     """Each partition of ``rows`` as a file: a format description, a table map, and row events of some rows each.
 
@@ -47,7 +53,7 @@ def table_log(rows: DataFrame, database: str, table: str, columns: list[tuple[st
                 seq += 1
             yield raw_batch(out)
 
-    return rows.mapInArrow(run, RAW)
+    return spread(rows).mapInArrow(run, RAW)
 
 
 def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
