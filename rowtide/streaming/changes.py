@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rowtide.functions import bytes as B
 from rowtide.operators import decode
+from rowtide.streaming import progress
 
 _OUT = "source_id string, file string, seq long, type_code int, crc_ok boolean, error_code int, body binary, map_body binary, ts long, next_pos long, event_length long"
 
@@ -71,14 +72,9 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.format("rowlog").options(**options).load(path)
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> int:
+def run_to_end(stream: DataFrame, out: str, checkpoint: str, partitions: int | None = None) -> int:
     """Write what is there to Parquet, exactly once, and stop; a later call goes on from the checkpoint.
 
-    Returns the number of triggers that had rows.
+    Returns the number of triggers that had rows. ``partitions``: as for ``progress.started``.
     """
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").start()
-    try:
-        query.processAllAvailable()
-        return sum(p.numInputRows > 0 for p in query.recentProgress)
-    finally:
-        query.stop()
+    return progress.run_to_end(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"), partitions)

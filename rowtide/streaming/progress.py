@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import logging
+import threading
 
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 
 def line(event: str, **fields: object) -> str:
@@ -36,3 +37,64 @@ class LogLines(StreamingQueryListener):
             self.logger.error(line("query_failed", id=event.id, error=event.exception.splitlines()[0]))
         else:
             self.logger.info(line("query_ended", id=event.id))
+
+
+class Triggers(StreamingQueryListener):
+    """Counts the triggers of each run that had rows; a query itself remembers its last hundred only."""
+
+    def __init__(self):
+        self.counted: dict[str, int] = {}
+        self.ended: set[str] = set()
+        self.told = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.counted[run] = self.counted.get(run, 0) + (event.progress.numInputRows > 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.told:
+            self.ended.add(str(event.runId))
+            self.told.notify_all()
+
+    def of(self, run: str, timeout: float = 120) -> int:
+        """The number of a run that has been stopped; its end is told after all of its triggers."""
+        with self.told:
+            if not self.told.wait_for(lambda: run in self.ended, timeout):
+                raise TimeoutError(f"the end of run {run} wasn't told within {timeout} seconds")
+        return self.counted.get(run, 0)
+
+
+def started(writer: DataStreamWriter, partitions: int | None = None) -> StreamingQuery:
+    """The query, started with so many shuffle partitions, or as many as there are cores, and no more than are set.
+
+    A stateful trigger writes files for every partition, whether it has rows or not. Once a query has a checkpoint, the
+    number in there holds.
+    """
+    spark, name = writer._df.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), partitions or spark.sparkContext.defaultParallelism))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_to_end(writer: DataStreamWriter, partitions: int | None = None) -> int:
+    """Start a query as ``started`` does, let it read all there is, and stop it; returns the number of triggers that had rows."""
+    streams, triggers = writer._df.sparkSession.streams, Triggers()
+    streams.addListener(triggers)
+    try:
+        query = started(writer, partitions)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return triggers.of(str(query.runId))
+    finally:
+        streams.removeListener(triggers)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rowtide.functions import gtid as G
 from rowtide.operators import decode
 from rowtide.operators import transactions as T
+from rowtide.streaming import progress
 
 
 def track(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -85,11 +86,9 @@ def keep_last(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str, mariadb: bool = False) -> int:
-    """Keep the set of a stream of commits until there is no more, and stop; returns the number of triggers with rows."""
-    query = stream.writeStream.foreachBatch(keep_set(path, mariadb)).option("checkpointLocation", checkpoint).outputMode("append").start()
-    try:
-        query.processAllAvailable()
-        return sum(p.numInputRows > 0 for p in query.recentProgress)
-    finally:
-        query.stop()
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mariadb: bool = False, partitions: int | None = None) -> int:
+    """Keep the set of a stream of commits until there is no more, and stop; returns the number of triggers with rows.
+
+    ``partitions``: as for ``progress.started``.
+    """
+    return progress.run_to_end(stream.writeStream.foreachBatch(keep_set(path, mariadb)).option("checkpointLocation", checkpoint).outputMode("append"), partitions)
