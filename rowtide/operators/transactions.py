@@ -14,6 +14,7 @@ from rowtide.functions import bytes as B
 from rowtide.functions import gtid as G
 from rowtide.functions import statements as S
 from rowtide.operators.decode import carried
+from rowtide.sources import folders
 
 
 def marks(events: DataFrame) -> DataFrame:
@@ -134,9 +135,10 @@ def resume_after(marked: DataFrame, done: DataFrame) -> DataFrame:
     """The events of transactions that aren't in a set (source_id, gtid_set), and those outside of any transaction.
 
     Ranges of the set are merged first, so a transaction meets at most one of them. ``marked`` has gtid from ``with_gtid``,
-    or from the reader of the files: then it may be a stream.
+    or from the reader of the files: then it may be a stream, which finds the merged set in the shared folder at each trigger.
     """
-    held = G.merged(G.ranges(done, "gtid_set", "source_id"), "source_id", "sid").select(F.col("source_id").alias("__s"), F.col("sid").alias("__sid"), "start", "end")
+    held = G.merged(G.ranges(done, "gtid_set", "source_id"), "source_id", "sid")
+    held = (folders.staged(held, "set") if marked.isStreaming else held).select(F.col("source_id").alias("__s"), F.col("sid").alias("__sid"), "start", "end")
     own = F.split("gtid", ":")
     rows = marked.withColumns({"__own": F.get(own, F.lit(0)), "__n": F.get(own, F.lit(1)).try_cast("long")})
     same = [F.col("source_id") == F.col("__s"), F.col("__own") == F.col("__sid"), F.col("__n") >= F.col("start"), F.col("__n") < F.col("end")]

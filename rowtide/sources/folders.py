@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that no one else uses; it isn't made yet."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def staged(found: DataFrame, kind: str) -> DataFrame:
+    """The rows written to the shared folder and read back, so that they are made once."""
+    path = new_folder(found.sparkSession, kind)
+    found.write.parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)

@@ -3,6 +3,8 @@
 import struct
 
 from rowtide.functions import codec as C
+from rowtide.operators import decode as D
+from rowtide.operators import transactions
 from rowtide.sources import framing
 from rowtide.streaming import changes as stream
 from rowtide.streaming import progress
@@ -57,3 +59,14 @@ def test_streams_start_with_few_partitions_of_state(spark, tmp_path):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_a_stream_does_not_merge_its_set_anew_at_each_trigger(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "b.1").write_bytes(framing.MAGIC + MAP + b"".join([_gtid(1), _row(1), _gtid(2), _row(2), C.event(16, b"\0" * 8)]))
+    done = spark.createDataFrame([("log", "00000000-0000-0000-0000-000000000001:1")], "source_id string, gtid_set string")
+    rest = transactions.resume_after(D.attach(D.with_header(framing.read_files(spark, str(folder), files_per_trigger=1))), done)
+    assert "Window" not in rest._jdf.queryExecution().analyzed().toString()
+    stream.run_to_end(D.decode_rows(rest, ("gtid",)).select("gtid", D.column("after", 0, "bigint").alias("id")), str(tmp_path / "out"), str(tmp_path / "marks"))
+    assert [(r.gtid[-1], r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("2", 2)]
