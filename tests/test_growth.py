@@ -1,7 +1,10 @@
 """What must not grow with a log: triggers that are told, partitions of a trigger's state, times that a log is read."""
 
+import re
 import struct
 
+from pyspark.sql import functions as F
+
 from rowtide.functions import codec as C
 from rowtide.operators import decode as D
 from rowtide.operators import transactions
@@ -70,3 +73,24 @@ def test_a_stream_does_not_merge_its_set_anew_at_each_trigger(spark, tmp_path):
     assert "Window" not in rest._jdf.queryExecution().analyzed().toString()
     stream.run_to_end(D.decode_rows(rest, ("gtid",)).select("gtid", D.column("after", 0, "bigint").alias("id")), str(tmp_path / "out"), str(tmp_path / "marks"))
     assert [(r.gtid[-1], r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("2", 2)]
+
+
+def test_a_log_is_exchanged_once_and_not_joined_with_itself(spark):
+    log = _log(spark, [MAP, _row(1), MAP, _row(2)]).unionByName(_log(spark, [_row(3)], "f2"))
+    found = D.changes(log)
+    plan = _plan(found)
+    assert "Join" not in plan and len(re.findall(r"(?<!Broadcast)Exchange hash", plan)) == 1
+    got = sorted((r.file, r.seq, r.error_code, r.after and r.after[0].i) for r in found.collect())
+    assert got == [("f1", 1, 0, 1), ("f1", 3, 0, 2), ("f2", 0, 202, None)]
+
+
+def test_what_is_carried_over_files_sorts_events_once(spark):
+    log = _log(spark, [_gtid(1), MAP, _row(1)]).unionByName(_log(spark, [C.event(16, b"\0" * 8), _gtid(2), MAP, _row(2)], "f2"))
+    marked = transactions.with_gtid(D.with_header(log))
+    plan = _plan(marked.select("seq", "raw", "gtid", "committed"))
+    assert len(re.findall(r"Sort \[source_id#\d+ ASC NULLS FIRST, file#\d+ ASC NULLS FIRST, seq", plan)) <= 2  # one a branch
+    got = [(r.file, r.seq, r.gtid and r.gtid[-1], r.committed and r.committed[-1]) for r in marked.orderBy("file", "seq").collect()]
+    assert got == [("f1", 0, "1", None), ("f1", 1, "1", None), ("f1", 2, "1", None), ("f2", 0, "1", "1"), ("f2", 1, "2", None), ("f2", 2, "2", None), ("f2", 3, "2", None)]
+    raws = re.findall(r"Exchange hashpartitioning\(source_id#\d+, file#\d+[^\n]*REPARTITION", plan)
+    assert len(raws) == 2  # of raw events alone, so that the second is the first's
+    assert marked.filter(F.col("gtid").isNull()).count() == 0
