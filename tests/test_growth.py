@@ -1,14 +1,17 @@
 """What must not grow with a log: triggers that are told, partitions of a trigger's state, times that a log is read."""
 
+import datetime
 import re
 import struct
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rowtide.functions import codec as C
 from rowtide.operators import decode as D
 from rowtide.operators import transactions
-from rowtide.sources import framing
+from rowtide.plans import changelog as L
+from rowtide.sources import captures, framing
 from rowtide.streaming import changes as stream
 from rowtide.streaming import progress
 
@@ -94,3 +97,40 @@ def test_what_is_carried_over_files_sorts_events_once(spark):
     raws = re.findall(r"Exchange hashpartitioning\(source_id#\d+, file#\d+[^\n]*REPARTITION", plan)
     assert len(raws) == 2  # of raw events alone, so that the second is the first's
     assert marked.filter(F.col("gtid").isNull()).count() == 0
+
+
+class _Held:
+    """Stands for a session or a frame, and keeps the function that tasks would run."""
+
+    def __getattr__(self, name):
+        return self if name == "read" else lambda *a: self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_tasks_hold_a_bounded_number_of_events(spark, monkeypatch):
+    n, monkeyed = 2500, _Held()
+    row = {"event_id": 1, "ts": datetime.datetime(2024, 1, 1), "user_id": 2, "event_type": "view", "value": 0.5, "props": None}
+    kind = pa.struct([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()), ("value", pa.float64()), ("props", pa.string())])
+    same = {"seconds": 1, "op": "INSERT", "database": "d", "table": "t", "table_id": 7, "file": "binlog.000001", "next_pos": 4, "domain": 0}
+    columns = {"event_id": pa.array(range(n)), "before": pa.nulls(n, kind), "after": pa.array([row] * n, kind), **{k: pa.array([v] * n) for k, v in same.items()}}
+    monkeypatch.setattr(L, "event_changes", lambda *a: monkeyed)
+    L.event_log(spark, "")
+    sizes = [b.num_rows for b in monkeyed.run(iter([pa.RecordBatch.from_pydict(columns)]))]
+    assert max(sizes) < 5000 and sum(sizes) == 4 * n + 3
+
+    event, files = C.event(16, b""), _Held()
+    framing.read_files(files, "")
+    sizes = [b.num_rows for b in files.run(iter([pa.RecordBatch.from_pydict({"file": ["f"], "content": [event * 25_000]})]))]
+    assert sizes == [10_000, 10_000, 5_000]
+    captures.events(files)
+    sent = pa.array([captures.packets(b"\0" + event) * 25_000], pa.binary())
+    assert [b.num_rows for b in files.run(iter([pa.RecordBatch.from_arrays([pa.array(["f"]), sent], ["file", "content"])]))] == [10_000, 10_000, 5_000]
+
+
+def test_text_is_written_the_same_in_both_ways():
+    columns = [("a", C.VARCHAR, 255), ("b", C.VAR_STRING, 256), ("c", C.VARCHAR, 65535)]
+    for values in (["x", "y", "z"], ["\u00e4" * 100, b"\xff\0", ""], [None, "y", b"z" * 300]):
+        assert C.image_writer(columns)(values) == C.image(columns, values)
