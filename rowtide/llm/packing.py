@@ -45,7 +45,10 @@ _N = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
 #: Texts of these characters only are cut into the vocabulary's own pre-tokens here; the tokenizer then sees each
 #: distinct pre-token once. Its normalizer leaves them as they are but for the case.
 _OTHER = re.compile(f"[^{re.escape(''.join(_LATIN))}]|<\\|")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+_PIECE = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^\\s{_L}{_N}]+")
+#: The same for texts of ASCII, in lower case, which most are.
+_ASCII_OTHER = re.compile("[\x1c-\x1f]|<\\|")
+_ASCII_PIECE = re.compile("[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-z0-9]+")
 
 
 class Encoder:
@@ -67,7 +70,7 @@ class Encoder:
             self.known.clear()
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.ids(" ".join(some)), np.uint32)
             to = np.flatnonzero(self.ends[ids]) + 1
             if len(to) == len(some):
                 data, at_byte = ids.tobytes(), 0
@@ -78,18 +81,29 @@ class Encoder:
                 for word in some:
                     self.known[word] = self.direct(word)
 
+    def ids(self, text: str) -> list[int]:
+        # the fast form of the same leaves out where tokens are in the text
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def direct(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.ids(text)).tobytes()
+
+    @staticmethod
+    def words(text: str) -> list[str] | None:
+        """The pre-tokens of a text; none if it has characters that only the tokenizer knows to handle."""
+        if text.isascii():
+            return None if _ASCII_OTHER.search(text) else _ASCII_PIECE.findall(text.lower())
+        return None if _OTHER.search(text) else _PIECE.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _OTHER.search(x) else _PIECE.findall(x.lower()) for x in texts]
+        cut = [self.words(x) for x in texts]
         new = set().union(*[x for x in cut if x]) - self.known.keys()
         if new:
             if len(self.known) + len(new) > KEPT_WORDS:
                 new = set().union(*[x for x in cut if x])
             self.learn(list(new))
         known = self.known
-        return [self.direct(text) if words is None else b"".join([known[w] for w in words]) for text, words in zip(texts, cut, strict=True)]
+        return [self.direct(text) if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, cut, strict=True)]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

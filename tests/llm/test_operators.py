@@ -714,3 +714,13 @@ def test_pipeline_on_messy_tables(spark, rows, folder, empty):
     for name, stage in corpus_pipeline.STAGES:
         nulls = common.staged(stage(spark, nulls, folder))
         assert nulls.count() in (0, 4), name
+
+
+def test_ids_of_words_are_those_of_whole_texts():
+    """op1: the short ways to pre-tokens and ids, on the odd characters of both."""
+    encoder = packing.Encoder(packing.tokenizer_path())
+    assert encoder.words("It's 42 o'clock, they'll...") == ["it", "'s", "4", "2", "o", "'", "clock", ",", "they", "'ll", "..."]
+    assert encoder.words("a<|b") is None and encoder.words("a\x1cb") is None and encoder.words("中") is None
+    texts = ["It's 42 o'clock, they'LL... <| <|endoftext|>", "a\x1cb\x1fc", "café ÅNGSTRÖM 's'S", "İ中文 x", "", "' '' 're're _a_1", "x\tY\x0b\x85z\xa0\x7f\x00"]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert got == array("I", encoder.tokenizer.encode(text, add_special_tokens=False).ids).tobytes(), text
