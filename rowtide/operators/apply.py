@@ -89,7 +89,10 @@ def upsert(spark_batch: DataFrame, state_path: str, key: list[str], order: list[
     """
     spark = spark_batch.sparkSession
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    new = spark_batch.withColumn("__bucket", bucket)
+    rest = [*[c for c in spark_batch.columns if c not in key], "__bucket"]
+    newest = lambda rows: rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last")).select(*key, "__last.*")
+    # the batch's own last rows, kept, so that the batch is made once, and only a row a key goes on
+    new = folders.staged(newest(spark_batch.withColumn("__bucket", bucket)), "newest")
     touched = [r[0] for r in new.select("__bucket").distinct().collect()]  # at most ``buckets``
     try:
         old = spark.read.schema(new.schema).parquet(state_path).filter(F.col("__bucket").isin(touched))
@@ -97,8 +100,7 @@ def upsert(spark_batch: DataFrame, state_path: str, key: list[str], order: list[
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         old = new.limit(0)
-    rest = [c for c in new.columns if c not in key]
-    last = old.unionByName(new).groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last")).select(*key, "__last.*")
+    last = newest(old.unionByName(new))
     held = folders.new_folder(spark, "merged")
     last.write.parquet(held)
     merged = spark.read.schema(last.schema).parquet(held).repartition("__bucket")

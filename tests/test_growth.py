@@ -7,7 +7,9 @@ import struct
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rowtide.functions import bytes as B
 from rowtide.functions import codec as C
+from rowtide.operators import apply as A
 from rowtide.operators import decode as D
 from rowtide.operators import transactions
 from rowtide.plans import changelog as L
@@ -134,3 +136,17 @@ def test_text_is_written_the_same_in_both_ways():
     columns = [("a", C.VARCHAR, 255), ("b", C.VAR_STRING, 256), ("c", C.VARCHAR, 65535)]
     for values in (["x", "y", "z"], ["\u00e4" * 100, b"\xff\0", ""], [None, "y", b"z" * 300]):
         assert C.image_writer(columns)(values) == C.image(columns, values)
+
+
+def test_a_batch_that_is_merged_into_a_state_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k % 3, "INSERT", k) for k in range(30)], "id long, op string, seq long").mapInArrow(seen, "id long, op string, seq long")
+    A.upsert(rows, str(tmp_path / "state"), ["id"], ["seq"])
+    assert made.value == 30
+    assert sorted((r.id, r.seq) for r in A.current_state(spark, str(tmp_path / "state")).collect()) == [(0, 27), (1, 28), (2, 29)]
\ No newline at end of file
