@@ -257,7 +257,8 @@ def with_known(attached: DataFrame, tables: DataFrame) -> DataFrame:
     """
     unsigned = F.col("unsigned") if "unsigned" in tables.columns else F.lit(None).cast("array<boolean>")
     told = tables.select("database", "table", F.to_json(F.struct("names", unsigned.alias("unsigned"))).alias("known")).dropDuplicates(["database", "table"])
-    return attached.join(told, ["database", "table"], "left").withColumn("known", F.coalesce("known", F.lit("{}")))
+    # the registry is as small as the schema: the log's events stay where they are
+    return attached.join(F.broadcast(told), ["database", "table"], "left").withColumn("known", F.coalesce("known", F.lit("{}")))
 
 
 #: Rows, and values of images, of a batch that goes back to Spark.

@@ -149,4 +149,13 @@ def test_a_batch_that_is_merged_into_a_state_is_made_once(spark, tmp_path):
     rows = spark.createDataFrame([(k % 3, "INSERT", k) for k in range(30)], "id long, op string, seq long").mapInArrow(seen, "id long, op string, seq long")
     A.upsert(rows, str(tmp_path / "state"), ["id"], ["seq"])
     assert made.value == 30
-    assert sorted((r.id, r.seq) for r in A.current_state(spark, str(tmp_path / "state")).collect()) == [(0, 27), (1, 28), (2, 29)]
\ No newline at end of file
+    assert sorted((r.id, r.seq) for r in A.current_state(spark, str(tmp_path / "state")).collect()) == [(0, 27), (1, 28), (2, 29)]
+
+
+def test_names_of_a_registry_move_no_events(spark):
+    log = _log(spark, [C.event(19, C.table_map(42, "testdb", "users", COLUMNS, named=False)), _row(1)])
+    told = spark.createDataFrame([("testdb", "users", 1, "key", "int")], "database string, `table` string, ordinal int, name string, type string")
+    attached = D.attach(D.with_header(log))
+    found = D.decode_rows(D.with_known(attached, D.registry(told)))
+    assert "SortMergeJoin" not in _plan(found)
+    assert [(r.after[0].name, r.after[0].i, r.names_resolved) for r in found.collect()] == [("key", 1, True)]
\ No newline at end of file
