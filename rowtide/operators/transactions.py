@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.functions import bytes as B
@@ -106,16 +107,38 @@ def baselines(events: DataFrame) -> DataFrame:
     return some.mapInArrow(run, "source_id string, file string, seq long, kind string, sid string, a long, b long")
 
 
+def _told(marked: DataFrame, code: int, read: Callable[[bytes], list[tuple]], own: list[Column]) -> DataFrame:
+    """(source_id, sid, a, b) of what events commit, which ``own`` tells, and of the sets that ``read`` finds in the events
+    ``code``: in one pass, since each pass over a marked log lines it up anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.is_valid(batch.column("committed"))).select(["source_id", "sid", "a", "b"])
+            held = batch.filter(pc.is_valid(batch.column("body")))
+            rows = [(source, *x) for source, body in zip(held.column("source_id").to_pylist(), held.column("body").to_pylist(), strict=True) for x in read(body)]
+            if rows:
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.int64(), pa.int64()], strict=True)]
+                yield pa.RecordBatch.from_arrays([*made[:3], made[3].cast(pa.decimal128(20, 0))], ["source_id", "sid", "a", "b"])
+
+    body = F.when(F.col("type_code") == code, F.col("body")).alias("body")
+    some = marked.filter(F.col("committed").isNotNull() | (F.col("type_code") == code))
+    some = some.select("source_id", *[c.alias(n) for n, c in zip(["sid", "a", "b"], own, strict=True)], "committed", body)
+    return some.mapInArrow(run, "source_id string, sid string, a long, b decimal(20,0)")
+
+
 def checkpoint(marked: DataFrame) -> DataFrame:
     """(source_id, gtid_set): what a log's own baselines and its committed transactions come to, MySQL form."""
-    start = baselines(marked).filter("kind = 'mysql'").select("source_id", "sid", F.col("a").alias("start"), F.col("b").alias("end"))
-    return G.set_text(G.merged(start.union(singles(commits(marked))), "source_id", "sid"), "source_id")
+    part = F.split("committed", ":")
+    n = F.get(part, F.lit(1)).cast("long")
+    told = _told(marked, 35, ranges_of, [F.get(part, F.lit(0)), n, (n + 1).cast("decimal(20,0)")])
+    return G.set_text(G.merged(told.select("source_id", "sid", F.col("a").alias("start"), F.col("b").cast("long").alias("end")), "source_id", "sid"), "source_id")
 
 
 def mariadb_checkpoint(marked: DataFrame) -> DataFrame:
     """(source_id, domain, server, seq): as ``checkpoint`` in MariaDB form, the highest sequence of each domain."""
-    start = baselines(marked).filter("kind = 'mariadb'").select("source_id", F.col("sid").cast("long").alias("domain"), F.col("a").alias("server"), F.col("b").cast("decimal(20,0)").alias("seq"))
-    return G.high_water(start.union(G.mariadb_parts(commits(marked), "gtid", "source_id")), "source_id")
+    part = F.split("committed", "-")
+    told = _told(marked, 163, _listed, [F.get(part, F.lit(0)), F.get(part, F.lit(1)).try_cast("long"), F.get(part, F.lit(2)).try_cast("decimal(20,0)")])
+    return G.high_water(told.select("source_id", F.col("sid").cast("long").alias("domain"), F.col("a").alias("server"), F.col("b").alias("seq")), "source_id")
 
 
 def resume_position(events: DataFrame) -> DataFrame:

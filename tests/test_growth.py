@@ -158,4 +158,17 @@ def test_names_of_a_registry_move_no_events(spark):
     attached = D.attach(D.with_header(log))
     found = D.decode_rows(D.with_known(attached, D.registry(told)))
     assert "SortMergeJoin" not in _plan(found)
-    assert [(r.after[0].name, r.after[0].i, r.names_resolved) for r in found.collect()] == [("key", 1, True)]
\ No newline at end of file
+    assert [(r.after[0].name, r.after[0].i, r.names_resolved) for r in found.collect()] == [("key", 1, True)]
+
+
+def test_a_checkpoint_lines_a_log_up_once(spark):
+    start = C.event(35, struct.pack("<Q", 1) + (1).to_bytes(16, "big") + struct.pack("<QQQ", 1, 7, 9))
+    log = _log(spark, [start, _gtid(1), C.event(16, b"\0" * 8), _gtid(2), C.event(16, b"\0" * 8), _gtid(5)])
+    found = transactions.checkpoint(transactions.with_gtid(D.with_header(log)))
+    assert _plan(found).count("Join") == 1
+    assert [r.gtid_set for r in found.collect()] == ["00000000-0000-0000-0000-000000000001:1-2:7-8"]
+    lists = C.event(163, struct.pack("<I", 2) + struct.pack("<IIQ", 9, 2, 77) + struct.pack("<IIQ", 0, 5, 1))
+    log = _log(spark, [lists, C.event(162, struct.pack("<QIB", (1 << 64) - 1, 0, 0)), C.event(16, b"\0" * 8)])
+    found = transactions.mariadb_checkpoint(transactions.with_gtid(D.with_header(log)))
+    assert _plan(found).count("Join") == 1
+    assert sorted((r.domain, r.server, int(r.seq)) for r in found.collect()) == [(0, 1, (1 << 64) - 1), (9, 2, 77)]
\ No newline at end of file
