@@ -171,4 +171,14 @@ def test_a_checkpoint_lines_a_log_up_once(spark):
     log = _log(spark, [lists, C.event(162, struct.pack("<QIB", (1 << 64) - 1, 0, 0)), C.event(16, b"\0" * 8)])
     found = transactions.mariadb_checkpoint(transactions.with_gtid(D.with_header(log)))
     assert _plan(found).count("Join") == 1
-    assert sorted((r.domain, r.server, int(r.seq)) for r in found.collect()) == [(0, 1, (1 << 64) - 1), (9, 2, 77)]
\ No newline at end of file
+    assert sorted((r.domain, r.server, int(r.seq)) for r in found.collect()) == [(0, 1, (1 << 64) - 1), (9, 2, 77)]
+
+
+def test_numbers_of_fixed_size_are_written_all_at_once():
+    columns = [("a", C.TINY, 0), ("b", C.SHORT, 0), ("c", C.INT24, 0), ("d", C.LONG, 0), ("e", C.LONGLONG, 0), ("f", C.YEAR, 0), ("g", C.DOUBLE, 8), ("h", C.LONG, 0), ("i", C.TINY, 0)]
+    rows = [(-128, 65535, -8388608, 4294967295, -1, 1901, 0.5, -7, 255), (127, -1, 16777215, -2147483648, 1 << 62, 0, -1e300, 7, 0)]
+    made = [pa.array(c, pa.float64() if k == C.DOUBLE else pa.int64()) for c, (_, k, _) in zip(zip(*rows, strict=True), columns, strict=True)]
+    assert [x.tobytes() for x in C.fixed_images(columns, made)] == [C.image_writer(columns)(list(r)) for r in rows]
+    assert C.fixed_images(columns[:1], [pa.array([1, None])]) is None
+    assert C.fixed_images([("f", C.YEAR, 0)], [pa.array([3000])]) is None
+    assert C.fixed_images([("s", C.VARCHAR, 9)], [pa.array(["x"])]) is None
