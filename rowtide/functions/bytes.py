@@ -25,8 +25,16 @@ def text(data: str | Column) -> Column:
 def le(data: str | Column, at: int | Column, n: int, kind: str = "bigint") -> Column:
     """An unsigned little-endian number of n bytes; ``at`` counts from 1. Eight bytes need decimal(20,0)."""
     data = _col(data)
-    parts = [F.substring(data, F.lit(at + k) if isinstance(at, int) else at + k, F.lit(1)) for k in reversed(range(n))]
-    return F.conv(F.hex(F.concat(*parts)), 16, 10).cast("decimal(20,0)" if n == 8 else kind)
+    if n == 8:
+        parts = [F.substring(data, F.lit(at + k) if isinstance(at, int) else at + k, F.lit(1)) for k in reversed(range(n))]
+        return F.conv(F.hex(F.concat(*parts)), 16, 10).cast("decimal(20,0)")
+    whole = F.hex(F.substring(data, F.lit(at) if isinstance(at, int) else at, F.lit(n)))
+    if n == 1:
+        return F.conv(whole, 16, 10).cast(kind)
+    # digits backwards are the bytes backwards, each with its halves exchanged: little code, which stays compiled
+    number, low = F.conv(F.reverse(whole), 16, 10).cast("bigint"), F.lit(int("0F" * n, 16))
+    swapped = F.shiftleft(number.bitwiseAND(low), 4).bitwiseOR(F.shiftright(number, 4).bitwiseAND(low))
+    return swapped.cast(kind)
 
 
 def be(data: str | Column, at: int | Column, n: int) -> Column:
