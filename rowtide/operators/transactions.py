@@ -18,6 +18,10 @@ from rowtide.operators.decode import carried
 from rowtide.sources import folders
 
 
+#: The kinds of events that may have a mark.
+MARKING = [2, 16, 33, 34, 162]
+
+
 def marks(events: DataFrame) -> DataFrame:
     """Add own_gtid of GTID events, ends, whether an event ends a transaction, and mark: what is pending after the event
     (an id, or nothing as ``""``), null for an event that leaves it as it is."""

@@ -1,7 +1,7 @@
 """Transactions of a stream: which ids commit, and the set committed so far.
 
-Only the events that begin or end transactions reach the state, without their bodies, and the state of a source is the one
-id that is pending. A source is one log, so its markers are lined up in one task, as many as a trigger takes.
+Only events of the kinds that begin or end transactions reach the state, without their bodies, and the state of a source is
+the one id that is pending. A source is one log, so its markers are lined up in one task, as many as a trigger takes.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from rowtide.streaming import progress
 
 
 def track(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The ids that markers commit: each what the marker before left pending."""
-    found = pd.concat(list(batches)).sort_values(["file", "seq"])
+    """The ids that markers commit: each what the marker before left pending. Events without a mark change nothing."""
+    found = pd.concat(list(batches))
+    found = found[found["mark"].notna()].sort_values(["file", "seq"])
+    if found.empty:
+        return
     pending = state.get[0] if state.exists else ""
     found["gtid"] = found["mark"].shift(1, fill_value=pending)
     state.update((found["mark"].iloc[-1],))
@@ -34,8 +37,9 @@ def commits(raw: DataFrame, checksum: str = "crc32") -> DataFrame:
     Files must come in the order of their names, as ``changes.read`` takes them. ``checksum`` is crc32 or none, but from
     ``framing.read_files`` it is as the files declare. A transaction may go on in the next trigger or file.
     """
-    events = T.marks(decode.with_header(raw, "auto" if "declared" in raw.columns else checksum))
-    told = events.filter("mark is not null").select("source_id", "file", "seq", "mark")
+    events = decode.with_header(raw, "auto" if "declared" in raw.columns else checksum)
+    # a filter on the mark would be moved below it and work it out several times more; the tasks of the state do that
+    told = T.marks(events.filter(F.col("type_code").isin(T.MARKING))).select("source_id", "file", "seq", "mark")
     return told.groupBy("source_id").applyInPandasWithState(track, "source_id string, file string, seq long, gtid string", "pending string", "append", "NoTimeout")
 
 

@@ -16,6 +16,7 @@ from rowtide.plans import changelog as L
 from rowtide.sources import captures, framing
 from rowtide.streaming import changes as stream
 from rowtide.streaming import progress
+from rowtide.streaming import transactions as tracked
 
 COLUMNS = [("id", C.LONG, 0)]
 MAP = C.event(19, C.table_map(42, "testdb", "users", COLUMNS))
@@ -192,3 +193,18 @@ def test_numbers_of_fixed_size_are_written_all_at_once():
     assert C.fixed_images(columns[:1], [pa.array([1, None])]) is None
     assert C.fixed_images([("f", C.YEAR, 0)], [pa.array([3000])]) is None
     assert C.fixed_images([("s", C.VARCHAR, 9)], [pa.array(["x"])]) is None
+
+
+def test_a_stream_works_out_what_marks_an_event_once(spark, tmp_path):
+    folder, marks = tmp_path / "log", str(tmp_path / "marks")
+    folder.mkdir()
+    begin = C.event(2, L.BEGIN)
+    (folder / "b.1").write_bytes(framing.MAGIC + b"".join([begin, _gtid(1), begin, C.event(2, L.COMMIT), begin, begin, _gtid(2)]))
+    (folder / "b.2").write_bytes(framing.MAGIC + begin + C.event(16, b"\0" * 8))
+    found = tracked.commits(stream.read(spark, str(folder), maxEventsPerTrigger="1", checkpoint=marks))
+    query = progress.started(found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", marks))
+    query.processAllAvailable()
+    query.stop()
+    filters = [x for x in query._jsq.explainInternal(False).splitlines() if "Filter " in x]
+    assert filters and not any("regexp_extract" in x for x in filters)
+    assert sorted((r.file, r.seq, r.gtid[-1]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("b.1", 3, "1"), ("b.2", 1, "2")]
