@@ -97,7 +97,8 @@ def ranges(sets: DataFrame, gtid: str, *keep: str) -> DataFrame:
     return found.select(*keep, F.explode(whole).alias("__x")).select(*keep, "__x.*")
 
 
-def _islands(found: DataFrame, by: list[str]) -> DataFrame:
+def islands(found: DataFrame, by: list[str]) -> DataFrame:
+    """As ``merged``, for few ranges of each key, which one task lines up."""
     before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     top = F.max("end").over(before)
@@ -112,8 +113,8 @@ def merged(found: DataFrame, *by: str) -> DataFrame:
     A log has one or two server ids, so ranges are first joined within stretches of 2^20 numbers, all at once, and only
     what is left of each stretch is lined up by itself.
     """
-    first = _islands(found.withColumn("__stretch", F.shiftright("start", 20)), [*by, "__stretch"]).drop("__stretch")
-    return _islands(first, list(by))
+    first = islands(found.withColumn("__stretch", F.shiftright("start", 20)), [*by, "__stretch"]).drop("__stretch")
+    return islands(first, list(by))
 
 
 def set_text(found: DataFrame, *by: str) -> DataFrame:

@@ -57,19 +57,17 @@ def committed(raw: DataFrame, checksum: str = "crc32", mariadb: bool = False) ->
 
 
 def keep_set(path: str, mariadb: bool = False) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` on ``commits`` or ``committed``: the set so far as a folder for each batch under ``path``.
+    """For ``foreachBatch`` on ``commits`` or ``committed``: what each batch adds to the set, as a folder under ``path``.
 
-    MySQL ids are held as merged ranges, MariaDB ones as the highest of each domain, both few. A batch that runs again
-    starts from the folder of the one before, so nothing counts twice.
+    A batch holds its MySQL ids as joined ranges, MariaDB ones as the highest of each domain, and reads nothing of the others, so
+    its work doesn't grow with the set. One that runs again replaces its folder, so nothing counts twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         new = batch
         if "gtid" in batch.columns:
             new = G.mariadb_parts(batch, "gtid", "source_id") if mariadb else T.singles(batch)
-        if batch_id:
-            new = new.unionByName(batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}"))
-        kept = G.high_water(new, "source_id") if mariadb else G.merged(new, "source_id", "sid")
+        kept = G.high_water(new, "source_id") if mariadb else G.islands(new, ["source_id", "sid"])
         kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
@@ -77,12 +75,13 @@ def keep_set(path: str, mariadb: bool = False) -> Callable[[DataFrame, int], Non
 
 def kept_set(spark: SparkSession, path: str) -> DataFrame:
     """What ``keep_set`` holds by now: (source_id, sid, start, end), or (source_id, domain, server, seq)."""
-    all_ = spark.read.parquet(path)
-    return all_.join(F.broadcast(all_.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+    found = spark.read.parquet(path).drop("batch")
+    return G.high_water(found, "source_id") if "domain" in found.columns else G.merged(found, "source_id", "sid")
 
 
 def keep_last(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` on a small aggregate in mode ``complete``, such as ``resume_position``: a folder for each batch."""
+    """For ``foreachBatch`` on an aggregate in mode ``update``, such as ``resume_position``: the rows that each batch changes, as
+    a folder under ``path``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -90,6 +89,13 @@ def keep_last(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def kept_last(spark: SparkSession, path: str, *by: str) -> DataFrame:
+    """What ``keep_last`` holds by now: of each key the row of its last batch."""
+    found = spark.read.parquet(path)
+    rest = F.struct(*[c for c in found.columns if c not in (*by, "batch")])
+    return found.groupBy(*by).agg(F.max_by(rest, "batch").alias("__last")).select(*by, "__last.*")
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mariadb: bool = False, partitions: int | None = None) -> int:
     """Keep the set of a stream of commits until there is no more, and stop; returns the number of triggers with rows.
 

@@ -208,3 +208,13 @@ def test_a_stream_works_out_what_marks_an_event_once(spark, tmp_path):
     filters = [x for x in query._jsq.explainInternal(False).splitlines() if "Filter " in x]
     assert filters and not any("regexp_extract" in x for x in filters)
     assert sorted((r.file, r.seq, r.gtid[-1]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("b.1", 3, "1"), ("b.2", 1, "2")]
+
+
+def test_a_batch_of_a_set_holds_only_what_it_adds(spark, tmp_path):
+    held, keep = str(tmp_path / "set"), tracked.keep_set(str(tmp_path / "set"))
+    batch = lambda *numbers: spark.createDataFrame([("s", f"u:{n}") for n in numbers], "source_id string, gtid string")
+    for k, numbers in enumerate([(1, 2, 9), (3,), (8,), ()]):
+        keep(batch(*numbers), k)
+    keep(batch(8), 2)  # runs again
+    assert [spark.read.parquet(f"{held}/batch={k}").count() for k in range(4)] == [2, 1, 1, 0]
+    assert sorted((r.source_id, r.sid, r.start, r.end) for r in tracked.kept_set(spark, held).collect()) == [("s", "u", 1, 4), ("s", "u", 8, 10)]
