@@ -218,3 +218,15 @@ def test_a_batch_of_a_set_holds_only_what_it_adds(spark, tmp_path):
     keep(batch(8), 2)  # runs again
     assert [spark.read.parquet(f"{held}/batch={k}").count() for k in range(4)] == [2, 1, 1, 0]
     assert sorted((r.source_id, r.sid, r.start, r.end) for r in tracked.kept_set(spark, held).collect()) == [("s", "u", 1, 4), ("s", "u", 8, 10)]
+
+
+def test_positions_are_kept_as_they_change(spark, tmp_path):
+    folder, held, marks = tmp_path / "log", str(tmp_path / "places"), str(tmp_path / "marks")
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"b.{k}").write_bytes(framing.MAGIC + b"".join([C.event(16, b"\0" * 8, 0, 50 + n) for n in range(2)]))
+    events = D.with_header(stream.read(spark, str(folder), maxEventsPerTrigger="2", checkpoint=marks), "crc32").withColumn("source_id", F.col("file"))
+    places = transactions.resume_position(events)
+    progress.run_to_end(places.writeStream.foreachBatch(tracked.keep_last(held)).option("checkpointLocation", marks).outputMode("update"))
+    assert [r[1] for r in spark.read.parquet(held).groupBy("batch").count().orderBy("batch").collect()] == [1, 1, 1]
+    assert sorted(map(tuple, tracked.kept_last(spark, held, "source_id").collect())) == [(f"b.{k}", "", 51) for k in range(3)]
