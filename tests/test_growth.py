@@ -1,6 +1,7 @@
 """What must not grow with a log: triggers that are told, partitions of a trigger's state, times that a log is read."""
 
 import datetime
+import os
 import re
 import struct
 
@@ -230,3 +231,23 @@ def test_positions_are_kept_as_they_change(spark, tmp_path):
     progress.run_to_end(places.writeStream.foreachBatch(tracked.keep_last(held)).option("checkpointLocation", marks).outputMode("update"))
     assert [r[1] for r in spark.read.parquet(held).groupBy("batch").count().orderBy("batch").collect()] == [1, 1, 1]
     assert sorted(map(tuple, tracked.kept_last(spark, held, "source_id").collect())) == [(f"b.{k}", "", 51) for k in range(3)]
+
+
+def test_a_stream_lists_a_folder_once_until_it_changes(tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"b.{k}").write_bytes(framing.MAGIC + _gtid(1) + _gtid(2))
+    os.utime(tmp_path, (1, 1))
+    listings, listed = [], framing.glob.glob
+    monkeypatch.setattr(framing.glob, "glob", lambda *a: listings.append(a) or listed(*a))
+    marks = str(tmp_path / "none")
+    reader = framing.RowLogStream({"path": str(tmp_path), "maxEventsPerTrigger": "3", "checkpoint": marks})
+    ends = [reader.initialOffset()]
+    while (end := reader.latestOffset()) != ends[-1]:
+        ends.append(end)
+    parts = [[(os.path.basename(p.path), p.seq) for p in reader.partitions(a, b)] for a, b in zip(ends, ends[1:], strict=False)]
+    assert parts == [[("b.0", 0), ("b.1", 0)], [("b.1", 1), ("b.2", 0)], [("b.3", 0), ("b.4", 0)], [("b.4", 1), ("b.5", 0)]]
+    assert len(listings) == 1
+    (tmp_path / "b.6").write_bytes(framing.MAGIC + _gtid(3))
+    assert reader.latestOffset()["file"] == "b.6" and len(listings) == 2
+    (tmp_path / "b.7").write_bytes(framing.MAGIC + _gtid(3))  # at once after the other
+    assert reader.latestOffset()["file"] == "b.7"
