@@ -81,7 +81,7 @@ def ranges_of(body: bytes) -> list[tuple[str, int, int]]:
         return []
 
 
-def _listed(body: bytes) -> list[tuple[str, int, int]]:
+def list_of(body: bytes) -> list[tuple[str, int, int]]:
     """(domain, server, sequence) of a GTID_LIST body, all or none; the count is in the low 28 bits."""
     if len(body) < 4:
         return []
@@ -101,7 +101,7 @@ def baselines(events: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for source, file, seq, code, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                kind, found = ("mysql", ranges_of(body)) if code == 35 else ("mariadb", _listed(body))
+                kind, found = ("mysql", ranges_of(body)) if code == 35 else ("mariadb", list_of(body))
                 rows += [(source, file, seq, kind, *x) for x in found]
             if rows:
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -141,7 +141,7 @@ def checkpoint(marked: DataFrame) -> DataFrame:
 def mariadb_checkpoint(marked: DataFrame) -> DataFrame:
     """(source_id, domain, server, seq): as ``checkpoint`` in MariaDB form, the highest sequence of each domain."""
     part = F.split("committed", "-")
-    told = _told(marked, 163, _listed, [F.get(part, F.lit(0)), F.get(part, F.lit(1)).try_cast("long"), F.get(part, F.lit(2)).try_cast("decimal(20,0)")])
+    told = _told(marked, 163, list_of, [F.get(part, F.lit(0)), F.get(part, F.lit(1)).try_cast("long"), F.get(part, F.lit(2)).try_cast("decimal(20,0)")])
     return G.high_water(told.select("source_id", F.col("sid").cast("long").alias("domain"), F.col("a").alias("server"), F.col("b").alias("seq")), "source_id")
 
 

@@ -254,12 +254,12 @@ def _lengths(path: str, at: int, limit: int) -> Iterator[int]:
 
 class RowLogSource(DataSource):
     """``format("rowlog")``; options: path, sourceId, maxEventSize, maxEventsPerTrigger, maxBytesPerTrigger, checkpoint, follow,
-    pushFilters.
+    pushFilters, since, before.
 
     The path must be mounted on all machines; ``read_files`` reads any store that Spark reads. Files are read a few MB at a
     time, whatever their size. With ``follow`` (batches only) rows have what ``read_files`` adds, so that ``changes`` needs
     no exchange. With ``pushFilters``, for which ``spark.sql.python.filterPushdown.enabled`` must be set, files that filters on
-    ``file`` rule out aren't opened.
+    ``file`` rule out aren't opened. Of a folder, files are taken from the name ``since`` on, and only those ``before`` a name.
     """
 
     @classmethod
@@ -288,9 +288,14 @@ class _Options:
         self.follow = options.get("follow", "false").lower() == "true"
         self.most_events = int(options.get("maxEventsPerTrigger", 10_000))
         self.most_bytes = int(options.get("maxBytesPerTrigger", 256 << 20))
+        self.since, self.before = options.get("since", ""), options.get("before", "")
 
     def files(self) -> list[str]:
-        return sorted(glob.glob(f"{self.path}/*")) if os.path.isdir(self.path) else [self.path]
+        if not os.path.isdir(self.path):
+            return [self.path]
+        found = sorted(glob.glob(f"{self.path}/*"))
+        upto = bisect.bisect_left(found, self.before, key=os.path.basename) if self.before else len(found)
+        return found[bisect.bisect_left(found, self.since, key=os.path.basename) : upto]
 
 
 class RowLogReader(DataSourceReader):

@@ -6,8 +6,12 @@ numbers hold until it rotates. Header fields, filters and everything after the d
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import os
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -72,6 +76,33 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.format("rowlog").options(**options).load(path)
 
 
+def lanes(path: str, most: int) -> list[dict[str, str]]:
+    """Options for ``read`` that deal a folder's files out to at most so many lanes: neighbours by name, of about as many bytes.
+
+    Every name belongs to one lane, those of files to come to the last if names grow. Each lane is a stream with a checkpoint of
+    its own and bounded triggers of its own. They run side by side, so that the triggers of a long log don't all wait for each
+    other. A checkpoint belongs to its lane: these options must be kept with it.
+    """
+    from rowtide.sources.framing import _Options
+
+    files = _Options({"path": path}).files()
+    ends = list(itertools.accumulate(map(os.path.getsize, files)))
+    starts = sorted({bisect.bisect_right(ends, ends[-1] * k // most) for k in range(1, most)} - {0, len(files)}) if ends else []
+    names = ["", *(os.path.basename(files[k]) for k in starts), ""]
+    return [{k: v for k, v in (("since", a), ("before", b)) if v} for a, b in itertools.pairwise(names)]
+
+
+def run_lanes_to_end(streams: Sequence[DataFrame], out: str, checkpoints: Sequence[str], partitions: int | None = None) -> int:
+    """As ``run_to_end``, of streams side by side, each to a folder of its own under ``out``, for ``written``."""
+    writers = [x.writeStream.format("parquet").option("path", f"{out}/{k}").option("checkpointLocation", at).outputMode("append") for k, (x, at) in enumerate(zip(streams, checkpoints, strict=True))]
+    return progress.run_all_to_end(writers, partitions)
+
+
+def written(streams: Sequence[DataFrame], out: str) -> DataFrame:
+    """What ``run_lanes_to_end`` has written, of each lane what its log of files says."""
+    return reduce(DataFrame.unionByName, [x.sparkSession.read.schema(x.schema).parquet(f"{out}/{k}") for k, x in enumerate(streams)])
+
+
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, partitions: int | None = None) -> int:
     """Write what is there to Parquet, exactly once, and stop; a later call goes on from the checkpoint.
 

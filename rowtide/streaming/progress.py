@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 import threading
+from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 
@@ -40,26 +42,46 @@ class LogLines(StreamingQueryListener):
 
 
 class Triggers(StreamingQueryListener):
-    """Counts the triggers of each run that had rows; a query itself remembers its last hundred only."""
+    """Counts the triggers of each run that had rows; a query itself remembers its last hundred only.
+
+    PySpark would copy all that an event says, value by value, which takes longer than a short trigger does: Spark then drops
+    events. So this takes the events of the JVM, and the few values that it needs.
+    """
 
     def __init__(self):
         self.counted: dict[str, int] = {}
+        self.last: dict[str, int] = {}
+        self.lost: set[str] = set()
         self.ended: set[str] = set()
         self.told = threading.Condition()
 
+    @property
+    def _jlistener(self):
+        if not hasattr(self, "_held"):
+            self._held = SparkContext._jvm.PythonStreamingQueryListenerWrapper(_Told(self))
+        return self._held
+
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        run = str(event.progress.runId)
-        self.counted[run] = self.counted.get(run, 0) + (event.progress.numInputRows > 0)
+        self.saw(str(event.progress.runId), event.progress.batchId, event.progress.numInputRows)
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
+        self.saw_end(str(event.runId))
+
+    def saw(self, run: str, batch: int, rows: int) -> None:
+        if batch > self.last.get(run, batch) + 1:
+            self.lost.add(run)
+        self.last[run] = batch
+        self.counted[run] = self.counted.get(run, 0) + (rows > 0)
+
+    def saw_end(self, run: str) -> None:
         with self.told:
-            self.ended.add(str(event.runId))
+            self.ended.add(run)
             self.told.notify_all()
 
     def of(self, run: str, timeout: float = 120) -> int:
@@ -67,9 +89,37 @@ class Triggers(StreamingQueryListener):
         with self.told:
             if not self.told.wait_for(lambda: run in self.ended, timeout):
                 raise TimeoutError(f"the end of run {run} wasn't told within {timeout} seconds")
+        if run in self.lost:
+            raise RuntimeError(f"Spark didn't tell of all triggers of run {run}")
         return self.counted.get(run, 0)
 
 
+class _Told:
+    """What the JVM calls, for ``Triggers``."""
+
+    def __init__(self, to: Triggers):
+        self.to = to
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress()
+        self.to.saw(progress.runId().toString(), progress.batchId(), progress.numInputRows())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.to.saw_end(event.runId().toString())
+
+    class Java:
+        implements = ["org.apache.spark.sql.streaming.PythonStreamingQueryListener"]  # noqa: RUF012
+
+
+_starting = threading.Lock()
+
+
 def started(writer: DataStreamWriter, partitions: int | None = None) -> StreamingQuery:
     """The query, started with so many shuffle partitions, or as many as there are cores, and no more than are set.
 
@@ -77,24 +127,34 @@ def started(writer: DataStreamWriter, partitions: int | None = None) -> Streamin
     number in there holds.
     """
     spark, name = writer._df.sparkSession, "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before), partitions or spark.sparkContext.defaultParallelism))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(name, before)
+    with _starting:
+        before = spark.conf.get(name)
+        spark.conf.set(name, min(int(before), partitions or spark.sparkContext.defaultParallelism))
+        try:
+            return writer.start()
+        finally:
+            spark.conf.set(name, before)
 
 
 def run_to_end(writer: DataStreamWriter, partitions: int | None = None) -> int:
     """Start a query as ``started`` does, let it read all there is, and stop it; returns the number of triggers that had rows."""
-    streams, triggers = writer._df.sparkSession.streams, Triggers()
+    return run_all_to_end([writer], partitions)
+
+
+def run_all_to_end(writers: Sequence[DataStreamWriter], partitions: int | None = None) -> int:
+    """As ``run_to_end``, of queries that run side by side; returns the number of triggers of them all. The first error that is
+    met stops all."""
+    streams, triggers, queries = writers[0]._df.sparkSession.streams, Triggers(), []
     streams.addListener(triggers)
     try:
-        query = started(writer, partitions)
         try:
-            query.processAllAvailable()
+            for writer in writers:
+                queries.append(started(writer, partitions))
+            for query in queries:
+                query.processAllAvailable()
         finally:
-            query.stop()
-        return triggers.of(str(query.runId))
+            for query in queries:
+                query.stop()
+        return sum(triggers.of(str(query.runId)) for query in queries)
     finally:
         streams.removeListener(triggers)

@@ -6,6 +6,7 @@ import re
 import struct
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from rowtide.functions import bytes as B
@@ -251,3 +252,62 @@ def test_a_stream_lists_a_folder_once_until_it_changes(tmp_path, monkeypatch):
     assert reader.latestOffset()["file"] == "b.6" and len(listings) == 2
     (tmp_path / "b.7").write_bytes(framing.MAGIC + _gtid(3))  # at once after the other
     assert reader.latestOffset()["file"] == "b.7"
+
+
+def test_a_stream_of_a_set_reads_its_events_once(spark, tmp_path):
+    folder, marks = tmp_path / "log", str(tmp_path / "marks")
+    folder.mkdir()
+    start = C.event(35, struct.pack("<Q", 1) + (1).to_bytes(16, "big") + struct.pack("<QQQ", 1, 7, 9))
+    (folder / "b.1").write_bytes(framing.MAGIC + b"".join([start, start[:-1] + b"\0", *[x for n in (1, 2, 9) for x in (_gtid(n), C.event(16, b"\0" * 8))]]))
+    found = tracked.committed(stream.read(spark, str(folder), checkpoint=marks))
+    query = progress.started(found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", marks))
+    query.processAllAvailable()
+    query.stop()
+    assert len(re.findall(r"MicroBatchScan", query._jsq.explainInternal(False).split("== Physical")[-1])) == 1
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.sid[-1], r.start, r.end) for r in got.collect()) == [("1", 1, 3), ("1", 7, 10)]
+    assert [(r.source_id, r.start, r.end) for r in tracked.joined(got.unionByName(got.withColumn("end", F.col("start") + 6))).collect()] == [("log", 1, 13)]
+
+
+def test_a_stream_of_mariadb_ids_reads_the_lists_of_its_files(spark, tmp_path):
+    folder, marks = tmp_path / "log", str(tmp_path / "marks")
+    folder.mkdir()
+    lists = C.event(163, struct.pack("<I", 2) + struct.pack("<IIQ", 9, 2, 77) + struct.pack("<IIQ", 0, 5, 1))
+    ids = [C.event(162, struct.pack("<QIB", n, 0, 0)) for n in ((1 << 64) - 1, 3)]
+    (folder / "b.1").write_bytes(framing.MAGIC + b"".join([lists, *ids, C.event(16, b"\0" * 8)]))
+    stream.run_to_end(tracked.committed(stream.read(spark, str(folder), checkpoint=marks), mariadb=True), str(tmp_path / "out"), marks)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 2
+    assert sorted((r.domain, r.server, int(r.seq)) for r in tracked.joined(got).collect()) == [(0, 1, (1 << 64) - 1), (9, 2, 77)]
+
+
+def test_lanes_hold_every_file_once_and_ids_that_go_on_in_the_next(spark, tmp_path):
+    folder, begin = tmp_path / "log", C.event(2, L.BEGIN)
+    folder.mkdir()
+    assert stream.lanes(str(folder), 4) == [{}]
+    for name, events in {"b.1": [_gtid(1), _gtid(2)], "b.2": [begin, begin], "b.3": [begin, C.event(16, b"\0" * 8)], "b.4": [begin, _gtid(4)]}.items():
+        (folder / name).write_bytes(framing.MAGIC + b"".join(events))
+    lanes = stream.lanes(str(folder), 40)
+    assert lanes == [{"before": "b.2"}, {"since": "b.2", "before": "b.3"}, {"since": "b.3", "before": "b.4"}, {"since": "b.4"}]
+    assert [len(stream.lanes(str(folder), n)) for n in (1, 2)] == [1, 2]
+    assert [x[-1:] for x in tracked.pending_at(spark, str(folder), lanes)] == ["", "2", "2", ""]
+    (folder / "b.10").write_bytes(framing.MAGIC + begin)  # later, but by its name before others
+    (folder / "b.5").write_bytes(framing.MAGIC + C.event(16, b"\0" * 8))
+    marks = [str(tmp_path / f"marks{k}") for k in range(4)]
+    raw = [stream.read(spark, str(folder), maxEventsPerTrigger="1", checkpoint=m, **lane) for m, lane in zip(marks, lanes, strict=True)]
+    found = [tracked.commits(x, pending=at) for x, at in zip(raw, tracked.pending_at(spark, str(folder), lanes), strict=True)]
+    assert stream.run_lanes_to_end(found, str(tmp_path / "out"), marks, 1) == 10
+    assert sorted((r.file, r.seq, r.gtid[-1]) for r in stream.written(found, str(tmp_path / "out")).collect()) == [("b.1", 1, "1"), ("b.3", 1, "2"), ("b.5", 0, "4")]
+
+
+def test_triggers_that_spark_does_not_tell_of_are_an_error():
+    triggers = progress.Triggers()
+    for batch, rows in ((4, 1), (5, 0), (5, 2)):
+        triggers.saw("a", batch, rows)
+    for batch in (0, 2):
+        triggers.saw("b", batch, 1)
+    for run in "ab":
+        triggers.saw_end(run)
+    assert triggers.of("a") == 2
+    with pytest.raises(RuntimeError):
+        triggers.of("b")
