@@ -139,22 +139,23 @@ def own_gtid(raw: bytes) -> str | None:
 FRAMED = SCHEMA + ", declared boolean, map_seq long, map_body binary, gtid string"
 
 
-def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, source_id: str = "log", files_per_trigger: int = 0, since: str | None = None, until: str | None = None, opened: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, source_id: str = "log", files_per_trigger: int = 0, since: str | None = None, until: str | None = None, opened: bool = False, names: str | None = None) -> DataFrame:
     """(source_id, file, seq, raw, error_code) of all files under ``path``, numbered within each file, with ``declared``,
     map_seq, map_body and gtid (the transaction's id), which spare later steps looking for them.
 
     Files are read whole, by a task each, and so must be closed. With ``files_per_trigger`` it is a stream of so many
     files a trigger, from the first one on, that needs no state. ``since`` and ``until`` are names of files: those before
-    and after aren't opened.
+    and after aren't opened. ``names``, such as one of ``name_lanes``, is a pattern that names must match.
 
     Spark hands a task the whole content of a file, 2 GB at most. With ``opened`` it hands over paths only, and tasks read them
     a few MB at a time, whatever their size: from mounted folders and the stores that Arrow knows (S3, GCS, HDFS).
     """
     if files_per_trigger:
         kinds = "path string, modificationTime timestamp, length long, content binary"
-        files = spark.readStream.format("binaryFile").schema(kinds).option("maxFilesPerTrigger", files_per_trigger).load(path)
+        reader = spark.readStream.format("binaryFile").schema(kinds).option("maxFilesPerTrigger", files_per_trigger)
     else:
-        files = spark.read.format("binaryFile").load(path)
+        reader = spark.read.format("binaryFile")
+    files = (reader if names is None else reader.option("pathGlobFilter", names)).load(path)
     if since is not None:
         files = files.filter(F.col("_metadata.file_name") >= since)
     if until is not None:
@@ -185,6 +186,16 @@ def read_files(spark: SparkSession, path: str, limit: int = DEFAULT_EVENT, sourc
     return files.mapInArrow(run, FRAMED)
 
 
+def name_lanes(most: int = 10) -> list[str]:
+    """Patterns for ``read_files`` that deal files out to at most ten lanes by the last digit of their names; every name matches one.
+
+    Closed files don't depend on each other, so that streams of some each can run side by side, each with its checkpoint.
+    """
+    digits = ["0123456789"[k::most] for k in range(min(most, 10))]
+    rest = "".join(digits[1:])
+    return [f"*[^{rest}]" if rest else "*", *(f"*[{x}]" for x in digits[1:])]
+
+
 def _opened(path: str) -> Iterator[bytes]:
     """A file's content, ``CHUNK`` bytes at a time."""
     scheme, _, rest = path.partition(":")

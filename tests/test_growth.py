@@ -317,7 +317,7 @@ def test_triggers_that_spark_does_not_tell_of_are_an_error():
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-@pytest.mark.parametrize("name", ["stream_baselines", "stream_changes"])
+@pytest.mark.parametrize("name", ["stream_baselines", "stream_changes", "stream_files"])
 def test_a_log_of_several_files_is_streamed_in_lanes(spark, monkeypatch, name):
     queries, start = [], progress.started
     monkeypatch.setattr(progress, "started", lambda *a: queries.append(start(*a)) or queries[-1])
@@ -328,3 +328,12 @@ def test_a_log_of_several_files_is_streamed_in_lanes(spark, monkeypatch, name):
     want = con.sql(catalog.oracle_sql()[name]).select(*[f'"{c}"' for c in columns]).fetchall()
     as_text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
     assert as_text(found.select(*columns).collect()) == as_text(want)
+
+
+def test_lanes_by_name_hold_every_file_once(spark, tmp_path):
+    names = ["b.1", "b.20", "b.13", "b.9", "b.x", "b.", "log^", "b]", "\u00e4"]
+    for name in names:
+        (tmp_path / name).write_bytes(framing.MAGIC + _gtid(1))
+    for most in (1, 3, 10, 12):
+        found = [[r.file for r in framing.read_files(spark, str(tmp_path), names=x).collect()] for x in framing.name_lanes(most)]
+        assert len(found) == min(most, 10) and sorted(sum(found, [])) == sorted(names)
