@@ -158,14 +158,23 @@ def resume_position(events: DataFrame) -> DataFrame:
     return last.select("source_id", F.coalesce("f.v", F.lit("")).alias("log_file"), F.coalesce("o.v", F.lit(0)).alias("offset"))
 
 
+def staged_set(done: DataFrame) -> DataFrame:
+    """The merged ranges (source_id, sid, start, end) of a set (source_id, gtid_set), in the shared folder."""
+    return folders.staged(G.merged(G.ranges(done, "gtid_set", "source_id"), "source_id", "sid"), "set")
+
+
 def resume_after(marked: DataFrame, done: DataFrame) -> DataFrame:
     """The events of transactions that aren't in a set (source_id, gtid_set), and those outside of any transaction.
 
     Ranges of the set are merged first, so a transaction meets at most one of them. ``marked`` has gtid from ``with_gtid``,
     or from the reader of the files: then it may be a stream, which finds the merged set in the shared folder at each trigger.
+    Streams that share a set are given what ``staged_set`` makes of it.
     """
-    held = G.merged(G.ranges(done, "gtid_set", "source_id"), "source_id", "sid")
-    held = (folders.staged(held, "set") if marked.isStreaming else held).select(F.col("source_id").alias("__s"), F.col("sid").alias("__sid"), "start", "end")
+    if "gtid_set" not in done.columns:
+        held = done
+    else:
+        held = staged_set(done) if marked.isStreaming else G.merged(G.ranges(done, "gtid_set", "source_id"), "source_id", "sid")
+    held = held.select(F.col("source_id").alias("__s"), F.col("sid").alias("__sid"), "start", "end")
     own = F.split("gtid", ":")
     rows = marked.withColumns({"__own": F.get(own, F.lit(0)), "__n": F.get(own, F.lit(1)).try_cast("long")})
     same = [F.col("source_id") == F.col("__s"), F.col("__own") == F.col("__sid"), F.col("__n") >= F.col("start"), F.col("__n") < F.col("end")]
