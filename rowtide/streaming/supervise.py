@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql.streaming import StreamingQuery
@@ -55,3 +56,19 @@ def keep_running(start: Callable[[], StreamingQuery], most: int = 10, to_end: bo
             if query is not None:
                 query.stop()
     return survived
+
+
+def keep_all_running(starts: Sequence[Callable[[], StreamingQuery]], most: int = 10, to_end: bool = False, stop: threading.Event | None = None, fatal: Callable[[BaseException], bool] = is_fatal) -> int:
+    """``keep_running`` of several queries side by side, each in a thread. An error of one that isn't survived ends those that
+    don't run ``to_end``, lets none start again, and is raised. Returns the number of failures that were survived by all."""
+    stop = stop or threading.Event()
+
+    def run(start: Callable[[], StreamingQuery]) -> int:
+        try:
+            return keep_running(start, most, to_end, stop, fatal)
+        except BaseException:
+            stop.set()
+            raise
+
+    with ThreadPoolExecutor(max(1, len(starts))) as threads:
+        return sum(threads.map(run, starts))

@@ -19,7 +19,7 @@ from rowtide.plans import catalog
 from rowtide.plans import changelog as L
 from rowtide.sources import captures, framing
 from rowtide.streaming import changes as stream
-from rowtide.streaming import progress
+from rowtide.streaming import progress, supervise
 from rowtide.streaming import transactions as tracked
 
 TABLES = "/root/testdata/sf0.01"
@@ -317,7 +317,7 @@ def test_triggers_that_spark_does_not_tell_of_are_an_error():
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-@pytest.mark.parametrize("name", ["stream_baselines", "stream_changes", "stream_files", "stream_resume"])
+@pytest.mark.parametrize("name", ["stream_baselines", "stream_changes", "stream_files", "stream_resume", "stream_survives"])
 def test_a_log_of_several_files_is_streamed_in_lanes(spark, monkeypatch, name):
     queries, start = [], progress.started
     monkeypatch.setattr(progress, "started", lambda *a: queries.append(start(*a)) or queries[-1])
@@ -337,3 +337,26 @@ def test_lanes_by_name_hold_every_file_once(spark, tmp_path):
     for most in (1, 3, 10, 12):
         found = [[r.file for r in framing.read_files(spark, str(tmp_path), names=x).collect()] for x in framing.name_lanes(most)]
         assert len(found) == min(most, 10) and sorted(sum(found, [])) == sorted(names)
+
+
+def test_queries_side_by_side_are_kept_running_until_one_cannot_be():
+    class Query:
+        recentProgress = ()  # noqa: RUF012
+
+        def __init__(self, error=None):
+            self.error = error
+
+        def processAllAvailable(self):
+            if self.error:
+                raise self.error
+
+        def awaitTermination(self, timeout):
+            return False
+
+        def stop(self):
+            pass
+
+    left = [[Query(OSError("x")), Query()], [Query()], [Query(OSError("y")), Query()]]
+    assert supervise.keep_all_running([lambda x=x: x.pop(0) for x in left], to_end=True) == 2 and not any(left)
+    with pytest.raises(ValueError, match="z"):
+        supervise.keep_all_running([Query, lambda: (_ for _ in ()).throw(ValueError("z"))])
