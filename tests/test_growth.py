@@ -317,7 +317,7 @@ def test_triggers_that_spark_does_not_tell_of_are_an_error():
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-@pytest.mark.parametrize("name", ["stream_baselines", "stream_changes", "stream_commits", "stream_committed_set", "stream_files", "stream_position", "stream_resume", "stream_survives"])
+@pytest.mark.parametrize("name", ["stream_baselines", "stream_changes", "stream_commits", "stream_committed_set", "stream_files", "stream_position", "stream_resume", "stream_statements", "stream_survives"])
 def test_a_log_of_several_files_is_streamed_in_lanes(spark, monkeypatch, name):
     queries, start = [], progress.started
     monkeypatch.setattr(progress, "started", lambda *a: queries.append(start(*a)) or queries[-1])
@@ -360,3 +360,12 @@ def test_queries_side_by_side_are_kept_running_until_one_cannot_be():
     assert supervise.keep_all_running([lambda x=x: x.pop(0) for x in left], to_end=True) == 2 and not any(left)
     with pytest.raises(ValueError, match="z"):
         supervise.keep_all_running([Query, lambda: (_ for _ in ()).throw(ValueError("z"))])
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_a_log_with_more_rows_is_made_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(framing, "write_files", lambda log, folder: made.append(log))
+    catalog.written_files(spark, TABLES.replace("0.01", "0.001"), catalog._with_statements)
+    assert _plan(made[0]).split("== Initial Plan ==")[0].count("MapInArrow") == 1
+    assert made[0].filter("seq < 0").count() == 4
